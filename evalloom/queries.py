@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .catalog import base, scoring  # noqa: F401 - importing a module registers its queries
 
-def queries() -> dict:
-    return {}
 
+def queries() -> dict[str, base.Query]:
+    return dict(base.QUERIES)
 
-def oracle_sql() -> dict:
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(base.SQL)
