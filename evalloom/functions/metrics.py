@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from . import extract, text
 
-ONE, ZERO = F.lit(1.0), F.lit(0.0)
+ONE, ZERO = 1.0, 0.0
 
 
 def flag(c: Column) -> Column:
@@ -21,7 +21,7 @@ def flag(c: Column) -> Column:
 
 def best(answers: Column, metric: Callable[[Column], Column]) -> Column:
     """The largest metric over the answers, 0 without any."""
-    return F.coalesce(F.array_max(F.transform(answers, metric)), ZERO)
+    return F.coalesce(F.array_max(F.transform(answers, metric)), F.lit(ZERO))
 
 
 def overlap(a: Column, b: Column) -> Column:
