@@ -148,7 +148,7 @@ def _(s, d):
     return _out(R.in_chunks(R.knorm(keys(s, d)), 0.5, 10))
 
 
-@query("kv_chunkkv", _w("kk AS (SELECT * EXCLUDE (k_len), 40 AS k_len FROM kv WHERE pos < 40)", f"cs AS (SELECT layer, pos, pos // 7 AS chunk, sum(-{norm('key')}) AS sc FROM kk GROUP BY ALL), cm AS (SELECT layer, chunk, avg(sc) AS mean FROM cs GROUP BY ALL), cc AS (SELECT layer, chunk, row_number() OVER (PARTITION BY layer ORDER BY round(mean, 9) DESC, chunk) <= 3 AS whole FROM cm), ca AS (SELECT layer, pos, row_number() OVER (PARTITION BY layer ORDER BY whole DESC, CASE WHEN NOT whole THEN round(sc, 9) END DESC NULLS LAST, pos) AS place FROM cs JOIN cc USING (layer, chunk))") + f"SELECT layer, head, pos, round(-{norm('key')}, 6) AS score FROM kk JOIN ca USING (layer, pos) WHERE place <= 21")
+@query("kv_chunkkv", _w("kk AS MATERIALIZED (SELECT * EXCLUDE (k_len), 40 AS k_len FROM kv WHERE pos < 40)", f"cs AS (SELECT layer, pos, pos // 7 AS chunk, sum(-{norm('key')}) AS sc FROM kk GROUP BY ALL), cm AS (SELECT layer, chunk, avg(sc) AS mean FROM cs GROUP BY ALL), cc AS (SELECT layer, chunk, row_number() OVER (PARTITION BY layer ORDER BY round(mean, 9) DESC, chunk) <= 3 AS whole FROM cm), ca AS (SELECT layer, pos, row_number() OVER (PARTITION BY layer ORDER BY whole DESC, CASE WHEN NOT whole THEN round(sc, 9) END DESC NULLS LAST, pos) AS place FROM cs JOIN cc USING (layer, chunk))") + f"SELECT layer, head, pos, round(-{norm('key')}, 6) AS score FROM kk WHERE pos IN (SELECT pos FROM ca WHERE place <= 21)")
 def _(s, d):
     kv = keys(s, d).where("pos < 40").withColumn("k_len", F.lit(40))
     return _out(R.whole_chunks(R.knorm(kv), 0.5, 7))
