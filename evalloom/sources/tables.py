@@ -82,6 +82,6 @@ def newest_files(spark: SparkSession, path: str, name: str = "metrics.json") ->
 def pattern_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(row, column, value) of a tab-separated matrix, values clipped to [0, 1]. The file is one small
     matrix; its lines are numbered inside one task."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: x != "")).alias("row", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: x != "")).alias("row", "line"))
     cells = lines.select("row", F.posexplode(F.split("line", "\t")).alias("column", "v"))
     return cells.select("row", "column", F.least(F.greatest(F.col("v").cast("double"), F.lit(0.0)), F.lit(1.0)).alias("value"))
