@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators import attention as A
 from ..operators import chunked_attention as K
+from ..operators import linear as L
 from ..operators import retention as R
 from ..registry import attention_methods, compressors, positional_methods
 
@@ -35,6 +36,13 @@ for _name, _scorer, _aliases in (
     ("kvzip", R.lowest_mask, ()),
     ("kvzap", R.linear_surrogate, ()),
     ("simlayerkv", R.lazy_layers, ()),
+    ("leverage", L.leverage, ()),
+    ("non_causal_attention", L.non_causal, ()),
+    ("compactor", L.compactor, ()),
+    ("ridge", L.ridge, ()),
+    ("random_sketch_press", L.ridge, ()),
+    ("balancekv", L.balanced_halving, ()),
+    ("pyramidkv", R.snapkv, ()),
 ):
     compressors.register(_name, _aliases)(_scorer)
 

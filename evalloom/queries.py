@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import base, more, plumbing, retention, scoring, streams  # noqa: F401 - importing a module registers its queries
+from .catalog import base, linear, more, plumbing, retention, scoring, streams  # noqa: F401 - importing a module registers its queries
 
 
 def queries() -> dict[str, base.Query]:
