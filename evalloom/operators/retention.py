@@ -307,3 +307,70 @@ def accounting(before: DataFrame, after: DataFrame) -> DataFrame:
     heads = after.groupBy(*HEAD).agg(F.count("*").alias("n"))
     left = heads.groupBy("layer").agg(F.sum("n").alias("kept"), F.min("n").alias("shortest"), F.max("n").alias("longest"))
     return n.join(left, "layer", "left").select("layer", "total", "kept", "shortest", "longest", (C("kept") / C("total")).alias("share"))
+
+
+def stored_expectation(kv: DataFrame, stats: DataFrame, size: int, sinks: int = 4, epsilon: float = 0.0) -> DataFrame:
+    """expected_attention with stored statistics: stats (layer, head, mu, sigma), sigma row by row."""
+    out = kv.join(stats, [*HEAD])
+    form = F.aggregate(F.zip_with("sigma", "key", lambda row, k: V.dot(row, C("key")) * k), F.lit(0.0), lambda s, x: s + x)
+    out = out.withColumn("_l", V.dot(C("mu"), C("key")) / F.lit(float(size) ** 0.5) + form / F.lit(2.0 * size)).drop("mu", "sigma")
+    out = A.softmax(out, HEAD, "_l").withColumn("_s", (C("w") + epsilon) * V.l2(C("value")))
+    return out.withColumn("score", F.when(C("pos") < sinks, F.max("_s").over(W.partitionBy("layer"))).otherwise(C("_s"))).drop("_l", "w", "_s")
+
+
+def finch(kv: DataFrame, queries: DataFrame, window: int, scale: float) -> DataFrame:
+    """Attention of the last positions over those before, times how many of them see a position; the
+    window stays."""
+    early = C("pos") < C("k_len") - window
+    mass = window_attention(kv, queries, scale).where(early).groupBy(*HEAD, "pos").agg(F.sum("w").alias("_a"), F.count("*").alias("_n"))
+    out = kv.join(mass, [*HEAD, "pos"], "left").withColumn("_s", C("_a") / C("_n") * C("_n"))
+    return out.withColumn("score", F.when(early, C("_s")).otherwise(F.max("_s").over(W.partitionBy("layer")))).drop("_a", "_n", "_s")
+
+
+def critical_adaptive_mask(scored: DataFrame, ratio: float, safe: float = 0.2, first: float = 0.5, epsilon: float = 1e-4) -> DataFrame:
+    """Rows to mask: head budgets as adaptive_mask leaves them, filled in two stages as critical does."""
+    kept = budget(ratio)
+    out = scored.withColumn("score", F.when(rank(*HEAD) <= F.floor(kept * safe), TOP).otherwise(C("score")))
+    order = F.row_number().over(W.partitionBy("layer").orderBy(F.round("score", 9).desc(), "head", "pos"))
+    total = F.sum(F.when(C("pos") == 0, kept)).over(W.partitionBy("layer"))
+    out = out.withColumns({"_o": order, "_t": total})
+    out = out.withColumn("_b", F.sum((C("_o") <= C("_t")).cast("long")).over(W.partitionBy(*HEAD)))
+    out = out.withColumn("score", F.when(rank(*HEAD) <= F.floor(C("_b") * first), TOP).otherwise((C("score") + epsilon) * V.l1(C("value"))))
+    return out.withColumn("_r", rank(*HEAD)).where("_r > _b").drop("_o", "_t", "_b", "_r")
+
+
+def head_areas(means: DataFrame, frequencies: list[float], length: int) -> DataFrame:
+    """Score of each head: its mean query asks for its mean key at each of ``length`` positions; the
+    area under the accumulated attention is high where it goes to early positions.
+
+    means: (layer, head, query, key), mean vectors over a text.
+    """
+    at = means.select("*", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("pos"))
+    q = A.rotated(C("query"), F.lit(float(length - 1)), frequencies)
+    at = at.withColumn("logit", V.dot(q, A.rotated(C("key"), C("pos").cast("double"), frequencies)) / F.lit(float(2 * len(frequencies)) ** 0.5))
+    w = A.softmax(at.select(*HEAD, "pos", "logit"), HEAD)
+    run = F.sum("w").over(W.partitionBy(*HEAD).orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    return w.withColumn("_c", run).groupBy(*HEAD).agg(F.avg("_c").alias("head_score"))
+
+
+def reread(kv: DataFrame, queries: DataFrame, scale: float, chunk: int, sinks: int = 1) -> DataFrame:
+    """The largest attention a key receives when its chunk is read again: the queries of a chunk see
+    the sinks and the keys of the chunk."""
+    q = queries.withColumn("_c", F.floor(C("qpos") / chunk))
+    k = kv.withColumn("_c", F.floor(C("pos") / chunk))
+    heads = q.select(*HEAD, "_c").distinct().withColumnRenamed("_c", "_q")
+    seen = k.join(heads, [*HEAD]).where((C("_q") == C("_c")) | (C("pos") < sinks)).withColumn("_c", C("_q")).drop("_q")
+    rows = q.join(seen, [*HEAD, "_c"]).withColumn("logit", V.dot(C("query"), C("key")) * scale)
+    best = A.softmax(rows).where(F.floor(C("pos") / chunk) == C("_c")).groupBy(*HEAD, "pos").agg(F.max("w").alias("score"))
+    return kv.join(best, [*HEAD, "pos"], "left").withColumn("score", F.when(C("pos") < sinks, TOP).otherwise(F.coalesce("score", F.lit(0.0))))
+
+
+def layer_counts_mask(scored: DataFrame, ratio: float) -> DataFrame:
+    """Rows to mask: each layer gives up as many as it has among the lowest of all layers, and those
+    are its own lowest."""
+    low = F.row_number().over(W.orderBy(F.round("score", 9), "layer", "head", "pos"))
+    n = F.floor(F.count("*").over(W.partitionBy()) * F.lit(ratio))
+    counted = scored.withColumns({"_o": low, "_n": n})
+    own = F.sum((C("_o") <= C("_n")).cast("long")).over(W.partitionBy("layer"))
+    place = F.row_number().over(W.partitionBy("layer").orderBy(F.round("score", 9), "head", "pos"))
+    return counted.withColumns({"_own": own, "_p": place}).where("_p <= _own").drop("_o", "_n", "_own", "_p")

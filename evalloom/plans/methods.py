@@ -36,6 +36,9 @@ for _name, _scorer, _aliases in (
     ("kvzip", R.lowest_mask, ()),
     ("kvzap", R.linear_surrogate, ()),
     ("simlayerkv", R.lazy_layers, ()),
+    ("expected_attention_stats", R.stored_expectation, ()),
+    ("finch", R.finch, ()),
+    ("critical_adakv", R.critical_adaptive_mask, ()),
     ("leverage", L.leverage, ()),
     ("non_causal_attention", L.non_causal, ()),
     ("compactor", L.compactor, ()),
