@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_lists
+from .common import as_lists, map_arrow
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 ESCAPE = "⁠"
@@ -132,7 +132,7 @@ def format_turns(turns: DataFrame, path: str | None = None) -> DataFrame:
 
     kind = turns.schema["conv_id"].dataType.simpleString()
     rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), "text")
-    return rows.mapInArrow(run, f"conv_id {kind}, turn long, role string, input_ids array<int>, loss_mask array<boolean>")
+    return rows.transform(map_arrow, run, f"conv_id {kind}, turn long, role string, input_ids array<int>, loss_mask array<boolean>")
 
 
 def digest_conversations(formatted: DataFrame, path: str | None = None) -> DataFrame:
@@ -167,7 +167,7 @@ def digest_conversations(formatted: DataFrame, path: str | None = None) -> DataF
 
     kind = formatted.schema["conv_id"].dataType.simpleString()
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "input_ids")
-    return ordered.select("conv_id", "input_ids", "loss_mask").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
+    return ordered.select("conv_id", "input_ids", "loss_mask").transform(map_arrow, run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
 
 
 def _rows(done: list, kind: pa.DataType) -> pa.RecordBatch:

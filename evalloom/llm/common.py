@@ -5,12 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
+#: Most bytes of one Arrow batch between the JVM and Python.
+BATCH_BYTES = 4 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -58,6 +61,13 @@ def _clean() -> None:
             return
 
 
+def map_arrow(df: DataFrame, f: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow with batches of at most ``BATCH_BYTES``: batches are bounded by bytes, since
+    texts differ too much in length for a number of rows to bound them."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(f, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
