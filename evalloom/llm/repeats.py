@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_views, signed, table
+from .common import byte_views, map_arrow, signed, table
 from .hashing import BYTE_VALUES, U64, mix, prefix_hashes, span_hashes, splitmix
 from .suffix_sort import Suffixes
 
@@ -208,24 +208,27 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     plain = docs.select("doc_id", F.expr("coalesce(doc_id, -9223372036854775808)").cast("long").alias("k"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     plain = plain.select("doc_id", "k", F.xxhash64("text").alias("tid"), "text")
     text = plain.select("k", "tid", "text")
-    rows = text.where(f"octet_length(text) >= {window}").mapInArrow(_anchors(window, anchor), "k long, tid long, h long, rd long, lo long, at long, size long")
+    rows = text.where(f"octet_length(text) >= {window}").transform(map_arrow, _anchors(window, anchor), "k long, tid long, h long, rd long, lo long, at long, size long")
     rows = rows.selectExpr("k", "tid", "h", "rd", "cast(lo as int) lo", "cast(at as int) at", "cast(size as int) size")
-    often = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # Written first, so that the join below stands alone and a frequent anchor's rows can be split.
+    often = table(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
     found = table(rows.join(often, "h"), "anchors")
 
     classes = found.groupBy("h", "rd").agg(F.count("*").alias("n"), F.min(F.struct("k", "tid", "lo")).alias("one"))
     kinds = classes.groupBy("h").agg(F.count("*").alias("m"))
-    marked = found.join(classes, ["h", "rd"]).join(kinds, "h")
+    # One row for each class says all about it, so rows of one anchor part by their content.
+    classes = table(classes.join(kinds, "h"), "classes")
+    marked = found.join(classes, ["h", "rd"])
     item = F.struct("h", "rd", "lo", "at", "size", F.expr("n > 1").alias("known"), F.expr("m > 1 and one = struct(k, tid, lo)").alias("send"), F.expr(f"m > {crowd}").alias("hot"))
     lists = marked.select("k", "tid", item.alias("item")).groupBy("k", "tid").agg(F.collect_list("item").alias("items"))
     held = table(text.join(lists.hint("shuffle_hash"), ["k", "tid"]).select("k", "tid", "text", "items"), "held")
 
     some = held.where("exists(items, x -> x.send)")
-    spans = some.mapInArrow(_sent, _PARTS).repartition("h").sortWithinPartitions("h", "rd").mapInArrow(_groups(window), "k long, tid long, lo long, hi long")
-    crowded = some.where("exists(items, x -> x.hot)").mapInArrow(_hot(window), "w1 long, w2 long, k long, tid long, lo long")
+    spans = some.transform(map_arrow, _sent, _PARTS).repartition("h").sortWithinPartitions("h", "rd").transform(map_arrow, _groups(window), "k long, tid long, lo long, hi long")
+    crowded = some.where("exists(items, x -> x.hot)").transform(map_arrow, _hot(window), "w1 long, w2 long, k long, tid long, lo long")
     twice = crowded.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
     spans = spans.union(crowded.join(twice, ["w1", "w2"]).selectExpr("k", "tid", "lo", f"lo + {window} AS hi"))
     spans = spans.groupBy("k", "tid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    done = held.join(spans, ["k", "tid"], "left").mapInArrow(_finish, "k long, tid long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["k", "tid"])
+    done = held.join(spans, ["k", "tid"], "left").transform(map_arrow, _finish, "k long, tid long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["k", "tid"])
     base = plain.select("doc_id", "k", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     return base.join(done, ["k", "tid"], "left").selectExpr("doc_id", "n_bytes", "coalesce(n_removed, 0) AS n_removed", "coalesce(n_spans, 0) AS n_spans", "coalesce(kept_sha256, whole) AS kept_sha256")
