@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_lists, byte_views, signed
+from .common import as_lists, byte_views, map_arrow, signed
 from .hashing import U64, combine, splitmix, word_hashes
 
 #: Masks over word positions: fixed values, 1 for a position that counts.
@@ -134,7 +134,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_W
     word of the best segment in the document), score, equal_words, item_words."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    words = items.mapInArrow(_item_words, "item_id long, words array<long>").where("size(words) > 0")
+    words = items.transform(map_arrow, _item_words, "item_id long, words array<long>").where("size(words) > 0")
     total = words.agg(F.sum(F.size("words"))).first()[0] or 0
     if total > bound:
         return _by_shuffle(text, words)
@@ -151,7 +151,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_W
             if out:
                 yield _report(out)
 
-    return text.mapInArrow(run, _SCHEMA)
+    return text.transform(map_arrow, run, _SCHEMA)
 
 
 def _doc_seeds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +175,8 @@ def _by_shuffle(text: DataFrame, words: DataFrame) -> DataFrame:
     """The same rows for a benchmark of any size: hits by a join on seed hashes, each verified with
     the texts that the two sides bring."""
     text = text.withColumn("key", F.xxhash64("doc_id", "text"))
-    hits = text.select("key", "text").mapInArrow(_doc_seeds, "h long, key long").join(words.mapInArrow(_item_seeds, "h long, item_id long"), "h").select("key", "item_id").distinct()
-    pairs = hits.join(words, hits.item_id.eqNullSafe(words.item_id)).select("key", words.item_id, "words").join(text, "key")
+    hits = text.select("key", "text").transform(map_arrow, _doc_seeds, "h long, key long").join(words.transform(map_arrow, _item_seeds, "h long, item_id long"), "h").selectExpr("key", "item_id AS hit").distinct()
+    pairs = hits.join(words, F.expr("hit <=> item_id")).select("key", "item_id", "words").join(text, "key")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,4 +188,4 @@ def _by_shuffle(text: DataFrame, words: DataFrame) -> DataFrame:
             if out:
                 yield _report(out)
 
-    return pairs.select("doc_id", "item_id", "words", "text").mapInArrow(run, _SCHEMA)
+    return pairs.select("doc_id", "item_id", "words", "text").transform(map_arrow, run, _SCHEMA)

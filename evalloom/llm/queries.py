@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.ORACLE, "op9_url_filters": url_filters.oracle()}
+    return {"op4_warc": warc.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "op9_url_filters": url_filters.oracle()}

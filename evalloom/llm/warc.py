@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table
+from .common import map_arrow, scratch_path, table
 
 LEAST_REVISIT, SEGMENT, CHUNK, RECORDS = 1000, 32_768, 8_192, 500
 BREAK = "\r\n\r\n"
@@ -122,7 +122,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
                     serial += 1
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    full.mapInArrow(run, "value string").write.option("lineSep", BREAK).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    full.transform(map_arrow, run, "value string").write.option("lineSep", BREAK).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
 
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -181,11 +181,11 @@ def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pieces.append((kind, int(fields["warc-segment-number"]), int(fields.get("warc-segment-total-length", -1)), list(fields.items()) if fields["warc-type"] != "continuation" else None, block))
                 else:
                     pages.append(_decoded(fields, block))
-            n = len(pages) + len(pieces)
+            if not pages and not pieces:
+                continue
             page = pa.StructArray.from_arrays([pa.array([*(r[i] for r in pages), *[None] * len(pieces)], t) for i, (_, t) in enumerate(_PAGE_ARROW)], fields=[pa.field(*f) for f in _PAGE_ARROW], mask=pa.array([False] * len(pages) + [True] * len(pieces)))
             piece = pa.StructArray.from_arrays([pa.array([*[None] * len(pages), *(r[i] for r in pieces)], f.type) for i, f in enumerate(_PIECE)], fields=list(_PIECE), mask=pa.array([True] * len(pages) + [False] * len(pieces)))
-            if n:
-                yield pa.RecordBatch.from_arrays([page, piece], names=["page", "piece"])
+            yield pa.RecordBatch.from_arrays([page, piece], names=["page", "piece"])
 
 
 def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,13 +214,21 @@ def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url of all archives under path."""
     raw = spark.read.format("binaryFile").load(path).select("content")
-    both = raw.mapInArrow(_parsed, f"page struct<{_PAGE.replace(' ', ':').replace(',:', ',')}>, piece struct<origin:string,number:bigint,total:bigint,head:map<string,string>,block:binary>".replace("long", "bigint"))
+    both = raw.transform(map_arrow, _parsed, f"page struct<{_PAGE.replace(' ', ':').replace(',:', ',')}>, piece struct<origin:string,number:bigint,total:bigint,head:map<string,string>,block:binary>".replace("long", "bigint"))
     both = table(both, "records")
     pieces = both.where("piece is not null").select("piece.*").repartition("origin").sortWithinPartitions("origin", "number")
-    return both.where("page is not null").select("page.*").unionByName(pieces.mapInArrow(_joined, _PAGE))
+    return both.where("page is not null").select("page.*").unionByName(pieces.transform(map_arrow, _joined, _PAGE))
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     path = scratch_path(pages.sparkSession, "warc")
     write_archives(pages, path)
     return read_archives(pages.sparkSession, path).drop("url")
+
+
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
+m AS (SELECT *, CASE WHEN n >= {LEAST_REVISIT} THEN max(page_id) OVER (PARTITION BY html) END AS first FROM p)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < first THEN first END AS refers_to FROM m
+"""
