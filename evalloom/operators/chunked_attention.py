@@ -91,3 +91,99 @@ def view_positions(kept: DataFrame, n_queries: Column | int) -> DataFrame:
     """Consecutive positions of a view: keys from 0, the queries at its end."""
     out = kept.withColumn("view_pos", F.row_number().over(W.partitionBy(*HEAD).orderBy("pos")) - 1)
     return out.withColumn("query_start", F.count("*").over(W.partitionBy(*HEAD)) - n_queries)
+
+
+def chunk_bounds(n: int, size: int, sinks: int = 0, local: int = 0, aligned: bool = False) -> list[tuple[int, int, bool]]:
+    """(start, end, generating) of the chunks of one pass over n positions.
+
+    Uniform chunks, or with ``aligned`` a first chunk that makes later ones end on multiples of 128
+    beyond the sinks and the local window, and the last position as a chunk of its own.
+    """
+    if n == 1:
+        return [(0, 1, True)]
+    if not aligned:
+        return [(s, min(s + size, n), False) for s in range(0, n, size)]
+    first = max(1, min(sinks + local - (128 - (n - 1 - sinks + local) % 128), n - 1))
+    cuts = [0, first, *range(first + size, n - 1, size)]
+    cuts += [n - 1] if cuts[-1] != n - 1 else []
+    return [(a, b, b - a == 1) for a, b in zip(cuts, cuts[1:], strict=False)] + [(n - 1, n, True)]
+
+
+def recalls(seen: int, generating: bool, sinks: int, local: int, option: str = "whole") -> bool:
+    """Whether a chunk that has seen so many positions attends over a recalled view."""
+    if option not in ("whole", "default", "generate_only", "prefill_only", "full_attn"):
+        raise ValueError(f"unknown recall option {option}")
+    blocked = option == "full_attn" or (option == "generate_only" and not generating) or (option == "prefill_only" and generating)
+    return seen > sinks + local and not blocked
+
+
+def aligned_local(seen: int, sinks: int, local: int) -> int:
+    """The local window shrunk so that the middle is a multiple of 128; by 128 if it is one already."""
+    out = local - (128 - (seen - sinks - local) % 128)
+    return out if out >= 1 else local
+
+
+def exact_recall(queries: DataFrame, kv: DataFrame, size: int, bounds: list[tuple[int, int, bool]], sinks: int, local: int, k: int, span: int, option: str = "whole", base: float = 10000.0, contiguous: bool = False) -> DataFrame:
+    """Attention of each chunk of queries over a view of the keys seen so far; no key is dropped.
+
+    The view of a chunk is the sinks, the local window and spans about the positions that some of
+    its queries has among its k best in between. Keys and queries are unrotated; they are rotated to
+    their own positions, or with ``contiguous`` to consecutive ones that end with the chunk. All
+    chunks are one plan: the chunk table, one row per chunk, is joined to queries and keys.
+    """
+    spark = kv.sparkSession
+    rows = [(c, s, e, recalls(e, g, sinks, local, option), local) for c, (s, e, g) in enumerate(bounds)]
+    table = F.broadcast(spark.createDataFrame(rows, "chunk int, start long, end long, view boolean, local long"))
+    q = queries.join(table, (C("qpos") >= C("start")) & (C("qpos") < C("end")))
+    seen = kv.join(table, C("pos") < C("end"))
+    middle = seen.where((C("pos") >= sinks) & (C("pos") < C("end") - C("local")) & C("view"))
+    scored = q.select(*HEAD, "qpos", "chunk", "query").join(middle.select(*HEAD, "pos", "chunk", "key"), [*HEAD, "chunk"]).withColumn("logit", V.dot(C("query"), C("key")))
+    top = A.top_keys(scored, k).select("layer", "chunk", "pos").distinct()
+    wide = top.select("layer", "chunk", F.explode(F.sequence(C("pos") - span // 2, C("pos") + (span + 1) // 2 - 1)).alias("pos")) if span > 0 else top
+    wide = wide.join(table, "chunk").select("layer", "chunk", F.least(F.greatest("pos", F.lit(sinks)), C("end") - C("local") - 1).alias("pos"))
+    ends = seen.where(~C("view") | (C("pos") < sinks) | (C("pos") >= C("end") - C("local"))).select("layer", "chunk", "pos")
+    view = wide.union(ends).distinct()
+    keys = seen.select(*HEAD, "pos", "key", "value", "chunk", "start", "end", "view").join(view, ["layer", "chunk", "pos"], "left_semi")
+    fr = A.inverse_frequencies(base, size)
+    if contiguous:
+        w = W.partitionBy(*HEAD, "chunk")
+        keys = keys.withColumns({"_at": F.row_number().over(w.orderBy("pos")) - 1, "_n": F.count("*").over(w)})
+        q = q.join(keys.select(*HEAD, "chunk", "_n").distinct(), [*HEAD, "chunk"]).withColumn("_q", F.when(C("view"), C("_n") - (C("end") - C("qpos"))).otherwise(C("qpos"))).drop("_n")
+        keys = keys.withColumn("_at", F.when(C("view"), C("_at")).otherwise(C("pos"))).drop("_n")
+    else:
+        q, keys = q.withColumn("_q", C("qpos")), keys.withColumn("_at", C("pos"))
+    q = q.select(*HEAD, "qpos", "chunk", A.rotated(C("query"), C("_q").cast("double"), fr).alias("query"))
+    keys = keys.select(*HEAD, "pos", "chunk", "value", A.rotated(C("key"), C("_at").cast("double"), fr).alias("key"))
+    rows = q.join(keys, [*HEAD, "chunk"]).where(C("pos") <= C("qpos"))
+    return A.attend(rows.withColumn("logit", V.dot(C("query"), C("key")) / math.sqrt(size)), size)
+
+
+def shrunk(seeds: DataFrame, lengths: DataFrame, target: int, span: int) -> DataFrame:
+    """Positions of each layer: the spans of the most frequent seeds that fit into the target, filled
+    up with the most recent other positions; if one span is too large, what is next to its seed.
+
+    seeds (layer, pos, times) and lengths (layer, n) are relative to the middle range; the seeds of a
+    layer are at most its positions.
+    """
+    import pandas as pd
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf["n"].iloc[0])
+        ranked = pdf.sort_values(["times", "pos"], ascending=[False, True])["pos"].tolist()
+
+        def spread(some: list[int]) -> set[int]:
+            return {min(max(p + o, 0), n - 1) for p in some for o in (range(-(span // 2), (span + 1) // 2) if span > 0 else (0,))}
+
+        room = min(target, n)
+        low, high = 0, len(ranked)
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(spread(ranked[:middle])) <= room else (low, middle - 1)
+        kept = spread(ranked[:low]) if low else set(sorted(spread(ranked[:1]), key=lambda p: (abs(p - ranked[0]), p))[:room])
+        for p in range(n - 1, -1, -1):
+            if len(kept) >= room:
+                break
+            kept.add(p)
+        return pd.DataFrame({"layer": pdf["layer"].iloc[0], "pos": sorted(kept)})
+
+    return seeds.join(lengths, "layer").groupBy("layer").applyInPandas(fit, "layer int, pos long")

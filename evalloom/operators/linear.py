@@ -212,3 +212,32 @@ def _gelu_mlp(x: pd.Series, first: pd.Series, second: pd.Series) -> pd.Series:
 def surrogate(kv: DataFrame, weights: DataFrame) -> DataFrame:
     """A linear, GELU, linear score per layer: weights (layer, first array<array>, second array)."""
     return kv.join(weights, "layer").withColumn("score", _gelu_mlp("key", "first", "second")).drop("first", "second")
+
+
+def gate(kv: DataFrame, parameters: dict[tuple[int, int], dict[str, np.ndarray]], column: str = "hidden") -> DataFrame:
+    """Scores of a trained low-rank gate, averaged over the query group.
+
+    parameters of each (layer, head): wq (group, rank, input), bq (group, rank), wk (rank, input), nq and
+    nk (rank) norm weights, base (sink, rank), b (group). Their size is the model's, not the data's.
+    """
+    if sum(v.size for p in parameters.values() for v in p.values()) > MOST_CELLS:
+        raise ValueError("the gates are too large to send")
+    sent = kv.sparkSession.sparkContext.broadcast(parameters)
+
+    def normed(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return x / np.sqrt((x**2).mean(axis=-1, keepdims=True) + 1e-6) * w
+
+    @F.pandas_udf(T.DoubleType())
+    def score(layer: pd.Series, head: pd.Series, hidden: pd.Series) -> pd.Series:
+        out = np.zeros(len(hidden))
+        for key, at in pd.DataFrame({"l": layer, "h": head}).groupby(["l", "h"]).indices.items():
+            p, x = sent.value[key], np.stack(hidden.iloc[at].to_list())
+            q = normed(np.einsum("gri,ni->ngr", p["wq"], x) + p["bq"], p["nq"])
+            k = normed(x @ p["wk"].T, p["nk"])
+            rank = np.sqrt(k.shape[1])
+            logit = np.einsum("nr,ngr->ng", k, q) / rank + p["b"]
+            base = np.einsum("sr,ngr->nsg", p["base"], q) / rank
+            out[at] = (1 / (1 + np.exp(base - logit[:, None, :]).sum(axis=1))).mean(axis=1)
+        return pd.Series(out)
+
+    return kv.withColumn("score", score(*(C(h) for h in HEAD), C(column)))

@@ -40,6 +40,7 @@ for _name, _scorer, _aliases in (
     ("finch", R.finch, ()),
     ("critical_adakv", R.critical_adaptive_mask, ()),
     ("leverage", L.leverage, ()),
+    ("fastkvzip", L.gate, ()),
     ("non_causal_attention", L.non_causal, ()),
     ("compactor", L.compactor, ()),
     ("ridge", L.ridge, ()),
@@ -52,6 +53,7 @@ for _name, _scorer, _aliases in (
 attention_methods.register("causal")(A.attention)
 attention_methods.register("dca")(K.dual_chunk)
 attention_methods.register("reattention")(K.recall)
+attention_methods.register("reattention_exact")(K.exact_recall)
 
 
 @positional_methods.register("linear_pi", ("linear", "pi"))

@@ -60,6 +60,13 @@ def test_ties_go_to_the_smaller_position(spark):
     assert [p for *_, p in ids(R.retain(same, 0.5))] == [0, 1, 2]
 
 
+@pytest.mark.parametrize("ratio", [0.0, 0.0005, 0.37, 1.0])
+def test_lowest_is_exact(spark, ratio):
+    df = spark.range(5000).selectExpr("cast(id % 3 as int) AS layer", "0 AS head", "id AS pos", "cast(id * 7919 % 60 as double) AS score")
+    want = sorted((r.score, r.layer, r.head, r.pos) for r in df.collect())[: int(5000 * ratio)]
+    assert sorted((r.score, r.layer, r.head, r.pos) for r in R.lowest(df, ratio).collect()) == want
+
+
 def test_merged_partials_equal_direct_attention(kv):
     q = relations.last_queries(kv, 3)
     rows = A.logits(q, kv, 0.125)
