@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from ..operators import attention as A
 from ..operators import chunked_attention as K
 from ..operators import linear as L
@@ -52,10 +54,16 @@ for _name, _scorer, _aliases in (
 
 attention_methods.register("causal")(A.attention)
 attention_methods.register("dca")(K.dual_chunk)
-attention_methods.register("reattention")(K.recall)
 attention_methods.register("reattention_exact")(K.exact_recall)
 
 
+@attention_methods.register("reattention")
+def recalled(queries: DataFrame, kv: DataFrame, **how) -> DataFrame:
+    """The relation that recall leaves."""
+    return K.recall(kv, queries, **how)
+
+
+
 @positional_methods.register("linear_pi", ("linear", "pi"))
 def linear(base: float, dim: int, factor: float) -> tuple[list[float], float, float]:
     return A.inverse_frequencies(base, dim), factor, 1.0

@@ -194,3 +194,18 @@ def test_files(spark, tmp_path):
     assert got.columns == ["context", "answer", "context_length"]
     with pytest.raises(FileNotFoundError):
         tables.json_lines(spark, str(tmp_path / "none.jsonl"), "a string")
+
+
+def test_composition_rules(kv):
+    from evalloom.plans import compose
+
+    with pytest.raises(ValueError, match="takes no compressor"):
+        compose.pipeline("dca", lambda x: x, "knorm")
+    half = lambda x: R.retain(R.knorm(x), 0.5)
+    q = relations.last_queries(kv, 2)
+    assert ids(compose.pipeline(None, half)(q, kv)) == ids(half(kv))
+    assert compose.pipeline(None, half, phase="decode")(q, kv).count() == kv.count()
+    both = compose.pipeline("reattention", half)(q, kv, sinks=2, recent=2, k=1, span=1)
+    assert 0 < both.count() < kv.count()
+    assert compose.active("both", True) and not compose.active("prefill", True)
+    assert compose.positions("yarn", 10000.0, 64, 4.0)[2] > 1
