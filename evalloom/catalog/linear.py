@@ -48,3 +48,26 @@ def _(s, d):
 @query("kv_balanced_halving")
 def _(s, d):
     return L.balanced_halving(keys(s, d), 0.5, 4, 4, 16).select("layer", "head", "pos")
+
+
+def _blend(s, d):
+    kv = keys(s, d)
+    total = lambda c: F.abs(F.aggregate(c, F.lit(0.0), lambda a, x: a + x)) + 0.01
+    norm2 = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+    return kv.select("layer", "head", "pos", "k_len", norm2("key").alias("tau"), total("key").alias("omega"), total("value").alias("omega_val"), (norm2("value") * (1 + C("pos") % 3)).alias("weight"))
+
+
+_B = f"{KEYS}, r AS (SELECT layer, head, pos, k_len, {norm('key')} AS tau, abs(list_sum(key)) + 0.01::DOUBLE AS omega, abs(list_sum(value)) + 0.01::DOUBLE AS omega_val, {norm('value')} * (1 + pos % 3) AS weight FROM kv)"
+
+
+@query("ridge_blend_tails", f"""WITH {_B}, p AS (SELECT *, tau / sum(tau) OVER (PARTITION BY layer, head) AS p, omega / sum(omega) OVER (PARTITION BY layer, head) AS q FROM r), a AS (SELECT *, unnest([0.0::DOUBLE, 0.5::DOUBLE, 1.0::DOUBLE]) AS alpha FROM p),
+s AS (SELECT *, row_number() OVER (PARTITION BY alpha, layer, head ORDER BY round((alpha * p + (1 - alpha) * q) * weight, 12) DESC, pos) <= floor(k_len * 0.5::DOUBLE) AS inn FROM a),
+h AS (SELECT alpha, layer, head, greatest(1 - sum(tau * weight * inn::INT) / sum(tau * weight), 0) AS ridge, greatest(1 - sum(omega_val * weight * inn::INT) / sum(omega_val * weight), 0) AS query FROM s GROUP BY ALL)
+SELECT alpha, round(avg(ridge), 6) AS ridge_tail, round(avg(query), 6) AS query_tail, round(avg(greatest(ridge, query)), 6) AS risk FROM h GROUP BY alpha""")
+def _(s, d):
+    return L.blend_tails(_blend(s, d), [0.0, 0.5, 1.0], 0.5).select("alpha", *(F.round(c, 6).alias(c) for c in ("ridge_tail", "query_tail", "risk")))
+
+
+@query("ridge_blend_entropy", f"WITH {_B}, p AS (SELECT layer, head, omega / sum(omega) OVER (PARTITION BY layer, head) AS p FROM r), e AS (SELECT layer, head, sum(-p * ln(p)) / ln(count(*)) AS e FROM p GROUP BY ALL) SELECT round(0.2::DOUBLE + 0.6::DOUBLE * avg(e), 6) AS alpha FROM e")
+def _(s, d):
+    return L.entropy_blend(_blend(s, d), 0.2, 0.8).select(F.round("alpha", 6).alias("alpha"))

@@ -241,3 +241,39 @@ def gate(kv: DataFrame, parameters: dict[tuple[int, int], dict[str, np.ndarray]]
         return pd.Series(out)
 
     return kv.withColumn("score", score(*(C(h) for h in HEAD), C(column)))
+
+
+def blend_tails(rows: DataFrame, grid: list[float], ratio: float) -> DataFrame:
+    """(alpha, ridge_tail, query_tail, risk) for each alpha: the share of ridge mass and of query mass
+    that a selection by alpha * p_ridge + (1 - alpha) * p_query loses, averaged over heads; risk is
+    the mean of the larger. rows: (layer, head, pos, k_len, tau, omega, omega_val, weight); omega scores,
+    omega_val judges, so that queries can be split between the two.
+    """
+    w = W.partitionBy(*HEAD)
+    p = rows.withColumns({"_p": C("tau") / F.sum("tau").over(w), "_q": C("omega") / F.sum("omega").over(w), "_t": C("tau") * C("weight"), "_o": C("omega_val") * C("weight")})
+    p = p.withColumn("alpha", F.explode(F.array(*map(F.lit, grid)))).withColumn("_s", (C("alpha") * C("_p") + (1 - C("alpha")) * C("_q")) * C("weight"))
+    place = F.row_number().over(W.partitionBy("alpha", *HEAD).orderBy(F.round("_s", 12).desc(), "pos"))
+    p = p.withColumn("_in", (place <= F.floor(C("k_len") * F.lit(1.0 - ratio))).cast("double"))
+    lost = lambda c: 1 - F.sum(C(c) * C("_in")) / F.sum(c)
+    tails = p.groupBy("alpha", *HEAD).agg(F.greatest(lost("_t"), F.lit(0.0)).alias("ridge"), F.greatest(lost("_o"), F.lit(0.0)).alias("query"))
+    return tails.groupBy("alpha").agg(F.avg("ridge").alias("ridge_tail"), F.avg("query").alias("query_tail"), F.avg(F.greatest("ridge", "query")).alias("risk"))
+
+
+def chosen_blend(tails: DataFrame, rule: str, slack: float = 0.05, penalty: float = 10.0) -> float:
+    """The alpha of least risk (``tail_risk``), or of least query tail plus a penalty on ridge tail
+    beyond that of alpha 1 (``query_constrained``); the smaller alpha on a tie. A grid is small."""
+    rows = sorted(tails.collect())
+    if rule == "tail_risk":
+        return min(rows, key=lambda r: (round(r.risk, 12), r.alpha)).alpha
+    if rule != "query_constrained":
+        raise ValueError(f"unknown rule {rule}")
+    reference = next(r.ridge_tail for r in rows if r.alpha == 1.0)
+    return min(rows, key=lambda r: (round(r.query_tail + penalty * max(0.0, r.ridge_tail - reference - slack), 12), r.alpha)).alpha
+
+
+def entropy_blend(rows: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """(alpha): from low where query mass is concentrated to high where it is spread evenly."""
+    w = W.partitionBy(*HEAD)
+    p = rows.withColumn("_p", C("omega") / F.sum("omega").over(w))
+    heads = p.groupBy(*HEAD).agg((F.sum(-C("_p") * F.log("_p")) / F.log(F.count("*"))).alias("e"))
+    return heads.agg(F.least(F.greatest(F.lit(low) + (high - low) * F.avg("e"), F.lit(low)), F.lit(high)).alias("alpha"))

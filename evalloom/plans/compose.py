@@ -46,3 +46,12 @@ def pipeline(attention: str | None = None, compressor: Callable[[DataFrame], Dat
 def positions(method: str | None, base: float, dim: int, factor: float = 1.0, **more) -> tuple[list[float], float, float]:
     """(inverse frequencies, divisor of positions, attention scale)."""
     return positional_methods.get(method or "linear_pi")(base, dim, factor, **more)
+
+
+def phased(prefill: Callable[[DataFrame], DataFrame], decode: Callable[[DataFrame], DataFrame]) -> Callable:
+    """One compressor for the prompt and another for the passes that follow."""
+
+    def run(kv: DataFrame, decoding: bool = False) -> DataFrame:
+        return with_length((decode if decoding else prefill)(kv).drop("k_len"))
+
+    return run

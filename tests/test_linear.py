@@ -49,3 +49,12 @@ def test_halving_keeps_ends_and_halves_the_middle(kv):
 def test_jitter_gives_up_on_indefinite_matrices():
     with pytest.raises(ValueError, match="positive definite"):
         L.jittered({(0, 0): -1e6 * np.eye(2)})
+
+
+def test_blend_rules(spark):
+    tails = spark.createDataFrame([(0.0, 0.9, 0.1, 0.9), (0.5, 0.4, 0.3, 0.4), (1.0, 0.3, 0.5, 0.5)], "alpha double, ridge_tail double, query_tail double, risk double")
+    assert L.chosen_blend(tails, "tail_risk") == 0.5
+    assert L.chosen_blend(tails, "query_constrained", slack=0.2) == 0.5
+    assert L.chosen_blend(tails, "query_constrained", penalty=0.0) == 0.0
+    with pytest.raises(ValueError):
+        L.chosen_blend(tails, "other")
