@@ -4,9 +4,9 @@ Two documents link when the Jaccard similarity of their shingle sets reaches a t
 runs in three steps.
 
 1. *Signatures.* Sets within the threshold differ in at most D shingles, D following from their
-   sizes. The shingle universe is dealt by hash into D + 1 classes, so two linked sets agree
-   exactly on at least one class. The hash of each class of a set is a signature; sets that share
-   no signature with any other set have no link. A set takes part in the size interval it lies in
+   sizes. The shingle universe is dealt by hash into more than D classes, so two linked sets agree
+   exactly on some classes (see ``signatures``). The hash of each class of a set is a signature; sets
+   that share too few signatures with other sets have no link. A set takes part in the size interval it lies in
    and in each later one its partners may lie in, so both sides are dealt alike.
 2. *Groups.* Connected components over shared signatures hold every link inside; each text is sent
    to its group once. Copies with one shingle set count as a single set throughout.
@@ -39,14 +39,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_lists, byte_views, signed, table
+from .common import as_lists, byte_views, map_arrow, signed, table
 from .components import connected_components
 from .hashing import U64, mix, shingles, splitmix
 
 #: Shingles held by one block of a group; two blocks are held at a time.
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 1_500_000
 #: Ratio between the ends of a size interval.
-SIZE_RATIO = 1.3
+SIZE_RATIO = 1.5
+#: Classes dealt for each one that the differences need, and the members a class should have.
+SPARE, LEAST_MEMBERS = 1.5, 2
+#: Rounds of dropping signatures and sets; any number is exact.
+PRUNINGS = 1
 _CLASS_SALT = U64(splitmix(4_242))
 
 
@@ -67,18 +71,26 @@ def size_intervals(n: int, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a sorted shingle set; two sets within the threshold share at least one."""
-    out = []
+def signatures(s: np.ndarray, percent: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(interval, agreements, signatures) of a sorted shingle set for each of its size intervals.
+
+    Two sets within the threshold share at least ``agreements`` signatures of one interval, at least
+    one. More classes are dealt than the ``most`` differences need, so that small ones can be left
+    out: if a set has more than ``most`` classes of at least ``least`` members, all of them but
+    ``most`` agree, and the other set has those with as many members. Each set takes the largest such
+    ``least`` up to ``LEAST_MEMBERS``; of two linked sets, the one with the larger vouches for both.
+    """
     spread = mix(s ^ _CLASS_SALT)
     for k, high in size_intervals(len(s), percent):
         most = 2 * high - 2 * needed(high, high, percent)
-        classes = most + 1
-        which = (spread >> U64(32)) * U64(classes) >> U64(32)
+        classes = int((most + 1) * SPARE) if most else 1
+        which = ((spread >> U64(32)) * U64(classes) >> U64(32)).astype(np.int64)
+        members = np.bincount(which, minlength=classes)
+        least = next(m for m in range(LEAST_MEMBERS, -1, -1) if not m or (members >= m).sum() > most)
         sums = np.zeros(classes, dtype=U64)
-        np.add.at(sums, which.astype(np.int64), spread | U64(1))
-        out.append(mix(sums + np.arange(classes, dtype=U64) * U64(splitmix(k) | 1) + U64(splitmix(k + 1000))))
-    return np.concatenate(out) if out else np.zeros(0, U64)
+        np.add.at(sums, which, spread | U64(1))
+        taken = np.flatnonzero(members >= least)
+        yield k, len(taken) - most, mix(sums[taken] + taken.astype(U64) * U64(splitmix(k) | 1) + U64(splitmix(k + 1000)))
 
 
 def identity(s: np.ndarray) -> tuple[int, int]:
@@ -106,22 +118,43 @@ def _sets(size: int):
 
 
 def _signature_rows(size: int, percent: int):
+    """(sig, sid, part): part packs the interval and the agreements that the set asks for."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, len(b), 500):
-                sids, sigs = [], []
+                cols: tuple[list, list, list] = ([], [], [])
                 for raw in byte_views(b.column(0).slice(at, 500)):
                     s = shingles(raw.tobytes(), size)
-                    if len(s):
-                        sig = signatures(s, percent)
-                        sigs.append(sig)
-                        sids.append(np.full(len(sig), identity(s)[0], dtype=np.int64))
-                if sids:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sigs))), pa.array(np.concatenate(sids))], names=["sig", "sid"])
+                    if not len(s):
+                        continue
+                    sid = identity(s)[0]
+                    for k, agreements, sig in signatures(s, percent):
+                        for out, v in zip(cols, (signed(sig), np.full(len(sig), sid), np.full(len(sig), k << 40 | agreements)), strict=True):
+                            out.append(v)
+                if cols[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["sig", "sid", "part"])
 
     return run
 
 
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) that join all sets sharing enough signatures, from rows (sig, sid, part).
+
+    Signatures that one set alone has are dropped, then sets left with fewer signatures in an
+    interval than the agreements they ask for, and so on; no two linked sets are parted.
+    """
+    shared = "SELECT sig, sid, part, min(sid) OVER (PARTITION BY sig) AS low, max(sid) OVER (PARTITION BY sig) AS high FROM {rows}"
+    live = rows.sparkSession.sql(f"SELECT DISTINCT sig, sid, part FROM ({shared}) WHERE low <> high", rows=rows)
+    for _ in range(PRUNINGS):
+        live = table(live, "shared")
+        enough = live.groupBy("sid", "part").agg(F.count("*").alias("n")).where("n >= part & 1099511627775").select("sid", "part")
+        live = live.join(enough, ["sid", "part"], "left_semi")
+        live = live.sparkSession.sql(f"SELECT sig, sid, part FROM ({shared}) WHERE low <> high", rows=live)
+    live = table(live, "shared")
+    return live.selectExpr("sid AS a", "lag(sid) OVER (PARTITION BY sig ORDER BY sid) AS b").where("b is not null and a <> b").distinct()
+
+
 class Forest:
     """Union-find over 0..n-1 that keeps the smallest member as root."""
 
@@ -263,11 +296,10 @@ def _within(size: int, percent: int):
 def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90, block: int = BLOCK_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = table(text.mapInArrow(_sets(size), "doc_id long, n_shingles long, sid long, sid2 long"), "sets")
+    sets = table(text.transform(map_arrow, _sets(size), "doc_id long, n_shingles long, sid long, sid2 long"), "sets")
 
-    rows = text.select("text").mapInArrow(_signature_rows(size, percent), "sig long, sid long")
-    neighbours = rows.selectExpr("sid AS a", "lag(sid) OVER (PARTITION BY sig ORDER BY sid) AS b").where("b is not null and a <> b").distinct()
-    groups = table(connected_components(neighbours).selectExpr("node AS sid", "component AS grp"), "groups")
+    rows = text.select("text").transform(map_arrow, _signature_rows(size, percent), "sig long, sid long, part long")
+    groups = table(connected_components(_neighbours(rows)).selectExpr("node AS sid", "component AS grp"), "groups")
 
     # One node per shingle set: its smallest document. Sets of one sid are told apart by sid2.
     nodes = sets.where("n_shingles > 0").groupBy("sid", "sid2", "n_shingles").agg(F.min("doc_id").alias("node"))
@@ -278,7 +310,7 @@ def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90, block:
     nodes = nodes.selectExpr("*", "explode(sequence(0, blocks - 1)) AS other")
     nodes = nodes.selectExpr("node", "sid", "sid2", "xxhash64(grp, least(mine, other), greatest(mine, other)) AS task", "cast(mine > other as int) AS side")
     sent = nodes.join(text.withColumnRenamed("doc_id", "node"), "node").repartition("task").sortWithinPartitions("task", "side", "node")
-    links = sent.select("task", "side", "node", "sid", "sid2", "text").mapInArrow(_within(size, percent), "a long, b long")
+    links = sent.select("task", "side", "node", "sid", "sid2", "text").transform(map_arrow, _within(size, percent), "a long, b long")
 
     classes = connected_components(table(links, "links"))
     named = sets.where("n_shingles > 0").groupBy("sid", "sid2").agg(F.min("doc_id").alias("node")).join(classes, "node", "left").selectExpr("sid", "sid2", "coalesce(component, node) AS component_id")
