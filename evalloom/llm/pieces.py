@@ -7,10 +7,11 @@ metaspace marker as normalisers, and a unigram or a BPE model with byte fallback
 are every split of a piece into two pieces, ranked as the merged pieces are.
 
 Where no piece has the marker after another character, no segmentation crosses the end of a run of
-non-markers, so texts are cut there first and the library's cache of segments works; otherwise a
-text is encoded as a whole. Batches are encoded by several threads. Every row is verified against the
-sentencepiece library (``parity``), and a row that differs takes the ids of that library, so the
-ids are always the model's; ``parity`` says which rows those are.
+non-markers. If the normaliser does nothing but set markers, texts are therefore cut there, each
+distinct segment of a batch is encoded once and a bounded number are remembered; otherwise a text is
+encoded as a whole. The library encodes batches by several threads. Whatever is encoded, segment or
+text, is verified against the sentencepiece library, and a row that holds something that differs takes
+the ids of that library, so the ids are always the model's; ``parity`` is false for such rows.
 
 Nulls: a null or empty text has no tokens. Repeated rows are encoded each; empty tables give no rows.
 Other columns are ignored by ``encode``. Texts are encoded whole, a bounded number of bytes at a time.
@@ -19,24 +20,26 @@ Other columns are ignored by ``encode``. Texts are encoded whole, a bounded numb
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_lists
+from .common import as_lists, map_arrow
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Threads of the library in each Python worker, and bytes of text given to them at once.
-THREADS, BATCH_BYTES = 2, 1 << 20
-#: Segments whose merges the library remembers.
-CACHE = 100_000
+THREADS, BATCH_BYTES = 2, 4 << 20
+#: Segments that a worker remembers with their ids.
+CACHE = 150_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 
@@ -120,7 +123,7 @@ class Model:
             model = models.Unigram(vocab, self.unknown, self.byte_fallback)
         else:
             vocab = {p: i for i, (p, _, _) in enumerate(self.pieces)}
-            model = models.BPE(vocab, self.merges(), unk_token=self.pieces[self.unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback, cache_capacity=CACHE)
+            model = models.BPE(vocab, self.merges(), unk_token=self.pieces[self.unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback)
         out = Tokenizer(model)
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if self.remove_extra:
@@ -138,6 +141,10 @@ class Model:
         return out
 
 
+    def plain(self) -> bool:
+        """Whether segments can be encoded one by one."""
+        return self.cuts() and self.escape and self.dummy_prefix and not self.charsmap and not self.remove_extra
+
     def surfaces(self) -> list[bytes]:
         """The bytes that each id stands for."""
         out = []
@@ -162,7 +169,7 @@ def default_model() -> str:
 @lru_cache(maxsize=4)
 def load(path: str):
     """(tokenizer, sentencepiece's processor, ids of the byte pieces, bytes of each id, whether a
-    prefix is added) of a model file."""
+    prefix is added, the segments known so far or None) of a model file."""
     os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
     import sentencepiece
@@ -170,12 +177,43 @@ def load(path: str):
     with open(path, "rb") as f:
         model = Model.parse(f.read())
     own = [i for i, p in enumerate(model.pieces) if p[2] == BYTE]
-    return model.tokenizer(), sentencepiece.SentencePieceProcessor(model_file=path), np.array(own, dtype=np.int64), model.surfaces(), model.dummy_prefix
+    ours = model.tokenizer()
+    if model.plain():
+        ours.normalizer = ours.pre_tokenizer = None
+    known: dict[str, list[int] | bool] | None = {} if model.plain() else None
+    return ours, sentencepiece.SentencePieceProcessor(model_file=path), np.array(own, dtype=np.int64), model.surfaces(), model.dummy_prefix, known
+
+
+def segments(text: str) -> list[str]:
+    """The text cut before each run of spaces; a segment is written without its last space."""
+    text = text.replace(MARK, " ")
+    if "  " not in text and text[:1] != " ":
+        return text.split(" ")
+    return [x[1:] for x in re.findall(" +[^ ]*", " " + text)]
+
+
+def _by_segment(texts: list[str], path: str) -> tuple[list[list[int]], list[bool]]:
+    """Ids of texts cut into segments; each new segment is encoded and verified once."""
+    ours, theirs, *_, known = load(path)
+    cut = [segments(t) if t else [] for t in texts]
+    held = {x: known.get(x) for c in cut for x in c}
+    new = [x for x, v in held.items() if v is None]
+    for x, e, check in zip(new, ours.encode_batch_fast([MARK + x.replace(" ", MARK) for x in new], add_special_tokens=False), theirs.encode(new, num_threads=1), strict=True):
+        # By itself, an empty text has no marker; within another one it has.
+        held[x] = e.ids if e.ids == check or not x else False
+    # The segments that come first are remembered: most later ones are rare.
+    known.update((x, held[x]) for x in islice(new, max(0, CACHE - len(known))))
+    odd = {x for x, v in held.items() if v is False}
+    same = [odd.isdisjoint(c) for c in cut] if odd else [True] * len(cut)
+    look = held.__getitem__
+    return [list(chain.from_iterable(map(look, c))) if ok else theirs.encode(t) for t, c, ok in zip(texts, cut, same, strict=True)], same
 
 
 def encode_texts(texts: list[str], path: str) -> tuple[list[list[int]], list[bool]]:
     """Ids of each text, and whether both libraries agree on them."""
-    ours, theirs = load(path)[:2]
+    ours, theirs, *_, known = load(path)
+    if known is not None:
+        return _by_segment(texts, path)
     ids = [e.ids for e in ours.encode_batch_fast(texts, add_special_tokens=False)]
     check = theirs.encode(texts, num_threads=1)
     same = [a == b for a, b in zip(ids, check, strict=True)]
@@ -184,7 +222,7 @@ def encode_texts(texts: list[str], path: str) -> tuple[list[list[int]], list[boo
 
 def decode_texts(ids: list[list[int]], path: str) -> list[str]:
     """The text of each list of ids: the bytes of its pieces without the prefix."""
-    surfaces, prefix = load(path)[3:]
+    surfaces, prefix = load(path)[3:5]
     out = []
     for x in ids:
         raw = b"".join([surfaces[i] for i in x])
@@ -218,7 +256,7 @@ def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = No
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists, pa.array(same), pa.array(decode_texts(ids, path), pa.string())], names=[*keep, "input_ids", "parity", "decoded"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{kinds}, input_ids array<int>, parity boolean, decoded string")
+    return docs.select(*keep, F.col("text").alias("_text")).transform(map_arrow, run, f"{kinds}, input_ids array<int>, parity boolean, decoded string")
 
 
 def summarize(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -240,4 +278,4 @@ def summarize(docs: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, end - start), *cols], names=["doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "parity", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_byte_tokens long, ids_sha256 string, parity boolean, round_trip boolean")
+    return docs.select("doc_id", "text").transform(map_arrow, run, f"doc_id {kind}, n_tokens long, n_byte_tokens long, ids_sha256 string, parity boolean, round_trip boolean")
