@@ -209,3 +209,22 @@ def test_composition_rules(kv):
     assert 0 < both.count() < kv.count()
     assert compose.active("both", True) and not compose.active("prefill", True)
     assert compose.positions("yarn", 10000.0, 64, 4.0)[2] > 1
+
+
+def test_schedule_of_a_chunked_prompt(spark, tmp_path):
+    rows = spark.range(60).selectExpr("0 AS layer", "0 AS head", "id AS pos", "cast(id % 7 as double) AS score", "cast(case when id < 40 then 0 when id < 60 then 1 end as int) AS final")
+    for k in range(3):
+        rows.where(f"pos >= {20 * k} and pos < {20 * k + 20}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for schedule, want in (({"streaming"}, 3), ({"post_prefill"}, 1), (set(), 0)):
+        calls, kept = [], []
+
+        def compress(batch, calls=calls):
+            calls.append(batch.count())
+            return batch.where("score > 3")
+
+        step = S.scheduled(schedule, compress, lambda df, epoch, kept=kept: kept.append((epoch, df.count())))
+        stream = S.chunks(spark, str(tmp_path / "in"), "layer int, head int, pos long, score double, final int")
+        stream.writeStream.foreachBatch(step).trigger(availableNow=True).start().awaitTermination()
+        assert len(kept) == 3 and len(calls) == want
+    with pytest.raises(ValueError, match="unknown"):
+        S.scheduled({"other"}, None, None)

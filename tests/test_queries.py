@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from evalloom import queries
@@ -18,7 +19,7 @@ def canonical(frame):
     def plain(v):
         v = v.tolist() if hasattr(v, "tolist") else v
         v = v.item() if hasattr(v, "item") else v
-        return None if v is None or v != v else float(v) if isinstance(v, int | float | bool) else str(v)
+        return None if v is None or v is pd.NA or v != v else float(v) if isinstance(v, int | float | bool) else str(v)
 
     return sorted(repr([plain(v) for v in row]) for row in frame.itertuples(index=False, name=None))
 
