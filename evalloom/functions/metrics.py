@@ -293,10 +293,10 @@ def long_score(task: Column, pred: Column, answers: Column, classes: Column) ->
         "retrieval": best(answers, lambda a: retrieval_score(p, a)),
         "retrieval_zh": best(answers, lambda a: retrieval_score(p, a, "段落([0-9]+)")),
         "count": best(answers, lambda a: count_score(p, a)),
-        "rouge": best_sequence(p, answers, F.lit("rouge")),
-        "rouge_zh": best_sequence(p, answers, F.lit("rouge_zh")),
-        "code_sim": best_sequence(text.first_code_line(p), answers, F.lit("code_sim")),
     }
+    # Spark hands every row to Python whatever the branch, so rows of other metrics go there as nulls.
+    sequence = best_sequence(F.when(name == "code_sim", text.first_code_line(p)).when(name.isin("rouge", "rouge_zh"), p), answers, name)
+    score |= {k: sequence for k in ("rouge", "rouge_zh", "code_sim")}
     out = ZERO
     for k, v in score.items():
         out = F.when(name == k, v).otherwise(out)
@@ -305,7 +305,7 @@ def long_score(task: Column, pred: Column, answers: Column, classes: Column) ->
 
 @F.pandas_udf(T.DoubleType())
 def best_sequence(pred: pd.Series, answers: pd.Series, kind: pd.Series) -> pd.Series:
-    """The best sequence similarity over the answers."""
+    """The best sequence similarity over the answers; 0 for a null."""
     split = {"rouge": str.split, "rouge_zh": lambda s: [c for c in s if not c.isspace()]}
 
     def one(p: str, a: str, k: str) -> float:
@@ -313,4 +313,4 @@ def best_sequence(pred: pd.Series, answers: pd.Series, kind: pd.Series) -> pd.Se
             return round(100 * SequenceMatcher(None, p, a).ratio()) / 100 if p or a else 1.0
         return rouge_l_tokens(split[k](p), split[k](a))
 
-    return pd.Series([max((one(p or "", a or "", k) for a in (refs if refs is not None else [])), default=0.0) for p, refs, k in zip(pred, answers, kind, strict=True)])
+    return pd.Series([0.0 if p is None else max((one(p, a or "", k) for a in (refs if refs is not None else [])), default=0.0) for p, refs, k in zip(pred, answers, kind, strict=True)])

@@ -17,8 +17,10 @@ GAMMAS = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0)
 def grid(spark: SparkSession, methods=METHODS, ratios: Sequence[float] = RATIOS, gammas: Sequence[float] = GAMMAS) -> DataFrame:
     """(cell_id, label, method, ratio): the full cache, each method and each gamma at each ratio."""
     labels = [*methods.items(), *((f"Ridge_g{g}", "ridge") for g in gammas)]
-    rows = spark.createDataFrame(labels, "label string, method string").crossJoin(spark.createDataFrame([(float(r),) for r in ratios], "ratio double"))
-    full = spark.createDataFrame([("Full", "Full", None, None)], "cell_id string, label string, method string, ratio double")
+    cell = F.explode(F.array(*(F.struct(F.lit(a).alias("label"), F.lit(m).alias("method")) for a, m in labels))).alias("x")
+    # One row exploded twice: no join, no task for each pair of parameters.
+    rows = spark.range(1).select(cell).select("x.*", F.explode(F.array(*(F.lit(float(r)) for r in ratios))).alias("ratio"))
+    full = spark.range(1).select(F.lit("Full").alias("cell_id"), F.lit("Full").alias("label"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("double").alias("ratio"))
     return full.unionByName(rows.withColumn("cell_id", F.concat("label", F.lit("__r"), C("ratio").cast("string"))))
 
 
