@@ -32,6 +32,7 @@ import heapq
 import math
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from functools import cache
 from hashlib import blake2b
 
 import numpy as np
@@ -59,14 +60,24 @@ def needed(nx: int, ny: int, percent: int) -> int:
     return -(-percent * (nx + ny) // (100 + percent))
 
 
-def size_intervals(n: int, percent: int) -> list[tuple[int, int]]:
-    """(number, largest size) of the intervals of size n: its own, then those of larger partners."""
+@cache
+def most_differences(low: int, high: int, percent: int) -> int:
+    """Most shingles in which two linked sets differ, the larger of ``low`` to ``high`` shingles.
+
+    It depends on the sum of both sizes alone, and rounding lets it fall where the sum grows.
+    """
+    least = low + -(-low * percent // 100)
+    return max(s - 2 * needed(s, 0, percent) for s in range(least, 2 * high + 1))
+
+
+def size_intervals(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """(number, smallest, largest size) of the intervals of size n: its own, then those of larger partners."""
     out, largest = [], n * 100 // percent
     k, low = 0, 1
     while low <= largest:
         high = max(low, int(low * SIZE_RATIO))
         if n <= high:
-            out.append((k, high))
+            out.append((k, low, high))
         k, low = k + 1, high + 1
     return out
 
@@ -81,8 +92,8 @@ def signatures(s: np.ndarray, percent: int) -> Iterator[tuple[int, int, np.ndarr
     ``least`` up to ``LEAST_MEMBERS``; of two linked sets, the one with the larger vouches for both.
     """
     spread = mix(s ^ _CLASS_SALT)
-    for k, high in size_intervals(len(s), percent):
-        most = 2 * high - 2 * needed(high, high, percent)
+    for k, low, high in size_intervals(len(s), percent):
+        most = most_differences(low, high, percent)
         classes = int((most + 1) * SPARE) if most else 1
         which = ((spread >> U64(32)) * U64(classes) >> U64(32)).astype(np.int64)
         members = np.bincount(which, minlength=classes)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from evalloom.llm.hashing import shingles
@@ -84,6 +85,30 @@ def test_linked_sets_share_the_agreements_they_ask_for():
             assert any(n >= want >= 1 for n, want in shared)
 
 
+@pytest.mark.parametrize("percent", [90, 80])
+def test_sets_that_differ_by_appended_or_exchanged_shingles_share_signatures(percent):
+    rng = np.random.default_rng(5)
+    for n in range(1, 160):
+        for more in range(n * 100 // percent - n + 1):
+            pool = rng.integers(0, 2**64, n + more + n, dtype=np.uint64)
+            for swapped in range(n + 1):
+                overlap = n - swapped
+                if 100 * overlap < percent * (n + more + swapped):
+                    break
+                a, b = np.sort(pool[:n]), np.sort(np.r_[pool[:overlap], pool[n : n + more + swapped]])
+                one, two = ({k: set(s.tolist()) for k, _, s in signatures(v, percent)} for v in (a, b))
+                assert any(one[k] & two[k] for k in one.keys() & two.keys()), (n, more, swapped)
+
+
+@pytest.mark.parametrize("percent,size", [(90, 3), (80, 5)])
+def test_texts_with_words_appended_or_removed_are_linked(spark, percent, size):
+    words = {n: [f"n{n}w{k}" for k in range(n + size)] for n in range(size, 40)}
+    texts = [" ".join(w[: n + end]) for n, w in words.items() for end in (0, 1)]
+    ids = list(range(len(texts)))
+    found = rows(similar_documents(documents(spark, texts, ids), size, percent))
+    assert {i: (r.n_shingles, r.component_id) for i, r in found.items()} == brute(texts, ids, size, percent)
+
+
 def test_repeated_rows_null_ids_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c d", 0, "x"), (1, "a b c d", 0, "x"), (None, "a b c d", 0, "x"), (None, "q r s", 0, "x")], "doc_id long, text string, component_id int, sid string")
     found = sorted(similar_documents(df).collect(), key=str)
