@@ -89,7 +89,9 @@ def signatures(s: np.ndarray, percent: int) -> Iterator[tuple[int, int, np.ndarr
     one. More classes are dealt than the ``most`` differences need, so that small ones can be left
     out: if a set has more than ``most`` classes of at least ``least`` members, all of them but
     ``most`` agree, and the other set has those with as many members. Each set takes the largest such
-    ``least`` up to ``LEAST_MEMBERS``; of two linked sets, the one with the larger vouches for both.
+    ``least`` up to ``LEAST_MEMBERS``; of two linked sets, the one with the larger vouches for both. A
+    partner takes no larger one than ``LEAST_MEMBERS``, so a set that reached it counts on all its
+    classes but ``most``; another set has only the word of a partner with a larger one, for one class.
     """
     spread = mix(s ^ _CLASS_SALT)
     for k, low, high in size_intervals(len(s), percent):
@@ -101,7 +103,7 @@ def signatures(s: np.ndarray, percent: int) -> Iterator[tuple[int, int, np.ndarr
         sums = np.zeros(classes, dtype=U64)
         np.add.at(sums, which, spread | U64(1))
         taken = np.flatnonzero(members >= least)
-        yield k, len(taken) - most, mix(sums[taken] + taken.astype(U64) * U64(splitmix(k) | 1) + U64(splitmix(k + 1000)))
+        yield k, len(taken) - most if least == LEAST_MEMBERS else 1, mix(sums[taken] + taken.astype(U64) * U64(splitmix(k) | 1) + U64(splitmix(k + 1000)))
 
 
 def identity(s: np.ndarray) -> tuple[int, int]:
@@ -153,7 +155,8 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     """Edges (a, b) that join all sets sharing enough signatures, from rows (sig, sid, part).
 
     Signatures that one set alone has are dropped, then sets left with fewer signatures in an
-    interval than the agreements they ask for, and so on; no two linked sets are parted.
+    interval than the agreements they ask for, and so on; no two linked sets are parted, as neither
+    asks for more than both guarantee.
     """
     shared = "SELECT sig, sid, part, min(sid) OVER (PARTITION BY sig) AS low, max(sid) OVER (PARTITION BY sig) AS high FROM {rows}"
     live = rows.sparkSession.sql(f"SELECT DISTINCT sig, sid, part FROM ({shared}) WHERE low <> high", rows=rows)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from evalloom.llm.hashing import shingles
-from evalloom.llm.jaccard_join import merge_skip, search, signatures, similar_documents
+from evalloom.llm.jaccard_join import _neighbours, merge_skip, search, signatures, similar_documents
 
 from .helpers import documents, rows
 
@@ -100,6 +100,24 @@ def test_sets_that_differ_by_appended_or_exchanged_shingles_share_signatures(per
                 assert any(one[k] & two[k] for k in one.keys() & two.keys()), (n, more, swapped)
 
 
+@pytest.mark.parametrize("percent", [90, 80])
+def test_pruning_keeps_pairs_that_left_out_unlike_classes(spark, percent):
+    rng = np.random.default_rng(11)
+    pairs, data = [], []
+    for k in range(600):
+        n = 45 if k % 2 else int(rng.integers(5, 120))
+        overlap = -(-2 * n * percent // (100 + percent))
+        pool = rng.integers(0, 2**64, 2 * n - overlap, dtype=np.uint64)
+        sets = [np.sort(pool[:n]), np.sort(pool[n - overlap :])]
+        took = [{i: (want, set(s.tolist())) for i, want, s in signatures(v, percent)} for v in sets]
+        for i in took[0].keys() & took[1].keys():
+            assert len(took[0][i][1] & took[1][i][1]) >= max(took[0][i][0], took[1][i][0])
+        pairs.append((2 * k, 2 * k + 1))
+        data += [(s - 2**63, sid, i << 40 | want) for sid, t in zip(pairs[-1], took, strict=True) for i, (want, sigs) in t.items() for s in sigs]
+    edges = _neighbours(spark.createDataFrame(data, "sig long, sid long, part long")).collect()
+    assert {(min(e), max(e)) for e in edges} == set(pairs)
+
+
 @pytest.mark.parametrize("percent,size", [(90, 3), (80, 5)])
 def test_texts_with_words_appended_or_removed_are_linked(spark, percent, size):
     words = {n: [f"n{n}w{k}" for k in range(n + size)] for n in range(size, 40)}
