@@ -38,8 +38,10 @@ from .common import map_arrow
 #: The kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
 LONGEST, SAMPLE_DOCS, SAMPLE_ISLANDS, ROUNDS = 24, 4000, 400, 40
-#: Characters on either side of an island that it may take in, and its most tokens.
-MARGIN, ISLAND_TOKENS = 24, 48
+#: Characters on either side of an island that it may take in.
+MARGIN = 24
+#: Tokens whose segments are scored at once.
+BLOCK = 1024
 
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -188,6 +190,29 @@ def span_features(tokens: list[str], i: int, j: int) -> list[int]:
     return out
 
 
+def candidates(tokens: list[str], first: int, last: int) -> list[tuple[int, int, list[int]]]:
+    """The candidate segments that start at tokens first to last - 1, by start, and their features."""
+    segments = []
+    for i in range(first, last):
+        if tokens[i].isspace() or not (tokens[i].isalnum() or tokens[i] in "+("):
+            continue
+        strong = False
+        for j in range(i + 1, min(i + LONGEST, len(tokens)) + 1):
+            t = tokens[j - 1]
+            strong = strong or t == "@" or t.lower() in ("at", "dot") or (t.isdigit() and (len(t) > 2 or j - i > 2))
+            if strong and t.isalnum() and not (t.isalpha() and j - i < 3):
+                segments.append((i, j, span_features(tokens, i, j)))
+    return segments
+
+
+def indicators(segments: list[tuple[int, int, list[int]]]) -> np.ndarray:
+    """Segments x features."""
+    out = np.zeros((len(segments), FEATURES))
+    for row, (_, _, f) in zip(out, segments, strict=True):
+        row[f] = 1
+    return out
+
+
 @dataclass(frozen=True)
 class Island:
     """Tokens, their offsets from the island's start, and the candidate segments."""
@@ -200,24 +225,10 @@ class Island:
     def of(cls, text: str) -> Island:
         found = list(_TOKEN.finditer(text))
         tokens, offsets = [m[0] for m in found], [m.start() for m in found] + [len(text)]
-        segments = []
-        for i in range(len(tokens)):
-            if tokens[i].isspace() or not (tokens[i].isalnum() or tokens[i] in "+("):
-                continue
-            strong = False
-            for j in range(i + 1, min(i + LONGEST, len(tokens)) + 1):
-                t = tokens[j - 1]
-                strong = strong or t == "@" or t.lower() in ("at", "dot") or (t.isdigit() and (len(t) > 2 or j - i > 2))
-                if strong and t.isalnum() and not (t.isalpha() and j - i < 3):
-                    segments.append((i, j, span_features(tokens, i, j)))
-        return cls(tokens, offsets, segments)
+        return cls(tokens, offsets, candidates(tokens, 0, len(tokens)))
 
     def matrix(self) -> np.ndarray:
-        """Segments x features."""
-        out = np.zeros((len(self.segments), FEATURES))
-        for row, (_, _, f) in zip(out, self.segments, strict=True):
-            row[f] = 1
-        return out
+        return indicators(self.segments)
 
 
 class Field:
@@ -226,30 +237,36 @@ class Field:
     def __init__(self, weights: np.ndarray | None = None) -> None:
         self.w = np.zeros((len(KINDS), FEATURES)) if weights is None else weights
 
-    def scores(self, island: Island) -> list[list[float]]:
-        return (island.matrix() @ self.w.T).tolist()
-
-    def decode(self, island: Island) -> list[tuple[int, int, int]]:
-        """The best segmentation: (first token, token after the last, kind) of its segments."""
-        n, scores = len(island.tokens), self.scores(island)
-        ending: list[list[int]] = [[] for _ in range(n + 1)]
-        for s, (_, j, _) in enumerate(island.segments):
-            ending[j].append(s)
-        best, back = [0.0] * (n + 1), [(-1, 0)] * (n + 1)
-        for j in range(1, n + 1):
-            best[j], back[j] = best[j - 1], (-1, 0)
-            for s in ending[j]:
-                for k, v in enumerate(scores[s]):
-                    if best[island.segments[s][0]] + v > best[j]:
-                        best[j], back[j] = best[island.segments[s][0]] + v, (s, k)
+    def decode(self, tokens: list[str]) -> list[tuple[int, int, int]]:
+        """The best segmentation: (first token, token after the last, kind) of its segments.
+
+        Segments are made and scored for ``BLOCK`` starts at a time, so a stretch may be of any length.
+        """
+        n = len(tokens)
+        best, back = [0.0] + [-math.inf] * n, [(-1, 0)] * (n + 1)
+        for first in range(0, n, BLOCK):
+            last = min(first + BLOCK, n)
+            segments = candidates(tokens, first, last)
+            scores, at = (indicators(segments) @ self.w.T).tolist(), 0
+            for i in range(first, last):
+                if i and best[i - 1] >= best[i]:
+                    best[i], back[i] = best[i - 1], (-1, 0)
+                while at < len(segments) and segments[at][0] == i:
+                    j = segments[at][1]
+                    for k, v in enumerate(scores[at]):
+                        if best[i] + v > best[j]:
+                            best[j], back[j] = best[i] + v, (i, k)
+                    at += 1
+        if n and best[n - 1] >= best[n]:
+            back[n] = (-1, 0)
         out, j = [], n
         while j:
-            s, k = back[j]
-            if s < 0:
+            i, k = back[j]
+            if i < 0:
                 j -= 1
             else:
-                out.append((island.segments[s][0], j, k))
-                j = island.segments[s][0]
+                out.append((i, j, k))
+                j = i
         return out[::-1]
 
     @staticmethod
@@ -323,7 +340,7 @@ def training_set(samples: list[tuple[str, list[Span]]]) -> list[tuple[Island, se
                 versions.append((text[:s] + new + text[e:], [*moved, (s, s + len(new), k)]))
         for t, gold in versions:
             island = Island.of(t)
-            if len(island.tokens) > 2 * ISLAND_TOKENS or not island.segments:
+            if not island.segments:
                 continue
             start, end = {o: n for n, o in enumerate(island.offsets)}, {o: n for n, o in enumerate(island.offsets)}
             found = {(start[s], end[e], k) for s, e, k in gold if s in start and e in end}
@@ -339,15 +356,8 @@ def added_spans(text: str, base: list[Span], field: Field) -> list[Span]:
         at = s
         for b, f, _ in [*(x for x in base if x[0] < e and x[1] > s), (e, e, 0)]:
             if b - at > 8:
-                island = Island.of(text[at:b])
-                for first in range(0, len(island.tokens), ISLAND_TOKENS):
-                    # A long stretch is read in windows of whole islands; none is left out.
-                    view = island if len(island.tokens) <= ISLAND_TOKENS else Island.of(text[at + island.offsets[first] : at + island.offsets[min(first + ISLAND_TOKENS, len(island.tokens))]])
-                    shift = at if view is island else at + island.offsets[first]
-                    if view.segments:
-                        out += [(shift + view.offsets[i], shift + view.offsets[j - 1] + len(view.tokens[j - 1]), k) for i, j, k in field.decode(view)]
-                    if view is island:
-                        break
+                found = list(_TOKEN.finditer(text, at, b))
+                out += [(found[i].start(), found[j - 1].end(), k) for i, j, k in field.decode([m[0] for m in found])]
             at = max(at, f)
     return out
 

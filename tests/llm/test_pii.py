@@ -53,6 +53,15 @@ def test_the_field_adds_disguised_mentions_and_keeps_base_spans():
     assert pii.find("nothing personal is in here at all, 12 dots", field)[1] == []
 
 
+def test_a_disguised_mention_is_found_at_each_offset_of_a_long_stretch():
+    field = trained()
+    said = "jane.roe at mail dot example dot com"
+    for n in range(60):
+        text = " ".join([*[f"ab {1000 + k}" for k in range(n)], "write to", said, "ok", *[f"ab {2000 + k}" for k in range(40)]])
+        s = text.index(said)
+        assert (s, s + len(said), 0) in pii.find(text, field)[1], n
+
+
 def test_expected_counts_are_probabilities():
     field = trained()
     island = pii.Island.of("call 10.0.0.1 or a@b.com")
