@@ -117,8 +117,8 @@ def islands(text: str) -> list[tuple[int, int]]:
     found = []
     if _CUE.search(text):
         for m in _NUMBERS.finditer(text):
-            if sum(c in "0123456789" for c in m[0][:80]) >= 4:
-                found.append((m.start(), min(m.end(), m.start() + 120)))
+            if sum(c in "0123456789" for c in m[0]) >= 4:
+                found.append(m.span())
         for s in (m.start() for m in re.finditer("@", text)):
             found.append((max(0, s - 40), min(len(text), s + 60)))
     if re.search(r"\bdot\b", text, re.I):

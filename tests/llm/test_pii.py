@@ -62,6 +62,11 @@ def test_a_disguised_mention_is_found_at_each_offset_of_a_long_stretch():
         assert (s, s + len(said), 0) in pii.find(text, field)[1], n
 
 
+def test_a_run_of_numbers_is_an_island_as_a_whole():
+    for text in ("555 123 4567 " * 40 + "9", "1" + " " * 90 + "234"):
+        assert pii.islands(text) == [(0, len(text))]
+
+
 def test_expected_counts_are_probabilities():
     field = trained()
     island = pii.Island.of("call 10.0.0.1 or a@b.com")
