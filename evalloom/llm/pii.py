@@ -52,6 +52,7 @@ _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01234567
 _CUE = re.compile(r"[0-9@]")
 _NUMBERS = re.compile(r"\+?[0-9][0-9 ().+-]*")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]? ?(?:at|AT) ?[\])]? ?[A-Za-z0-9-]{1,63}(?: ?[\[(]? ?(?:dot|DOT) ?[\])]? ?[A-Za-z0-9-]{1,63})+")
+_SPELLED_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?[\[(]? ?(?:\.|dot|DOT) ?[\])]? ?[0-9]{1,3}){3}(?![0-9])")
 
 Span = tuple[int, int, int]  # start, end, position in KINDS
 
@@ -119,6 +120,7 @@ def islands(text: str) -> list[tuple[int, int]]:
         for m in _NUMBERS.finditer(text):
             if sum(c in "0123456789" for c in m[0]) >= 4:
                 found.append(m.span())
+        found += [m.span() for m in _SPELLED_IP.finditer(text)]
         for s in (m.start() for m in re.finditer("@", text)):
             found.append((max(0, s - 40), min(len(text), s + 60)))
     if re.search(r"\bdot\b", text, re.I):

