@@ -151,7 +151,7 @@ def features(text: str, lexicon: Lexicon) -> tuple[dict[int, int], list[float]]:
     marks = any(q in text for q in _QUOTES)
     low = text.lower() if marks else ""
     at = 0
-    for i in hits[:200]:
+    for i in hits:
         window = words[max(0, i - WINDOW) : i + WINDOW + 1]
         reporting += any(w in REPORTING for w in window)
         address += any(w in ADDRESS for w in window)
@@ -159,7 +159,7 @@ def features(text: str, lexicon: Lexicon) -> tuple[dict[int, int], list[float]]:
             before, after = low[max(0, k - 80) : k], low[k + len(words[i]) : k + len(words[i]) + 80]
             quoted += any(q in before for q in _QUOTES) and any(q in after for q in _QUOTES) and sum(before.count(q) for q in _QUOTES) % 2 == 1
             at = k + 1
-    n = min(len(hits), 200)
+    n = len(hits)
     return terms, [math.log1p(near), math.log1p(far), quoted / n, reporting / n, address / n, math.log1p(n - quoted)]
 
 

@@ -32,6 +32,12 @@ def test_context():
     assert t.features("m0ron", lexicon)[1][0] > 0
 
 
+def test_the_context_of_every_hit_counts():
+    lexicon = t.Lexicon([("moron", 0)], [])
+    found = t.features('he said "moron" there. ' * 200 + "you moron . . . " * 200, lexicon)[1]
+    assert found[2] == 0.5 and 0 < found[4] < 1 and found[5] == t.math.log1p(200)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
