@@ -74,7 +74,7 @@ def test_each_disguise_is_searched():
             text = f"some words that come well before the span {new} and words that come well after it"
             s = text.index(new)
             assert any(a <= s and s + len(new) <= e for a, e in pii.islands(text)), new
-            if kind != 1 or " dot " not in new:  # this field scores spelled-out addresses below nothing
+            if kind != 1 or " dot " not in new:  # this field does not choose that form
                 assert (s, s + len(new), kind) in pii.find(text, field)[1], new
 
 
