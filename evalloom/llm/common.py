@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -20,10 +21,13 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the session has none, as in tests on one machine, a temporary folder is set and used.
+    Where a session on one machine has none, as in tests, a temporary folder is set and used; on a
+    cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         found = "file://" + tempfile.mkdtemp(prefix="evalloom-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -43,7 +47,16 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Removes tables of ``table`` whose last reader has run."""
+    for df in tables:
+        forget(df.sparkSession, df.scratch)
+        _written.remove((df.sparkSession, df.scratch))
 
 
 def forget(spark: SparkSession, path: str) -> None:

@@ -1,29 +1,37 @@
-"""Removal of every byte that a repeated string covers.
+"""Removal of every byte that a repeated string covers, and the words of passages shared by documents.
 
-A *window* is a string of ``WINDOW`` bytes. A byte goes if some window over it also starts
-anywhere else, in the same document or another one. Not all windows are compared: each window
-names an *anchor*, the ``ANCHOR`` bytes inside it with the smallest hash, so equal windows name
-equal anchors at equal offsets. Consecutive windows with one anchor form a *region*.
+Two kinds of repetition are found in one pass, each over a sequence of units:
+
+* *bytes*: a unit is a byte, a window ``WINDOW`` bytes. A byte goes if some window over it also
+  starts anywhere else, in the same document or another one.
+* *words*: a unit is a word ``[^\\x20\\x09-\\x0D]+``, given by 32 bits of its hash, a window
+  ``PASSAGE`` words. A word counts as shared if some window over it stands in another document as well,
+  whatever separates the words. (51 words may be fewer than 400 bytes, so the first kind misses such passages.)
+
+Not all windows are compared: each window names an *anchor*, the stretch of a fixed length inside it
+with the smallest hash, so equal windows name equal anchors at equal offsets. Consecutive windows
+with one anchor form a *region*.
 
 1. Anchors that occur once are dropped by a count with partial sums.
-2. Regions with equal bytes (anchor hash and 64-bit BLAKE2b digest) are repeated as a whole and
-   are settled without looking at their windows, so copies cost one count each.
-3. One region per distinct content goes to its anchor's group. There the extensions to the right
-   and to the left of the anchor are suffix-sorted by hash comparison (``suffix_sort``); windows
-   are equal where they agree in the left order and in the right order at the depths they need.
-   The sort verifies its extensions on the bytes.
-4. An anchor with more than ``CROWD`` distinct regions would make too large a group; its windows are
-   counted one by one under two independent 64-bit hashes instead.
+2. Regions with equal bytes (64-bit BLAKE2b digest within one anchor) form a *class*.
+3. The first and the last member of each class go to their anchor's group. There the extensions to
+   the right and to the left of the anchor are suffix-sorted by hash comparison (``suffix_sort``), which
+   verifies its extensions on the bytes; windows are equal where they agree in the left order and in the
+   right order at the depths they need. What holds for a class holds for all its members.
+4. An anchor with more than ``CROWD`` classes would make too large a group. Its regions are dealt
+   again with longer anchors, and at last with anchors as long as a window, where a group is one
+   class: so no group is large and none is left out.
 
 Nulls: a null text has no bytes. An empty or short text loses nothing unless it has a whole
 repeated window. Repeated rows count as documents of their own, so each is a copy of the other.
-A null doc_id is kept. Other columns are ignored. Texts of any length are read in pieces of
-``PIECE`` bytes that overlap by a window.
+A null doc_id is kept; an empty table gives no rows. Other columns are ignored. Texts of any length are
+read in pieces of ``PIECE`` windows that overlap by a window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from hashlib import blake2b, sha256
 
 import numpy as np
@@ -31,26 +39,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_views, map_arrow, signed, table
-from .hashing import BYTE_VALUES, U64, mix, prefix_hashes, span_hashes, splitmix
+from .common import byte_views, free, map_arrow, signed, table
+from .hashing import U64, mix, prefix_hashes, span_hashes, word_hashes
 from .suffix_sort import Suffixes
 
 WINDOW, ANCHOR, CROWD, PIECE = 400, 200, 2000, 1 << 20
+#: Words of a passage, and of its anchors.
+PASSAGE, PASSAGE_ANCHOR = 51, 12
 #: Regions sorted together; bounds the memory of a task.
 BATCH = 4000
 _PLACE = U64((1 << 21) - 1)
-#: Byte values of the second window hash.
-_SECOND = mix(BYTE_VALUES + U64(splitmix(99)) + np.arange(256, dtype=U64))
 
 
-def regions(raw: np.ndarray, window: int, anchor: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first window, last window, anchor position, anchor hash) of the regions, piece by piece."""
-    for begin in range(0, max(0, len(raw) - window + 1), PIECE):
-        part = raw[begin : begin + PIECE + window - 1]
-        at = np.arange(len(part) - anchor + 1)
+@dataclass(frozen=True)
+class Kind:
+    """Windows of ``window`` bytes starting at multiples of ``unit``; ``anchor`` by level."""
+
+    unit: int
+    window: int
+    anchors: tuple[int, ...]
+    #: Whether the windows of one document among themselves count.
+    own: bool
+
+    def sequence(self, raw: np.ndarray) -> np.ndarray:
+        return raw if self.own else (word_hashes(raw, folded=False) >> U64(32)).astype("<u4").view(np.uint8)
+
+
+def kinds(window: int, anchor: int, words: int, words_anchor: int) -> tuple[Kind, Kind]:
+    def levels(w: int, a: int, unit: int) -> tuple[int, ...]:
+        return tuple(unit * x for x in (a, (a + w + 1) // 2, w))
+
+    return Kind(1, window, levels(window, anchor, 1), True), Kind(4, 4 * words, levels(words, words_anchor, 4), False)
+
+
+def regions(raw: np.ndarray, window: int, anchor: int, unit: int = 1, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first window, last window, anchor position, anchor hash) of the regions, piece by piece; in bytes."""
+    for begin in range(0, max(0, len(raw) - window + 1), piece * unit):
+        part = raw[begin : begin + (piece - 1) * unit + window]
+        at = np.arange(0, len(part) - anchor + 1, unit)
         hashes = mix(span_hashes(prefix_hashes(part), at, at + anchor))
-        least = (hashes & ~_PLACE) | at.astype(U64)
-        span, width = window - anchor + 1, 1
+        least = (hashes & ~_PLACE) | np.arange(len(at)).astype(U64)
+        span, width = (window - anchor) // unit + 1, 1
         while 2 * width <= span:
             least, width = np.minimum(least[: len(least) - width], least[width:]), 2 * width
         if width < span:
@@ -58,61 +87,67 @@ def regions(raw: np.ndarray, window: int, anchor: int) -> Iterator[tuple[np.ndar
         chosen = (least & _PLACE).astype(np.int64)
         first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
         last = np.r_[first[1:], len(chosen)] - 1
-        yield first + begin, last + begin, chosen[first] + begin, hashes[chosen[first]]
+        yield first * unit + begin, last * unit + begin, chosen[first] * unit + begin, hashes[chosen[first]]
+
 
+def _anchors(both: tuple[Kind, ...], level: int, piece: int, whole: bool = True):
+    """Regions of whole texts, or on later levels of the parts (kind, lo, size) given with them; only
+    the anchors' hashes unless ``whole``. The lowest bit of an anchor's hash is its kind."""
 
-def _anchors(window: int, anchor: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, len(b), 500):
-                part, cols = b.slice(start, 500), [[] for _ in range(7)]
-                ids, tids = part.column(0).to_numpy(), part.column(1).to_numpy()
-                for k, raw in enumerate(byte_views(part.column(2))):
-                    text = memoryview(raw)
-                    for first, last, at, hashes in regions(raw, window, anchor):
-                        n = len(first)
-                        digests = b"".join([blake2b(text[lo : hi + window], digest_size=8).digest() for lo, hi in zip(first.tolist(), last.tolist(), strict=True)])
-                        for out, v in zip(cols, (np.full(n, ids[k]), np.full(n, tids[k]), signed(hashes), np.frombuffer(digests, np.int64), first, at - first, last - first + window), strict=True):
-                            out.append(v)
+                rows, cols = b.slice(start, 500), [[] for _ in range(7 if whole else 1)]
+                ids, tids = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+                parts = rows.column(3).to_pylist() if level else [None] * len(rows)
+                for k, raw in enumerate(byte_views(rows.column(2))):
+                    for number, kind in enumerate(both):
+                        mine = [(0, None)] if parts[k] is None else sorted({(x["lo"], x["size"]) for x in parts[k] if x["kind"] == number})
+                        every = kind.sequence(raw) if mine else raw
+                        for lo, size in mine:
+                            seq = every[lo : len(every) if size is None else lo + size]
+                            view, width = memoryview(seq), kind.window
+                            for first, last, at, hashes in regions(seq, width, kind.anchors[level], kind.unit, piece):
+                                named = signed((hashes & ~U64(1)) | U64(number))
+                                if not whole:
+                                    cols[0].append(named)
+                                    continue
+                                n = len(first)
+                                digests = b"".join([blake2b(view[s : e + width], digest_size=8).digest() for s, e in zip(first.tolist(), last.tolist(), strict=True)])
+                                for out, v in zip(cols, (named, np.frombuffer(digests, np.int64), np.full(n, ids[k]), np.full(n, tids[k]), first + lo, at - first, last - first + width), strict=True):
+                                    out.append(v)
                 if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names=["k", "tid", "h", "rd", "lo", "at", "size"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names=["h", "rd", "k", "tid", "lo", "at", "size"][: len(cols)])
 
     return run
 
 
-_PARTS = "h long, rd long, k long, tid long, lo long, at long, bytes binary"
-
-
-def _sent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the regions that go to their anchor's group."""
-    for b in batches:
-        for start in range(0, len(b), 200):
-            part, rows = b.slice(start, 200), []
-            ids, tids, lists = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist()
-            for k, raw in enumerate(byte_views(part.column(2))):
-                rows += [(x["h"], x["rd"], ids[k], tids[k], x["lo"], x["at"], raw[x["lo"] : x["lo"] + x["size"]].tobytes()) for x in lists[k] if x["send"] and not x["hot"]]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 6 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], names=["h", "rd", "k", "tid", "lo", "at", "bytes"])
+#: Roles of a class's members: its first, its last, and a last that repeats the first's row.
+_FIRST, _LAST, _TWIN = range(3)
+_MEMBERS = "h long, rd long, role int, k long, tid long, at int, bytes binary"
 
 
-def _hot(window: int):
+def _members(both: tuple[Kind, ...]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every window of the regions of crowded anchors, under two hashes."""
+        """The bytes of the regions that go to their anchor's group."""
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for b in batches:
-            ids, tids, lists = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()
-            for k, raw in enumerate(byte_views(b.column(2))):
-                for x in lists[k]:
-                    if x["send"] and x["hot"]:
-                        part = raw[x["lo"] : x["lo"] + x["size"]]
-                        at = np.arange(x["size"] - window + 1)
-                        one, two = (mix(span_hashes(prefix_hashes(part, *v), at, at + window)) for v in ((), (_SECOND,)))
-                        yield pa.RecordBatch.from_arrays([pa.array(signed(one)), pa.array(signed(two)), pa.array(np.full(len(at), ids[k])), pa.array(np.full(len(at), tids[k])), pa.array(at + x["lo"])], names=["w1", "w2", "k", "tid", "lo"])
+            for start in range(0, len(b), 200):
+                part, rows = b.slice(start, 200), []
+                ids, tids, lists = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist()
+                for k, raw in enumerate(byte_views(part.column(2))):
+                    for number, kind in enumerate(both):
+                        mine = [x for x in lists[k] if x["h"] & 1 == number]
+                        every = kind.sequence(raw) if mine else raw
+                        rows += [(x["h"], x["rd"], x["role"], ids[k], tids[k], x["at"], every[x["lo"] : x["lo"] + x["size"]].tobytes()) for x in mine]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["h", "rd", "role", "k", "tid", "at", "bytes"])
 
     return run
 
 
-def repeated_windows(parts: list[bytes], anchors: np.ndarray, groups: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each region the offsets of its windows that another region of its group also holds."""
+def repeated_windows(parts: list[bytes], anchors: np.ndarray, groups: np.ndarray, docs: np.ndarray, window: int, unit: int = 1) -> list[np.ndarray]:
+    """For each region the offsets of its windows that regions of different ``docs`` in its group hold."""
     n = len(parts)
     sizes = np.array([len(p) for p in parts], np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -120,19 +155,21 @@ def repeated_windows(parts: list[bytes], anchors: np.ndarray, groups: np.ndarray
     left = np.frombuffer(b"".join(p[a - 1 :: -1] if a else b"" for p, a in zip(parts, anchors.tolist(), strict=True)) or b"\0", np.uint8)
     left_order, left_common = Suffixes(left, np.cumsum(anchors) - anchors, anchors, groups).sort()
     found: list[list[int]] = [[] for _ in range(n)]
-    for depth in range(int(anchors.max()) + 1):
+    for depth in range(0, int(anchors.max()) + 1, unit):
         # Windows that start `depth` bytes before the anchor.
         has = np.flatnonzero((anchors >= depth) & (sizes - anchors >= window - depth))
         if len(has) < 2:
             continue
         kind = np.empty(n, np.int64)
         kind[left_order] = np.cumsum(left_common < depth)
-        both = kind[has] * (n + 1)
+        same = kind[has] * (n + 1)
         kind[right_order] = np.cumsum(right_common < window - depth)
-        both += kind[has]
-        order = np.argsort(both, kind="stable")
-        same = both[order][1:] == both[order][:-1]
-        for i in has[order[np.r_[same, False] | np.r_[False, same]]].tolist():
+        same += kind[has]
+        order = np.lexsort((docs[has], same))
+        first = np.flatnonzero(np.r_[True, same[order][1:] != same[order][:-1]])
+        end = np.r_[first[1:], len(order)]
+        several = docs[has[order[first]]] != docs[has[order[end - 1]]]
+        for i in has[order[np.repeat(several, end - first)]].tolist():
             found[i].append(int(anchors[i]) - depth)
     return [np.array(sorted(f), np.int64) for f in found]
 
@@ -147,88 +184,103 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[first], reach[np.r_[first[1:] - 1, len(starts) - 1]]
 
 
-def _groups(window: int):
-    def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+def _groups(both: tuple[Kind, ...]):
+    def settle(rows: list[tuple], kind: Kind) -> Iterator[pa.RecordBatch]:
+        """Spans of the classes of whole groups, as offsets within their regions."""
         if len(rows) < 2:
             return
-        number = np.unique(np.array([r[0] for r in rows]), return_inverse=True)[1]
-        keys, lo, hi = [], [], []
-        for r, at in zip(rows, repeated_windows([r[6] for r in rows], np.array([r[5] for r in rows], np.int64), number, window), strict=True):
-            if len(at):
-                a, b = merged(at + r[4], at + r[4] + window)
-                keys += [(r[2], r[3])] * len(a)
-                lo += a.tolist()
-                hi += b.tolist()
-        if keys:
-            k, t = zip(*keys, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (k, t, lo, hi)], names=["k", "tid", "lo", "hi"])
+        group = np.unique(np.array([r[0] for r in rows]), return_inverse=True)[1]
+        seen: dict[tuple, int] = {}
+        docs = np.arange(len(rows)) if kind.own else np.array([seen.setdefault((r[3], r[4], r[2] == _TWIN), len(seen)) for r in rows])
+        out = []
+        for r, at in zip(rows, repeated_windows([r[6] for r in rows], np.array([r[5] for r in rows], np.int64), group, docs, kind.window, kind.unit), strict=True):
+            if r[2] == _FIRST and len(at):
+                out += [(r[0], r[1], lo, hi) for lo, hi in zip(*(v.tolist() for v in merged(at, at + kind.window)), strict=True)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["h", "rd", "start", "stop"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor hash and content; whole groups are sorted a batch at a time."""
+        """Rows come sorted by anchor hash, content and role; whole groups are sorted a batch at a time."""
         rows: list[tuple] = []
-        last = None
+        last: tuple | None = None
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if row[:2] == last:
+                if row[:3] == last:
                     continue  # a repeated row
-                if (last is None or row[0] != last[0]) and len(rows) >= BATCH:
-                    yield from flush(rows)
+                if last is not None and row[0] != last[0] and len(rows) >= BATCH:
+                    for number, kind in enumerate(both):
+                        yield from settle([r for r in rows if r[0] & 1 == number], kind)
                     rows = []
                 rows.append(row)
-                last = row[:2]
-        yield from flush(rows)
+                last = row[:3]
+        for number, kind in enumerate(both):
+            yield from settle([r for r in rows if r[0] & 1 == number], kind)
 
     return run
 
 
 def _finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
     for b in batches:
-        ids, tids, lists, spans = (b.column(i).to_pylist() for i in (0, 1, 3, 4))
+        ids, tids, spans = (b.column(i).to_pylist() for i in (0, 1, 3))
         out: list[tuple] = []
         for k, raw in enumerate(byte_views(b.column(2))):
-            pairs = [(x["lo"], x["lo"] + x["size"]) for x in lists[k] if x["known"]] + [(x["lo"], x["hi"]) for x in spans[k] or ()]
-            both = np.array(pairs, np.int64).reshape(-1, 2)
-            lo, hi = merged(both[:, 0], both[:, 1])
+            runs = []
+            for kind in (0, 1):
+                pairs = np.array([(x["lo"], x["hi"]) for x in spans[k] if x["kind"] == kind], np.int64).reshape(-1, 2)
+                runs.append(merged(pairs[:, 0], pairs[:, 1]))
+            (lo, hi), (word, end) = runs
             kept, at, text = sha256(), 0, memoryview(raw)
             for s, e in zip(lo.tolist(), hi.tolist(), strict=True):
                 kept.update(text[at:s])
                 at = e
             kept.update(text[at:])
-            out.append((ids[k], tids[k], int((hi - lo).sum()), len(lo), kept.hexdigest()))
+            out.append((ids[k], tids[k], int((hi - lo).sum()), len(lo), kept.hexdigest(), int((end - word).sum()) // 4))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 4 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names=["k", "tid", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["k", "tid", "n_removed", "n_spans", "kept_sha256", "n_shared_words"])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``docs`` (doc_id, text).
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, crowd: int = CROWD, words: int = PASSAGE, words_anchor: int = PASSAGE_ANCHOR, piece: int = PIECE) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_words) for each row of ``docs`` (doc_id, text).
 
+    ``n_shared_words`` counts the words in passages of ``words`` words or more that another row holds too.
     ``window`` may exceed ``anchor`` by at most some thousands: the difference is how far two
     anchors lie apart at most.
     """
+    both = kinds(window, anchor, words, words_anchor)
     plain = docs.select("doc_id", F.expr("coalesce(doc_id, -9223372036854775808)").cast("long").alias("k"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     plain = plain.select("doc_id", "k", F.xxhash64("text").alias("tid"), "text")
-    text = plain.select("k", "tid", "text")
-    rows = text.where(f"octet_length(text) >= {window}").transform(map_arrow, _anchors(window, anchor), "k long, tid long, h long, rd long, lo long, at long, size long")
-    rows = rows.selectExpr("k", "tid", "h", "rd", "cast(lo as int) lo", "cast(at as int) at", "cast(size as int) size")
-    # Written first, so that the join below stands alone and a frequent anchor's rows can be split.
-    often = table(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
-    found = table(rows.join(often, "h"), "anchors")
-
-    classes = found.groupBy("h", "rd").agg(F.count("*").alias("n"), F.min(F.struct("k", "tid", "lo")).alias("one"))
-    kinds = classes.groupBy("h").agg(F.count("*").alias("m"))
-    # One row for each class says all about it, so rows of one anchor part by their content.
-    classes = table(classes.join(kinds, "h"), "classes")
-    marked = found.join(classes, ["h", "rd"])
-    item = F.struct("h", "rd", "lo", "at", "size", F.expr("n > 1").alias("known"), F.expr("m > 1 and one = struct(k, tid, lo)").alias("send"), F.expr(f"m > {crowd}").alias("hot"))
-    lists = marked.select("k", "tid", item.alias("item")).groupBy("k", "tid").agg(F.collect_list("item").alias("items"))
-    held = table(text.join(lists.hint("shuffle_hash"), ["k", "tid"]).select("k", "tid", "text", "items"), "held")
-
-    some = held.where("exists(items, x -> x.send)")
-    spans = some.transform(map_arrow, _sent, _PARTS).repartition("h").sortWithinPartitions("h", "rd").transform(map_arrow, _groups(window), "k long, tid long, lo long, hi long")
-    crowded = some.where("exists(items, x -> x.hot)").transform(map_arrow, _hot(window), "w1 long, w2 long, k long, tid long, lo long")
-    twice = crowded.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    spans = spans.union(crowded.join(twice, ["w1", "w2"]).selectExpr("k", "tid", "lo", f"lo + {window} AS hi"))
-    spans = spans.groupBy("k", "tid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    done = held.join(spans, ["k", "tid"], "left").transform(map_arrow, _finish, "k long, tid long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["k", "tid"])
+    text = plain.select("k", "tid", "text").where(f"octet_length(text) >= {min(window, 2 * words - 1)}")
+    source, spans = text, None
+    for level in range(len(both[0].anchors)):
+        hashes = source.transform(map_arrow, _anchors(both, level, piece, False), "h long")
+        # Written first, so that the join below stands alone and a frequent anchor's rows can be split.
+        often = table(hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
+        rows = source.transform(map_arrow, _anchors(both, level, piece), "h long, rd long, k long, tid long, lo long, at long, size long")
+        rows = rows.selectExpr("h", "rd", "k", "tid", "cast(lo as int) lo", "cast(at as int) at", "cast(size as int) size")
+        found = table(rows.join(often, "h"), "anchors")
+        free(often)
+        # One row for each class says all about it, so the rows of one anchor part by their content.
+        member = F.struct("k", "tid", "lo", "at", "size")
+        classes = table(found.groupBy("h", "rd").agg(F.count("*").alias("n"), F.min(member).alias("first"), F.max(member).alias("last")), "classes")
+        large = classes.limit(0).select("h")
+        if level + 1 < len(both[0].anchors):
+            large = table(classes.groupBy("h").agg(F.count("*").alias("m")).where(f"m > {crowd}").select("h"), "large")
+        crowded = not large.isEmpty()
+        small = classes.join(large, "h", "left_anti") if crowded else classes
+        role = f"if(last = first, {_TWIN}, {_LAST})"
+        sent = small.selectExpr("h", "rd", f"explode(if(n > 1, array(struct({_FIRST} AS role, first AS m), struct({role} AS role, last AS m)), array(struct({_FIRST} AS role, first AS m)))) AS x")
+        lists = sent.selectExpr("x.m.k AS k", "x.m.tid AS tid", "struct(h, rd, x.role, x.m.lo, x.m.at, x.m.size) AS item").groupBy("k", "tid").agg(F.collect_list("item").alias("items"))
+        members = text.join(lists.hint("shuffle_hash"), ["k", "tid"]).select("k", "tid", "text", "items").transform(map_arrow, _members(both), _MEMBERS)
+        settled = table(members.repartition("h").sortWithinPartitions("h", "rd", "role").transform(map_arrow, _groups(both), "h long, rd long, start int, stop int"), "settled")
+        here = found.join(settled, ["h", "rd"]).selectExpr("k", "tid", "cast(h & 1 as int) AS kind", "lo + start AS lo", "lo + stop AS hi")
+        spans = here if spans is None else spans.union(here)
+        free(classes)
+        if not crowded:
+            break
+        parts = found.join(large, "h", "left_semi").selectExpr("k", "tid", "struct(cast(h & 1 as int) AS kind, lo, size) AS part").groupBy("k", "tid").agg(F.collect_list("part").alias("parts"))
+        source = table(text.join(parts.hint("shuffle_hash"), ["k", "tid"]).select("k", "tid", "text", "parts"), "parts")
+    spans = spans.groupBy("k", "tid").agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("spans"))
+    done = text.join(spans.hint("shuffle_hash"), ["k", "tid"]).select("k", "tid", "text", "spans").transform(map_arrow, _finish, "k long, tid long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long").dropDuplicates(["k", "tid"])
     base = plain.select("doc_id", "k", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    return base.join(done, ["k", "tid"], "left").selectExpr("doc_id", "n_bytes", "coalesce(n_removed, 0) AS n_removed", "coalesce(n_spans, 0) AS n_spans", "coalesce(kept_sha256, whole) AS kept_sha256")
+    return base.join(done, ["k", "tid"], "left").selectExpr("doc_id", "n_bytes", "coalesce(n_removed, 0) AS n_removed", "coalesce(n_spans, 0) AS n_spans", "coalesce(kept_sha256, whole) AS kept_sha256", "coalesce(n_shared_words, 0) AS n_shared_words")

@@ -1,5 +1,6 @@
 import random
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 from hashlib import sha256
 
 import numpy as np
@@ -26,6 +27,23 @@ def brute(texts, window):
     return out
 
 
+def brute_words(texts, words):
+    """Words in windows of so many words that another text holds too."""
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    holders = defaultdict(set)
+    for i, w in enumerate(split):
+        for p in range(len(w) - words + 1):
+            holders[tuple(w[p : p + words])].add(i)
+    out = []
+    for w in split:
+        hit = set()
+        for p in range(len(w) - words + 1):
+            if len(holders[tuple(w[p : p + words])]) > 1:
+                hit.update(range(p, p + words))
+        out.append(len(hit))
+    return out
+
+
 def texts(rng):
     shared = ["".join(rng.choice("abé ") for _ in range(rng.randrange(8, 60))) for _ in range(4)]
     out = ["".join(rng.choice([rng.choice(shared), "x" * rng.randrange(30), "".join(rng.choice("abcd") for _ in range(20))]) for _ in range(rng.randrange(6))) for _ in range(25)]
@@ -36,8 +54,9 @@ def texts(rng):
 def test_matches_brute_force(spark, crowd):
     for seed in range(3):
         t = texts(random.Random(seed))
-        found = rows(remove_repeats(documents(spark, t), window=12, anchor=6, crowd=crowd))
-        assert [tuple(found[i][1:]) for i in range(len(t))] == brute(t, 12)
+        found = rows(remove_repeats(documents(spark, t), window=12, anchor=6, crowd=crowd, words=5, words_anchor=2, piece=10))
+        assert [tuple(found[i][1:5]) for i in range(len(t))] == brute(t, 12)
+        assert [found[i].n_shared_words for i in range(len(t))] == brute_words(t, 5)
 
 
 def test_production_windows(spark):
@@ -46,12 +65,35 @@ def test_production_windows(spark):
     shared = words(120)
     t = [words(40) + shared + words(30), shared[100:] + words(10), words(200), shared[:399], shared[:400], shared[:400]]
     found = rows(remove_repeats(documents(spark, t)))
-    assert [tuple(found[i][1:]) for i in range(len(t))] == brute(t, 400)
+    assert [tuple(found[i][1:5]) for i in range(len(t))] == brute(t, 400)
+    assert [found[i].n_shared_words for i in range(len(t))] == brute_words(t, 51)
+
+
+def test_long_text_over_the_border_of_a_piece(spark):
+    rng = random.Random(8)
+    passage = " ".join(f"{rng.randrange(10**6)}" for _ in range(80))
+    filler = "".join(f"{k:08x}" for k in range((1 << 20) // 8))
+    for before in ((1 << 20) - 450, (1 << 20) - 200, 1 << 20):
+        t = [filler[:before] + passage + "end", "start " + passage, filler[:300]]
+        found = rows(remove_repeats(documents(spark, t)))
+        n = len(passage)
+        assert [(found[i].n_removed, found[i].n_spans) for i in range(3)] == [(n, 1), (n, 1), (0, 0)]
+
+
+def test_passages_of_short_words_in_other_documents_only(spark):
+    rng = random.Random(9)
+    passage = " ".join(f"{rng.randrange(1000)}" for _ in range(60))
+    alone = " ".join(f"{rng.randrange(1000)}" for _ in range(55))
+    t = ["a b " + passage + " c", "d\n" + passage.replace(" ", "\n"), alone + " e " + alone, " ".join(passage.split()[:50])]
+    found = rows(remove_repeats(documents(spark, t)))
+    assert [found[i].n_shared_words for i in range(4)] == [60, 60, 0, 0] == brute_words(t, 51)
+    assert [found[i].n_removed for i in range(4)] == [0, 0, 0, 0]
 
 
 def test_repeated_rows_nulls_and_empty_table(spark):
     df = spark.createDataFrame([(1, "k" * 30, "a"), (1, "k" * 30, "a"), (None, None, "b"), (None, "unique text here", "c")], "doc_id long, text string, tid string")
     found = remove_repeats(df, window=12, anchor=6).collect()
+    assert sorted(r.n_shared_words for r in remove_repeats(spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "e f g h e f g h")], "doc_id long, text string"), words=4, words_anchor=2).collect()) == [0, 4, 4]
     assert sorted((r.doc_id or -1, r.n_bytes, r.n_removed) for r in found) == [(-1, 0, 0), (-1, 16, 0), (1, 30, 30), (1, 30, 30)]
     assert remove_repeats(df.limit(0)).count() == 0
 
