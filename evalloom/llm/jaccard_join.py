@@ -17,13 +17,16 @@ runs in three steps.
    A set of which too many shingles occur nowhere else in the group can have no partner and is
    taken out first. Candidates already known to be in one component are not compared again.
 
-A group above ``BLOCK_SHINGLES`` is dealt into blocks by hash and searched block against block, so
-a task holds two blocks at most and no link is lost; its links then go through the distributed
+A group above ``PART_SHINGLES`` is dealt into some blocks by hash, and one above ``BLOCK_SHINGLES``
+for each block into as many as that needs; blocks are searched one against another, so a task holds two
+blocks at most and no link is lost; its links then go through the distributed
 components. Equality of the 64-bit shingle hashes stands for equality of shingles.
 
 Nulls: a null text is a text without words. Without words a document has the empty set, links with
 nothing and is its own component. A null doc_id is never the smallest id unless all of the
-component are null. Repeated rows stay repeated in the result. Other columns are ignored.
+component are null. Sets, not ids, are linked: rows that share a doc_id are documents of their own, and
+rows of null ids link others. Repeated rows stay repeated in the result. Other columns are ignored; texts
+are read whole, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,12 +43,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_lists, byte_views, map_arrow, signed, table
+from .common import byte_views, free, map_arrow, signed, table
 from .components import connected_components
 from .hashing import U64, mix, shingles, splitmix
 
-#: Shingles held by one block of a group; two blocks are held at a time.
+#: Shingles held by one block of a group, at most; two blocks are held at a time.
 BLOCK_SHINGLES = 1_500_000
+#: Shingles from which a group is searched by several tasks, in up to ``PARTS`` blocks.
+PART_SHINGLES, PARTS = 200_000, 6
 #: Ratio between the ends of a size interval.
 SIZE_RATIO = 1.5
 #: Classes dealt for each one that the differences need, and the members a class should have.
@@ -112,20 +117,20 @@ def identity(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sid", pa.int64()), ("sid2", pa.int64())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("n_shingles", pa.int64()), ("sid", pa.int64()), ("sid2", pa.int64())])
 
 
 def _sets(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, one, two = [], [], []
-            for raw in byte_views(b.column(1)):
+            for raw in byte_views(b.column(2)):
                 s = shingles(raw.tobytes(), size)
                 a, c = identity(s)
                 n.append(len(s))
                 one.append(a)
                 two.append(c)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], schema=_SETS)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], schema=_SETS)
 
     return run
 
@@ -224,9 +229,6 @@ def search(sets: list[np.ndarray], percent: int, first: int | None = None) -> li
     """
     n = len(sets)
     forest, links = Forest(n), []
-    if n == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if both and both >= needed(len(sets[0]), len(sets[1]), percent) else []
     token, sizes = np.unique(np.concatenate(sets), return_inverse=True)[1], np.array([len(s) for s in sets])
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(n), sizes)
@@ -271,13 +273,13 @@ def search(sets: list[np.ndarray], percent: int, first: int | None = None) -> li
     return links
 
 
-_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_LINKS = pa.schema([(c, pa.int64()) for c in ("a", "a2", "b", "b2")])
 
 
 def _within(size: int, percent: int):
-    """Input rows sorted by task and side: (task, side, node, sid, sid2, text). Links of node ids."""
+    """Input rows sorted by task and side: (task, side, sid, sid2, text). Links between sets (sid, sid2)."""
 
-    def flush(rows: dict[int, tuple[int, np.ndarray]]) -> pa.RecordBatch | None:
+    def flush(rows: dict[tuple[int, int], tuple[int, np.ndarray]]) -> pa.RecordBatch | None:
         order = sorted(rows, key=lambda v: (rows[v][0], v))
         if len(order) < 2:
             return None
@@ -286,46 +288,60 @@ def _within(size: int, percent: int):
         if sides[0] != sides[-1] and first is None:
             return None
         found = search([rows[v][1] for v in order], percent, first)
-        return pa.RecordBatch.from_arrays([pa.array([order[y] for y, _ in found], pa.int64()), pa.array([order[x] for _, x in found], pa.int64())], schema=_LINKS) if found else None
+        columns = zip(*((*order[y], *order[x]) for y, x in found), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_LINKS) if found else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, rows = None, {}
         for b in batches:
-            tasks, sides, nodes, one, two = (b.column(k).to_pylist() for k in range(5))
-            for k, raw in enumerate(byte_views(b.column(5))):
+            tasks, sides, *names = (b.column(k).to_pylist() for k in range(4))
+            for k, raw in enumerate(byte_views(b.column(4))):
                 if tasks[k] != task:
                     if (out := flush(rows)) is not None:
                         yield out
                     task, rows = tasks[k], {}
-                if nodes[k] not in rows:
+                name = (names[0][k], names[1][k])
+                if name not in rows:
                     s = shingles(raw.tobytes(), size)
-                    if identity(s) == (one[k], two[k]):
-                        rows[nodes[k]] = (sides[k], s)
+                    if identity(s) == name:
+                        rows[name] = (sides[k], s)
         if (out := flush(rows)) is not None:
             yield out
 
     return run
 
 
-def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = table(text.transform(map_arrow, _sets(size), "doc_id long, n_shingles long, sid long, sid2 long"), "sets")
+def link_classes(docs: DataFrame, size: int = 3, percent: int = 90, block: int = BLOCK_SHINGLES, part: int = PART_SHINGLES) -> DataFrame:
+    """(doc_id, tid, n_shingles, class) for each row of ``docs`` (doc_id, text): tid is a hash of the
+    text, class names the connected component of its set, null without words."""
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tid"), F.col("text").cast("string").alias("text"))
+    sets = table(text.transform(map_arrow, _sets(size), "doc_id long, tid long, n_shingles long, sid long, sid2 long"), "sets")
 
     rows = text.select("text").transform(map_arrow, _signature_rows(size, percent), "sig long, sid long, part long")
     groups = table(connected_components(_neighbours(rows)).selectExpr("node AS sid", "component AS grp"), "groups")
 
-    # One node per shingle set: its smallest document. Sets of one sid are told apart by sid2.
-    nodes = sets.where("n_shingles > 0").groupBy("sid", "sid2", "n_shingles").agg(F.min("doc_id").alias("node"))
-    nodes = nodes.where("node is not null").join(groups, "sid")
-    totals = nodes.groupBy("grp").agg(F.sum("n_shingles").alias("weight")).selectExpr("grp", f"cast(ceil(weight / {block}) as int) AS blocks")
-    nodes = nodes.join(totals, "grp").selectExpr("node", "sid", "sid2", "grp", "blocks", "cast(pmod(xxhash64(sid, 17L), blocks) as int) AS mine")
+    # The text of a set is read from one of its rows. Sets of one sid are told apart by sid2.
+    key = F.expr("coalesce(doc_id, -9223372036854775808)")
+    nodes = sets.where("n_shingles > 0").groupBy("sid", "sid2", "n_shingles").agg(F.min(F.struct(key.alias("k"), "tid")).alias("row"))
+    nodes = nodes.join(groups, "sid")
+    blocks = f"greatest(ceil(weight / {block}), least({PARTS}, ceil(weight / {part})))"
+    totals = nodes.groupBy("grp").agg(F.sum("n_shingles").alias("weight")).selectExpr("grp", f"cast({blocks} as int) AS blocks")
+    nodes = nodes.join(totals, "grp").selectExpr("row.k AS k", "row.tid AS tid", "sid", "sid2", "grp", "blocks", "cast(pmod(xxhash64(sid, 17L), blocks) as int) AS mine")
     # A block meets every block once: pair (i, j) with i < j by sides 0 and 1, (i, i) by side 0 alone.
     nodes = nodes.selectExpr("*", "explode(sequence(0, blocks - 1)) AS other")
-    nodes = nodes.selectExpr("node", "sid", "sid2", "xxhash64(grp, least(mine, other), greatest(mine, other)) AS task", "cast(mine > other as int) AS side")
-    sent = nodes.join(text.withColumnRenamed("doc_id", "node"), "node").repartition("task").sortWithinPartitions("task", "side", "node")
-    links = sent.select("task", "side", "node", "sid", "sid2", "text").transform(map_arrow, _within(size, percent), "a long, b long")
+    nodes = nodes.selectExpr("k", "tid", "sid", "sid2", "xxhash64(grp, least(mine, other), greatest(mine, other)) AS task", "cast(mine > other as int) AS side")
+    sent = nodes.join(text.select(key.alias("k"), "tid", "text"), ["k", "tid"]).repartition("task").sortWithinPartitions("task", "side", "sid", "sid2")
+    found = sent.select("task", "side", "sid", "sid2", "text").transform(map_arrow, _within(size, percent), "a long, a2 long, b long, b2 long")
+    links = table(found.selectExpr("named_struct('sid', a, 'sid2', a2) AS a", "named_struct('sid', b, 'sid2', b2) AS b"), "links")
+    classes = table(connected_components(links).selectExpr("node.sid AS sid", "node.sid2 AS sid2", "component"), "classes")
+    free(groups, links)
+    name = F.expr("if(n_shingles > 0, coalesce(component, named_struct('sid', sid, 'sid2', sid2)), null)")
+    return sets.join(classes, ["sid", "sid2"], "left").select("doc_id", "tid", "n_shingles", name.alias("class"))
+
 
-    classes = connected_components(table(links, "links"))
-    named = sets.where("n_shingles > 0").groupBy("sid", "sid2").agg(F.min("doc_id").alias("node")).join(classes, "node", "left").selectExpr("sid", "sid2", "coalesce(component, node) AS component_id")
-    return sets.join(named, ["sid", "sid2"], "left").select("doc_id", "n_shingles", F.expr("if(n_shingles = 0, doc_id, component_id)").alias("component_id"))
+def similar_documents(docs: DataFrame, size: int = 3, percent: int = 90, block: int = BLOCK_SHINGLES, part: int = PART_SHINGLES) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
+    rows = table(link_classes(docs, size, percent, block, part), "rows")
+    # Copies of one class are summed up before the shuffle; adaptive execution splits them in the join.
+    named = table(rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1"), "named")
+    return rows.join(named, "class", "left").select("doc_id", "n_shingles", F.expr("if(n > 1, component_id, doc_id)").alias("component_id"))

@@ -37,13 +37,13 @@ def near_copies(rng, bases, copies, words=60):
     return out
 
 
-@pytest.mark.parametrize("size,percent,block", [(3, 90, 10**6), (3, 90, 60), (2, 60, 10**6)])
-def test_matches_brute_force(spark, size, percent, block):
+@pytest.mark.parametrize("size,percent,block,part", [(3, 90, 10**6, 10**6), (3, 90, 60, 10**6), (2, 60, 10**6, 50)])
+def test_matches_brute_force(spark, size, percent, block, part):
     rng = random.Random(size + percent)
     texts = [*near_copies(rng, 12, 6), None, "", "  \t", "one", "One", "a b", "A\vb", "x y z", "x y z"]
     ids = list(range(5, 5 + len(texts)))
     rng.shuffle(ids)
-    found = rows(similar_documents(documents(spark, texts, ids), size, percent, block))
+    found = rows(similar_documents(documents(spark, texts, ids), size, percent, block, part))
     assert {i: (r.n_shingles, r.component_id) for i, r in found.items()} == brute(texts, ids, size, percent)
 
 
@@ -134,5 +134,32 @@ def test_repeated_rows_null_ids_and_clashing_columns(spark):
     assert len(found) == 4
 
 
+def chain():
+    """Texts of which the first and the last are linked by the middle one alone."""
+    words = [f"w{k}" for k in range(66)]
+    return [" ".join(words[at : at + 60]) for at in (0, 3, 6)]
+
+
+@pytest.mark.parametrize("ids,want", [([1, 2, 3], [1, 1, 1]), ([1, 1, 3], [1, 1, 1]), ([3, 1, 1], [1, 1, 1]), ([1, None, 3], [1, 1, 1]), ([None, None, None], [None] * 3)])
+def test_rows_that_share_an_id_or_have_none_keep_their_links(spark, ids, want):
+    a, b, c = chain()
+    one, two, three = (set(shingles(t.encode(), 3).tolist()) for t in (a, b, c))
+    assert 10 * len(one & two) >= 9 * len(one | two) and 10 * len(one & three) < 9 * len(one | three)
+    df = spark.createDataFrame([(i, t) for i, t in zip(ids, (a, b, c), strict=True)], "doc_id long, text string")
+    assert [r.component_id for r in similar_documents(df).collect()] == want
+
+
+def test_an_id_of_two_texts_does_not_join_their_groups(spark):
+    (a, b, _), other = chain(), " ".join(f"x{k}" for k in range(40))
+    df = spark.createDataFrame([(5, a), (0, b), (5, other), (7, other + " y")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in similar_documents(df).collect()) == [(0, 0), (5, 0), (5, 5), (7, 5)]
+
+
+def test_very_long_texts(spark):
+    words = [f"v{k * k % 100_003}" for k in range(60_000)]
+    found = rows(similar_documents(documents(spark, [" ".join(words), " ".join(["new", *words]), " ".join(words[30_000:])])))
+    assert [found[i].component_id for i in range(3)] == [0, 0, 2]
+
+
 def test_empty_table(spark):
     assert similar_documents(documents(spark, []).limit(0)).count() == 0
