@@ -57,11 +57,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """P of length len(values) + 1 for an array of 64-bit values."""
+    out = np.zeros(len(values) + 1, dtype=U64)
+    np.cumsum(values * powers(len(values))[0], out=out[1:])
+    return out
+
+
 def prefix_hashes(raw: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
     """P of length len(raw) + 1 for an array of bytes."""
-    out = np.zeros(len(raw) + 1, dtype=U64)
-    np.cumsum(values[raw] * powers(len(raw))[0], out=out[1:])
-    return out
+    return prefix_sums(values[raw])
 
 
 def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

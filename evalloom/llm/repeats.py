@@ -13,14 +13,15 @@ with the smallest hash, so equal windows name equal anchors at equal offsets. Co
 with one anchor form a *region*.
 
 1. Anchors that occur once are dropped by a count with partial sums.
-2. Regions with equal bytes (64-bit BLAKE2b digest within one anchor) form a *class*.
-3. The first and the last member of each class go to their anchor's group. There the extensions to
-   the right and to the left of the anchor are suffix-sorted by hash comparison (``suffix_sort``), which
+2. Regions with equal bytes form a *class*: an equal anchor hash (63 bits) and an equal BLAKE2b digest
+   of the whole region (64 bits) stand for equal bytes. A class with several members is repeated.
+3. One member of each class goes to its anchor's group, if that has other classes. There the extensions
+   to the right and to the left of the anchor are suffix-sorted by hash comparison (``suffix_sort``), which
    verifies its extensions on the bytes; windows are equal where they agree in the left order and in the
-   right order at the depths they need. What holds for a class holds for all its members.
-4. An anchor with more than ``CROWD`` classes would make too large a group. Its regions are dealt
-   again with longer anchors, and at last with anchors as long as a window, where a group is one
-   class: so no group is large and none is left out.
+   right order at the depths they need. What holds for a member holds for its class.
+4. An anchor with more than ``CROWD`` classes would make too large a group. One region of each class
+   is dealt again with longer anchors, and at last with anchors as long as a window, where a group is
+   one class: so no group is large and none is left out.
 
 Nulls: a null text has no bytes. An empty or short text loses nothing unless it has a whole
 repeated window. Repeated rows count as documents of their own, so each is a copy of the other.
@@ -40,12 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_views, free, map_arrow, signed, table
-from .hashing import U64, mix, prefix_hashes, span_hashes, word_hashes
+from .hashing import BYTE_VALUES, U64, mix, prefix_sums, span_hashes, word_hashes
 from .suffix_sort import Suffixes
 
 WINDOW, ANCHOR, CROWD, PIECE = 400, 200, 2000, 1 << 20
 #: Words of a passage, and of its anchors.
-PASSAGE, PASSAGE_ANCHOR = 51, 12
+PASSAGE, PASSAGE_ANCHOR = 51, 20
 #: Regions sorted together; bounds the memory of a task.
 BATCH = 4000
 _PLACE = U64((1 << 21) - 1)
@@ -53,33 +54,38 @@ _PLACE = U64((1 << 21) - 1)
 
 @dataclass(frozen=True)
 class Kind:
-    """Windows of ``window`` bytes starting at multiples of ``unit``; ``anchor`` by level."""
+    """Windows and, by level, anchors in units; ``size`` is the bytes that stand for a unit."""
 
-    unit: int
+    size: int
     window: int
     anchors: tuple[int, ...]
-    #: Whether the windows of one document among themselves count.
-    own: bool
 
-    def sequence(self, raw: np.ndarray) -> np.ndarray:
-        return raw if self.own else (word_hashes(raw, folded=False) >> U64(32)).astype("<u4").view(np.uint8)
+    @property
+    def own(self) -> bool:
+        """Whether the windows of one document among themselves count."""
+        return self.size == 1
 
 
 def kinds(window: int, anchor: int, words: int, words_anchor: int) -> tuple[Kind, Kind]:
-    def levels(w: int, a: int, unit: int) -> tuple[int, ...]:
-        return tuple(unit * x for x in (a, (a + w + 1) // 2, w))
+    return tuple(Kind(size, w, (a, (a + w + 1) // 2, w)) for size, w, a in ((1, window, anchor), (4, words, words_anchor)))
 
-    return Kind(1, window, levels(window, anchor, 1), True), Kind(4, 4 * words, levels(words, words_anchor, 4), False)
 
+def _sequence(raw: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each unit, the bytes that stand for the units)."""
+    if kind.own:
+        return BYTE_VALUES[raw], raw
+    values = word_hashes(raw, folded=False)
+    return values, (values >> U64(32)).astype("<u4").view(np.uint8)
 
-def regions(raw: np.ndarray, window: int, anchor: int, unit: int = 1, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first window, last window, anchor position, anchor hash) of the regions, piece by piece; in bytes."""
-    for begin in range(0, max(0, len(raw) - window + 1), piece * unit):
-        part = raw[begin : begin + (piece - 1) * unit + window]
-        at = np.arange(0, len(part) - anchor + 1, unit)
-        hashes = mix(span_hashes(prefix_hashes(part), at, at + anchor))
-        least = (hashes & ~_PLACE) | np.arange(len(at)).astype(U64)
-        span, width = (window - anchor) // unit + 1, 1
+
+def regions(values: np.ndarray, window: int, anchor: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first window, last window, anchor position, anchor hash) of the regions, piece by piece, in units."""
+    for begin in range(0, max(0, len(values) - window + 1), piece):
+        part = values[begin : begin + piece + window - 1]
+        at = np.arange(len(part) - anchor + 1)
+        hashes = mix(span_hashes(prefix_sums(part), at, at + anchor))
+        least = (hashes & ~_PLACE) | at.astype(U64)
+        span, width = window - anchor + 1, 1
         while 2 * width <= span:
             least, width = np.minimum(least[: len(least) - width], least[width:]), 2 * width
         if width < span:
@@ -87,50 +93,49 @@ def regions(raw: np.ndarray, window: int, anchor: int, unit: int = 1, piece: int
         chosen = (least & _PLACE).astype(np.int64)
         first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
         last = np.r_[first[1:], len(chosen)] - 1
-        yield first * unit + begin, last * unit + begin, chosen[first] * unit + begin, hashes[chosen[first]]
+        yield first + begin, last + begin, chosen[first] + begin, hashes[chosen[first]]
 
 
 def _anchors(both: tuple[Kind, ...], level: int, piece: int, whole: bool = True):
-    """Regions of whole texts, or on later levels of the parts (kind, lo, size) given with them; only
-    the anchors' hashes unless ``whole``. The lowest bit of an anchor's hash is its kind."""
+    """Regions of whole texts, given whether their row is repeated, or on later levels of the parts
+    (kind, lo, size, more) given with them; only the anchors' hashes unless ``whole``. ``more`` says that a
+    part stands in other documents. The lowest bit of an anchor's hash is its kind."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, len(b), 500):
-                rows, cols = b.slice(start, 500), [[] for _ in range(7 if whole else 1)]
+                rows, cols = b.slice(start, 500), [[] for _ in range(8 if whole else 1)]
                 ids, tids = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-                parts = rows.column(3).to_pylist() if level else [None] * len(rows)
+                given = rows.column(3).to_pylist()
                 for k, raw in enumerate(byte_views(rows.column(2))):
                     for number, kind in enumerate(both):
-                        mine = [(0, None)] if parts[k] is None else sorted({(x["lo"], x["size"]) for x in parts[k] if x["kind"] == number})
-                        every = kind.sequence(raw) if mine else raw
-                        for lo, size in mine:
-                            seq = every[lo : len(every) if size is None else lo + size]
-                            view, width = memoryview(seq), kind.window
-                            for first, last, at, hashes in regions(seq, width, kind.anchors[level], kind.unit, piece):
+                        mine = sorted({(x["lo"], x["size"], x["more"]) for x in given[k] if x["kind"] == number}) if level else [(0, None, given[k])]
+                        values, data = _sequence(raw, kind) if mine else (raw, raw)
+                        view, each = memoryview(data), kind.size
+                        for lo, size, more in mine:
+                            for first, last, at, hashes in regions(values[lo : None if size is None else lo + size], kind.window, kind.anchors[level], piece):
                                 named = signed((hashes & ~U64(1)) | U64(number))
                                 if not whole:
                                     cols[0].append(named)
                                     continue
                                 n = len(first)
-                                digests = b"".join([blake2b(view[s : e + width], digest_size=8).digest() for s, e in zip(first.tolist(), last.tolist(), strict=True)])
-                                for out, v in zip(cols, (named, np.frombuffer(digests, np.int64), np.full(n, ids[k]), np.full(n, tids[k]), first + lo, at - first, last - first + width), strict=True):
+                                first, last, at = first + lo, last + lo + kind.window, at + lo
+                                digests = b"".join([blake2b(view[s * each : e * each], digest_size=8).digest() for s, e in zip(first.tolist(), last.tolist(), strict=True)])
+                                for out, v in zip(cols, (named, np.frombuffer(digests, np.int64), np.full(n, ids[k]), np.full(n, tids[k]), first, at - first, last - first, np.full(n, more)), strict=True):
                                     out.append(v)
                 if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names=["h", "rd", "k", "tid", "lo", "at", "size"][: len(cols)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names=["h", "rd", "k", "tid", "lo", "at", "size", "more"][: len(cols)])
 
     return run
 
 
-#: Roles of a class's members: its first, its last, and a last that repeats the first's row.
-_FIRST, _LAST, _TWIN = range(3)
-_MEMBERS = "h long, rd long, role int, k long, tid long, at int, bytes binary"
+_MEMBERS = "h long, rd long, k long, tid long, at int, several boolean, bytes binary"
 
 
 def _members(both: tuple[Kind, ...]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The bytes of the regions that go to their anchor's group."""
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
         for b in batches:
             for start in range(0, len(b), 200):
                 part, rows = b.slice(start, 200), []
@@ -138,16 +143,17 @@ def _members(both: tuple[Kind, ...]):
                 for k, raw in enumerate(byte_views(part.column(2))):
                     for number, kind in enumerate(both):
                         mine = [x for x in lists[k] if x["h"] & 1 == number]
-                        every = kind.sequence(raw) if mine else raw
-                        rows += [(x["h"], x["rd"], x["role"], ids[k], tids[k], x["at"], every[x["lo"] : x["lo"] + x["size"]].tobytes()) for x in mine]
+                        data, each = _sequence(raw, kind)[1] if mine else raw, kind.size
+                        rows += [(x["h"], x["rd"], ids[k], tids[k], x["at"], x["several"], data[x["lo"] * each : (x["lo"] + x["size"]) * each].tobytes()) for x in mine]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["h", "rd", "role", "k", "tid", "at", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["h", "rd", "k", "tid", "at", "several", "bytes"])
 
     return run
 
 
-def repeated_windows(parts: list[bytes], anchors: np.ndarray, groups: np.ndarray, docs: np.ndarray, window: int, unit: int = 1) -> list[np.ndarray]:
-    """For each region the offsets of its windows that regions of different ``docs`` in its group hold."""
+def repeated_windows(parts: list[bytes], anchors: np.ndarray, groups: np.ndarray, docs: np.ndarray, several: np.ndarray, window: int, unit: int = 1) -> list[np.ndarray]:
+    """For each region the offsets of its windows that regions of different ``docs`` in its group hold,
+    or one that stands for ``several``. All in bytes; windows start at multiples of ``unit``."""
     n = len(parts)
     sizes = np.array([len(p) for p in parts], np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -158,7 +164,7 @@ def repeated_windows(parts: list[bytes], anchors: np.ndarray, groups: np.ndarray
     for depth in range(0, int(anchors.max()) + 1, unit):
         # Windows that start `depth` bytes before the anchor.
         has = np.flatnonzero((anchors >= depth) & (sizes - anchors >= window - depth))
-        if len(has) < 2:
+        if not len(has):
             continue
         kind = np.empty(n, np.int64)
         kind[left_order] = np.cumsum(left_common < depth)
@@ -168,8 +174,8 @@ def repeated_windows(parts: list[bytes], anchors: np.ndarray, groups: np.ndarray
         order = np.lexsort((docs[has], same))
         first = np.flatnonzero(np.r_[True, same[order][1:] != same[order][:-1]])
         end = np.r_[first[1:], len(order)]
-        several = docs[has[order[first]]] != docs[has[order[end - 1]]]
-        for i in has[order[np.repeat(several, end - first)]].tolist():
+        repeated = (docs[has[order[first]]] != docs[has[order[end - 1]]]) | np.logical_or.reduceat(several[has[order]], first)
+        for i in has[order[np.repeat(repeated, end - first)]].tolist():
             found[i].append(int(anchors[i]) - depth)
     return [np.array(sorted(f), np.int64) for f in found]
 
@@ -186,33 +192,35 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _groups(both: tuple[Kind, ...]):
     def settle(rows: list[tuple], kind: Kind) -> Iterator[pa.RecordBatch]:
-        """Spans of the classes of whole groups, as offsets within their regions."""
+        """Spans of the classes of whole groups, in units within their regions."""
         if len(rows) < 2:
             return
+        each = kind.size
         group = np.unique(np.array([r[0] for r in rows]), return_inverse=True)[1]
         seen: dict[tuple, int] = {}
-        docs = np.arange(len(rows)) if kind.own else np.array([seen.setdefault((r[3], r[4], r[2] == _TWIN), len(seen)) for r in rows])
+        docs = np.arange(len(rows)) if kind.own else np.array([seen.setdefault(r[2:4], len(seen)) for r in rows])
+        anchors, several = np.array([r[4] * each for r in rows], np.int64), np.array([r[5] for r in rows])
         out = []
-        for r, at in zip(rows, repeated_windows([r[6] for r in rows], np.array([r[5] for r in rows], np.int64), group, docs, kind.window, kind.unit), strict=True):
-            if r[2] == _FIRST and len(at):
-                out += [(r[0], r[1], lo, hi) for lo, hi in zip(*(v.tolist() for v in merged(at, at + kind.window)), strict=True)]
+        for r, at in zip(rows, repeated_windows([r[6] for r in rows], anchors, group, docs, several, kind.window * each, each), strict=True):
+            if len(at):
+                out += [(r[0], r[1], lo, hi) for lo, hi in zip(*(v.tolist() for v in merged(at // each, at // each + kind.window)), strict=True)]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["h", "rd", "start", "stop"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor hash, content and role; whole groups are sorted a batch at a time."""
+        """Rows come sorted by anchor hash and content; whole groups are sorted a batch at a time."""
         rows: list[tuple] = []
         last: tuple | None = None
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if row[:3] == last:
+                if row[:2] == last:
                     continue  # a repeated row
                 if last is not None and row[0] != last[0] and len(rows) >= BATCH:
                     for number, kind in enumerate(both):
                         yield from settle([r for r in rows if r[0] & 1 == number], kind)
                     rows = []
                 rows.append(row)
-                last = row[:3]
+                last = row[:2]
         for number, kind in enumerate(both):
             yield from settle([r for r in rows if r[0] & 1 == number], kind)
 
@@ -235,7 +243,7 @@ def _finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept.update(text[at:s])
                 at = e
             kept.update(text[at:])
-            out.append((ids[k], tids[k], int((hi - lo).sum()), len(lo), kept.hexdigest(), int((end - word).sum()) // 4))
+            out.append((ids[k], tids[k], int((hi - lo).sum()), len(lo), kept.hexdigest(), int((end - word).sum())))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["k", "tid", "n_removed", "n_spans", "kept_sha256", "n_shared_words"])
 
@@ -251,34 +259,39 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     plain = docs.select("doc_id", F.expr("coalesce(doc_id, -9223372036854775808)").cast("long").alias("k"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     plain = plain.select("doc_id", "k", F.xxhash64("text").alias("tid"), "text")
     text = plain.select("k", "tid", "text").where(f"octet_length(text) >= {min(window, 2 * words - 1)}")
-    source, spans = text, None
-    for level in range(len(both[0].anchors)):
+    twins = table(plain.groupBy("k", "tid").agg(F.count("*").alias("n")).where("n > 1").select("k", "tid"), "twins")
+    source, spans, levels = text.withColumn("more", F.lit(False)), None, len(both[0].anchors)
+    if not twins.isEmpty():
+        source = text.join(twins.withColumn("more", F.lit(True)), ["k", "tid"], "left").select("k", "tid", "text", F.coalesce("more", F.lit(False)).alias("more"))
+    for level in range(levels):
         hashes = source.transform(map_arrow, _anchors(both, level, piece, False), "h long")
         # Written first, so that the join below stands alone and a frequent anchor's rows can be split.
         often = table(hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "often")
-        rows = source.transform(map_arrow, _anchors(both, level, piece), "h long, rd long, k long, tid long, lo long, at long, size long")
-        rows = rows.selectExpr("h", "rd", "k", "tid", "cast(lo as int) lo", "cast(at as int) at", "cast(size as int) size")
+        rows = source.transform(map_arrow, _anchors(both, level, piece), "h long, rd long, k long, tid long, lo long, at long, size long, more long")
+        rows = rows.selectExpr("h", "rd", "k", "tid", "cast(lo as int) lo", "cast(at as int) at", "cast(size as int) size", "more > 0 AS more")
         found = table(rows.join(often, "h"), "anchors")
         free(often)
         # One row for each class says all about it, so the rows of one anchor part by their content.
         member = F.struct("k", "tid", "lo", "at", "size")
-        classes = table(found.groupBy("h", "rd").agg(F.count("*").alias("n"), F.min(member).alias("first"), F.max(member).alias("last")), "classes")
-        large = classes.limit(0).select("h")
-        if level + 1 < len(both[0].anchors):
-            large = table(classes.groupBy("h").agg(F.count("*").alias("m")).where(f"m > {crowd}").select("h"), "large")
+        classes = found.groupBy("h", "rd").agg(F.count("*").alias("n"), F.min(member).alias("one"), F.max(member).alias("last"), F.max("more").alias("more"))
+        # Words count where another row holds them: of another id or text, or a repeated row.
+        apart = "(h & 1 = 0 or one.k <> last.k or one.tid <> last.tid)"
+        classes = table(classes.selectExpr("h", "rd", "one", f"more or (n > 1 and {apart}) AS several"), "classes")
+        counts = table(classes.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "counts")
+        large = counts.where(f"m > {crowd}") if level + 1 < levels else counts.where("false")
         crowded = not large.isEmpty()
-        small = classes.join(large, "h", "left_anti") if crowded else classes
-        role = f"if(last = first, {_TWIN}, {_LAST})"
-        sent = small.selectExpr("h", "rd", f"explode(if(n > 1, array(struct({_FIRST} AS role, first AS m), struct({role} AS role, last AS m)), array(struct({_FIRST} AS role, first AS m)))) AS x")
-        lists = sent.selectExpr("x.m.k AS k", "x.m.tid AS tid", "struct(h, rd, x.role, x.m.lo, x.m.at, x.m.size) AS item").groupBy("k", "tid").agg(F.collect_list("item").alias("items"))
+        groups = counts.where(f"m <= {crowd}") if crowded else counts
+        item = F.expr("struct(h, rd, several, one.lo AS lo, one.at AS at, one.size AS size)")
+        lists = classes.join(groups, "h").select("one.k", "one.tid", item.alias("item")).groupBy("k", "tid").agg(F.collect_list("item").alias("items"))
         members = text.join(lists.hint("shuffle_hash"), ["k", "tid"]).select("k", "tid", "text", "items").transform(map_arrow, _members(both), _MEMBERS)
-        settled = table(members.repartition("h").sortWithinPartitions("h", "rd", "role").transform(map_arrow, _groups(both), "h long, rd long, start int, stop int"), "settled")
+        sorted_ = table(members.repartition("h").sortWithinPartitions("h", "rd").transform(map_arrow, _groups(both), "h long, rd long, start int, stop int"), "sorted")
+        settled = sorted_.union(classes.where("several").selectExpr("h", "rd", "0", "one.size"))
         here = found.join(settled, ["h", "rd"]).selectExpr("k", "tid", "cast(h & 1 as int) AS kind", "lo + start AS lo", "lo + stop AS hi")
         spans = here if spans is None else spans.union(here)
-        free(classes)
         if not crowded:
             break
-        parts = found.join(large, "h", "left_semi").selectExpr("k", "tid", "struct(cast(h & 1 as int) AS kind, lo, size) AS part").groupBy("k", "tid").agg(F.collect_list("part").alias("parts"))
+        part = F.expr("struct(cast(h & 1 as int) AS kind, one.lo AS lo, one.size AS size, several AS more)")
+        parts = classes.join(large, "h").select("one.k", "one.tid", part.alias("part")).groupBy("k", "tid").agg(F.collect_list("part").alias("parts"))
         source = table(text.join(parts.hint("shuffle_hash"), ["k", "tid"]).select("k", "tid", "text", "parts"), "parts")
     spans = spans.groupBy("k", "tid").agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("spans"))
     done = text.join(spans.hint("shuffle_hash"), ["k", "tid"]).select("k", "tid", "text", "spans").transform(map_arrow, _finish, "k long, tid long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long").dropDuplicates(["k", "tid"])

@@ -94,6 +94,8 @@ def test_repeated_rows_nulls_and_empty_table(spark):
     df = spark.createDataFrame([(1, "k" * 30, "a"), (1, "k" * 30, "a"), (None, None, "b"), (None, "unique text here", "c")], "doc_id long, text string, tid string")
     found = remove_repeats(df, window=12, anchor=6).collect()
     assert sorted(r.n_shared_words for r in remove_repeats(spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "e f g h e f g h")], "doc_id long, text string"), words=4, words_anchor=2).collect()) == [0, 4, 4]
+    twice = spark.createDataFrame([(1, "a b c d x a b c d")] * 2 + [(2, "e f g h y e f g h")], "doc_id long, text string")
+    assert sorted(r.n_shared_words for r in remove_repeats(twice, words=4, words_anchor=2).collect()) == [0, 9, 9]
     assert sorted((r.doc_id or -1, r.n_bytes, r.n_removed) for r in found) == [(-1, 0, 0), (-1, 16, 0), (1, 30, 30), (1, 30, 30)]
     assert remove_repeats(df.limit(0)).count() == 0
 
