@@ -97,9 +97,9 @@ def regions(values: np.ndarray, window: int, anchor: int, piece: int = PIECE) ->
 
 
 def _anchors(both: tuple[Kind, ...], level: int, piece: int, whole: bool = True):
-    """Regions of whole texts, given whether their row is repeated, or on later levels of the parts
-    (kind, lo, size, more) given with them; only the anchors' hashes unless ``whole``. ``more`` says that a
-    part stands in other documents. The lowest bit of an anchor's hash is its kind."""
+    """Regions of whole texts, given whether their row is repeated, or on later levels of the large
+    groups' regions given with them; only the anchors' hashes unless ``whole``. ``more`` says that a
+    part stands in other documents too. The lowest bit of an anchor's hash is its kind."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,7 +109,7 @@ def _anchors(both: tuple[Kind, ...], level: int, piece: int, whole: bool = True)
                 given = rows.column(3).to_pylist()
                 for k, raw in enumerate(byte_views(rows.column(2))):
                     for number, kind in enumerate(both):
-                        mine = sorted({(x["lo"], x["size"], x["more"]) for x in given[k] if x["kind"] == number}) if level else [(0, None, given[k])]
+                        mine = sorted({(x["lo"], x["size"], x["several"]) for x in given[k] if x["large"] and x["h"] & 1 == number}) if level else [(0, None, given[k])]
                         values, data = _sequence(raw, kind) if mine else (raw, raw)
                         view, each = memoryview(data), kind.size
                         for lo, size, more in mine:
@@ -142,7 +142,7 @@ def _members(both: tuple[Kind, ...]):
                 ids, tids, lists = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist()
                 for k, raw in enumerate(byte_views(part.column(2))):
                     for number, kind in enumerate(both):
-                        mine = [x for x in lists[k] if x["h"] & 1 == number]
+                        mine = [x for x in lists[k] if not x["large"] and x["h"] & 1 == number]
                         data, each = _sequence(raw, kind)[1] if mine else raw, kind.size
                         rows += [(x["h"], x["rd"], ids[k], tids[k], x["at"], x["several"], data[x["lo"] * each : (x["lo"] + x["size"]) * each].tobytes()) for x in mine]
                 if rows:
@@ -278,21 +278,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         apart = "(h & 1 = 0 or one.k <> last.k or one.tid <> last.tid)"
         classes = table(classes.selectExpr("h", "rd", "one", f"more or (n > 1 and {apart}) AS several"), "classes")
         counts = table(classes.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "counts")
-        large = counts.where(f"m > {crowd}") if level + 1 < levels else counts.where("false")
-        crowded = not large.isEmpty()
-        groups = counts.where(f"m <= {crowd}") if crowded else counts
-        item = F.expr("struct(h, rd, several, one.lo AS lo, one.at AS at, one.size AS size)")
-        lists = classes.join(groups, "h").select("one.k", "one.tid", item.alias("item")).groupBy("k", "tid").agg(F.collect_list("item").alias("items"))
-        members = text.join(lists.hint("shuffle_hash"), ["k", "tid"]).select("k", "tid", "text", "items").transform(map_arrow, _members(both), _MEMBERS)
+        crowded = level + 1 < levels and not counts.where(f"m > {crowd}").isEmpty()
+        item = F.expr(f"struct(h, rd, several, one.lo AS lo, one.at AS at, one.size AS size, m > {crowd if level + 1 < levels else 1 << 62} AS large)")
+        lists = classes.join(counts, "h").select("one.k", "one.tid", item.alias("item")).groupBy("k", "tid").agg(F.collect_list("item").alias("items"))
+        held = source.select("k", "tid", "text").join(lists.hint("shuffle_hash"), ["k", "tid"]).select("k", "tid", "text", "items")
+        held = table(held, "held") if crowded else held
+        members = held.transform(map_arrow, _members(both), _MEMBERS)
         sorted_ = table(members.repartition("h").sortWithinPartitions("h", "rd").transform(map_arrow, _groups(both), "h long, rd long, start int, stop int"), "sorted")
         settled = sorted_.union(classes.where("several").selectExpr("h", "rd", "0", "one.size"))
         here = found.join(settled, ["h", "rd"]).selectExpr("k", "tid", "cast(h & 1 as int) AS kind", "lo + start AS lo", "lo + stop AS hi")
         spans = here if spans is None else spans.union(here)
         if not crowded:
             break
-        part = F.expr("struct(cast(h & 1 as int) AS kind, one.lo AS lo, one.size AS size, several AS more)")
-        parts = classes.join(large, "h").select("one.k", "one.tid", part.alias("part")).groupBy("k", "tid").agg(F.collect_list("part").alias("parts"))
-        source = table(text.join(parts.hint("shuffle_hash"), ["k", "tid"]).select("k", "tid", "text", "parts"), "parts")
+        source = held.where("exists(items, x -> x.large)")
     spans = spans.groupBy("k", "tid").agg(F.collect_list(F.struct("kind", "lo", "hi")).alias("spans"))
     done = text.join(spans.hint("shuffle_hash"), ["k", "tid"]).select("k", "tid", "text", "spans").transform(map_arrow, _finish, "k long, tid long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long").dropDuplicates(["k", "tid"])
     base = plain.select("doc_id", "k", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
