@@ -7,8 +7,10 @@ every mask are joined with those of the benchmark. Around each hit the document
 item on the hit's diagonal and the overlap is verified on word hashes: ungapped local alignment with
 +1 for an equal word and -``MISMATCH`` for a replaced one. A pair is reported if its best segment
 scores at least ``LEAST_SCORE``, or if the equal words of all its diagonals cover at least
-``LEAST_COVER`` of the item and ``LEAST_WORDS`` words. Items shorter than a mask are looked up by
-their whole sequence of words; items of fewer than ``LEAST_WORDS`` words are too common to match anything.
+``LEAST_COVER`` of the item and ``LEAST_WORDS`` words. An item shorter than the longest mask has masks of
+its own: with n words, every (n - LEAST_WORDS + 1)-th position, from each of the first ones. As many
+masks as words may be replaced, and one more, so one of them meets equal words only. An item of fewer
+than ``LEAST_WORDS`` words is a common phrase; it is found where it is the whole text.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, lower-cased in A-Z; 64-bit word hashes stand for words.
 
@@ -51,6 +53,27 @@ def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(at)
 
 
+def short_masks(n: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(first position, offsets from it) of the masks of an item of n words, LEAST_WORDS <= n < SPAN."""
+    step = n - LEAST_WORDS + 1
+    return [(r, tuple(range(0, n - r, step))) for r in range(step)]
+
+
+def short_forms(lengths: Iterable[int]) -> list[tuple[tuple[int, ...], np.uint64]]:
+    """The different offsets of the masks of items of these lengths, with a salt for each."""
+    forms = sorted({offsets for n in lengths for _, offsets in short_masks(n)})
+    return [(offsets, _short_salt(offsets)) for offsets in forms]
+
+
+def _short_salt(offsets: tuple[int, ...]) -> np.uint64:
+    return U64(splitmix(600 + 64 * len(offsets) + offsets[-1]))
+
+
+def _whole(words: np.ndarray) -> int:
+    """A hash of all words of a text of fewer than LEAST_WORDS."""
+    return int(combine(words, tuple(range(len(words))))[0]) ^ splitmix(len(words))
+
+
 class Items:
     """The words of benchmark items one after another, with their seeds in order of hash."""
 
@@ -59,17 +82,19 @@ class Items:
         self.start = np.cumsum(self.size) - self.size
         self.words = np.concatenate(words) if words else np.zeros(0, U64)
         hashes, at = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-        self.short: dict[int, list[int]] = {}
+        self.whole: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             if len(w) >= SPAN:
                 h, p = seeds(w)
                 hashes.append(h)
                 at.append(p + self.start[i])
             elif len(w) >= LEAST_WORDS:
-                self.short.setdefault(len(w), []).append(i)
-        for n, items in self.short.items():
-            hashes.append(np.array([combine(words[i], tuple(range(n)))[0] for i in items], U64) ^ U64(splitmix(600 + n)))
-            at.append(self.start[np.array(items)])
+                for first, offsets in short_masks(len(w)):
+                    hashes.append(combine(w[first:], offsets)[:1] ^ _short_salt(offsets))
+                    at.append(np.array([self.start[i] + first]))
+            elif len(w):
+                self.whole.setdefault(_whole(w), []).append(i)
+        self.short = short_forms({len(w) for w in words if LEAST_WORDS <= len(w) < SPAN})
         h, p = np.concatenate(hashes), np.concatenate(at)
         order = np.argsort(h, kind="stable")
         self.hashes, self.at = h[order], p[order]
@@ -80,8 +105,8 @@ class Items:
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in the document, position among the items' words) of equal seeds."""
         h, p = seeds(words) if len(words) >= min(len(m) for m in MASKS) else (np.zeros(0, U64), np.zeros(0, np.int64))
-        for n in self.short:
-            s = combine(words, tuple(range(n))) ^ U64(splitmix(600 + n))
+        for offsets, salt in self.short:
+            s = combine(words, offsets) ^ salt
             h, p = np.concatenate([h, s]), np.concatenate([p, np.arange(len(s))])
         keep = self.seen[(h >> U64(48)).astype(np.int64)]
         h, p = h[keep], p[keep]
@@ -92,6 +117,9 @@ class Items:
 
     def overlaps(self, words: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(item, first word of the best segment in words, its score, equal words, words of the item)."""
+        if 0 < len(words) < LEAST_WORDS:
+            for i in self.whole.get(_whole(words), ()):
+                yield i, 0, len(words), len(words), len(words)
         at, among = self.hits(words)
         if not len(at):
             return
@@ -110,18 +138,20 @@ class Items:
                 score = int(total[end] - floor[end])
                 if score >= min(len(mine), 4):
                     covered[low + begin : low + end + 1] |= same[begin : end + 1]
-                best = max(best, (score, low + begin + diagonal))
+                best = max(best, (score, -(low + begin + diagonal)))
             equal = int(covered.sum())
             if best[0] >= min(LEAST_SCORE, len(mine)) or (equal >= LEAST_COVER * len(mine) and equal >= LEAST_WORDS):
-                yield i, best[1], best[0], equal, len(mine)
+                yield i, -best[1], best[0], equal, len(mine)
 
 
-_SCHEMA = "doc_id long, item_id long, at_word long, score long, equal_words long, item_words long"
-_NAMES = ["doc_id", "item_id", "at_word", "score", "equal_words", "item_words"]
+_SCHEMA = "item_id long, at_word long, score long, equal_words long, item_words long"
+_NAMES = ["item_id", "at_word", "score", "equal_words", "item_words"]
 
 
-def _report(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=_NAMES)
+def _report(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (position in ids, item, ...)."""
+    at, *columns = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([ids.take(at), *columns], names=["doc_id", *_NAMES])
 
 
 def _item_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,62 +160,77 @@ def _item_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_WORDS) -> DataFrame:
-    """One row for each document and benchmark item that overlap: doc_id, item_id, at_word (first
-    word of the best segment in the document), score, equal_words, item_words."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    """One row for each document and benchmark item that overlap: doc_id (of any type), item_id, at_word
+    (first word of the best segment in the document, of equal ones the first), score, equal_words, item_words.
+
+    Words of up to ``bound`` are collected as Arrow lists of 8 bytes a word: 32 MB at ``BROADCAST_WORDS``, and
+    some 250 MB with the seeds of all positions.
+    """
+    text = docs.select("doc_id", "text").where("text is not null")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_SCHEMA}"
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     words = items.transform(map_arrow, _item_words, "item_id long, words array<long>").where("size(words) > 0")
     total = words.agg(F.sum(F.size("words"))).first()[0] or 0
     if total > bound:
-        return _by_shuffle(text, words)
-    rows = words.orderBy("item_id").collect()
-    table = Items(np.array([-1 if r.item_id is None else r.item_id for r in rows], np.int64), [np.array(r.words, np.int64).view(U64) for r in rows])
+        return _by_shuffle(text, words, schema)
+    rows = words.orderBy("item_id").toArrow()
+    lists = rows.column("words").combine_chunks()
+    table = Items(np.array(rows.column("item_id").fill_null(-1), np.int64), [np.asarray(x.values).view(U64) for x in lists])
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for b in batches:
-            ids, out = b.column(0).to_pylist(), []
+            out = []
             for k, raw in enumerate(byte_views(b.column(1))):
-                out += [(ids[k], int(table.ids[i]), *rest) for i, *rest in table.overlaps(word_hashes(raw))]
+                out += [(k, int(table.ids[i]), *rest) for i, *rest in table.overlaps(word_hashes(raw))]
             if out:
-                yield _report(out)
+                yield _report(b.column(0), out)
 
-    return text.transform(map_arrow, run, _SCHEMA)
+    return text.transform(map_arrow, run, schema)
 
 
-def _doc_seeds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keys = b.column(0).to_numpy()
-        for k, raw in enumerate(byte_views(b.column(1))):
-            w = word_hashes(raw)
-            h = [seeds(w)[0]] + [combine(w, tuple(range(n))) ^ U64(splitmix(600 + n)) for n in range(LEAST_WORDS, SPAN)]
-            h = np.unique(np.concatenate(h))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(np.full(len(h), keys[k]))], names=["h", "key"])
+def _doc_seeds(lengths: list[int]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms = short_forms(n for n in lengths if n >= LEAST_WORDS)
+        for b in batches:
+            keys = b.column(0).to_numpy()
+            for k, raw in enumerate(byte_views(b.column(1))):
+                w = word_hashes(raw)
+                h = [seeds(w)[0], *(combine(w, offsets) ^ salt for offsets, salt in forms)]
+                if 0 < len(w) < LEAST_WORDS:
+                    h.append(np.array([_whole(w)], U64))
+                h = np.unique(np.concatenate(h))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(np.full(len(h), keys[k]))], names=["h", "key"])
+
+    return run
 
 
 def _item_seeds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for item, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            h = np.unique(Items(np.array([item or 0]), [np.array(words, np.int64).view(U64)]).hashes)
+            one = Items(np.array([item or 0]), [np.array(words, np.int64).view(U64)])
+            h = np.unique(np.concatenate([one.hashes, np.array(list(one.whole), U64)]))
             yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array([item] * len(h), pa.int64())], names=["h", "item_id"])
 
 
-def _by_shuffle(text: DataFrame, words: DataFrame) -> DataFrame:
+def _by_shuffle(text: DataFrame, words: DataFrame, schema: str) -> DataFrame:
     """The same rows for a benchmark of any size: hits by a join on seed hashes, each verified with
-    the texts that the two sides bring."""
+    the texts that the two sides bring. A document sends four seeds a word, and more only for the
+    lengths (under ``SPAN``) that short items have; adaptive execution splits the seeds of common words."""
+    lengths = [r.n for r in words.select(F.size("words").alias("n")).where(f"n < {SPAN}").distinct().collect()]
     text = text.withColumn("key", F.xxhash64("doc_id", "text"))
-    hits = text.select("key", "text").transform(map_arrow, _doc_seeds, "h long, key long").join(words.transform(map_arrow, _item_seeds, "h long, item_id long"), "h").selectExpr("key", "item_id AS hit").distinct()
+    hits = text.select("key", "text").transform(map_arrow, _doc_seeds(lengths), "h long, key long").join(words.transform(map_arrow, _item_seeds, "h long, item_id long"), "h").selectExpr("key", "item_id AS hit").distinct()
     pairs = hits.join(words, F.expr("hit <=> item_id")).select("key", "item_id", "words").join(text, "key")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, items, words = (b.column(k).to_pylist() for k in (0, 1, 2))
+            items, words = (b.column(k).to_pylist() for k in (1, 2))
             out = []
             for k, raw in enumerate(byte_views(b.column(3))):
                 one = Items(np.array([0]), [np.array(words[k], np.int64).view(U64)])
-                out += [(ids[k], -1 if items[k] is None else items[k], *rest) for _, *rest in one.overlaps(word_hashes(raw))]
+                out += [(k, -1 if items[k] is None else items[k], *rest) for _, *rest in one.overlaps(word_hashes(raw))]
             if out:
-                yield _report(out)
+                yield _report(b.column(0), out)
 
-    return pairs.select("doc_id", "item_id", "words", "text").transform(map_arrow, run, _SCHEMA)
+    return pairs.select("doc_id", "item_id", "words", "text").transform(map_arrow, run, schema)
