@@ -10,7 +10,8 @@ kind, scored by features of the whole span (shape, digit and group counts, separ
 words before it). Dynamic programming over segments of bounded length, with the remaining tokens
 outside, chooses boundaries and kinds together. Base spans stay as they are; the field decides
 about the text between them. It is trained here by conditional likelihood: the labels are the base
-spans of a bounded sample of documents (``SAMPLE_DOCS`` expected, ``SAMPLE_ISLANDS`` at most), as
+spans of a bounded sample (``SAMPLE_DOCS`` documents expected, ``SAMPLE_PER_TEXT`` islands of each with at most ``SAMPLE_CHARS``
+code points, ``SAMPLE_ISLANDS`` in all), as
 they stand and rewritten the way people disguise them (``disguises``), and the rest of the islands as
 negatives. It can so add disguised mentions that the patterns miss.
 
@@ -33,11 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import free, map_arrow, table
 
 #: The kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
-LONGEST, SAMPLE_DOCS, SAMPLE_ISLANDS, ROUNDS = 24, 4000, 400, 40
+LONGEST, ROUNDS = 24, 40
+#: Bounds of the sample to learn from, and of nothing else: documents, islands of one document, islands in all, and
+#: code points of an island. Every text is searched whole.
+SAMPLE_DOCS, SAMPLE_PER_TEXT, SAMPLE_ISLANDS, SAMPLE_CHARS = 4000, 8, 400, 400
 #: Characters on either side of an island that it may take in.
 MARGIN = 24
 #: Tokens whose segments are scored at once.
@@ -386,22 +390,24 @@ def train(docs: DataFrame) -> Field | None:
             for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 text = text or ""
                 base = base_spans(text)
-                for s, e in islands(text)[:8]:
-                    if e - s <= 400:
+                for s, e in islands(text)[:SAMPLE_PER_TEXT]:
+                    if e - s <= SAMPLE_CHARS:
                         inside = [x for x in base if s <= x[0] and x[1] <= e]
                         rows.append((h, not inside, s, text[s:e], ",".join(f"{x[0] - s}:{x[1] - s}:{x[2]}" for x in inside)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["h", "empty", "at", "text", "gold"])
 
-    found = sample.transform(map_arrow, run, "h long, empty boolean, at long, text string, gold string")
+    # Written once: the bounded sample is read twice, the documents are not.
+    found = table(sample.transform(map_arrow, run, "h long, empty boolean, at long, text string, gold string"), "islands")
     half = SAMPLE_ISLANDS // 2
     rows = [r for empty in (False, True) for r in found.where(F.col("empty") == empty).orderBy("h", "at", "text").limit(half).collect()]
+    free(found)
     samples = [(r.text, [tuple(map(int, x.split(":"))) for x in r.gold.split(",") if x]) for r in rows]
     return Field().fit(training_set(samples)) if any(g for _, g in samples) else None
 
 
 def detect(docs: DataFrame, field: Field | None) -> DataFrame:
-    """doc_id, the count of base spans per kind, base_sha256, spans (all, base and added), n_added."""
+    """doc_id, the count of base spans per kind, base_sha256, spans (all, base and added), n_added, n_spans."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -409,12 +415,12 @@ def detect(docs: DataFrame, field: Field | None) -> DataFrame:
                 part, rows = b.slice(at, 2000), []
                 for text in part.column(1).to_pylist():
                     base, spans = find(text or "", field)
-                    rows.append((*(sum(x[2] == k for x in base) for k in range(4)), sha256(render(base).encode()).hexdigest(), render(spans), len(spans) - len(base)))
-                kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+                    rows.append((*(sum(x[2] == k for x in base) for k in range(4)), sha256(render(base).encode()).hexdigest(), render(spans), len(spans) - len(base), len(spans)))
+                kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").transform(map_arrow, run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select("doc_id", "text").transform(map_arrow, run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def redact(docs: DataFrame, field: Field | None) -> DataFrame:
