@@ -13,8 +13,9 @@ encoded as a whole. The library encodes batches by several threads. Whatever is
 text, is verified against the sentencepiece library, and a row that holds something that differs takes
 the ids of that library, so the ids are always the model's; ``parity`` is false for such rows.
 
-Nulls: a null or empty text has no tokens. Repeated rows are encoded each; empty tables give no rows.
-Other columns are ignored by ``encode``. Texts are encoded whole, a bounded number of bytes at a time.
+Nulls: a null or empty text has no tokens; a null text is decoded to null. A marker in a text is decoded to
+a space, as the model has one piece for both. Repeated rows are encoded each; empty tables give no rows.
+Other columns are ignored but for those ``encode`` keeps. Texts are encoded whole, a bounded number of bytes at a time.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from .common import as_lists, map_arrow
 
@@ -248,15 +250,18 @@ def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = No
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(len(keep)).to_pylist()]
+            given = b.column(len(keep)).to_pylist()
+            texts = [t or "" for t in given]
             for start, end in _batches(texts):
                 ids, same = encode_texts(texts[start:end], path)
                 part = b.slice(start, end - start)
                 lists = as_lists([np.array(x, dtype=np.int32) for x in ids], pa.int32())
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists, pa.array(same), pa.array(decode_texts(ids, path), pa.string())], names=[*keep, "input_ids", "parity", "decoded"])
+                decoded = [None if t is None else x for t, x in zip(given[start:end], decode_texts(ids, path), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists, pa.array(same), pa.array(decoded, pa.string())], names=[*keep, "input_ids", "parity", "decoded"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("_text")).transform(map_arrow, run, f"{kinds}, input_ids array<int>, parity boolean, decoded string")
+    new = {"input_ids": ArrayType(IntegerType()), "parity": BooleanType(), "decoded": StringType()}
+    schema = StructType([*(docs.schema[c] for c in keep), *(StructField(c, t) for c, t in new.items())])
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")).transform(map_arrow, run, schema)
 
 
 def summarize(docs: DataFrame, path: str | None = None) -> DataFrame:

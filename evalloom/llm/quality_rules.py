@@ -99,7 +99,7 @@ def beta_prior(n: float, f: float, ff: float, hosts: int) -> tuple[float, float]
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the five counts, base_failed, kept, and the host's shrunk failure rate."""
+    """doc_id (of any type), the five counts, base_failed, kept, and the host's shrunk failure rate."""
     features = table(text_features(docs), "features")
     hosts = host_verdicts(features).select(F.col("host").alias("source"), "rate", "rejected")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
