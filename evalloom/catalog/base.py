@@ -32,18 +32,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Evaluation rows: prediction and gold answer are word ranges of each document.
+# Evaluation rows: the prediction is the first two thirds of a document's words, the gold answer the last two.
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("lang").alias("task"), "source", F.col("n_chars").alias("length"), text.words(F.col("text")).alias("w"))
-    return docs.select("ord", "task", "source", "length", F.array_join(F.slice("w", 1, 12), " ").alias("prediction"), F.array_join(F.slice("w", 7, 12), " ").alias("gold"))
+    n = F.size("w")
+    first, later = F.slice("w", F.lit(1), F.floor((2 * n + 2) / 3).cast("int")), F.slice("w", F.floor(n / 3).cast("int") + 1, n - F.floor(n / 3).cast("int"))
+    return docs.select("ord", "task", "source", "length", F.array_join(first, " ").alias("prediction"), F.array_join(later, " ").alias("gold"))
 
 
 PREDICTIONS = r"""w0 AS (
   SELECT doc_id AS ord, lang AS task, source, n_chars AS length, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents
 ), preds AS (
-  SELECT ord, task, source, length, array_to_string(w[1:12], ' ') AS prediction, array_to_string(w[7:18], ' ') AS gold FROM w0
+  SELECT ord, task, source, length, array_to_string(w[1:(2 * len(w) + 2) // 3], ' ') AS prediction, array_to_string(w[len(w) // 3 + 1:], ' ') AS gold FROM w0
 )"""
 
 

@@ -39,28 +39,28 @@ def _(s, d):
 
 def _recall(kind: str, clip: str = "") -> str:
     weight = {"qk": "1", "qkv": "list_sum(list_transform(k.value, lambda x: abs(x)))"}[kind]
-    return f"""WITH {KEYS}, h AS (SELECT * EXCLUDE (k_len), 40 AS k_len FROM kv WHERE pos < 40), q AS (SELECT layer, head, pos AS qpos, key AS query FROM h WHERE pos >= 36),
-p AS (SELECT k.layer, k.head, q.qpos, k.pos, {dot('q.query', 'k.key')} * {weight} AS l FROM q JOIN h k ON q.layer = k.layer AND q.head = k.head WHERE k.pos >= 4 AND k.pos < 32),
+    return f"""WITH {KEYS}, q AS (SELECT layer, head, pos AS qpos, key AS query FROM kv WHERE pos >= k_len - 4),
+p AS (SELECT k.layer, k.head, q.qpos, k.pos, {dot('q.query', 'k.key')} * {weight} AS l FROM q JOIN kv k ON q.layer = k.layer AND q.head = k.head WHERE k.pos >= 4 AND k.pos < k.k_len - 8),
 t AS (SELECT layer, pos FROM (SELECT *, row_number() OVER (PARTITION BY layer, head, qpos ORDER BY round(l, 9) DESC, pos) AS r FROM p) WHERE r <= 2),
 c AS (SELECT layer, pos, count(*) AS times FROM t GROUP BY ALL), u AS (SELECT layer, pos FROM c {clip}),
-x AS (SELECT DISTINCT layer, least(greatest(pos + o, 4), 31) AS pos FROM u, (SELECT unnest(range(-1, 2)) AS o))
-SELECT layer, pos FROM x UNION SELECT DISTINCT layer, pos FROM h WHERE pos < 4 OR pos >= 32"""
+x AS (SELECT DISTINCT layer, least(greatest(pos + o, 4), (SELECT max(k_len) FROM kv) - 9) AS pos FROM u, (SELECT unnest(range(-1, 2)) AS o))
+SELECT layer, pos FROM x UNION SELECT DISTINCT layer, pos FROM kv WHERE pos < 4 OR pos >= k_len - 8"""
 
 
-def _short(s, d):
-    kv = keys(s, d).where("pos < 40").withColumn("k_len", F.lit(40))
+def _last(s, d):
+    kv = keys(s, d)
     return kv, relations.last_queries(kv, 4)
 
 
 @query("recall_positions", _recall("qk"))
 def _(s, d):
-    kv, q = _short(s, d)
+    kv, q = _last(s, d)
     return K.recalled_positions(kv, q, 4, 8, 2, 3)
 
 
 @query("recall_positions_clipped", _recall("qkv", "QUALIFY row_number() OVER (PARTITION BY layer ORDER BY times DESC, pos) <= 5"))
 def _(s, d):
-    kv, q = _short(s, d)
+    kv, q = _last(s, d)
     return K.recalled_positions(kv, q, 4, 8, 2, 3, clip=5, kind="qkv")
 
 
@@ -70,9 +70,9 @@ def _(s, d):
     return out.select("layer", "head", "pos", "new_pos", _total("key").alias("total"))
 
 
-@query("recall_padded", f"WITH {KEYS}, h AS (SELECT DISTINCT layer, pos FROM kv WHERE pos < 40) SELECT layer, pos FROM h WHERE pos % 5 = 0 UNION ALL SELECT layer, pos FROM (SELECT layer, pos, row_number() OVER (PARTITION BY layer ORDER BY pos DESC) AS r FROM h WHERE pos % 5 <> 0) WHERE r <= 12")
+@query("recall_padded", f"WITH {KEYS}, h AS (SELECT DISTINCT layer, pos FROM kv) SELECT layer, pos FROM h WHERE pos % 5 = 0 UNION ALL SELECT layer, pos FROM (SELECT layer, pos, row_number() OVER (PARTITION BY layer ORDER BY pos DESC) AS r FROM h WHERE pos % 5 <> 0) WHERE r <= 20 - (SELECT count(*) FROM h WHERE pos % 5 = 0)")
 def _(s, d):
-    kv = keys(s, d).where("pos < 40")
+    kv = keys(s, d)
     return K.padded(kv.where("pos % 5 = 0").select("layer", "pos").distinct(), kv, 20)
 
 

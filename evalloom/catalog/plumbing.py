@@ -64,10 +64,10 @@ def _(s, d):
     return read(s, d, "pages").select("page_id", *(F.md5(v).alias(k) for k, v in P.spans(C("html"), a, b).items()))
 
 
-@query("plumb_split_prompt", """WITH p AS (SELECT doc_id AS ord, substr(text, 1, 400) AS c, doc_id % 3 AS k FROM documents)
+@query("plumb_split_prompt", """WITH p AS (SELECT doc_id AS ord, text AS c, doc_id % 3 AS k FROM documents)
 SELECT ord, md5(CASE WHEN k = 2 THEN NULL WHEN k = 1 THEN c || ' What is the number? no.' ELSE c END) AS context, CASE k WHEN 2 THEN NULL ELSE ' What is the number? ' END AS question, CASE k WHEN 2 THEN NULL ELSE 'It is' END AS answer_prefix FROM p""")
 def _(s, d):
-    c, k = F.substring(C("context"), 1, 400), C("ord") % 3
+    c, k = C("context"), C("ord") % 3
     said = F.when(k == 2, c).when(k == 1, F.concat(c, F.lit(" What is the number? no. What is the number? It is"))).otherwise(F.concat(c, F.lit(" What is the number? It is")))
     out = P.split_prompt(said, F.lit(" What is the number"))
     return rows(s, d).select("ord", out.alias("x")).select("ord", F.md5("x.context").alias("context"), "x.question", "x.answer_prefix")

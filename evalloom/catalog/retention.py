@@ -98,15 +98,20 @@ def _(s, d):
     return _out(R.retain(R.snapkv(kv, q, 8, SCALE), 0.5))
 
 
-@query("kv_pyramid", _w(weights(8), SNAP) + "SELECT layer, head, pos, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY layer, head ORDER BY round(score, 9) DESC, pos) AS rk FROM s) WHERE rk <= 20")
+_PYRAMID = """bu AS (SELECT *, k_len * 0.5::DOUBLE AS mean, k_len - 8 AS rest, 2 * (k_len * 0.5::DOUBLE) - k_len * 0.5::DOUBLE / 4 AS top FROM s),
+bv AS (SELECT *, CASE WHEN top >= rest THEN rest ELSE top END AS high, CASE WHEN top >= rest THEN 2 * mean - rest ELSE mean / 4 END AS low FROM bu),
+bw AS (SELECT *, round_even(CASE WHEN k_len >= high AND high >= low AND low >= 8 THEN high - layer * (high - low) / 2 ELSE mean END, 0) AS most, row_number() OVER (PARTITION BY layer, head ORDER BY round(score, 9) DESC, pos) AS rk FROM bv)"""
+
+
+@query("kv_pyramid", _w(weights(8), SNAP, _PYRAMID).replace("SELECT 0 AS layer", "SELECT label % 3 AS layer") + "SELECT layer, head, pos, round(score, 6) AS score FROM bw WHERE rk <= most")
 def _(s, d):
-    kv, q = _q(s, d, 8)
-    return _out(R.retain(R.snapkv(kv, q, 8, SCALE), 0.0, F.lit(R.pyramid_budget(0, 1, 40, 0.5, 8))))
+    kv = keys(s, d).withColumn("layer", C("head") % 3)
+    return _out(R.pyramidkv(kv, relations.last_queries(kv, 8), 0.5, 8, SCALE, 3, beta=4.0))
 
 
 @query("kv_tova", _w(weights(1), "tm AS (SELECT layer, pos, sum(w) / (SELECT count(DISTINCT head) FROM kv) AS a FROM w GROUP BY ALL), tj AS (SELECT kv.*, coalesce(a, 0) AS a FROM kv LEFT JOIN tm USING (layer, pos)), s AS (SELECT *, CASE WHEN pos = k_len - 1 THEN max(a) OVER (PARTITION BY layer) ELSE a END AS score FROM tj)") + kept("s", 0.5))
 def _(s, d):
-    kv, q = _q(s, d, 1)
+    kv, q = _q(s, d, 8)
     return _out(R.retain(R.tova(kv, q, SCALE), 0.5))
 
 
@@ -148,10 +153,9 @@ def _(s, d):
     return _out(R.in_chunks(R.knorm(keys(s, d)), 0.5, 10))
 
 
-@query("kv_chunkkv", _w("kk AS MATERIALIZED (SELECT * EXCLUDE (k_len), 40 AS k_len FROM kv WHERE pos < 40)", f"cs AS (SELECT layer, pos, pos // 7 AS chunk, sum(-{norm('key')}) AS sc FROM kk GROUP BY ALL), cm AS (SELECT layer, chunk, avg(sc) AS mean FROM cs GROUP BY ALL), cc AS (SELECT layer, chunk, row_number() OVER (PARTITION BY layer ORDER BY round(mean, 9) DESC, chunk) <= 3 AS whole FROM cm), ca AS (SELECT layer, pos, row_number() OVER (PARTITION BY layer ORDER BY whole DESC, CASE WHEN NOT whole THEN round(sc, 9) END DESC NULLS LAST, pos) AS place FROM cs JOIN cc USING (layer, chunk))") + f"SELECT layer, head, pos, round(-{norm('key')}, 6) AS score FROM kk WHERE pos IN (SELECT pos FROM ca WHERE place <= 21)")
+@query("kv_chunkkv", _w("mx AS (SELECT max(k_len) AS m, greatest(1, floor(ceil(max(k_len) / 7.0) * 0.5)) AS n FROM kv)", f"cs AS (SELECT layer, pos, pos // 7 AS chunk, sum(-{norm('key')}) AS sc FROM kv GROUP BY ALL), cm AS (SELECT layer, chunk, avg(sc) AS mean FROM cs GROUP BY ALL), cc AS (SELECT layer, chunk, row_number() OVER (PARTITION BY layer ORDER BY round(mean, 9) DESC, chunk) <= (SELECT n FROM mx) AS whole FROM cm), ca AS (SELECT layer, pos, row_number() OVER (PARTITION BY layer ORDER BY whole DESC, CASE WHEN NOT whole THEN round(sc, 9) END DESC NULLS LAST, pos) AS place FROM cs JOIN cc USING (layer, chunk))") + f"SELECT layer, head, pos, round(-{norm('key')}, 6) AS score FROM kv WHERE pos IN (SELECT pos FROM ca WHERE place <= (SELECT least(n * 7, m) FROM mx))")
 def _(s, d):
-    kv = keys(s, d).where("pos < 40").withColumn("k_len", F.lit(40))
-    return _out(R.whole_chunks(R.knorm(kv), 0.5, 7))
+    return _out(R.whole_chunks(R.knorm(keys(s, d)), 0.5, 7))
 
 
 @query("kv_block", _w(KNORM) + kept("s", 0.6))
@@ -159,6 +163,13 @@ def _(s, d):
     return _out(R.in_blocks(keys(s, d), R.knorm, 0.6, 16))
 
 
+@query("kv_block_of_attention")
+def _(s, d):
+    kv = keys(s, d)
+    # Attention of the last queries rates positions together, so blocks are scored one after another.
+    return R.in_blocks(kv, lambda x: R.snapkv(x, relations.last_queries(x, 4), 4, SCALE), 0.5, max(16, 1 + kv.agg(F.max("k_len")).first()[0] // 3)).select("layer", "head", "pos")
+
+
 @query("kv_composed", _w(KNORM, f"a AS (SELECT layer, head, pos, key, value, count(*) OVER (PARTITION BY layer, head) AS k_len FROM (SELECT *, row_number() OVER (PARTITION BY layer, head ORDER BY round(score, 9) DESC, pos) AS rk FROM s) WHERE rk <= floor(k_len * 0.7::DOUBLE)), b AS (SELECT *, {norm('value')} * {norm('key')} AS score FROM a)") + kept("b", 0.2))
 def _(s, d):
     by_value = lambda kv: kv.withColumn("score", V.l2(C("value")) * V.l2(C("key")))
@@ -216,7 +227,7 @@ def _(s, d):
 
 @query("kv_lazy_layers", _w(weights(1), "lz AS (SELECT layer, sum(w) / (SELECT count(DISTINCT head) FROM kv) > 0.2 AS lazy FROM w WHERE pos < 4 OR (pos >= k_len - 11 AND pos < k_len - 1) GROUP BY layer)") + "SELECT layer, head, pos FROM kv JOIN lz USING (layer) WHERE NOT lazy OR pos < 4 OR pos >= k_len - 9")
 def _(s, d):
-    kv, q = _q(s, d, 1)
+    kv, q = _q(s, d, 5)
     return R.lazy_layers(kv, q, SCALE, 0.2, 4, 10).select("layer", "head", "pos")
 
 

@@ -22,12 +22,19 @@ def _(s, d):
     return _out(R.retain(R.stored_expectation(kv, stats, D), 0.5))
 
 
-@query("kv_finch", _w(weights(8), "m AS (SELECT layer, head, pos, sum(w) AS a FROM w WHERE pos < k_len - 8 GROUP BY ALL), s AS (SELECT kv.*, coalesce(a, max(a) OVER (PARTITION BY layer)) AS score FROM kv LEFT JOIN m USING (layer, head, pos))") + kept("s", 0.5))
+@query("kv_finch", _w(weights(8), "m AS (SELECT layer, head, pos, sum(w * qpos) / 8 AS a FROM w WHERE pos < k_len - 8 GROUP BY ALL), s AS (SELECT kv.*, coalesce(a, max(a) OVER (PARTITION BY layer)) AS score FROM kv LEFT JOIN m USING (layer, head, pos))") + kept("s", 0.5))
 def _(s, d):
     kv, q = _q(s, d, 8)
     return _out(R.retain(R.finch(kv, q, 8, SCALE), 0.5))
 
 
+@query("kv_finch_chunks", _w(weights(8), f"m AS (SELECT layer, head, pos, sum(w * qpos) / 8 AS a FROM w WHERE pos < k_len - 8 GROUP BY ALL), s AS (SELECT kv.*, coalesce(a, max(a) OVER (PARTITION BY layer)) AS score FROM kv LEFT JOIN m USING (layer, head, pos)), r AS (SELECT *, row_number() OVER (PARTITION BY layer, head, pos // 20 ORDER BY round(score, 9) DESC, pos) AS r FROM s), t AS (SELECT *, row_number() OVER (PARTITION BY layer, head ORDER BY pos) - 1 AS new_pos FROM r WHERE r <= greatest(1, floor(least(20, k_len - pos // 20 * 20) * 0.5::DOUBLE)))") + f"SELECT layer, head, pos, new_pos, round(list_sum(list_transform({_rot('key', '(new_pos - pos)')}, lambda x, i: x * i)), 6) AS total FROM t")
+def _(s, d):
+    kv, q = _q(s, d, 8)
+    out = R.finch_kept(kv, q, 0.5, 8, SCALE, chunk=20, frequencies=_FR)
+    return out.select("layer", "head", "pos", "new_pos", F.round(V.total(F.transform("key", lambda x, i: x * (i + 1))), 6).alias("total"))
+
+
 _V1 = "list_sum(list_transform(value, lambda x: abs(x)))"
 
 

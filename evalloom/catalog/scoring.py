@@ -98,7 +98,7 @@ def _(s, d):
     return read(s, d, "documents").select("doc_id", extract.int_up_to_999(said).alias("n"))
 
 
-@query("extract_answer_lists")
+@query("extract_answer_lists", "SELECT doc_id, lang || '|' || source AS parsed, lang || '|' || doc_id AS listed FROM documents")
 def _(s, d):
     said = F.concat(F.lit("['"), C("lang"), F.lit("' '"), C("source"), F.lit("']"))
     line = F.concat(F.lit("so\n**Final**: ['"), C("lang"), F.lit("', "), C("doc_id").cast("string"), F.lit("]\n[x]"))

@@ -24,17 +24,36 @@ def best(answers: Column, metric: Callable[[Column], Column]) -> Column:
     return F.coalesce(F.array_max(F.transform(answers, metric)), F.lit(ZERO))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once for a row however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def occurrences(c: Column) -> Column:
+    """Each item with the number of equal ones before it, so that equal items differ."""
+
+    def numbered(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        runs = lambda b: F.transform(b, lambda at, k: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(b, k + 1), n) - at - 1), lambda j: F.concat(j.cast("string"), F.lit(" "), F.get(s, at))))
+        return F.when(n > 0, F.flatten(let(starts, runs))).otherwise(F.array().cast("array<string>"))
+
+    return let(F.sort_array(c), numbered)
+
+
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    count = lambda c, t: F.size(F.filter(c, lambda x: x == t))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(count(a, t), count(b, t)))
+    """Size of the multiset intersection of two arrays, by one sort of each."""
+    return F.size(F.array_intersect(occurrences(a), occurrences(b)))
 
 
 def f1(pred: Column, gold: Column) -> Column:
     """Token F1; 0 if the two have nothing in common."""
-    same = overlap(pred, gold).cast("double")
-    p, r = same / F.size(pred), same / F.size(gold)
-    return F.when((F.size(pred) > 0) & (F.size(gold) > 0) & (same > 0), 2 * p * r / (p + r)).otherwise(ZERO)
+
+    def of(p: Column, g: Column) -> Column:
+        part = lambda same: F.when((F.size(p) > 0) & (F.size(g) > 0) & (same > 0), 2 * (same / F.size(p)) * (same / F.size(g)) / (same / F.size(p) + same / F.size(g))).otherwise(ZERO)
+        return let(overlap(p, g).cast("double"), part)
+
+    return let(pred, lambda p: let(gold, lambda g: of(p, g)))
 
 
 def exact_match_any(pred: Column, answers: Column) -> Column:
@@ -50,8 +69,7 @@ def substring_match_any(pred: Column, answers: Column) -> Column:
 
 
 def token_f1_any(pred: Column, answers: Column) -> Column:
-    p = text.tokens(text.normalize_text(pred))
-    return best(answers, lambda a: f1(p, text.tokens(text.normalize_text(a))))
+    return let(text.tokens(text.normalize_text(pred)), lambda p: best(answers, lambda a: f1(p, text.tokens(text.normalize_text(a)))))
 
 
 def qa_f1(pred: Column, gold: Column) -> Column:
@@ -59,8 +77,7 @@ def qa_f1(pred: Column, gold: Column) -> Column:
 
 
 def qa_f1_any(pred: Column, answers: Column) -> Column:
-    p = text.tokens(text.normalize_answer(pred))
-    return best(answers, lambda a: f1(p, text.tokens(text.normalize_answer(a))))
+    return let(text.tokens(text.normalize_answer(pred)), lambda p: best(answers, lambda a: f1(p, text.tokens(text.normalize_answer(a)))))
 
 
 def characters(c: Column) -> Column:
@@ -101,15 +118,20 @@ def code_similarity(pred: Column, gold: Column) -> Column:
 
 
 def rouge_l_tokens(pred: list[str], gold: list[str]) -> float:
-    """F measure of the longest common subsequence of two token lists."""
+    """F measure of the longest common subsequence of two token lists, a row of whose table is one
+    integer: bit j is clear where the length grows at the j-th gold token."""
     if not pred or not gold:
         return 0.0
-    row = [0] * (len(gold) + 1)
+    places: dict[str, int] = {}
+    for j, g in enumerate(gold):
+        places[g] = places.get(g, 0) | 1 << j
+    every = (1 << len(gold)) - 1
+    row = every
     for p in pred:
-        last = 0
-        for j, g in enumerate(gold, 1):
-            last, row[j] = row[j], last + 1 if p == g else max(row[j], row[j - 1])
-    p, r = row[-1] / len(pred), row[-1] / len(gold)
+        if at := row & places.get(p, 0):
+            row = ((row + at) | (row - at)) & every
+    same = len(gold) - row.bit_count()
+    p, r = same / len(pred), same / len(gold)
     return 2 * p * r / (p + r + 1e-8)
 
 

@@ -50,7 +50,8 @@ def recall_weighted(kv: DataFrame, kind: str) -> DataFrame:
 
 def recalled_positions(kv: DataFrame, queries: DataFrame, sinks: int, recent: int, k: int, span: int, clip: int = -1, kind: str = "qk") -> DataFrame:
     """(layer, pos) that stay: sinks, the recent positions, and spans about the middle positions that
-    some query of some head has among its k best. All heads of a layer have one length."""
+    some query of some head has among its k best. Where heads of a layer differ in length, a position stays
+    if it does for one of them."""
     lengths = kv.groupBy("layer").agg(F.max("k_len").alias("n"))
     middle = recall_weighted(kv, kind).where((C("pos") >= sinks) & (C("pos") < C("k_len") - recent))
     chosen = A.top_keys(A.logits(queries, middle, 1.0, None), k).groupBy("layer", "pos").agg(F.count("*").alias("times"))

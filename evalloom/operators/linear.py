@@ -163,39 +163,64 @@ def ridge(kv: DataFrame, queries: DataFrame, size: int, lam: float = 1e-2, gamma
     return joined.withColumn("score", F.coalesce("_s", F.lit(1e30))).drop("_s")
 
 
-def balanced_halving(kv: DataFrame, ratio: float, sinks: int = 32, recent: int = 32, block: int = 128, gamma: float = 4.0, seed: int = 42) -> DataFrame:
-    """Halves the middle positions of each head by a self-balancing walk inside blocks, so that those
-    kept stand for those dropped; values of survivors are scaled by two per halving.
-
-    A walk is sequential inside a block, and blocks are of bounded size: each is one group.
+def _uniform(seed: int, turn: int) -> Column:
+    """A number of [0, 1) for each row of a head's order."""
+    digest = F.md5(F.concat_ws(":", F.lit(f"{seed}:{turn}"), "layer", "head", "_at"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def walked_signs(keys: np.ndarray, values: np.ndarray, draws: np.ndarray, block: int, gamma: float, temperature: float = 1.0, shift: float = 0.0) -> np.ndarray:
+    """Signs of a self-balancing walk over one block of rows. The first is +1; a later one is +1 if its draw is
+    below 1/2 - gamma * (signed sum of its kernel with those before it). Keys are centred as if the
+    block were filled up with zeros."""
+    centred = keys - keys.sum(axis=0) / block
+    kernel = np.exp(temperature * centred @ centred.T / np.sqrt(keys.shape[1]) - shift) * (1e-8 + values @ values.T + 0.025)
+    signs = np.zeros(len(keys))
+    signs[:1] = 1
+    for i in range(1, len(keys)):
+        signs[i] = 1 if draws[i] < 0.5 - gamma * float(kernel[i, :i] @ signs[:i]) else -1
+    return signs
+
+
+def balanced_halving(kv: DataFrame, ratio: float, sinks: int = 32, recent: int = 32, block: int = 128, gamma: float = 4.0, temperature: float = 1.0, shift: float = 0.0, seed: int = 42) -> DataFrame:
+    """Halves the middle positions of each head by self-balancing walks, so that those kept stand for
+    those dropped; the values of survivors are scaled by their weights over 2^halvings.
+
+    A round walks the blocks of a head's order, each a group of bounded size. Its signs give weights: with
+    c the place at which the signs of either kind have reached half of the head (the later of both, 0 for a
+    kind that never does), rows up to c weigh twice their sign, negated if the sign at c is +1, and
+    rows behind c weigh 1. The half of the largest weights stays, in the order of weights, and
+    weights multiply from round to round. A head with too few positions stays whole.
     """
     rounds = max(1, round(float(np.log2(1 / (1 - ratio))))) if ratio > 0 else 2
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        rng = np.random.default_rng((seed, int(pdf["head"].iloc[0]), int(pdf["_b"].iloc[0])))
-        for _ in range(rounds):
-            n = len(pdf)
-            if n < 2:
-                break
-            k, v = np.stack(pdf["key"].to_list()), np.stack(pdf["value"].to_list())
-            k = k - k.mean(axis=0)
-            kernel = np.exp(np.minimum(k @ k.T / np.sqrt(k.shape[1]), 30)) * (v @ v.T)
-            sign = np.zeros(n)
-            scale = gamma * np.abs(np.diag(kernel)).max() + 1e-12
-            for i in range(n):
-                lean = float(np.clip(kernel[i, :i] @ sign[:i] / scale, -1, 1))
-                sign[i] = 1 if rng.random() < 0.5 - lean / 2 else -1
-            order = np.argsort(-sign, kind="stable")[: n // 2]
-            pdf = pdf.iloc[np.sort(order)]
-        pdf["value"] = [[x * 2.0**rounds for x in v] for v in pdf["value"]]
-        return pdf
-
-    enough = C("k_len") - sinks - recent >= 2**rounds
-    middle = (C("pos") >= sinks) & (C("pos") < C("k_len") - recent) & enough
-    inner = kv.where(middle).withColumn("_b", F.floor((C("pos") - sinks) / block))
-    halved = inner.groupBy(*HEAD, "_b").applyInPandas(walk, inner.schema).drop("_b")
-    return kv.where(~middle).unionByName(halved)
+    long_enough = C("k_len") - sinks - recent >= 2**rounds
+    middle = (C("pos") >= sinks) & (C("pos") < C("k_len") - recent) & long_enough
+    rest = kv.where(~middle)
+    now = kv.where(middle).withColumns({"_at": C("pos") - sinks, "_n": C("k_len") - sinks - recent, "_w": F.lit(1.0)})
+    head, order = W.partitionBy(*HEAD), W.partitionBy(*HEAD).orderBy("_at")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    for turn in range(rounds):
+        rows = now.withColumns({"_b": F.floor(C("_at") / block), "_u": _uniform(seed, turn)})
+
+        def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_at")
+            values = np.stack(pdf["value"].to_list()) * pdf["_w"].to_numpy()[:, None]
+            pdf["_sign"] = walked_signs(np.stack(pdf["key"].to_list()), values, pdf["_u"].to_numpy(), block, gamma, temperature, shift)
+            return pdf.drop(columns=["_b", "_u"])
+
+        schema = T.StructType([*now.schema.fields, T.StructField("_sign", T.DoubleType())])
+        signed = rows.groupBy(*HEAD, "_b").applyInPandas(walk, schema)
+        half = F.floor(C("_n") / 2)
+        signed = signed.withColumns({f"_{s}": F.sum(F.when(C("_sign") == v, 1).otherwise(0)).over(upto) for s, v in (("minus", -1), ("plus", 1))})
+        firsts = [F.coalesce(F.min(F.when(C(c) == half, C("_at"))).over(head), F.lit(0)) for c in ("_minus", "_plus")]
+        signed = signed.withColumn("_c", F.greatest(*firsts))
+        at_c = F.max(F.when(C("_at") == C("_c"), C("_sign"))).over(head)
+        weight = F.when(C("_at") > C("_c"), 1.0).otherwise(2 * C("_sign") * F.when(at_c == 1, -1).otherwise(1))
+        signed = signed.withColumn("_new", weight)
+        place = F.row_number().over(W.partitionBy(*HEAD).orderBy(C("_new").desc(), "_at")) - 1
+        now = signed.withColumn("_at2", place).where(C("_at2") < half).withColumns({"_n": half, "_w": C("_w") * C("_new"), "_at": C("_at2")}).select(*now.columns)
+    scaled = F.transform("value", lambda x: x * C("_w") / F.lit(2.0**rounds))
+    return rest.unionByName(now.withColumn("value", scaled).drop("_at", "_n", "_w"))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..checkpoints import cut
 from . import attention as A
 from . import vectors as V
 from .relations import HEAD, with_length
@@ -36,9 +37,17 @@ def retain(scored: DataFrame, ratio: float, most: Column | None = None) -> DataF
     return scored.withColumn("_rank", rank(*HEAD)).where(C("_rank") <= (budget(ratio) if most is None else most)).drop("_rank")
 
 
-# Pointwise scorers
+# Pointwise scorers: each position is rated by itself
 
+POINTWISE: set[Scorer] = set()
 
+
+def pointwise(scorer: Callable) -> Callable:
+    POINTWISE.add(scorer)
+    return scorer
+
+
+@pointwise
 def knorm(kv: DataFrame) -> DataFrame:
     return kv.withColumn("score", -V.l2(C("key")))
 
@@ -49,6 +58,7 @@ def keydiff(kv: DataFrame, size: int) -> DataFrame:
     return kv.join(anchor, [*HEAD]).withColumn("score", -V.cosine(C("key"), C("anchor"))).drop("anchor")
 
 
+@pointwise
 def random_scores(kv: DataFrame, seed: int) -> DataFrame:
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), C("layer").cast("string"), C("head").cast("string"), C("pos").cast("string")))
     return kv.withColumn("score", F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296.0)
@@ -60,27 +70,35 @@ def streaming(kv: DataFrame, ratio: float, sinks: int = 4) -> DataFrame:
     return kv.withColumn("score", F.when((C("pos") >= sinks) & (C("pos") < sinks + pruned), 0.0).otherwise(1.0))
 
 
+@pointwise
 def qfilter(kv: DataFrame, filters: DataFrame) -> DataFrame:
     """filters: (layer, head, filter), learned elsewhere."""
     return kv.join(filters, [*HEAD]).withColumn("score", -V.dot(C("filter"), C("key"))).drop("filter")
 
 
+@pointwise
 def linear_surrogate(kv: DataFrame, weights: Sequence[float], bias: float = 0.0) -> DataFrame:
     return kv.withColumn("score", V.dot(C("key"), F.array(*map(F.lit, weights))) + bias)
 
 
+def _share(part: Column, whole: Column) -> Column:
+    return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
+
+
 def cur(kv: DataFrame, window: int = 16, sinks: int = 4, kind: str = "kv_product") -> DataFrame:
-    """Squared norms normalised inside blocks of positions, and again over the head."""
+    """Squared norms normalised inside blocks of positions, and again over the head. Shares of a sum of 0
+    are 0, so vectors of zeros go first."""
     block = W.partitionBy(*HEAD, F.floor(C("pos") / window))
     out = kv.withColumns({"_k": V.dot(C("key"), C("key")), "_v": V.dot(C("value"), C("value"))})
-    out = out.withColumns({"_k": C("_k") / F.sum("_k").over(block), "_v": C("_v") / F.sum("_v").over(block)})
+    out = out.withColumns({c: _share(C(c), F.sum(c).over(block)) for c in ("_k", "_v")})
     s = {"key": C("_k"), "value": C("_v"), "kv_avg": (C("_k") + C("_v")) / 2, "kv_product": C("_k") * C("_v")}[kind]
     out = out.withColumn("_s", s)
-    return out.withColumn("score", F.when(C("pos") < sinks, 1.0).otherwise(C("_s") / F.sum("_s").over(W.partitionBy(*HEAD)))).drop("_k", "_v", "_s")
+    return out.withColumn("score", F.when(C("pos") < sinks, 1.0).otherwise(_share(C("_s"), F.sum("_s").over(W.partitionBy(*HEAD))))).drop("_k", "_v", "_s")
 
 
 def lagkv(kv: DataFrame, size: int, sinks: int = 4, lag: int = 16, cross: bool = False) -> DataFrame:
-    """Spread of each token relative to the range of the next block; sinks and the tail stay."""
+    """Spread of each token relative to the range of the next block; sinks and the tail stay. A channel
+    that is constant in the next block adds no spread."""
     block = F.floor((C("pos") - sinks) / lag)
     blocks = F.floor((C("k_len") - sinks) / lag)
     inner = kv.where((C("pos") >= sinks) & (C("pos") < sinks + blocks * lag) & (C("k_len") >= sinks + 2 * lag)).withColumn("_b", block)
@@ -88,7 +106,7 @@ def lagkv(kv: DataFrame, size: int, sinks: int = 4, lag: int = 16, cross: bool =
     for c in ("key", "value"):
         ref = every.groupBy(*HEAD, (C("_b") - 1).alias("_b")).agg(F.array(*(F.min(F.get(c, F.lit(i))) for i in dims)).alias("_lo"), F.array(*(F.max(F.get(c, F.lit(i))) for i in dims)).alias("_hi"))
         inner = inner.join(ref, [*HEAD, "_b"])
-        x = F.zip_with(F.zip_with(c, "_lo", lambda a, b: a - b), F.zip_with("_hi", "_lo", lambda a, b: a - b), lambda a, b: a / b)
+        x = F.zip_with(F.zip_with(c, "_lo", lambda a, b: a - b), F.zip_with("_hi", "_lo", lambda a, b: a - b), _share)
         inner = inner.withColumn("_x", x).withColumn("_m", V.total(C("_x")) / size)
         inner = inner.withColumn("_sd", F.sqrt(F.aggregate("_x", F.lit(0.0), lambda s, v: s + (v - C("_m")) * (v - C("_m"))) / (size - 1)))
         inner = A.softmax(inner, (*HEAD, "_b"), "_sd").withColumnRenamed("w", f"_{c}").drop("_lo", "_hi", "_x", "_m", "_sd")
@@ -123,9 +141,14 @@ def snapkv(kv: DataFrame, queries: DataFrame, window: int, scale: float, kernel:
     return out.withColumn("score", F.coalesce("_p", F.max("_p").over(W.partitionBy("layer")))).drop("_a", "_p")
 
 
+def last_query(queries: DataFrame) -> DataFrame:
+    """The query at the largest position of each head."""
+    return queries.withColumn("_last", F.max("qpos").over(W.partitionBy(*HEAD))).where("qpos = _last").drop("_last")
+
+
 def tova(kv: DataFrame, queries: DataFrame, scale: float) -> DataFrame:
     """The last query's attention averaged over heads; the last position stays."""
-    last = window_attention(kv, queries.where("true"), scale)
+    last = window_attention(kv, last_query(queries), scale)
     mean = last.groupBy("layer", "pos").agg(F.sum("w").alias("_a"))
     heads = kv.groupBy("layer").agg(F.count_distinct("head").alias("_h"))
     out = kv.join(mean, ["layer", "pos"], "left").join(heads, "layer").withColumn("_a", F.coalesce("_a", F.lit(0.0)) / C("_h"))
@@ -182,7 +205,7 @@ def in_chunks(scored: DataFrame, ratio: float, length: int) -> DataFrame:
 def whole_chunks(scored: DataFrame, ratio: float, length: int) -> DataFrame:
     """Whole chunks by mean score summed over heads, filled up with the best other positions.
 
-    All heads of a layer have one length. The result has the same positions in every head.
+    The result has the same positions in every head that has them; the longest head sets the budget.
     """
     sums = scored.groupBy("layer", "pos").agg(F.sum("score").alias("s"), F.max("k_len").alias("k_len"))
     sums = sums.withColumn("chunk", F.floor(C("pos") / length))
@@ -197,9 +220,24 @@ def whole_chunks(scored: DataFrame, ratio: float, length: int) -> DataFrame:
 
 
 def in_blocks(kv: DataFrame, scorer: Scorer, ratio: float, block: int) -> DataFrame:
-    """Keeps a budget of positions while blocks arrive; for scorers that rate each position by itself
-    the outcome is that of one selection over all, which is what is run."""
-    return retain(scorer(kv), ratio)
+    """Keeps a budget of positions while blocks of ``block`` positions arrive, each scored together with
+    what the budget has kept.
+
+    For a scorer that rates each position by itself (``POINTWISE``) the outcome is that of one selection
+    over all, which is what is run. Any other one sees the survivors and the new block as a relation of
+    their own, block after block; a plan is written for each block, so their number is to be small.
+    """
+    if scorer in POINTWISE:
+        return retain(scorer(kv), ratio)
+    total = kv.agg(F.max("k_len")).first()[0] or 0
+    kept = None
+    for first in range(0, total, block):
+        new = kv.where((C("pos") >= first) & (C("pos") < first + block)).withColumn("_most", budget(ratio))
+        seen = new if kept is None else kept.unionByName(new)
+        names = [c for c in seen.columns if c != "k_len"]
+        scored = scorer(with_length(seen.select(*names)))
+        kept = cut(retain(scored, ratio, C("_most")).drop("score"))
+    return kv.limit(0) if kept is None else kv.join(kept.select(*HEAD, "pos"), [*HEAD, "pos"], "left_semi")
 
 
 def composed(*members: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
@@ -294,7 +332,7 @@ def unmasked(kv: DataFrame, masked: DataFrame) -> DataFrame:
 
 def lazy_layers(kv: DataFrame, queries: DataFrame, scale: float, threshold: float, initial: int, recent: int) -> DataFrame:
     """Layers whose last query looks at the first and the recent positions keep only those."""
-    w = window_attention(kv, queries, scale)
+    w = window_attention(kv, last_query(queries), scale)
     ends = (C("pos") < initial) | ((C("pos") >= C("k_len") - 1 - recent) & (C("pos") < C("k_len") - 1))
     heads = kv.groupBy("layer").agg(F.count_distinct("head").alias("_h"))
     lazy = w.where(ends).groupBy("layer").agg(F.sum("w").alias("_m")).join(heads, "layer").select("layer", (C("_m") / C("_h") > threshold).alias("_lazy"))
@@ -323,6 +361,24 @@ def pyramid_budget(layer: int, layers: int, length: int, ratio: float, window: i
     return round(high - layer * (high - low) / (layers - 1))
 
 
+def pyramid_budgets(layers: int, ratio: float, window: int, beta: float = 20.0) -> Column:
+    """``pyramid_budget`` of each row's layer and length."""
+    mean = C("k_len") * F.lit(1 - ratio)
+    rest = C("k_len") - window
+    wide = 2 * mean - mean / beta >= rest
+    high = F.when(wide, rest).otherwise(2 * mean - mean / beta)
+    low = F.when(wide, 2 * mean - rest).otherwise(mean / beta)
+    holds = (C("k_len") >= high) & (high >= low) & (low >= window) & F.lit(layers > 1)
+    return F.bround(F.when(holds, high - C("layer") * (high - low) / max(layers - 1, 1)).otherwise(mean))
+
+
+def pyramidkv(kv: DataFrame, queries: DataFrame, ratio: float, window: int, scale: float, layers: int, kernel: int = 5, beta: float = 20.0) -> DataFrame:
+    """snapkv under budgets that fall from the first to the last of ``layers``."""
+    if ratio == 0:
+        return kv
+    return retain(snapkv(kv, queries, window, scale, kernel), ratio, pyramid_budgets(layers, ratio, window, beta))
+
+
 def accounting(before: DataFrame, after: DataFrame) -> DataFrame:
     """Per layer the share of positions left and the least and largest length of its heads."""
     n = before.groupBy("layer").agg(F.count("*").alias("total"))
@@ -340,13 +396,26 @@ def stored_expectation(kv: DataFrame, stats: DataFrame, size: int, sinks: int =
     return out.withColumn("score", F.when(C("pos") < sinks, F.max("_s").over(W.partitionBy("layer"))).otherwise(C("_s"))).drop("_l", "w", "_s")
 
 
-def finch(kv: DataFrame, queries: DataFrame, window: int, scale: float) -> DataFrame:
-    """Attention of the last positions over those before, times how many of them see a position; the
-    window stays."""
+def finch(kv: DataFrame, queries: DataFrame, window: int, scale: float, normalize: bool = True) -> DataFrame:
+    """Mean attention of the last positions over those before, each query's weights times its position
+    (about the number of keys it sees) if ``normalize``; the window stays."""
     early = C("pos") < C("k_len") - window
-    mass = window_attention(kv, queries, scale).where(early).groupBy(*HEAD, "pos").agg(F.sum("w").alias("_a"), F.count("*").alias("_n"))
-    out = kv.join(mass, [*HEAD, "pos"], "left").withColumn("_s", C("_a") / C("_n") * C("_n"))
-    return out.withColumn("score", F.when(early, C("_s")).otherwise(F.max("_s").over(W.partitionBy("layer")))).drop("_a", "_n", "_s")
+    weight = C("w") * C("qpos") if normalize else C("w")
+    mass = window_attention(kv, queries, scale).where(early).groupBy(*HEAD, "pos").agg((F.sum(weight) / window).alias("_s"))
+    out = kv.join(mass, [*HEAD, "pos"], "left")
+    return out.withColumn("score", F.when(early, C("_s")).otherwise(F.max("_s").over(W.partitionBy("layer")))).drop("_s")
+
+
+def finch_kept(kv: DataFrame, queries: DataFrame, ratio: float, window: int, scale: float, chunk: int | None = None, frequencies: list[float] | None = None, normalize: bool = True) -> DataFrame:
+    """What finch leaves: the best of all, or with ``chunk`` of each chunk of positions; with ``frequencies``
+    the kept keys are rotated to consecutive positions."""
+    if ratio == 0:
+        return kv
+    if chunk is not None and chunk <= window / (1 - ratio):
+        raise ValueError(f"chunks must be longer than {window / (1 - ratio):g}, so that the window stays")
+    scored = finch(kv, queries, window, scale, normalize)
+    kept = retain(scored, ratio) if chunk is None else in_chunks(scored, ratio, chunk)
+    return rerotated(kept, frequencies) if frequencies else kept
 
 
 def critical_adaptive_mask(scored: DataFrame, ratio: float, safe: float = 0.2, first: float = 0.5, epsilon: float = 1e-4) -> DataFrame:

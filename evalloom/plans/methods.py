@@ -36,10 +36,11 @@ for _name, _scorer, _aliases in (
     ("dms", R.threshold_mask, ()),
     ("duo_attention", R.streaming_heads_mask, ()),
     ("kvzip", R.lowest_mask, ()),
-    ("kvzap", R.linear_surrogate, ()),
+    ("kvzap", L.surrogate, ()),
+    ("kvzap_linear", R.linear_surrogate, ()),
     ("simlayerkv", R.lazy_layers, ()),
     ("expected_attention_stats", R.stored_expectation, ()),
-    ("finch", R.finch, ()),
+    ("finch", R.finch_kept, ()),
     ("critical_adakv", R.critical_adaptive_mask, ()),
     ("leverage", L.leverage, ()),
     ("fastkvzip", L.gate, ()),
@@ -48,7 +49,7 @@ for _name, _scorer, _aliases in (
     ("ridge", L.ridge, ()),
     ("random_sketch_press", L.ridge, ()),
     ("balancekv", L.balanced_halving, ()),
-    ("pyramidkv", R.snapkv, ()),
+    ("pyramidkv", R.pyramidkv, ()),
 ):
     compressors.register(_name, _aliases)(_scorer)
 

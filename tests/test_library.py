@@ -139,6 +139,9 @@ def test_config(tmp_path):
     assert c.tag() == "ruler32k__a--b__vllm__t0__p1__subsets_x-y__fraction0.500"
     first, second, third = c.run_dir(), c.run_dir(), c.run_dir()
     assert (second, third) == (first / "1", first / "2")
+    (first / "3").write_text("in the way")
+    assert c.run_dir() == first / "4"
+    assert RunConfig(max_requests_per_subset={" a ": "3", " ": -1}).max_requests_per_subset == {"a": 3}
     c.save(tmp_path / "c.yaml")
     assert load_file(tmp_path / "c.yaml")["fraction"] == 0.5
     with pytest.raises(FileNotFoundError):
