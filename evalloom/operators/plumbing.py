@@ -145,6 +145,31 @@ def split_prompt(source: Column, anchor: Column) -> Column:
     return F.when((at > 0) & (end > 0), parts)
 
 
+def chat_body(prompt: Column, head: str = "<|im_start|>user\n", end: str = "<|im_end|>", answer: str = "\n<|im_start|>assistant\n") -> Column:
+    """The last user turn of a prompt in a chat template, without its frame; a prompt without a template
+    stays, but for white space at its end."""
+    at = last_position(prompt, F.lit(head))
+    body = F.when(at > 0, F.substring(prompt, at + len(head), F.length(prompt))).otherwise(prompt)
+    tail = last_position(body, F.lit(end + answer))
+    bare = F.regexp_replace(body, r"(?U)\s+$", "")
+    bare = F.when(bare.endswith(end), F.substring(bare, F.lit(1), F.length(bare) - len(end))).otherwise(bare)
+    return F.when(tail > 0, F.substring(body, F.lit(1), tail - 1)).otherwise(bare)
+
+
+def context_or_question(context: Column, question: Column) -> Column:
+    """The context, or the question where it is null or empty."""
+    return F.when(F.coalesce(context, F.lit("")) == "", question).otherwise(context)
+
+
+def sentinel_split(rendered: Column, sentinel: Column) -> Column:
+    """Struct of what stands before and behind a sentinel that was put through a template with the
+    text; null where it does not occur exactly once."""
+    at = F.locate("\0", F.replace(rendered, sentinel, F.lit("\0")))
+    once = F.length(rendered) - F.length(F.replace(rendered, sentinel, F.lit(""))) == F.length(sentinel)
+    parts = F.struct(F.substring(rendered, F.lit(1), at - 1).alias("context"), F.substring(rendered, at + F.length(sentinel), F.length(rendered)).alias("suffix"))
+    return F.when(once & (at > 0), parts)
+
+
 def strip_system_block(c: Column) -> Column:
     """Without the block that a chat template adds by itself: two rewrites that keep what precedes."""
     out = F.regexp_replace(c, r"(?s)(<\|begin_of_text\|>)<\|start_header_id\|>system<\|end_header_id\|>.*?<\|eot_id\|>", "$1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -19,6 +21,22 @@ ANSWER_PROMPT = (
     "Question: {question}\nAnswer:"
 )
 
+REFINE_PROMPT = (
+    "The original question is: {question}\nExisting answer: {answer}\nAdditional context is below.\n---------------------\n"
+    "{context}\n---------------------\nRefine the existing answer using the additional context if it is helpful. "
+    "Otherwise keep the existing answer. If the answer is not in the context, output only the word: unanswerable\nRefined answer:"
+)
+
+
+def filled(template: str, **parts: Column) -> Column:
+    """A template with columns in its places."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(F.coalesce(parts[x], F.lit("")) if k % 2 else F.lit(x) for k, x in enumerate(pieces)))
+
+
+def refine_prompt(question: Column, answer: Column, context: Column) -> Column:
+    return filled(REFINE_PROMPT, question=question, answer=answer, context=context)
+
 
 def chunks(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, chunk_id, text): windows of words at a fixed stride; the last reaches the end."""

@@ -37,9 +37,13 @@ def _long(metric: str, means: DataFrame, scope: str) -> DataFrame:
     return means.select(F.lit(scope).alias("scope"), C("task").cast("string").alias("task"), F.lit(metric).alias("metric"), C("score").cast("double").alias("value"))
 
 
+def _count(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.lit("total_samples").alias("scope"), F.lit(None).cast("string").alias("task"), F.lit("count").alias("metric"), F.count("*").cast("double").alias("value"))
+
+
 def rollup(rows: DataFrame, digits: int | None, by_task: bool = True) -> DataFrame:
     """(scope, task, metric, value): the overall score, task scores and the number of rows."""
-    total = rows.agg(F.lit("total_samples").alias("scope"), F.lit(None).cast("string").alias("task"), F.lit("count").alias("metric"), F.count("*").cast("double").alias("value"))
+    total = _count(rows)
     if not by_task:
         return total.union(rows.agg(F.lit("overall"), F.lit(None).cast("string"), F.lit("score"), R.percent("score")))
     means = R.task_means(rows, digits=digits)
@@ -78,8 +82,10 @@ def _choice(df: DataFrame) -> DataFrame:
     return df.withColumn("score", metrics.flag(extract.steered_choice(text_of("prediction", True)) == F.upper(gold)))
 
 
-def _token_f1(preferred: str = "answer") -> Callable[[DataFrame], DataFrame]:
-    return lambda df: df.withColumn("score", metrics.token_f1_any(text_of("prediction", True), answers(df, preferred)))
+def _loogle(df: DataFrame) -> DataFrame:
+    """Token F1, but exact match for cloze questions."""
+    pred, gold = text_of("prediction", True), answers(df, "answer")
+    return df.withColumn("score", F.when(C("task") == "shortdep_cloze", metrics.exact_match_any(pred, gold)).otherwise(metrics.token_f1_any(pred, gold)))
 
 
 def _containment(df: DataFrame) -> DataFrame:
@@ -99,28 +105,75 @@ def _gsm(df: DataFrame) -> DataFrame:
 
 
 def _integers(df: DataFrame) -> DataFrame:
-    found = extract.int_up_to_999(text_of("prediction", True))
     gold = F.transform(answers(df, "answer"), extract.int_up_to_999)
-    return df.withColumn("score", metrics.flag((found != "") & F.array_contains(gold, found)))
+    df = df.withColumn("extracted", extract.int_up_to_999(text_of("prediction", True)))
+    return df.withColumn("score", metrics.flag((C("extracted") != "") & F.array_contains(gold, C("extracted"))))
+
+
+def _several() -> Column:
+    """Whether a task asks for a set of answers."""
+    return C("task").startswith("qampari") | C("task").startswith("quest")
 
 
 def _lists(df: DataFrame) -> DataFrame:
-    """List answers: set tasks want a match of their own for every gold, others the first item."""
+    """List answers, as score (subspan), em, f1 and coverage. Set tasks want a match of their own for every gold;
+    they have no f1, and no coverage without a list. Others take the first item and have no coverage.
+    Without golds or a list all that applies is 0."""
     # The list is parsed in Arrow batches; higher-order functions take it from a column of its own.
     df = df.withColumn("_items", extract.extract_list(text_of("prediction", False)))
-    items = F.transform("_items", lambda x: metrics.text.normalize_answer(x))
-    gold = F.transform(answers(df), lambda x: metrics.text.normalize_answer(x))
-    first = F.coalesce(F.get(items, F.lit(0)), F.lit(""))
-    single = metrics.flag(F.exists(gold, lambda g: F.contains(first, g)))
-    several = C("task").startswith("qampari") | C("task").startswith("quest")
-    return df.withColumn("score", F.when(several, metrics.multi_subspan(gold, items)).otherwise(single)).drop("_items")
+    normal = lambda c: F.transform(c, lambda x: metrics.text.normalize_answer(x))
+    df = df.withColumns({"_items": normal("_items"), "_gold": normal(F.filter(answers(df), lambda x: x.isNotNull()))})
+    items, gold, first = C("_items"), C("_gold"), F.coalesce(F.get("_items", F.lit(0)), F.lit(""))
+    both, zero = (F.size(items) > 0) & (F.size(gold) > 0), F.lit(0.0)
+    tokens = metrics.text.tokens
+    out = {
+        "score": F.when(_several(), metrics.multi_subspan(gold, items)).otherwise(metrics.flag(F.exists(gold, lambda g: F.contains(first, g)))),
+        "em": F.when(_several(), metrics.set_match(gold, items)).otherwise(metrics.flag(F.array_contains(gold, first))),
+        "f1": F.when(~_several(), metrics.let(tokens(first), lambda p: metrics.best(gold, lambda g: metrics.f1(p, tokens(g))))),
+        "coverage": F.when(_several() & ((F.size(items) > 0) | (F.size(gold) == 0)), metrics.coverage(gold, items)),
+    }
+    wanted = {"f1": ~_several(), "coverage": C("coverage").isNotNull()}
+    df = df.withColumns(out)
+    df = df.withColumns({k: F.when(both, C(k)).when(wanted.get(k, F.lit(True)), zero) for k in out})
+    return df.drop("_items", "_gold")
+
+
+def _lists_rollup(df: DataFrame) -> DataFrame:
+    """Task means of every measure in percent, and the means of these over the tasks."""
+    names = {"subspan_em": "score", "em": "em", "f1": "f1", "coverage": "coverage"}
+    means = df.where(C("task").isNotNull()).groupBy("task").agg(*(R.percent(c).alias(k) for k, c in names.items()))
+    # A set task of which no row has a list has a coverage of 0.
+    means = means.withColumn("coverage", F.when(_several(), F.coalesce("coverage", F.lit(0.0))))
+    long = means.unpivot(["task"], list(names), "metric", "value").where("value is not null")
+    tasks = long.select(F.lit("task_scores").alias("scope"), C("task").cast("string").alias("task"), "metric", "value")
+    overall = long.groupBy("metric").agg(F.avg("value").alias("value"))
+    whole = overall.select(F.lit("overall_metrics").alias("scope"), F.lit(None).cast("string").alias("task"), "metric", "value")
+    head = means.agg(F.lit("overall"), F.lit(None).cast("string"), F.lit("score"), F.avg("subspan_em"))
+    return _count(df).union(head).union(whole).union(tasks)
 
 
 def _unscored(df: DataFrame) -> DataFrame:
-    """No gold answers: the score is a placeholder of 0, the length of the response is reported."""
+    """No gold answers: the score is a placeholder of 0; the rollup reports the length of responses."""
     return df.withColumn("score", F.lit(0.0))
 
 
+def _unscored_rollup(df: DataFrame) -> DataFrame:
+    """Per task the mean length of responses in characters and the number of rows, and the mean over tasks."""
+    means = df.where(C("task").isNotNull()).groupBy("task").agg(R.response_length(C("prediction")).alias("avg_response_length"), F.count("*").cast("double").alias("num_samples"))
+    tasks = means.unpivot(["task"], ["avg_response_length", "num_samples"], "metric", "value").select(F.lit("task_scores"), C("task").cast("string"), "metric", "value")
+    overall = [means.agg(F.lit("overall"), F.lit(None).cast("string"), F.lit(m), v) for m, v in (("score", F.lit(0.0)), ("avg_response_length", F.avg("avg_response_length")))]
+    return _count(df).union(overall[0]).union(overall[1]).union(tasks)
+
+
+def _integers_rollup(df: DataFrame) -> DataFrame:
+    """The share of right rows, and of rows from which an integer was read."""
+    whole = R.rates(C("extracted"), C("score") > 0)
+    out = _count(df)
+    for metric, value in (("score", whole["accuracy"]), ("exact_match", whole["accuracy"]), ("extraction_rate", whole["extraction_rate"])):
+        out = out.union(df.agg(F.lit("overall"), F.lit(None).cast("string"), F.lit(metric), value))
+    return out
+
+
 def _table(spark: SparkSession, path: str, names: list[str] | None) -> DataFrame:
     return tables.subsets(spark, path, names)
 
@@ -138,20 +191,21 @@ def _add(name: str, description: str, score: Callable, roll: Callable, defaults:
 
 
 _TOKENS = {"max_new_tokens": 128}
-for _name in ("ruler", "ruler16k", "ruler32k", "ruler64k", "ruler128k"):
+_add("ruler", "retrieval and tracing over long contexts, by containment either way", _containment, _macro(2), _TOKENS)
+for _name in ("ruler16k", "ruler32k", "ruler64k", "ruler128k"):
     _add(_name, "retrieval and tracing over long contexts", _ruler(), _ruler_rollup, _TOKENS)
 _add("longbench", "21 tasks with their own metrics", _long_bench, _long_rollup, _TOKENS)
 _add("longbenchv2", "four-way choice", _choice, _macro(None), _TOKENS)
 _add("infinite_bench", "nine task metrics", _infinite, _macro(2), _TOKENS)
-_add("loft", "list answers", _lists, _macro(None), _TOKENS, ("loft_rag",))
-_add("loogle", "question answering", _token_f1("answer"), _macro(None), _TOKENS)
-_add("zero_scrolls", "no gold answers", _unscored, _micro, _TOKENS)
+_add("loft", "list answers", _lists, _lists_rollup, _TOKENS, ("loft_rag",))
+_add("loogle", "question answering", _loogle, _macro(None), _TOKENS)
+_add("zero_scrolls", "no gold answers", _unscored, _unscored_rollup, _TOKENS)
 _add("prism1m", "a million tokens", _containment, _macro(2), {"max_new_tokens": 512})
 _add("mock_benchmark", "two rows for smoke runs", _exact, _micro, {})
 for _name in ("gsm_infinite_hard_128k", "gsm_infinite_medium_128k", "gsm_infinite_symbolic_128k"):
     _add(_name, "arithmetic over long contexts", _gsm, _micro, {"max_new_tokens": 512})
 for _name in ("aime", "aime2024", "aime2025"):
-    _add(_name, "integers from 0 to 999", _integers, _micro, {"max_new_tokens": 32000})
+    _add(_name, "integers from 0 to 999", _integers, _integers_rollup, {"max_new_tokens": 32000})
 
 
 @answerers.register("echo")

@@ -146,7 +146,7 @@ def test_config(tmp_path):
     assert load_file(tmp_path / "c.yaml")["fraction"] == 0.5
     with pytest.raises(FileNotFoundError):
         load_file(tmp_path / "none.yaml")
-    assert int(100 * (1 - target_ratio(100, 37))) == 37
+    assert all(int(n * (1 - target_ratio(n, t))) == min(n, t) for n in range(1, 300, 7) for t in range(1, 320, 3))
 
 
 def test_registries():
