@@ -17,7 +17,7 @@ runs in three steps.
    A set of which too many shingles occur nowhere else in the group can have no partner and is
    taken out first. Candidates already known to be in one component are not compared again.
 
-A group above ``PART_SHINGLES`` is dealt into some blocks by hash, and one above ``BLOCK_SHINGLES``
+A group above ``PART_SHINGLES`` is dealt into ``PARTS`` blocks by hash, and one above ``BLOCK_SHINGLES``
 for each block into as many as that needs; blocks are searched one against another, so a task holds two
 blocks at most and no link is lost; its links then go through the distributed
 components. Equality of the 64-bit shingle hashes stands for equality of shingles.
@@ -49,8 +49,8 @@ from .hashing import U64, mix, shingles, splitmix
 
 #: Shingles held by one block of a group, at most; two blocks are held at a time.
 BLOCK_SHINGLES = 1_500_000
-#: Shingles from which a group is searched by several tasks, in up to ``PARTS`` blocks.
-PART_SHINGLES, PARTS = 200_000, 6
+#: Shingles from which a group is searched by three tasks, in two blocks, so that each set is sent twice.
+PART_SHINGLES, PARTS = 600_000, 2
 #: Ratio between the ends of a size interval.
 SIZE_RATIO = 1.5
 #: Classes dealt for each one that the differences need, and the members a class should have.
