@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import base, decoding, linear, more, plumbing, retention, retention_more, scoring, streams  # noqa: F401 - importing a module registers its queries
+from .catalog import base, benchmarks, decoding, linear, more, plumbing, retention, retention_more, scoring, streams  # noqa: F401 - importing a module registers its queries
 
 
 def queries() -> dict[str, base.Query]:

@@ -1,6 +1,7 @@
 """Laws of the operators, streams against batches, and the artefacts of a run."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from evalloom.config import RunConfig, load_file, target_ratio
 from evalloom.operators import attention as A
 from evalloom.operators import chunked_attention as K
 from evalloom.operators import plumbing as P
-from evalloom.operators import relations
+from evalloom.operators import relations, rollup
 from evalloom.operators import retention as R
 from evalloom.operators import vectors as V
 from evalloom.plans import evaluation, methods
@@ -231,3 +232,84 @@ def test_schedule_of_a_chunked_prompt(spark, tmp_path):
         assert len(kept) == 3 and len(calls) == want
     with pytest.raises(ValueError, match="unknown"):
         S.scheduled({"other"}, None, None)
+
+
+def test_rounding_is_that_of_plain_conversions(spark):
+    values = [66.665, 12.345, 0.125, 0.375, 2.675, 1.005, 99.995, 0.0, 100.0, -1.005, -0.125, 1e13 / 3, *(k / 32 * 100 for k in range(33)), *(k / 7 * 100 for k in range(8)), *(k / 200 for k in range(1, 400, 2))]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
+    found = {r.k: r.r for r in df.select("k", rollup.rounded(F.col("v")).alias("r")).collect()}
+    assert [found[k] for k, v in enumerate(values) if abs(v) < 1e12] == [round(v, 2) for v in values if abs(v) < 1e12]
+
+
+class Recorder:
+    """An answerer that writes down what is asked of it."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def note(self, line):
+        with open(f"{self.path}/{os.getpid()}", "a") as f:
+            f.write(line + "\n")
+
+    def setup(self, context):
+        self.context = context
+        self.note(f"setup {context}")
+
+    def predict(self, row):
+        if row["question"] == "fail":
+            raise RuntimeError("no answer")
+        return f"{self.context}/{row['question']}"
+
+    def teardown(self):
+        self.note(f"teardown {self.context}")
+
+
+def test_a_context_is_set_up_once_for_its_rows(spark, tmp_path):
+    from evalloom.plans import contexts
+
+    path = str(tmp_path)
+    rows = spark.createDataFrame([(k, None if k % 10 == 9 else f"c{k % 4}", f"q{k}", "old") for k in range(40)], "ord int, context string, question string, prediction string")
+    found = {r.ord: r.prediction for r in contexts.answer_by_context(rows, lambda: Recorder(path)).collect()}
+    assert found == {k: None if k % 10 == 9 else f"c{k % 4}/q{k}" for k in range(40)}
+    notes = "".join(p.read_text() for p in tmp_path.iterdir()).split("\n")
+    assert sorted(x for x in notes if x) == sorted(f"{w} c{k}" for k in range(4) for w in ("setup", "teardown"))
+    # A large group is dealt into parts, each with its own set-up, and loses no row.
+    parts = contexts.answer_by_context(rows.withColumn("context", F.lit("one")), contexts.Counted, most=8)
+    assert {r.ord: r.prediction for r in parts.collect()} == {k: f"1:q{k}" for k in range(40)}
+    assert contexts.answer_by_context(rows.limit(0), contexts.Counted).count() == 0
+
+
+def test_a_failing_answerer_is_torn_down(spark, tmp_path):
+    from evalloom.plans import contexts
+
+    path = str(tmp_path)
+    rows = spark.createDataFrame([(0, "c", "fail")], "ord int, context string, question string")
+    with pytest.raises(Exception, match="no answer"):
+        contexts.answer_by_context(rows, lambda: Recorder(path)).collect()
+    notes = [line for p in tmp_path.iterdir() for line in p.read_text().split("\n") if line]
+    assert notes.count("setup c") == notes.count("teardown c") > 0
+
+
+def test_one_pass_retrieval_refines_with_what_does_not_fit():
+    from evalloom.plans.contexts import OnePass, sentence_chunks
+
+    prompts = []
+    one = OnePass(generate=lambda p: prompts.append(p) or f"a{len(prompts)}", size=6, overlap=2, top=3, room=40)
+    one.setup("Alpha beta gamma. Delta epsilon zeta eta. Theta iota. Kappa lambda mu nu xi. Omicron pi.")
+    assert one.predict({"question": "kappa lambda"}) == f"a{len(prompts)}"
+    assert "Kappa lambda" in prompts[0] and "Existing answer: a1" in prompts[1]
+    one.teardown()
+    one.setup("")
+    assert one.predict({"question": "x"}).startswith("a")
+    chunks = sentence_chunks("A b c. D e. F g h i j k l m. N.", 5, 2)
+    assert chunks == ["A b c. D e.", "F g h i j", "k l m. N."]
+
+
+def test_configuration_of_a_cell():
+    from evalloom.config import cell_config
+
+    base = RunConfig(model="m", temperature=0.7, max_new_tokens=9, llm_kwargs={"dtype": "x", "research_config": {"prefill_chunk_size": 5}})
+    cell = cell_config(base, {"cell_id": "Compactor__r0.6", "method": "compactor", "ratio": 0.6}, ["a", "b"], "/out")
+    assert (cell.benchmark, cell.backend, cell.subsets, cell.max_new_tokens, cell.temperature, cell.output_dir) == ("longbench", "research", "a,b", None, 0.0, "/out/Compactor__r0.6")
+    assert cell.llm_kwargs == {"dtype": "x", "research_config": {"attention_method": "none", "kv_compressor": "compactor", "compression_ratio": 0.6, "kv_compressor_kwargs": {"seed": 42}}}
+    assert cell_config(base, {"cell_id": "Full", "method": None, "ratio": None}, [], "/out").llm_kwargs["research_config"] == {"attention_method": "none", "kv_compressor": "none", "compression_ratio": 0.0}
