@@ -6,10 +6,11 @@ out of the library's parts: the character map, removal of extra spaces, the dumm
 metaspace marker as normalisers, and a unigram or a BPE model with byte fallback. For BPE the merges
 are every split of a piece into two pieces, ranked as the merged pieces are.
 
-Where no piece has the marker after another character, no segmentation crosses the end of a run of
-non-markers. If the normaliser does nothing but set markers, texts are therefore cut there, each
-distinct segment of a batch is encoded once and a bounded number are remembered; otherwise a text is
-encoded as a whole. The library encodes batches by several threads. Whatever is encoded, segment or
+Every text goes through the rebuilt normaliser. Where no piece has the marker after another character,
+no segmentation crosses the end of a run of non-markers. If the normaliser does nothing but set
+markers, normalised texts are therefore cut there, and each distinct segment of a batch is encoded and
+decoded by the rebuilt tokenizer once; a bounded number are remembered. Otherwise texts are encoded and
+decoded whole. The library encodes batches by several threads. Whatever is encoded, segment or
 text, is verified against the sentencepiece library, and a row that holds something that differs takes
 the ids of that library, so the ids are always the model's; ``parity`` is false for such rows.
 
@@ -27,6 +28,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from hashlib import sha256
 from itertools import chain, islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -138,29 +140,15 @@ class Model:
             out.normalizer = normalizers.Sequence(steps)
         if self.cuts():
             out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
-        parts = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-        out.decoder = decoders.Sequence([*parts, decoders.Strip(" ", 1, 0)] if self.dummy_prefix else parts)
+        # The space of the dummy prefix is taken off a whole text, not off each of its segments.
+        silent = [decoders.Replace(p, " \u2047 " if t == UNKNOWN else "") for p, _, t in self.pieces if t in (UNKNOWN, CONTROL)]
+        out.decoder = decoders.Sequence([*silent, decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         return out
 
-
     def plain(self) -> bool:
         """Whether segments can be encoded one by one."""
         return self.cuts() and self.escape and self.dummy_prefix and not self.charsmap and not self.remove_extra
 
-    def surfaces(self) -> list[bytes]:
-        """The bytes that each id stands for."""
-        out = []
-        for p, _, t in self.pieces:
-            if t == BYTE:
-                out.append(bytes([int(p[3:5], 16)]))
-            elif t == CONTROL:
-                out.append(b"")
-            elif t == UNKNOWN:
-                out.append(" \u2047 ".encode())
-            else:
-                out.append((p.replace(MARK, " ") if self.escape else p).encode())
-        return out
-
 
 def default_model() -> str:
     import public_tokenizers
@@ -168,68 +156,94 @@ def default_model() -> str:
     return public_tokenizers.path(MODEL)
 
 
+_FIRST, _SECOND = itemgetter(0), itemgetter(1)
+
+
+class Rebuilt:
+    """The tokenizer rebuilt from a model file, and the library that it is verified against."""
+
+    def __init__(self, path: str) -> None:
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        import sentencepiece
+
+        with open(path, "rb") as f:
+            model = Model.parse(f.read())
+        self.ours, self.theirs = model.tokenizer(), sentencepiece.SentencePieceProcessor(model_file=path)
+        self.prefix, self.by_segment = model.dummy_prefix, model.plain()
+        self.is_byte = np.array([p[2] == BYTE for p in model.pieces])
+        self.normalizer = self.ours.normalizer
+        if self.by_segment:  # texts are normalised before they are cut
+            self.ours.normalizer = self.ours.pre_tokenizer = None
+        #: By segment its ids and what they decode to; no ids where the libraries differ.
+        self.known: dict[str, tuple[list[int] | None, str]] = {}
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return [self._bare(x) for x in self.ours.decode_batch(ids, skip_special_tokens=False)]
+
+    def _bare(self, text: str) -> str:
+        return text[1:] if self.prefix and text[:1] == " " else text
+
+    def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[str]]:
+        """Ids of each text, whether both libraries agree on them, and what they decode to."""
+        return self._cut(texts) if self.by_segment else self._whole(texts)
+
+    def _whole(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[str]]:
+        found = [e.ids for e in self.ours.encode_batch_fast(texts, add_special_tokens=False)]
+        check = self.theirs.encode(texts, num_threads=1)
+        same = [a == b for a, b in zip(found, check, strict=True)]
+        return [np.array(x, np.int32) for x in check], same, self.decode(check)
+
+    def _cut(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[str]]:
+        known, normal = self.known, self.normalizer.normalize_str
+        cut = [segments(normal(t)) if t else [] for t in texts]
+        held = {x: known.get(x) for x in dict.fromkeys(chain.from_iterable(cut))}
+        new = [x for x, v in held.items() if v is None]
+        found = [e.ids for e in self.ours.encode_batch_fast([MARK + x for x in new], add_special_tokens=False)]
+        check = self.theirs.encode([x.replace(MARK, " ") for x in new], num_threads=1)
+        decoded = self.ours.decode_batch(found, skip_special_tokens=False)
+        for x, ids, other, text in zip(new, found, check, decoded, strict=True):
+            # By itself, an empty text has no marker; within another one it has.
+            held[x] = (ids if ids == other or not x else None, text)
+        # The segments that come first are remembered: most later ones are rare.
+        known.update((x, held[x]) for x in islice(new, max(0, CACHE - len(known))))
+        odd = {x for x, v in held.items() if v[0] is None}
+        look = held.__getitem__
+        out: tuple[list, list, list] = ([], [], [])
+        for t, c in zip(texts, cut, strict=True):
+            agreed = not odd or odd.isdisjoint(c)
+            if agreed:
+                parts = list(map(look, c))
+                ids, text = np.fromiter(chain.from_iterable(map(_FIRST, parts)), np.int32), self._bare("".join(map(_SECOND, parts)))
+            else:
+                own = self.theirs.encode(t)
+                ids, text = np.array(own, np.int32), self.decode([own])[0]
+            for column, v in zip(out, (ids, agreed, text), strict=True):
+                column.append(v)
+        return out
+
+
 @lru_cache(maxsize=4)
-def load(path: str):
-    """(tokenizer, sentencepiece's processor, ids of the byte pieces, bytes of each id, whether a
-    prefix is added, the segments known so far or None) of a model file."""
-    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
-    os.environ["TOKENIZERS_PARALLELISM"] = "true"
-    import sentencepiece
-
-    with open(path, "rb") as f:
-        model = Model.parse(f.read())
-    own = [i for i, p in enumerate(model.pieces) if p[2] == BYTE]
-    ours = model.tokenizer()
-    if model.plain():
-        ours.normalizer = ours.pre_tokenizer = None
-    known: dict[str, list[int] | bool] | None = {} if model.plain() else None
-    return ours, sentencepiece.SentencePieceProcessor(model_file=path), np.array(own, dtype=np.int64), model.surfaces(), model.dummy_prefix, known
-
-
-def segments(text: str) -> list[str]:
-    """The text cut before each run of spaces; a segment is written without its last space."""
-    text = text.replace(MARK, " ")
-    if "  " not in text and text[:1] != " ":
-        return text.split(" ")
-    return [x[1:] for x in re.findall(" +[^ ]*", " " + text)]
-
-
-def _by_segment(texts: list[str], path: str) -> tuple[list[list[int]], list[bool]]:
-    """Ids of texts cut into segments; each new segment is encoded and verified once."""
-    ours, theirs, *_, known = load(path)
-    cut = [segments(t) if t else [] for t in texts]
-    held = {x: known.get(x) for c in cut for x in c}
-    new = [x for x, v in held.items() if v is None]
-    for x, e, check in zip(new, ours.encode_batch_fast([MARK + x.replace(" ", MARK) for x in new], add_special_tokens=False), theirs.encode(new, num_threads=1), strict=True):
-        # By itself, an empty text has no marker; within another one it has.
-        held[x] = e.ids if e.ids == check or not x else False
-    # The segments that come first are remembered: most later ones are rare.
-    known.update((x, held[x]) for x in islice(new, max(0, CACHE - len(known))))
-    odd = {x for x, v in held.items() if v is False}
-    same = [odd.isdisjoint(c) for c in cut] if odd else [True] * len(cut)
-    look = held.__getitem__
-    return [list(chain.from_iterable(map(look, c))) if ok else theirs.encode(t) for t, c, ok in zip(texts, cut, same, strict=True)], same
+def load(path: str) -> Rebuilt:
+    return Rebuilt(path)
+
+
+def segments(normal: str) -> list[str]:
+    """A normalised text cut before each run of markers; a segment is written without its first one."""
+    if MARK + MARK not in normal and normal[-1:] != MARK:
+        return normal[1:].split(MARK)
+    return [x[1:] for x in re.findall(f"{MARK}+[^{MARK}]*", normal)]
 
 
 def encode_texts(texts: list[str], path: str) -> tuple[list[list[int]], list[bool]]:
     """Ids of each text, and whether both libraries agree on them."""
-    ours, theirs, *_, known = load(path)
-    if known is not None:
-        return _by_segment(texts, path)
-    ids = [e.ids for e in ours.encode_batch_fast(texts, add_special_tokens=False)]
-    check = theirs.encode(texts, num_threads=1)
-    same = [a == b for a, b in zip(ids, check, strict=True)]
-    return [a if ok else b for a, b, ok in zip(ids, check, same, strict=True)], same
+    ids, same, _ = load(path)(texts)
+    return [x.tolist() for x in ids], same
 
 
 def decode_texts(ids: list[list[int]], path: str) -> list[str]:
-    """The text of each list of ids: the bytes of its pieces without the prefix."""
-    surfaces, prefix = load(path)[3:5]
-    out = []
-    for x in ids:
-        raw = b"".join([surfaces[i] for i in x])
-        out.append((raw[1:] if prefix and raw[:1] == b" " else raw).decode("utf-8", "replace"))
-    return out
+    """The text of each list of ids."""
+    return load(path).decode(ids)
 
 
 def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -253,10 +267,10 @@ def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = No
             given = b.column(len(keep)).to_pylist()
             texts = [t or "" for t in given]
             for start, end in _batches(texts):
-                ids, same = encode_texts(texts[start:end], path)
+                ids, same, back = load(path)(texts[start:end])
                 part = b.slice(start, end - start)
-                lists = as_lists([np.array(x, dtype=np.int32) for x in ids], pa.int32())
-                decoded = [None if t is None else x for t, x in zip(given[start:end], decode_texts(ids, path), strict=True)]
+                lists = as_lists(ids, pa.int32())
+                decoded = [None if t is None else x for t, x in zip(given[start:end], back, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], lists, pa.array(same), pa.array(decoded, pa.string())], names=[*keep, "input_ids", "parity", "decoded"])
 
     new = {"input_ids": ArrayType(IntegerType()), "parity": BooleanType(), "decoded": StringType()}
@@ -276,10 +290,9 @@ def summarize(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             for start, end in _batches(texts):
-                ids, same = encode_texts(texts[start:end], path)
-                back = decode_texts(ids, path)
-                arrays = [np.array(x, dtype="<i4") for x in ids]
-                cols = [pa.array([len(x) for x in ids], pa.int64()), pa.array([int(np.isin(x, load(path)[2]).sum()) for x in arrays], pa.int64()), pa.array([sha256(x.tobytes()).hexdigest() for x in arrays]), pa.array(same), pa.array([x == t for x, t in zip(back, texts[start:end], strict=True)])]
+                ids, same, back = load(path)(texts[start:end])
+                is_byte = load(path).is_byte
+                cols = [pa.array([len(x) for x in ids], pa.int64()), pa.array([int(is_byte[x].sum()) for x in ids], pa.int64()), pa.array([sha256(x.astype("<i4", copy=False)).hexdigest() for x in ids]), pa.array(same), pa.array([x == t for x, t in zip(back, texts[start:end], strict=True)])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, end - start), *cols], names=["doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "parity", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

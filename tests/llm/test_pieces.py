@@ -59,6 +59,26 @@ def test_unigram_parity(tmp_path):
     ids, same = pieces.encode_texts(texts, path)
     assert ids == sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)
     assert sum(same) > 150
+    assert pieces.decode_texts(ids, path) == sentencepiece.SentencePieceProcessor(model_file=path).decode(ids)
+
+
+def test_the_main_path_normalises_and_decodes_with_what_was_rebuilt(monkeypatch):
+    path = pieces.default_model()
+    pieces.load.cache_clear()
+    rebuilt = pieces.load(path)
+    seen = []
+
+    class Watched:
+        def normalize_str(self, text):
+            seen.append(text)
+            return type(self).real.normalize_str(text)
+
+    Watched.real = rebuilt.normalizer
+    monkeypatch.setattr(rebuilt, "normalizer", Watched())
+    ids, same, back = rebuilt(["a  b", "", " c "])
+    assert seen == ["a  b", " c "] and back == ["a  b", "", " c "] and same == [True] * 3
+    assert rebuilt.decode([x.tolist() for x in ids]) == back
+    pieces.load.cache_clear()
 
 
 def test_whole_texts_agree(spark):
