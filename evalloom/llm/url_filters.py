@@ -8,7 +8,7 @@ of its domains, a domain's that of its hosts. Each level has its own prior weigh
 moments over its members. A url without a rule is blocked if the lower bound of its host's
 posterior rate, the mean less ``Z`` standard deviations, is above ``MAX_RATE``.
 
-Sums are made from partial sums; only urls are read. Hosts join back to the thin table of parsed
+Sums are made from partial sums; only urls are read, once for the sums and once to judge them. Hosts join back to the thin table of parsed
 urls, which adaptive execution splits where a host holds much of it.
 
 Nulls: a null url, and one without ``://``, has an empty host and an empty path, which form a host
@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import table
+
 #: The rules, as (action, host, path prefix): fixed values.
 RULES = (
     ("allow", "org", "/"),
@@ -64,10 +66,11 @@ def _shrunk(members: DataFrame) -> DataFrame:
 def reputation(parsed: DataFrame) -> DataFrame:
     """(host, rate, sd) for every host of parse_urls."""
     sums = [F.count("label").cast("double").alias("n"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("f")]
-    hosts = parsed.groupBy("suffix", "domain", "host").agg(*sums)
+    # Sums of hosts are made once; all levels roll up from them.
+    hosts = table(parsed.groupBy("suffix", "domain", "host").agg(*sums), "hosts")
     up = [F.sum("n").alias("n"), F.sum("f").alias("f")]
-    domains = hosts.groupBy("suffix", "domain").agg(*up)
-    suffixes = domains.groupBy("suffix").agg(*up)
+    domains = table(hosts.groupBy("suffix", "domain").agg(*up), "domains")
+    suffixes = table(domains.groupBy("suffix").agg(*up), "suffixes")
     whole = suffixes.agg(*up).first()
     mean = (whole.f + 1.0) / (whole.n + 2.0) if whole.n else 0.5
     level = _shrunk(suffixes.withColumn("prior", F.lit(mean)))
