@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import free, map_arrow, table
 
 SAMPLE, TERMS, WINDOW = 3000, 300, 5
 #: Documents with a term, at least, their share of the toxic ones, the least log ratio of its
@@ -216,14 +216,16 @@ def apart(terms: list) -> list:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(~held_out())
+    known = table(known, "labels")
     totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = [r for c in (0, 1) for r in known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    free(known)
     if len(totals) < 2:
         return Model(None, np.zeros(0), 0.0)
     spark = docs.sparkSession
     few = spark.createDataFrame([(r.doc_id, r.toxic) for r in chosen], "doc_id long, toxic int")
-    # At most 2 * sample rows of two numbers: small by construction.
-    text = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "toxic", "text")
+    # At most 2 * sample rows of two numbers: small by construction. The documents are read once for them.
+    text = table(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "toxic", "text"), "sample")
     n = {c: min(totals[c], sample) for c in (0, 1)}
     counts = text.select("toxic", "text").transform(map_arrow, _counted, "term string, stem boolean, toxic long, other long").groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     ratio = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("other") + 0.5) / (n[0] + 1))
@@ -240,6 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64())), strict=True)], names=["toxic", "terms", "counts", "extra"])
 
     rows = text.select("toxic", "text").transform(map_arrow, run, "toxic int, terms array<int>, counts array<int>, extra array<double>").collect()
+    free(text)
     x, y = np.zeros((len(rows), len(best) + len(EXTRA))), np.array([r.toxic for r in rows], float)
     for k, r in enumerate(rows):
         x[k, r.terms] = r.counts
