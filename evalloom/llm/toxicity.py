@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import free, map_arrow, table
 
 SAMPLE, TERMS, WINDOW = 3000, 300, 5
+#: Characters before and behind a hit in which quotation marks are looked for.
+NEAR_QUOTES = 80
 #: Documents with a term, at least, their share of the toxic ones, the least log ratio of its
 #: frequencies, and the ratio from which misspellings of a word count.
 LEAST_DOCS, LEAST_SHARE, LEAST_RATIO, SURE_RATIO = 5, 0.01, 1.5, 3.0
@@ -150,15 +152,15 @@ def features(text: str, lexicon: Lexicon) -> tuple[dict[int, int], list[float]]:
     quoted = reporting = address = 0
     marks = any(q in text for q in _QUOTES)
     low = text.lower() if marks else ""
-    at = 0
+    places = [m.start() for m in _TOKEN.finditer(low) if m[0].strip("@$!_")]
     for i in hits:
         window = words[max(0, i - WINDOW) : i + WINDOW + 1]
         reporting += any(w in REPORTING for w in window)
         address += any(w in ADDRESS for w in window)
-        if marks and (k := low.find(words[i], at)) >= 0:
-            before, after = low[max(0, k - 80) : k], low[k + len(words[i]) : k + len(words[i]) + 80]
-            quoted += any(q in before for q in _QUOTES) and any(q in after for q in _QUOTES) and sum(before.count(q) for q in _QUOTES) % 2 == 1
-            at = k + 1
+        if marks:
+            k, end = places[i], places[i] + len(words[i])
+            before, after = low[max(0, k - NEAR_QUOTES) : k], low[end : end + NEAR_QUOTES]
+            quoted += any(q in after for q in _QUOTES) and sum(map(before.count, _QUOTES)) % 2 == 1
     n = len(hits)
     return terms, [math.log1p(near), math.log1p(far), quoted / n, reporting / n, address / n, math.log1p(n - quoted)]
 
