@@ -5,10 +5,14 @@ runs in three steps.
 
 1. *Signatures.* Sets within the threshold differ in at most D shingles, D following from their
    sizes. The shingle universe is dealt by hash into more than D classes, so two linked sets agree
-   exactly on some classes (see ``signatures``). The hash of each class of a set is a signature; sets
-   that share too few signatures with other sets have no link. A set takes part in the size interval it lies in
-   and in each later one its partners may lie in, so both sides are dealt alike.
-2. *Groups.* Connected components over shared signatures hold every link inside; each text is sent
+   exactly on all classes but D. The hash of each class of a set is a signature, and a set gives its
+   D + 1 most telling ones, which are enough (see ``signatures``): those with the most rare shingles.
+   A set takes part in the size interval it lies in and in each later one its partners may lie in, so
+   both sides are dealt alike; sets that share a signature are candidates. Which shingles are frequent is
+   counted over all texts: those that several sets of one Arrow batch hold are summed up, and as many
+   powers of two of the largest sums as ``FREQUENT`` shingles allow go to the executors. Any choice of
+   them is exact; this one keeps passages that many documents share from making candidates.
+2. *Groups.* Connected components over candidates hold every link inside; each text is sent
    to its group once. Copies with one shingle set count as a single set throughout.
 3. *T-occurrence search* inside a group. Each set asks the inverted lists of its shingles for the
    sets that occur at least T times. Its L longest lists are put aside (DivideSkip), the short
@@ -53,11 +57,11 @@ BLOCK_SHINGLES = 1_500_000
 PART_SHINGLES, PARTS = 600_000, 2
 #: Ratio between the ends of a size interval.
 SIZE_RATIO = 1.5
-#: Classes dealt for each one that the differences need, and the members a class should have.
-SPARE, LEAST_MEMBERS = 1.5, 2
-#: Rounds of dropping signatures and sets; any number is exact.
-PRUNINGS = 1
+#: Classes dealt for each one that the differences need.
+SPARE = 2.0
 _CLASS_SALT = U64(splitmix(4_242))
+#: Frequent shingles that the executors are told of, at most, and the sum from which one is.
+FREQUENT, LEAST_FREQUENT = 100_000, 4
 
 
 def needed(nx: int, ny: int, percent: int) -> int:
@@ -87,28 +91,37 @@ def size_intervals(n: int, percent: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def signatures(s: np.ndarray, percent: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(interval, agreements, signatures) of a sorted shingle set for each of its size intervals.
+class Frequent:
+    """A set of shingles that many sets hold."""
 
-    Two sets within the threshold share at least ``agreements`` signatures of one interval, at least
-    one. More classes are dealt than the ``most`` differences need, so that small ones can be left
-    out: if a set has more than ``most`` classes of at least ``least`` members, all of them but
-    ``most`` agree, and the other set has those with as many members. Each set takes the largest such
-    ``least`` up to ``LEAST_MEMBERS``; of two linked sets, the one with the larger vouches for both. A
-    partner takes no larger one than ``LEAST_MEMBERS``, so a set that reached it counts on all its
-    classes but ``most``; another set has only the word of a partner with a larger one, for one class.
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = np.sort(hashes)
+
+    def rare(self, s: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.ones(len(s), bool)
+        return self.hashes[np.minimum(np.searchsorted(self.hashes, s), len(self.hashes) - 1)] != s
+
+
+def signatures(s: np.ndarray, percent: int, frequent: Frequent) -> Iterator[np.ndarray]:
+    """The signatures of a sorted shingle set for each of its size intervals.
+
+    Classes are ranked by what they hold alone: their number of rare shingles, then a hash. Each set gives
+    its ``most + 1`` highest classes. Of two linked sets let x be the one whose last class given ranks
+    higher; one of the classes that x gives is among those on which both agree, so the other set has it
+    too, ranked above its own last one, and gives it.
     """
-    spread = mix(s ^ _CLASS_SALT)
+    spread, rare = mix(s ^ _CLASS_SALT), frequent.rare(s)
     for k, low, high in size_intervals(len(s), percent):
         most = most_differences(low, high, percent)
         classes = int((most + 1) * SPARE) if most else 1
         which = ((spread >> U64(32)) * U64(classes) >> U64(32)).astype(np.int64)
-        members = np.bincount(which, minlength=classes)
-        least = next(m for m in range(LEAST_MEMBERS, -1, -1) if not m or (members >= m).sum() > most)
         sums = np.zeros(classes, dtype=U64)
         np.add.at(sums, which, spread | U64(1))
-        taken = np.flatnonzero(members >= least)
-        yield k, len(taken) - most if least == LEAST_MEMBERS else 1, mix(sums[taken] + taken.astype(U64) * U64(splitmix(k) | 1) + U64(splitmix(k + 1000)))
+        names = mix(sums + np.arange(classes, dtype=U64) * U64(splitmix(k) | 1) + U64(splitmix(k + 1000)))
+        telling = np.minimum(np.bincount(which, weights=rare, minlength=classes), 63).astype(U64)
+        ranks = telling << U64(58) | names >> U64(6)
+        yield names if classes == most + 1 else names[np.argpartition(ranks, classes - most - 1)[classes - most - 1 :]]
 
 
 def identity(s: np.ndarray) -> tuple[int, int]:
@@ -117,61 +130,77 @@ def identity(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("n_shingles", pa.int64()), ("sid", pa.int64()), ("sid2", pa.int64())])
+_NUMBERS = ("tid", "n_shingles", "sid", "sid2", "shingle", "held")
+_SETS = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in _NUMBERS)])
 
 
 def _sets(size: int):
+    """A row for each text, and rows (shingle, held) for shingles that several sets of a batch hold."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, one, two = [], [], []
+            n, one, two, distinct = [], [], [], {}
             for raw in byte_views(b.column(2)):
                 s = shingles(raw.tobytes(), size)
-                a, c = identity(s)
+                name = identity(s)
                 n.append(len(s))
-                one.append(a)
-                two.append(c)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], schema=_SETS)
+                one.append(name[0])
+                two.append(name[1])
+                distinct[name] = s
+            none = pa.nulls(len(b), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in (n, one, two)), none, none], schema=_SETS)
+            every, held = np.unique(np.concatenate([np.zeros(0, U64), *distinct.values()]), return_counts=True)
+            every, held = every[held > 1], held[held > 1]
+            none = pa.nulls(len(every), pa.int64())
+            yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array(signed(every)), pa.array(held, pa.int64())], schema=_SETS)
 
     return run
 
 
-def _signature_rows(size: int, percent: int):
-    """(sig, sid, part): part packs the interval and the agreements that the set asks for."""
+def frequent_shingles(counts: DataFrame, most: int = FREQUENT) -> Frequent:
+    """The most frequent out of (shingle, held) rows. At most ``most`` come to the driver: the number of
+    shingles of each power of two says from which power on."""
+    sums = table(counts.groupBy("shingle").agg(F.sum("held").alias("held")).where(f"held >= {LEAST_FREQUENT}"), "frequent")
+    powers = sums.groupBy(F.floor(F.log2("held")).alias("power")).agg(F.count("*").alias("n")).orderBy(F.desc("power")).collect()
+    total, from_ = 0, None
+    for r in powers:
+        total += r.n
+        if total > most:
+            break
+        from_ = r.power
+    found = sums.where(f"held >= {2**from_}" if from_ is not None else "false").select("shingle").toArrow()
+    free(sums)
+    return Frequent(np.asarray(found.column("shingle")).astype(np.int64).view(U64))
+
+
+def _signature_rows(size: int, percent: int, frequent: Frequent):
+    """(sig, sid) of the signatures of each set, once in a task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for at in range(0, len(b), 500):
-                cols: tuple[list, list, list] = ([], [], [])
+                cols: tuple[list, list] = ([], [])
                 for raw in byte_views(b.column(0).slice(at, 500)):
                     s = shingles(raw.tobytes(), size)
-                    if not len(s):
-                        continue
                     sid = identity(s)[0]
-                    for k, agreements, sig in signatures(s, percent):
-                        for out, v in zip(cols, (signed(sig), np.full(len(sig), sid), np.full(len(sig), k << 40 | agreements)), strict=True):
-                            out.append(v)
+                    if not len(s) or sid in seen:
+                        continue
+                    seen.add(sid)
+                    for sig in signatures(s, percent, frequent):
+                        cols[0].append(signed(sig))
+                        cols[1].append(np.full(len(sig), sid))
                 if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["sig", "sid", "part"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["sig", "sid"])
 
     return run
 
 
-def _neighbours(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) that join all sets sharing enough signatures, from rows (sig, sid, part).
-
-    Signatures that one set alone has are dropped, then sets left with fewer signatures in an
-    interval than the agreements they ask for, and so on; no two linked sets are parted, as neither
-    asks for more than both guarantee.
-    """
-    shared = "SELECT sig, sid, part, min(sid) OVER (PARTITION BY sig) AS low, max(sid) OVER (PARTITION BY sig) AS high FROM {rows}"
-    live = rows.sparkSession.sql(f"SELECT DISTINCT sig, sid, part FROM ({shared}) WHERE low <> high", rows=rows)
-    for _ in range(PRUNINGS):
-        live = table(live, "shared")
-        enough = live.groupBy("sid", "part").agg(F.count("*").alias("n")).where("n >= part & 1099511627775").select("sid", "part")
-        live = live.join(enough, ["sid", "part"], "left_semi")
-        live = live.sparkSession.sql(f"SELECT sig, sid, part FROM ({shared}) WHERE low <> high", rows=live)
-    live = table(live, "shared")
-    return live.selectExpr("sid AS a", "lag(sid) OVER (PARTITION BY sig ORDER BY sid) AS b").where("b is not null and a <> b").distinct()
+def _candidates(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all sets that share a signature, from rows (sig, sid): the sets of a
+    signature are chained in order."""
+    chained = rows.sparkSession.sql("SELECT sid AS a, lag(sid) OVER (PARTITION BY sig ORDER BY sid) AS b FROM {rows}", rows=rows)
+    return chained.where("b is not null and a <> b").distinct()
 
 
 class Forest:
@@ -315,10 +344,12 @@ def link_classes(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     """(doc_id, tid, n_shingles, class) for each row of ``docs`` (doc_id, text): tid is a hash of the
     text, class names the connected component of its set, null without words."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("tid"), F.col("text").cast("string").alias("text"))
-    sets = table(text.transform(map_arrow, _sets(size), "doc_id long, tid long, n_shingles long, sid long, sid2 long"), "sets")
+    both = table(text.transform(map_arrow, _sets(size), "doc_id long, " + ", ".join(f"{c} long" for c in _NUMBERS)), "sets")
+    sets = both.where("shingle is null").drop("shingle", "held")
+    frequent = frequent_shingles(both.where("shingle is not null").select("shingle", "held"))
 
-    rows = text.select("text").transform(map_arrow, _signature_rows(size, percent), "sig long, sid long, part long")
-    groups = table(connected_components(_neighbours(rows)).selectExpr("node AS sid", "component AS grp"), "groups")
+    rows = text.select("text").transform(map_arrow, _signature_rows(size, percent, frequent), "sig long, sid long")
+    groups = table(connected_components(_candidates(rows)).selectExpr("node AS sid", "component AS grp"), "groups")
 
     # The text of a set is read from one of its rows. Sets of one sid are told apart by sid2.
     key = F.expr("coalesce(doc_id, -9223372036854775808)")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from evalloom.llm.hashing import shingles
-from evalloom.llm.jaccard_join import _neighbours, merge_skip, search, signatures, similar_documents
+from evalloom.llm.jaccard_join import Frequent, _candidates, frequent_shingles, merge_skip, search, signatures, similar_documents
 
 from .helpers import documents, rows
 
@@ -74,48 +74,41 @@ def test_merge_skip_counts():
     assert dict(merge_skip(lists, 3)) == {4: 3, 9: 3}
 
 
-def test_linked_sets_share_the_agreements_they_ask_for():
-    rng = random.Random(9)
-    for _ in range(200):
-        a, b = (shingles(t.encode(), 3) for t in near_copies(rng, 1, 2))
-        x, y = set(a.tolist()), set(b.tolist())
-        if 100 * len(x & y) >= 80 * len(x | y):
-            one, two = ({k: (n, set(s.tolist())) for k, n, s in signatures(v, 80)} for v in (a, b))
-            shared = [(len(one[k][1] & two[k][1]), max(one[k][0], two[k][0])) for k in one.keys() & two.keys()]
-            assert any(n >= want >= 1 for n, want in shared)
-
-
 @pytest.mark.parametrize("percent", [90, 80])
 def test_sets_that_differ_by_appended_or_exchanged_shingles_share_signatures(percent):
     rng = np.random.default_rng(5)
     for n in range(1, 160):
         for more in range(n * 100 // percent - n + 1):
             pool = rng.integers(0, 2**64, n + more + n, dtype=np.uint64)
+            frequent = Frequent(pool[:: 1 + n % 4] if n % 3 else pool[:0])
             for swapped in range(n + 1):
                 overlap = n - swapped
                 if 100 * overlap < percent * (n + more + swapped):
                     break
                 a, b = np.sort(pool[:n]), np.sort(np.r_[pool[:overlap], pool[n : n + more + swapped]])
-                one, two = ({k: set(s.tolist()) for k, _, s in signatures(v, percent)} for v in (a, b))
-                assert any(one[k] & two[k] for k in one.keys() & two.keys()), (n, more, swapped)
+                one, two = (set(np.concatenate(list(signatures(v, percent, frequent))).tolist()) for v in (a, b))
+                assert one & two, (n, more, swapped)
 
 
-@pytest.mark.parametrize("percent", [90, 80])
-def test_pruning_keeps_pairs_that_left_out_unlike_classes(spark, percent):
-    rng = np.random.default_rng(11)
-    pairs, data = [], []
-    for k in range(600):
-        n = 45 if k % 2 else int(rng.integers(5, 120))
-        overlap = -(-2 * n * percent // (100 + percent))
-        pool = rng.integers(0, 2**64, 2 * n - overlap, dtype=np.uint64)
-        sets = [np.sort(pool[:n]), np.sort(pool[n - overlap :])]
-        took = [{i: (want, set(s.tolist())) for i, want, s in signatures(v, percent)} for v in sets]
-        for i in took[0].keys() & took[1].keys():
-            assert len(took[0][i][1] & took[1][i][1]) >= max(took[0][i][0], took[1][i][0])
-        pairs.append((2 * k, 2 * k + 1))
-        data += [(s - 2**63, sid, i << 40 | want) for sid, t in zip(pairs[-1], took, strict=True) for i, (want, sigs) in t.items() for s in sigs]
-    edges = _neighbours(spark.createDataFrame(data, "sig long, sid long, part long")).collect()
-    assert {(min(e), max(e)) for e in edges} == set(pairs)
+def test_frequent_shingles(spark):
+    df = spark.createDataFrame([(5, 3), (5, 4), (-9, 2), (7, 100), (8, 4), (11, 1000)], "shingle long, held long")
+    assert frequent_shingles(df).hashes.tolist() == [5, 7, 8, 11]
+    assert frequent_shingles(df, 2).hashes.tolist() == [7, 11]
+    assert len(frequent_shingles(df, 0).hashes) == 0 == len(frequent_shingles(df.limit(0)).hashes)
+    assert Frequent(np.array([5, 7], np.uint64)).rare(np.array([4, 5, 6, 7, 8], np.uint64)).tolist() == [True, False, True, False, True]
+
+
+def test_a_common_passage_makes_no_candidates():
+    rng = np.random.default_rng(1)
+    passage = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    frequent = Frequent(passage)
+    given = [set(np.concatenate(list(signatures(np.sort(np.r_[passage, rng.integers(0, 2**64, 200, dtype=np.uint64)]), 80, frequent))).tolist()) for _ in range(30)]
+    assert not any(given[i] & given[j] for i in range(30) for j in range(i))
+
+
+def test_chains(spark):
+    rows = [(1, 5), (1, 3), (1, 9), (1, 3), (2, 7), (3, 9), (3, 9)]
+    assert {(r.a, r.b) for r in _candidates(spark.createDataFrame(rows, "sig long, sid long")).collect()} == {(5, 3), (9, 5)}
 
 
 @pytest.mark.parametrize("percent,size", [(90, 3), (80, 5)])
