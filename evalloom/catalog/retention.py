@@ -256,6 +256,22 @@ def _rot(a: str, p: str, fr: str = _FSQL) -> str:
 _SUM = "round(list_sum(list_transform({0}, lambda x, i: x * i)), 6)"
 
 
+_FUTURE = 16
+
+
+def _mean(f: str) -> str:
+    return f"list_transform({_FSQL}, lambda f: list_avg(list_transform(range(k_len, k_len + {_FUTURE}), lambda p: {f}(f * p))))"
+
+
+_TURNED = f"fu AS (SELECT *, {_mean('cos')} AS mc, {_mean('sin')} AS ms FROM kv), fk AS (SELECT *, list_concat(list_transform(range(1, 33), lambda i: key[i] * mc[i] + key[i + 32] * ms[i]), list_transform(range(1, 33), lambda i: key[i + 32] * mc[i] - key[i] * ms[i])) AS fkey FROM fu)"
+
+
+@query("kv_expected_attention_ahead", _w(_MEAN, _TURNED, f"cq AS (SELECT kv.layer, kv.head, list_transform(list_zip(key, mu), lambda z: z[1] - z[2]) AS c FROM kv JOIN mu USING (layer, head) WHERE pos >= k_len - 8), sp AS (SELECT k.layer, k.head, k.pos, avg(pow({dot('k.fkey', 'cq.c')}, 2)) AS qd FROM fk k JOIN cq ON k.layer = cq.layer AND k.head = cq.head GROUP BY ALL), el AS (SELECT fk.*, {dot('mu', 'fkey')} / 8 + qd / 128 AS l FROM fk JOIN mu USING (layer, head) JOIN sp USING (layer, head, pos)), ee AS (SELECT *, exp(l - max(l) OVER (PARTITION BY layer, head)) AS e FROM el), es AS (SELECT *, e / sum(e) OVER (PARTITION BY layer, head) * {norm('value')} AS sc FROM ee), s AS (SELECT *, CASE WHEN pos < 4 THEN max(sc) OVER (PARTITION BY layer) ELSE sc END AS score FROM es)") + kept("s", 0.5))
+def _(s, d):
+    kv, q = _q(s, d, 8)
+    return _out(R.retain(R.expected_attention(kv, q, D, frequencies=_FR, future=_FUTURE), 0.5))
+
+
 @query("kv_rerotated", _w(KNORM, f"r AS (SELECT *, row_number() OVER (PARTITION BY layer, head ORDER BY pos) - 1 AS new_pos FROM (SELECT *, row_number() OVER (PARTITION BY layer, head ORDER BY round(score, 9) DESC, pos) AS rk FROM s) WHERE rk <= floor(k_len * 0.5::DOUBLE)), t AS (SELECT layer, head, pos, new_pos, {_rot('key', '(new_pos - pos)')} AS k FROM r)") + f"SELECT layer, head, pos, new_pos, {_SUM.format('k')} AS total FROM t")
 def _(s, d):
     out = R.rerotated(R.retain(R.knorm(keys(s, d)), 0.5), _FR)

@@ -124,27 +124,44 @@ def aligned_local(seen: int, sinks: int, local: int) -> int:
     return out if out >= 1 else local
 
 
+def chunk_of(pos: Column, bounds: list[tuple[int, int, bool]]) -> Column:
+    """The number of the chunk that holds a position, by arithmetic: all chunks but the first and the
+    last two have one size, as ``chunk_bounds`` makes them."""
+    starts = [s for s, _, _ in bounds]
+    if len(bounds) < 3:
+        out = F.lit(0)
+        for c, s in enumerate(starts[1:], 1):
+            out = F.when(pos >= s, c).otherwise(out)
+        return out.cast("int")
+    size = starts[2] - starts[1]
+    if any(b - a != size for a, b in zip(starts[1:-2], starts[2:-1], strict=False)):
+        raise ValueError("inner chunks must have one size")
+    inner = F.least(F.lit(len(bounds) - 2), 1 + F.floor((pos - starts[1]) / size))
+    return F.when(pos < starts[1], 0).when(pos >= starts[-1], len(bounds) - 1).otherwise(inner).cast("int")
+
+
 def exact_recall(queries: DataFrame, kv: DataFrame, size: int, bounds: list[tuple[int, int, bool]], sinks: int, local: int, k: int, span: int, option: str = "whole", base: float = 10000.0, contiguous: bool = False) -> DataFrame:
     """Attention of each chunk of queries over a view of the keys seen so far; no key is dropped.
 
     The view of a chunk is the sinks, the local window and spans about the positions that some of
     its queries has among its k best in between. Keys and queries are unrotated; they are rotated to
     their own positions, or with ``contiguous`` to consecutive ones that end with the chunk. All
-    chunks are one plan: the chunk table, one row per chunk, is joined to queries and keys.
+    chunks are one plan of equi-joins: a query finds its chunk by arithmetic, a chunk lists the positions
+    of its view, and keys are repeated for the chunks that view them only.
     """
-    spark = kv.sparkSession
-    rows = [(c, s, e, recalls(e, g, sinks, local, option), local) for c, (s, e, g) in enumerate(bounds)]
-    table = F.broadcast(spark.createDataFrame(rows, "chunk int, start long, end long, view boolean, local long"))
-    q = queries.join(table, (C("qpos") >= C("start")) & (C("qpos") < C("end")))
-    seen = kv.join(table, C("pos") < C("end"))
-    middle = seen.where((C("pos") >= sinks) & (C("pos") < C("end") - C("local")) & C("view"))
-    scored = q.select(*HEAD, "qpos", "chunk", "query").join(middle.select(*HEAD, "pos", "chunk", "key"), [*HEAD, "chunk"]).withColumn("logit", V.dot(C("query"), C("key")))
-    top = A.top_keys(scored, k).select("layer", "chunk", "pos").distinct()
-    wide = top.select("layer", "chunk", F.explode(F.sequence(C("pos") - span // 2, C("pos") + (span + 1) // 2 - 1)).alias("pos")) if span > 0 else top
-    wide = wide.join(table, "chunk").select("layer", "chunk", F.least(F.greatest("pos", F.lit(sinks)), C("end") - C("local") - 1).alias("pos"))
-    ends = seen.where(~C("view") | (C("pos") < sinks) | (C("pos") >= C("end") - C("local"))).select("layer", "chunk", "pos")
+    viewed = [recalls(e, g, sinks, local, option) for _, e, g in bounds]
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), C("chunk") + 1)
+    named = {"start": pick([s for s, _, _ in bounds]).cast("long"), "end": pick([e for _, e, _ in bounds]).cast("long"), "view": pick(viewed)}
+    q = queries.where(C("qpos") < bounds[-1][1]).withColumn("chunk", chunk_of(C("qpos"), bounds)).withColumns(named)
+    pairs = q.where("view").select(*HEAD, "qpos", "chunk", "query", "end").join(kv.where(C("pos") >= sinks).select(*HEAD, "pos", "key"), [*HEAD])
+    scored = pairs.where(C("pos") < C("end") - local).withColumn("logit", V.dot(C("query"), C("key")))
+    top = A.top_keys(scored, k).select("layer", "chunk", "end", "pos").distinct()
+    wide = top.select("layer", "chunk", "end", F.explode(F.sequence(C("pos") - span // 2, C("pos") + (span + 1) // 2 - 1)).alias("pos")) if span > 0 else top
+    wide = wide.select("layer", "chunk", F.least(F.greatest("pos", F.lit(sinks)), C("end") - local - 1).alias("pos"))
+    spans = [F.struct(F.lit(c).alias("chunk"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for c, ((_, e, _), v) in enumerate(zip(bounds, viewed, strict=True)) for a, b in ([(0, sinks), (e - local, e)] if v else [(0, e)]) if b > a]
+    ends = kv.select("layer").distinct().select("layer", F.explode(F.array(*spans)).alias("x")).select("layer", "x.chunk", F.explode(F.sequence(C("x.a"), C("x.b") - 1)).alias("pos"))
     view = wide.union(ends).distinct()
-    keys = seen.select(*HEAD, "pos", "key", "value", "chunk", "start", "end", "view").join(view, ["layer", "chunk", "pos"], "left_semi")
+    keys = kv.select(*HEAD, "pos", "key", "value").join(view, ["layer", "pos"]).withColumns(named)
     fr = A.inverse_frequencies(base, size)
     if contiguous:
         w = W.partitionBy(*HEAD, "chunk")

@@ -142,13 +142,15 @@ def compactor(kv: DataFrame, queries: DataFrame, size: int, blending: float, chu
     return out.withColumn("score", F.when(ends, F.max("_s").over(W.partitionBy("layer"))).otherwise(C("_s"))).drop("_l", "_s")
 
 
-def ridge(kv: DataFrame, queries: DataFrame, size: int, lam: float = 1e-2, gamma: float = 1.0, mode: str = "fixed_envelope", alpha: float = 0.5, power: float = 1.0, first: int = 8, last: int = 64) -> DataFrame:
+def ridge(kv: DataFrame, queries: DataFrame, size: int, lam: float = 1e-2, gamma: float = 1.0, mode: str = "fixed_envelope", alpha: float = 0.5, power: float = 1.0, first: int = 8, last: int = 64, ratio: float = 0.5, boost: float = 1.0) -> DataFrame:
     """Ridge leverage of the keys and their response to the queries, combined and weighted by the
     value's norm; both ends stay, whatever the budget.
 
     Modes: additive (alpha * p_ridge + (1 - alpha) * p_query), multiplicative
     (p_ridge^alpha * p_query^(1 - alpha)), envelope (the larger), fixed_envelope (the larger of p_ridge
-    and gamma * p_query). p are shares of the head's sum.
+    and gamma * p_query), weighted_envelope (the same with a gamma of 1 plus ``boost`` times the share in which
+    the best by p_ridge and by p_query differ, of as many as ``ratio`` leaves between the ends). p are shares
+    of the head's sum.
     """
     inner = kv.where((C("pos") >= first) & (C("pos") < C("k_len") - last))
     out = quadratic(inner, inverses(grams(inner, size), lam), "key", "_tau")
@@ -156,8 +158,15 @@ def ridge(kv: DataFrame, queries: DataFrame, size: int, lam: float = 1e-2, gamma
     metric = {k: m / counts[k] for k, m in grams(queries, size, "query").items()}
     out = quadratic(out, metric, "key", "_omega").withColumns({"_tau": F.greatest("_tau", F.lit(1e-12)), "_omega": F.greatest(F.sqrt(F.greatest("_omega", F.lit(0.0))), F.lit(1e-12))})
     w = W.partitionBy(*HEAD)
-    p, q = C("_tau") / F.sum("_tau").over(w), C("_omega") / F.sum("_omega").over(w)
-    both = {"additive": alpha * p + (1 - alpha) * q, "multiplicative": F.pow(p, F.lit(alpha)) * F.pow(q, F.lit(1 - alpha)), "envelope": F.greatest(p, q), "fixed_envelope": F.greatest(p, gamma * q)}[mode]
+    out = out.withColumns({"_p": C("_tau") / F.sum("_tau").over(w), "_q": C("_omega") / F.sum("_omega").over(w)})
+    p, q = C("_p"), C("_q")
+    if mode == "weighted_envelope":
+        k = F.least(F.greatest(F.floor(C("k_len") * F.lit(1.0 - ratio)) - first - last, F.lit(1)), F.count("*").over(w))
+        place = lambda c: F.row_number().over(W.partitionBy(*HEAD).orderBy(F.round(c, 12).desc(), "pos"))
+        out = out.withColumns({"_k": k, "_rp": place("_p"), "_rq": place("_q")})
+        shared = F.sum(((C("_rp") <= C("_k")) & (C("_rq") <= C("_k"))).cast("double")).over(w) / C("_k")
+        out = out.withColumn("_g", 1 + boost * (1 - shared))
+    both = {"additive": alpha * p + (1 - alpha) * q, "multiplicative": F.pow(p, F.lit(alpha)) * F.pow(q, F.lit(1 - alpha)), "envelope": F.greatest(p, q), "fixed_envelope": F.greatest(p, gamma * q), "weighted_envelope": F.greatest(p, F.col("_g") * q)}[mode]
     scores = out.withColumn("_s", both * F.pow(V.l2(C("value")), F.lit(power))).select(*HEAD, "pos", "_s")
     joined = kv.join(scores, [*HEAD, "pos"], "left")
     return joined.withColumn("score", F.coalesce("_s", F.lit(1e30))).drop("_s")
@@ -284,15 +293,42 @@ def blend_tails(rows: DataFrame, grid: list[float], ratio: float) -> DataFrame:
     return tails.groupBy("alpha").agg(F.avg("ridge").alias("ridge_tail"), F.avg("query").alias("query_tail"), F.avg(F.greatest("ridge", "query")).alias("risk"))
 
 
-def chosen_blend(tails: DataFrame, rule: str, slack: float = 0.05, penalty: float = 10.0) -> float:
+def peakiness(rows: DataFrame) -> float:
+    """How far the largest query mass of a head stands out of its mean, on average over heads."""
+    heads = rows.groupBy(*HEAD).agg((F.max("omega") / F.avg("omega")).alias("peak"))
+    return heads.agg(F.avg("peak")).first()[0]
+
+
+def drawn(scored: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
+    """Keeps a sample without replacement, positions drawn in proportion to their scores: the first to
+    come when each waits for a time of that rate. A head whose scores are all 0 is drawn evenly."""
+    digest = F.md5(F.concat_ws(":", F.lit(f"draw{seed}"), "layer", "head", "pos"))
+    u = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    weight = F.greatest(C("score"), F.lit(0.0))
+    even = F.max(weight).over(W.partitionBy(*HEAD)) <= 0
+    # Scores of 1e30 and more, which keep a position, come first.
+    wait = -F.log(u) / F.when(even, 1.0).otherwise(weight)
+    place = F.row_number().over(W.partitionBy(*HEAD).orderBy(F.coalesce(F.when(~even & (weight <= 0), F.lit(float("inf"))).otherwise(wait), F.lit(float("inf"))), "pos"))
+    return scored.withColumn("_r", place).where(C("_r") <= F.floor(C("k_len") * F.lit(1.0 - ratio))).drop("_r")
+
+
+def chosen_blend(tails: DataFrame, rule: str, slack: float = 0.05, penalty: float = 10.0, peak: float = 0.0, least_peak: float = 0.0, most_excess: float = float("inf"), fallback: float = 0.5) -> float:
     """The alpha of least risk (``tail_risk``), or of least query tail plus a penalty on ridge tail
-    beyond that of alpha 1 (``query_constrained``); the smaller alpha on a tie. A grid is small."""
+    beyond that of alpha 1 (``query_constrained``); the smaller alpha on a tie. A grid is small.
+
+    ``gated_query_constrained`` uses the second rule only where queries stand out (``peak``, see ``peakiness``, is
+    at least ``least_peak``) and alpha 0 loses at most ``most_excess`` more ridge mass than alpha 1; else
+    it is ``fallback``."""
     rows = sorted(tails.collect())
     if rule == "tail_risk":
         return min(rows, key=lambda r: (round(r.risk, 12), r.alpha)).alpha
-    if rule != "query_constrained":
+    if rule not in ("query_constrained", "gated_query_constrained"):
         raise ValueError(f"unknown rule {rule}")
     reference = next(r.ridge_tail for r in rows if r.alpha == 1.0)
+    if rule == "gated_query_constrained":
+        excess = next(r.ridge_tail for r in rows if r.alpha == 0.0) - reference
+        if peak < least_peak or excess > most_excess:
+            return fallback
     return min(rows, key=lambda r: (round(r.query_tail + penalty * max(0.0, r.ridge_tail - reference - slack), 12), r.alpha)).alpha
 
 

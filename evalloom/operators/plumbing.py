@@ -49,40 +49,48 @@ def prompt(context: Column, question: Column, prefix: Column) -> Column:
 
 
 def sample_fraction(df: DataFrame, fraction: float, seed: int, ord: str = "ord") -> DataFrame:
-    """Exactly round(fraction * n) rows, those with the smallest seeded digest of ``ord``.
+    """Exactly round(fraction * n) rows, those with the smallest seeded digest of ``ord``; of rows that
+    share the last one's ord those with the smallest hash of all their columns.
 
-    The cut is the digest at that rank, found by sorting digests alone; rows are then filtered by it,
+    The cut is the digest at that rank, found by counts per digest prefix; rows are then filtered by it,
     so no task receives all rows.
     """
     if not 0 < fraction <= 1:
         raise ValueError("the fraction must lie in (0, 1]")
-    want = round(fraction * df.count())
     keyed = df.withColumn("_digest", seeded_digest(F.col(ord), seed))
-    if not want:
+    cut, left, same = digest_at(keyed.select("_digest"), fraction)
+    if cut is None:
         return df.limit(0)
-    cut = digest_at(keyed.select("_digest"), want)
-    return keyed.where(F.col("_digest") <= F.lit(cut)).drop("_digest")
+    if left == same:
+        return keyed.where(F.col("_digest") <= F.lit(cut)).drop("_digest")
+    ties = keyed.where(F.col("_digest") == F.lit(cut)).orderBy(F.xxhash64(*df.columns)).limit(left)
+    return keyed.where(F.col("_digest") < F.lit(cut)).unionByName(ties).drop("_digest")
 
 
 def seeded_digest(ord: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), ord.cast("string")))
 
 
-def digest_at(digests: DataFrame, rank: int) -> str:
-    """The digest at a rank (1-based), by narrowing down digest prefixes: each round counts the rows
-    per next digit, at most 16 of them."""
-    prefix, before = "", 0
-    for n in range(1, 33):
-        rows = digests.where(F.startswith("_digest", F.lit(prefix))).groupBy(F.substring("_digest", 1, n).alias("p")).count().orderBy("p").collect()
+def digest_at(digests: DataFrame, fraction: float, digits: int = 3) -> tuple[str | None, int, int]:
+    """(digest, rows of it that are wanted, rows of it) at the rank round(fraction * n), by narrowing down
+    prefixes: a round counts the rows per next ``digits`` hexadecimal digits, so it has 4096 counts and a
+    table of billions of rows takes four rounds. None where no row is wanted."""
+    prefix, left = "", None
+    while True:
+        inside = digests.where(F.startswith("_digest", F.lit(prefix)))
+        part = F.substring("_digest", 1, len(prefix) + digits)
+        rows = inside.groupBy(part.alias("p")).agg(F.count("*").alias("n"), F.min("_digest").alias("low"), F.max("_digest").alias("high")).orderBy("p").collect()
+        if left is None:
+            left = round(fraction * sum(r.n for r in rows))
+        if not left:
+            return None, 0, 0
         for r in rows:
-            if before + r["count"] >= rank:
-                prefix = r.p
-                last = r["count"] == 1
+            if left <= r.n:
                 break
-            before += r["count"]
-        if last:
-            return digests.where(F.startswith("_digest", F.lit(prefix))).first()[0]
-    return prefix
+            left -= r.n
+        if r.low == r.high:
+            return r.low, left, r.n
+        prefix = r.p
 
 
 def cap_per_task(df: DataFrame, limit: int | None = None, overrides: Mapping[str, int] | None = None, task: str = "task", ord: str = "ord") -> DataFrame:

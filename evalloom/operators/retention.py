@@ -6,6 +6,7 @@ to ignore. Ties go to the smaller position; scores are compared after rounding t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,8 @@ from .relations import HEAD, with_length
 Scorer = Callable[[DataFrame], DataFrame]
 C = F.col
 TOP = 1e30
+#: Rows that one task ranks.
+BAND = 1_000_000
 
 
 def budget(ratio: float) -> Column:
@@ -178,9 +181,25 @@ def recalled(kv: DataFrame, queries: DataFrame, scale: float) -> DataFrame:
     return kv.join(best, [*HEAD, "pos"], "left")
 
 
-def expected_attention(kv: DataFrame, queries: DataFrame, size: int, sinks: int = 4, epsilon: float = 0.0) -> DataFrame:
+def toward_future(key: Column, frequencies: list[float], future: int) -> Column:
+    """The key as queries at the ``future`` positions behind the last see it on average: a product of it
+    with an unrotated query is the mean of the products with the rotated queries.
+
+    The mean of cosines and sines over consecutive positions is that at the middle one, times a factor.
+    """
+    middle = C("k_len") + F.lit((future - 1) / 2)
+    shrink = [math.sin(future * f / 2) / (future * math.sin(f / 2)) if math.sin(f / 2) else 1.0 for f in frequencies]
+    turned = A.rotated(key, middle, frequencies, undo=True)
+    return F.zip_with(turned, F.array(*map(F.lit, [*shrink, *shrink])), lambda a, b: a * b)
+
+
+def expected_attention(kv: DataFrame, queries: DataFrame, size: int, sinks: int = 4, epsilon: float = 0.0, frequencies: list[float] | None = None, future: int = 512) -> DataFrame:
     """Softmax over keys of the expected logit under the queries' mean and covariance, times the
-    value's norm; sinks stay."""
+    value's norm; sinks stay. With ``frequencies`` the queries given are unrotated, and their mean and
+    covariance are those of the next ``future`` positions on average."""
+    if frequencies:
+        turned = kv.withColumns({"_key": C("key"), "key": toward_future(C("key"), frequencies, future)})
+        return expected_attention(turned, queries, size, sinks, epsilon).drop("key").withColumnRenamed("_key", "key").select(*kv.columns, "score")
     q = queries.select(*HEAD, "query")
     mean = q.groupBy(*HEAD).agg(V.mean_vector(C("query"), size).alias("mu"))
     centred = q.join(mean, [*HEAD]).select(*HEAD, F.zip_with("query", "mu", lambda a, b: a - b).alias("c"))
@@ -300,8 +319,9 @@ def streaming_heads_mask(kv: DataFrame, heads: DataFrame, share: float, sinks: i
 def lowest(df: DataFrame, ratio: float, score: str = "score") -> DataFrame:
     """The lowest floor(n * ratio) of all n rows by score, then layer, head and pos.
 
-    No task ranks all rows: approximate quantiles bound a narrow band about the cut, rows below it are
-    taken as they are, and only the band is ranked. The bounds are verified by exact counts.
+    No task ranks all rows: approximate quantiles bound a narrow band about the cut, which is narrowed until
+    it has at most ``BAND`` rows or one score; rows below it are taken as they are, and only the band is
+    ranked. The bounds are verified by exact counts.
     """
     df = df.withColumn("_s", F.round(score, 9))
     share = [max(ratio - 1e-3, 0.0), min(ratio + 1e-3, 1.0)]
@@ -309,14 +329,41 @@ def lowest(df: DataFrame, ratio: float, score: str = "score") -> DataFrame:
     want = int(bounds.n * ratio)
     if not want:
         return df.limit(0).drop("_s")
-    low, high = bounds.q
-    below, within = df.agg(F.count_if(C("_s") < low), F.count_if(C("_s") <= high)).first()
-    if below > want:
-        low, below = float("-inf"), 0
-    if within < want:
-        high = float("inf")
-    place = F.row_number().over(W.orderBy("_s", "layer", "head", "pos"))
-    band = df.where((C("_s") >= low) & (C("_s") <= high)).withColumn("_p", place).where(C("_p") <= want - below).drop("_p")
+    low, high, below = *bounds.q, 0
+    while True:
+        below, within = df.agg(F.count_if(C("_s") < low), F.count_if(C("_s") <= high)).first()
+        if below >= want or within < want:
+            low, high = (float("-inf"), high) if below >= want else (low, float("inf"))
+        elif low == high or within - below <= BAND:
+            break
+        else:  # closer bounds, from what lies between these
+            inner = df.where((C("_s") >= low) & (C("_s") <= high))
+            at = (want - below) / (within - below)
+            near = inner.agg(F.percentile_approx("_s", [max(at - 1e-3, 0.0), min(at + 1e-3, 1.0)], 10_000)).first()[0]
+            if near == [low, high]:
+                break
+            low, high = near
+    inner = df.where((C("_s") >= low) & (C("_s") <= high))
+    if low == high:
+        # Equal scores: whole heads go first, and one head is cut by positions. Heads are as many as the model has.
+        left, whole, cut = want - below, [], None
+        for r in inner.groupBy(*HEAD).agg(F.count("*").alias("n")).orderBy(*HEAD).collect():
+            if r.n > left:
+                cut = r
+                break
+            whole.append((r.layer, r.head))
+            left -= r.n
+        mine = lambda x: (C("layer") == x[0]) & (C("head") == x[1])
+        some = F.lit(False)
+        for x in whole:
+            some = some | mine(x)
+        band = inner.where(some)
+        if cut and left:
+            place = F.row_number().over(W.partitionBy(*HEAD).orderBy("pos"))
+            band = band.unionByName(inner.where(mine(cut)).withColumn("_p", place).where(C("_p") <= left).drop("_p"))
+    else:
+        place = F.row_number().over(W.orderBy("_s", "layer", "head", "pos"))
+        band = inner.withColumn("_p", place).where(C("_p") <= want - below).drop("_p")
     return df.where(C("_s") < low).unionByName(band).drop("_s")
 
 

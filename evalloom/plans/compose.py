@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.relations import with_length
-from ..registry import attention_methods, positional_methods
+from ..operators.retention import retain
+from ..registry import attention_methods, compressors, positional_methods
 
 #: Attention methods whose cache no compressor may change: they index keys by their old positions.
 CLOSED = ("dca", "reattention_exact")
@@ -48,10 +50,26 @@ def positions(method: str | None, base: float, dim: int, factor: float = 1.0, **
     return positional_methods.get(method or "linear_pi")(base, dim, factor, **more)
 
 
-def phased(prefill: Callable[[DataFrame], DataFrame], decode: Callable[[DataFrame], DataFrame]) -> Callable:
-    """One compressor for the prompt and another for the passes that follow."""
+def decoding(scorer: Callable[[DataFrame], DataFrame], target: int = 2048) -> Callable[[DataFrame], DataFrame]:
+    """A compressor for decoding: whatever the cache has grown to, the ``target`` best positions of a head
+    stay. A stream calls it after each interval (``streaming.retention.bounded_cache``)."""
+
+    def run(kv: DataFrame) -> DataFrame:
+        kept = retain(scorer(kv), 0.0, F.least(F.lit(target), F.col("k_len")))
+        return with_length(kept.drop("score", "k_len"))
+
+    return run
+
+
+def phased(prefill: Callable[[DataFrame], DataFrame] | None = None, decode: Callable[[DataFrame], DataFrame] | None = None) -> Callable:
+    """One compressor for the prompt and another for the passes that follow; without one nothing goes."""
 
     def run(kv: DataFrame, decoding: bool = False) -> DataFrame:
-        return with_length((decode if decoding else prefill)(kv).drop("k_len"))
+        act = decode if decoding else prefill
+        return kv if act is None else with_length(act(kv).drop("k_len"))
 
     return run
+
+
+compressors.register("decoding")(decoding)
+compressors.register("prefill_decoding")(phased)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import RunConfig
+from ..config import RunConfig, cell_config
 from ..functions import extract, metrics
 from ..operators import plumbing as P
 from ..operators import rollup as R
@@ -241,4 +243,23 @@ def run(spark: SparkSession, config: RunConfig, path: str, answerer: str | Calla
     sinks.predictions_csv(scored, f"file://{folder.resolve()}/predictions.csv")
     sinks.metrics_json(measured, folder / "metrics.json")
     config.save(folder / "config.yaml")
-    return {"folder": str(folder), "seconds": time.monotonic() - began, "metrics": sinks.metrics_document(measured)}
+    document, seconds = sinks.metrics_document(measured), time.monotonic() - began
+    rows = document.get("total_samples", {}).get("count") or 0
+    return {"folder": str(folder), "seconds": seconds, "seconds_per_row": seconds / rows if rows else None, "metrics": document}
+
+
+def sweep(spark: SparkSession, base: RunConfig, cells: list[dict], path: str, out: str, answerer: str | Callable = "echo", subsets: list[str] | None = None, resume: bool = True) -> DataFrame:
+    """Runs the cells of a grid one after the other, each over the whole table, and gives the manifest (cell_id,
+    score, seconds, resumed). With ``resume`` a cell whose folder has a metrics file is not run again. A
+    grid is small; what is large are the rows that each cell scores."""
+    done = []
+    for cell in cells:
+        config = cell_config(base, cell, subsets or [], out)
+        found = sorted(Path(config.output_dir).glob("**/metrics.json"))
+        if resume and found:
+            document, seconds = json.loads(found[-1].read_text(encoding="utf-8")), None
+        else:
+            result = run(spark, config, path, answerer)
+            document, seconds = result["metrics"], result["seconds"]
+        done.append((cell["cell_id"], document.get("overall", {}).get("score"), seconds, bool(resume and found)))
+    return spark.createDataFrame(done, "cell_id string, score double, seconds double, resumed boolean")

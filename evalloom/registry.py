@@ -56,10 +56,13 @@ benchmarks = Registry("benchmark")
 compressors = Registry("compressor")
 #: Attention methods take (queries, kv, **parameters) and give the output.
 attention_methods = Registry("attention method")
+#: The former name of the same registry.
+prefill_methods = attention_methods
 #: Positional methods give (inverse frequencies, position factor, attention scale).
 positional_methods = Registry("positional method")
 #: Answerers take a DataFrame of prompts and give it with a prediction.
 answerers = Registry("answerer")
+#: Retrievers are answerers of contexts (``plans.contexts``): setup, predict, teardown.
 retrievers = Registry("retriever")
 
 

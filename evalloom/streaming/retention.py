@@ -68,6 +68,24 @@ def bounded_cache(rows: DataFrame, target: int, interval: int) -> DataFrame:
     return rows.groupBy("layer", "head").applyInPandasWithState(step, "layer int, head int, step long, pos long", "pos array<long>, score array<double>, since long, steps long", "append", GroupStateTimeout.NoTimeout)
 
 
+def chunk_eviction(rows: DataFrame, ratio: float) -> DataFrame:
+    """The cache after each chunk: the rows of a chunk join what has stayed, and the whole part of
+    (1 - ratio) of both stays, the best by score, ties to the smaller position. rows have a ``chunk``
+    number and come chunk by chunk; emits (layer, head, chunk, pos). The state of a head is its cache."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pos, score = state.get if state.exists else ([], [])
+        kept, out = list(zip(pos, score, strict=True)), []
+        for chunk, part in pd.concat(list(batches)).sort_values(["chunk", "pos"]).groupby("chunk", sort=True):
+            kept += list(zip(part["pos"], part["score"], strict=True))
+            kept = sorted(sorted(kept, key=lambda x: (-x[1], x[0]))[: int(len(kept) * (1 - ratio))])
+            out += [(key[0], key[1], chunk, p) for p, _ in kept]
+        state.update(([p for p, _ in kept], [s for _, s in kept]))
+        yield pd.DataFrame(out, columns=["layer", "head", "chunk", "pos"])
+
+    return rows.groupBy("layer", "head").applyInPandasWithState(step, "layer int, head int, chunk long, pos long", "pos array<long>, score array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def scheduled(schedule: set[str], compress, sink):
     """A foreachBatch function for the phases ``streaming`` (each batch), ``post_prefill`` (the last
     batch of the prompt, marked by ``final``) and ``decode`` (later batches).

@@ -313,3 +313,54 @@ def test_configuration_of_a_cell():
     assert (cell.benchmark, cell.backend, cell.subsets, cell.max_new_tokens, cell.temperature, cell.output_dir) == ("longbench", "research", "a,b", None, 0.0, "/out/Compactor__r0.6")
     assert cell.llm_kwargs == {"dtype": "x", "research_config": {"attention_method": "none", "kv_compressor": "compactor", "compression_ratio": 0.6, "kv_compressor_kwargs": {"seed": 42}}}
     assert cell_config(base, {"cell_id": "Full", "method": None, "ratio": None}, [], "/out").llm_kwargs["research_config"] == {"attention_method": "none", "kv_compressor": "none", "compression_ratio": 0.0}
+
+
+def test_eviction_after_each_chunk(spark, tmp_path):
+    rows = spark.range(60).selectExpr("0 AS layer", "cast(id % 2 as int) AS head", "id div 2 AS pos", "cast(id * 37 % 101 as double) AS score", "id div 20 AS chunk")
+    for k in range(3):
+        rows.where(f"chunk = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = S.chunks(spark, str(tmp_path / "in"), f"{S.ROW}, chunk long", 100)
+    found = {(r["head"], r.chunk, r.pos) for r in S.run_to_end(S.chunk_eviction(stream, 0.4), "evicted_chunks").collect()}
+    want = set()
+    for head in range(2):
+        kept = []
+        for chunk in range(3):
+            kept += [(p, float((2 * p + head) * 37 % 101)) for p in range(10 * chunk, 10 * chunk + 10)]
+            kept = sorted(kept, key=lambda x: (-x[1], x[0]))[: int(len(kept) * 0.6)]
+            want |= {(head, chunk, p) for p, _ in kept}
+    assert found == want
+
+
+def test_decoding_compressors(kv):
+    half = compressors.get("decoding")(R.knorm, 20)
+    out = half(kv)
+    assert out.groupBy("layer", "head").count().agg(F.min("count"), F.max("count")).first()[:] == (20, 20)
+    both = compressors.get("prefill_decoding")(None, half)
+    assert both(kv).count() == kv.count() and both(kv, True).count() == out.count()
+
+
+def test_a_sample_is_exact_where_ids_repeat(spark):
+    df = spark.range(100).selectExpr("id % 7 AS ord", "id AS x")
+    for fraction in (0.13, 0.5, 0.77):
+        assert P.sample_fraction(df, fraction, 3).count() == round(fraction * 100)
+
+
+def test_a_sweep_resumes(spark, tmp_path):
+    tables.values(spark).withColumn("answers", F.col("answer")).write.parquet(str(tmp_path / "rows"))
+    calls = []
+    answer = lambda df: calls.append(1) or df.withColumn("prediction", F.lit("Paris"))
+    cells = [{"cell_id": f"Knorm__r{r}", "method": "knorm", "ratio": r} for r in (0.6, 0.9)]
+    first = evaluation.sweep(spark, RunConfig(), cells[:1], str(tmp_path / "rows"), str(tmp_path / "out"), answer)
+    again = evaluation.sweep(spark, RunConfig(), cells, str(tmp_path / "rows"), str(tmp_path / "out"), answer)
+    assert [r.resumed for r in first.collect()] == [False] and {r.cell_id: r.resumed for r in again.collect()} == {"Knorm__r0.6": True, "Knorm__r0.9": False}
+    assert len(calls) == 2
+
+
+@pytest.mark.parametrize("band", [10**6, 3])
+def test_lowest_with_ties(spark, band, monkeypatch):
+    monkeypatch.setattr(R, "BAND", band)
+    for scores in ([1.0] * 40, [float(k % 3) for k in range(40)], [float(k * 7 % 40) for k in range(40)]):
+        df = spark.createDataFrame([(0, k % 4, k // 4, s) for k, s in enumerate(scores)], "layer int, head int, pos int, score double")
+        for ratio in (0.1, 0.45, 0.8):
+            want = sorted((s, 0, k % 4, k // 4) for k, s in enumerate(scores))[: int(40 * ratio)]
+            assert sorted((r.score, r.layer, r["head"], r.pos) for r in R.lowest(df, ratio).collect()) == want

@@ -58,3 +58,28 @@ def test_blend_rules(spark):
     assert L.chosen_blend(tails, "query_constrained", penalty=0.0) == 0.0
     with pytest.raises(ValueError):
         L.chosen_blend(tails, "other")
+
+
+def test_weighted_envelope_boosts_queries_where_rankings_differ(kv):
+    q = relations.last_queries(kv, 10_000)
+    plain, boosted = ({(r["head"], r.pos): r.score for r in L.ridge(kv, q, 64, mode=m, first=3, last=5, ratio=0.5, boost=b).collect()} for m, b in (("envelope", 0.0), ("weighted_envelope", 0.0)))
+    assert plain == pytest.approx(boosted)
+    more = {(r["head"], r.pos): r.score for r in L.ridge(kv, q, 64, mode="weighted_envelope", first=3, last=5, ratio=0.5, boost=2.0).collect()}
+    assert all(more[k] >= plain[k] - 1e-12 for k in plain) and any(more[k] > plain[k] * 1.0001 for k in plain)
+
+
+def test_draws_follow_the_scores(spark):
+    rows = spark.range(4000).selectExpr("0 AS layer", "cast(id div 4 as int) AS head", "id % 4 AS pos", "array(8.0D, 2.0D, 0.0D, 2.0D)[id % 4] AS score", "4 AS k_len")
+    kept = {r.pos: r["count"] for r in L.drawn(rows, 0.75).groupBy("pos").count().collect()}
+    assert sum(kept.values()) == 1000 and 2 not in kept and abs(kept[0] - 8000 / 12) < 60
+    assert L.drawn(rows.withColumn("score", F.lit(0.0)), 0.5).count() == 2000
+    assert L.drawn(rows.withColumn("score", F.when(F.col("pos") == 2, 1e30).otherwise(F.col("score"))), 0.75).where("pos <> 2").count() == 0
+
+
+def test_gated_blend(spark):
+    tails = spark.createDataFrame([(0.0, 0.9, 0.1, 0.9), (0.5, 0.4, 0.3, 0.4), (1.0, 0.3, 0.5, 0.5)], "alpha double, ridge_tail double, query_tail double, risk double")
+    gate = lambda **k: L.chosen_blend(tails, "gated_query_constrained", slack=0.2, fallback=0.8, **k)
+    assert gate(peak=5.0, least_peak=4.0, most_excess=0.7) == 0.5
+    assert gate(peak=3.0, least_peak=4.0, most_excess=0.7) == gate(peak=5.0, least_peak=4.0, most_excess=0.5) == 0.8
+    rows = spark.createDataFrame([(0, 0, 1.0), (0, 0, 3.0), (0, 1, 2.0), (0, 1, 2.0)], "layer int, head int, omega double")
+    assert L.peakiness(rows) == 1.25
