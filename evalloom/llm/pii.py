@@ -141,7 +141,7 @@ def islands(text: str) -> list[tuple[int, int]]:
 
 #: Words before a span that tell its kind.
 CUES = {"email": 0, "mail": 0, "e-mail": 0, "contact": 0, "ip": 1, "host": 1, "server": 1, "card": 2, "visa": 2, "credit": 2, "phone": 3, "tel": 3, "call": 3, "mobile": 3, "fax": 3}
-FEATURES = 47
+FEATURES = 49
 
 
 def span_features(tokens: list[str], i: int, j: int) -> list[int]:
@@ -164,7 +164,7 @@ def span_features(tokens: list[str], i: int, j: int) -> list[int]:
     if "." in part:
         out.append(24 + min(part.count("."), 3))  # 25-27
     if letters:
-        out.append(28 if nd else 29)
+        out.append(47 if nd and set(words) == {"dot"} else 28 if nd else 29)
     if text[0] == "+":
         out.append(30)
     if text[0] == "(":
@@ -189,6 +189,8 @@ def span_features(tokens: list[str], i: int, j: int) -> list[int]:
         local = names[: names.index("@" if "@" in part else "at")]
         inside = "".join(local).strip(" [(")
         out.append(44 if any(c.isspace() for c in inside) else 45)
+        if re.search(r"\.\s|\s\.", text):
+            out.append(48)
         if part[-1].isalpha() and 2 <= len(part[-1]) <= 6 and [t for t in names[:-1] if t.isalnum() or t == "."][-1:] in (["."], ["dot"]):
             out.append(46)
     if (i and tokens[i - 1].isalnum() and part[0].isalnum()) or (j < len(tokens) and tokens[j].isdigit() and part[-1].isdigit()):
@@ -202,11 +204,14 @@ def candidates(tokens: list[str], first: int, last: int) -> list[tuple[int, int,
     for i in range(first, last):
         if tokens[i].isspace() or not (tokens[i].isalnum() or tokens[i] in "+("):
             continue
-        strong = False
+        strong = spelled = dotted = False
         for j in range(i + 1, min(i + LONGEST, len(tokens)) + 1):
             t = tokens[j - 1]
             strong = strong or t == "@" or t.lower() in ("at", "dot") or (t.isdigit() and (len(t) > 2 or j - i > 2))
-            if strong and t.isalnum() and not (t.isalpha() and j - i < 3):
+            spelled = spelled or t.lower() == "at"
+            dotted = dotted or t == "@" or t.lower() == "dot"
+            # A spelled-out address has a spelled-out dot; "at" alone is a word like others.
+            if strong and t.isalnum() and not (t.isalpha() and j - i < 3) and (dotted or not spelled):
                 segments.append((i, j, span_features(tokens, i, j)))
     return segments
 
