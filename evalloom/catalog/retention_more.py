@@ -49,8 +49,8 @@ def _(s, d):
     return R.head_areas(means, _FR, 50).withColumn("head_score", F.round("head_score", 6))
 
 
-_REREAD = f"""h AS (SELECT DISTINCT layer, head, pos // 10 AS c FROM kv), j AS (SELECT q.layer, q.head, q.pos AS qpos, k.pos, h.c, {dot('q.key', 'k.key')} * {SCALE!r}::DOUBLE AS l FROM kv q JOIN h ON q.layer = h.layer AND q.head = h.head AND q.pos // 10 = h.c JOIN kv k ON k.layer = q.layer AND k.head = q.head AND (k.pos // 10 = h.c OR k.pos < 1)),
-e AS (SELECT *, exp(l - max(l) OVER (PARTITION BY layer, head, qpos)) AS e FROM j), w AS (SELECT *, e / sum(e) OVER (PARTITION BY layer, head, qpos) AS w FROM e), b AS (SELECT layer, head, pos, max(w) AS b FROM w WHERE pos // 10 = c GROUP BY ALL),
+_REREAD = f"""h AS (SELECT DISTINCT layer, head, pos // 10 AS c FROM kv), j AS (SELECT q.layer, q.head, q.pos AS qpos, k.pos, h.c, {dot('q.key', 'k.key')} * {SCALE!r}::DOUBLE AS l FROM kv q JOIN h ON q.layer = h.layer AND q.head = h.head AND q.pos >= h.c * 10 - 8 AND q.pos < h.c * 10 + 10 JOIN kv k ON k.layer = q.layer AND k.head = q.head AND (k.pos // 10 = h.c OR k.pos < 1)),
+e AS (SELECT *, exp(l - max(l) OVER (PARTITION BY layer, head, qpos, c)) AS e FROM j), w AS (SELECT *, e / sum(e) OVER (PARTITION BY layer, head, qpos, c) AS w FROM e), b AS (SELECT layer, head, pos, max(w) AS b FROM w WHERE pos // 10 = c GROUP BY ALL),
 s AS (SELECT kv.*, CASE WHEN pos < 1 THEN 1e30 ELSE b END AS score FROM kv JOIN b USING (layer, head, pos))"""
 
 

@@ -491,15 +491,17 @@ def head_areas(means: DataFrame, frequencies: list[float], length: int) -> DataF
     return w.withColumn("_c", run).groupBy(*HEAD).agg(F.avg("_c").alias("head_score"))
 
 
-def reread(kv: DataFrame, queries: DataFrame, scale: float, chunk: int, sinks: int = 1) -> DataFrame:
-    """The largest attention a key receives when its chunk is read again: the queries of a chunk see
-    the sinks and the keys of the chunk."""
-    q = queries.withColumn("_c", F.floor(C("qpos") / chunk))
+def reread(kv: DataFrame, queries: DataFrame, scale: float, chunk: int, sinks: int = 1, prefix: int = 8) -> DataFrame:
+    """The largest attention a key receives when its chunk is read again: the queries of a chunk, and of the
+    last ``prefix`` positions before it, which lead over to it, see the sinks and the keys of the chunk."""
+    own, after = F.floor(C("qpos") / chunk), F.floor((C("qpos") + prefix) / chunk)
+    # A query leads over to every chunk that begins within the prefix behind it.
+    q = queries.withColumn("_c", F.explode(F.sequence(own, after)))
     k = kv.withColumn("_c", F.floor(C("pos") / chunk))
     heads = q.select(*HEAD, "_c").distinct().withColumnRenamed("_c", "_q")
     seen = k.join(heads, [*HEAD]).where((C("_q") == C("_c")) | (C("pos") < sinks)).withColumn("_c", C("_q")).drop("_q")
     rows = q.join(seen, [*HEAD, "_c"]).withColumn("logit", V.dot(C("query"), C("key")) * scale)
-    best = A.softmax(rows).where(F.floor(C("pos") / chunk) == C("_c")).groupBy(*HEAD, "pos").agg(F.max("w").alias("score"))
+    best = A.softmax(rows, (*A.ROW, "_c")).where(F.floor(C("pos") / chunk) == C("_c")).groupBy(*HEAD, "pos").agg(F.max("w").alias("score"))
     return kv.join(best, [*HEAD, "pos"], "left").withColumn("score", F.when(C("pos") < sinks, TOP).otherwise(F.coalesce("score", F.lit(0.0))))
 
 
