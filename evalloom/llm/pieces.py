@@ -43,7 +43,7 @@ MARK = "▁"
 #: Threads of the library in each Python worker, and bytes of text given to them at once.
 THREADS, BATCH_BYTES = 2, 4 << 20
 #: Segments that a worker remembers with their ids.
-CACHE = 150_000
+CACHE = 300_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 
@@ -141,8 +141,9 @@ class Model:
         if self.cuts():
             out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
         # The space of the dummy prefix is taken off a whole text, not off each of its segments.
-        silent = [decoders.Replace(p, " \u2047 " if t == UNKNOWN else "") for p, _, t in self.pieces if t in (UNKNOWN, CONTROL)]
-        out.decoder = decoders.Sequence([*silent, decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+        # No encoding holds a control piece, nor an unknown one where bytes stand in for it.
+        unknown = [] if self.byte_fallback else [decoders.Replace(self.pieces[self.unknown][0], " \u2047 ")]
+        out.decoder = decoders.Sequence([*unknown, decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         return out
 
     def plain(self) -> bool:

@@ -3,7 +3,7 @@
 The lexicon is learned: words and word stems whose document frequency is much higher among toxic
 than among other labelled documents. It is held in a trie. A token that is no lexicon term is read by
 a Levenshtein automaton (a bit-parallel NFA of the token), which is intersected with the trie: one
-walk finds all terms within the permitted distance. Around each hit a window of ``WINDOW`` tokens is
+walk finds all terms within the permitted distance; tokens that other documents use are left alone. Around each hit a window of ``WINDOW`` tokens is
 scored: quotation marks about it and reporting verbs speak for quotation, addressing words for abuse.
 A logistic regression over the terms found, misspelled hits and the window scores gives the score.
 
@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, map_arrow, table
+from .common import byte_views, free, map_arrow, signed, table
+from .hashing import shingles
 
 SAMPLE, TERMS, WINDOW = 3000, 300, 5
 #: Characters before and behind a hit in which quotation marks are looked for.
@@ -38,6 +39,8 @@ NEAR_QUOTES = 80
 #: Documents with a term, at least, their share of the toxic ones, the least log ratio of its
 #: frequencies, and the ratio from which misspellings of a word count.
 LEAST_DOCS, LEAST_SHARE, LEAST_RATIO, SURE_RATIO = 5, 0.01, 1.5, 3.0
+#: Other documents that use a token, from which it is no misspelling.
+PLAIN_DOCS = 2
 STEMS = range(4, 9)
 #: Tokens whose matches a worker remembers.
 MEMORY = 300_000
@@ -85,16 +88,21 @@ class Automaton:
 class Lexicon:
     """Terms in a trie; stems match every token that begins with them."""
 
-    def __init__(self, words: list[tuple[str, int]], stems: list[tuple[str, int]], sure: set[str] | None = None) -> None:
+    def __init__(self, words: list[tuple[str, int]], stems: list[tuple[str, int]], sure: list[str] | None = None) -> None:
+        """Misspellings are sought of the ``sure`` words, of all words by default; one of them that a stem tells
+        about counts for the stem."""
         self.words, self.stems = dict(words), dict(stems)
         self.lengths = sorted({len(s) for s in self.stems})
         self.root: dict = {}
-        for word, number in words:
-            if len(word) >= 5 and (sure is None or word in sure):
+        for word in self.words if sure is None else sure:
+            number = next((x for x in (self.words.get(word), *(self.stems.get(word[:n]) for n in reversed(self.lengths))) if x is not None), None)
+            if len(word) >= 5 and number is not None:
                 node = self.root
                 for c in word:
                     node = node.setdefault(c, {})
                 node[""] = number
+        #: Tokens that other documents use, and that are no misspellings therefore.
+        self.plain: frozenset[str] = frozenset()
         self.memory: dict[str, tuple] = {}
 
     def near(self, token: str) -> list[tuple[int, int]]:
@@ -119,7 +127,7 @@ class Lexicon:
             exact = [self.words[token]] if token in self.words else []
             exact += [self.stems[token[:n]] for n in self.lengths if len(token) > n and token[:n] in self.stems]
             d = None
-            if not exact and len(token) >= 4 and self.root:
+            if not exact and len(token) >= 4 and self.root and token not in self.plain:
                 plain = token.translate(_LEET)
                 if plain != token and plain in self.words:
                     d = 1
@@ -210,6 +218,13 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys]), pa.array([s for _, s in keys]), pa.array([counts[1][k] for k in keys], pa.int64()), pa.array([counts[0][k] for k in keys], pa.int64())], names=["term", "stem", "toxic", "other"])
 
 
+def _named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names texts by the least hash of their word shingles, which near copies mostly share."""
+    for b in batches:
+        least = [int(s[0]) if len(s := shingles(t.tobytes(), 3)) else 0 for t in byte_views(b.column(1))]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signed(np.array(least, np.uint64))), b.column(1)], names=["toxic", "name", "text"])
+
+
 def apart(terms: list) -> list:
     """terms without those that a shorter stem in the list tells about as well."""
     stems = {r.term: r.ratio for r in terms if r.stem}
@@ -228,12 +243,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     few = spark.createDataFrame([(r.doc_id, r.toxic) for r in chosen], "doc_id long, toxic int")
     # At most 2 * sample rows of two numbers: small by construction. The documents are read once for them.
     text = table(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "toxic", "text"), "sample")
-    n = {c: min(totals[c], sample) for c in (0, 1)}
-    counts = text.select("toxic", "text").transform(map_arrow, _counted, "term string, stem boolean, toxic long, other long").groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    # Copies and near copies say nothing twice: what only they have in common is no term.
+    distinct = text.select("toxic", "text").transform(map_arrow, _named, "toxic int, name long, text string").dropDuplicates(["toxic", "name"])
+    n = {0: 0, 1: 0} | {r.toxic: r.n for r in distinct.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    counts = distinct.select("toxic", "text").transform(map_arrow, _counted, "term string, stem boolean, toxic long, other long").groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counts = table(counts, "counts")
     ratio = F.log((F.col("toxic") + 0.5) / (n[1] + 1)) - F.log((F.col("other") + 0.5) / (n[0] + 1))
     best = counts.where(F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * n[1])).withColumn("ratio", ratio).where(f"ratio >= {LEAST_RATIO}").orderBy((F.col("toxic") * F.col("ratio")).desc(), "term", "stem").limit(10 * TERMS).collect()
+    sure = [r.term for r in best if not r.stem and r.ratio >= SURE_RATIO]
     best = apart(best)[:TERMS]
-    lexicon = Lexicon([(r.term, k) for k, r in enumerate(best) if not r.stem], [(r.term, k) for k, r in enumerate(best) if r.stem], {r.term for r in best if not r.stem and r.ratio >= SURE_RATIO})
+    lexicon = Lexicon([(r.term, k) for k, r in enumerate(best) if not r.stem], [(r.term, k) for k, r in enumerate(best) if r.stem], sure)
+
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [w for w in b.column(0).to_pylist() if lexicon.match(w)[1] is not None]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["term"])
+
+    # Of at most 2 * sample documents, so it is small: tokens near a term that other documents use as well.
+    used = counts.where(f"not stem and other >= {PLAIN_DOCS}").select("term").transform(map_arrow, near, "term string").collect()
+    free(counts)
+    lexicon.plain = frozenset(r.term for r in used)
+    lexicon.memory.clear()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -29,7 +29,9 @@ def test_rules_on_long_texts_repeated_rows_and_clashing_columns(spark):
 
 
 def test_toxicity_of_long_texts_and_clashing_columns(spark):
-    docs = [(k, f"plain words here {k}") for k in range(40)] + [(100 + k, f"you grumblet fool {k}") for k in range(40)]
+    rng = random.Random(1)
+    some = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(12))
+    docs = [(k, f"{some()} plain words here {some()}") for k in range(40)] + [(100 + k, f"{some()} you grumblet fool {some()}") for k in range(40)]
     labels = spark.createDataFrame([(i, 0, int(i >= 100)) for i, _ in docs], "doc_id long, quality int, toxic int")
     model = toxicity.train(clashing(spark, docs), labels)
     filler = " ".join(f"word{k}" for k in range(LONG))

@@ -56,3 +56,16 @@ def test_edges(spark):
     labels = spark.createDataFrame([(1, 0, 1), (1, 0, 0), (2, 0, None), (None, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
     assert all(0 <= r.score <= 1 for r in t.score(docs, t.train(docs, labels)).collect())
     assert t.score(docs.limit(0), model).count() == 0
+
+
+def test_misspellings_count_and_copies_and_common_words_do_not(spark):
+    rng = random.Random(4)
+    some = lambda: " ".join(f"v{rng.randrange(800)}" for _ in range(15))
+    copied = some() + " copyword " + some()
+    texts = [f"{some()} grumblet {some()}" for _ in range(60)] + [copied] * 40 + [f"{some()} grumbled {some()}" for _ in range(60)]
+    labels = spark.createDataFrame([(i, 0, int(i < 100)) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    model = t.train(documents(spark, texts), labels)
+    assert model.lexicon.match("grumblet")[0] and model.lexicon.match("grumbllet")[1] == 1
+    assert model.lexicon.match("copyword") == ((), None)
+    assert model.lexicon.match("grumbled") == ((), None)  # one letter off, but a word that others use
+    assert model.score(f"{some()} grumbllet {some()}") > model.score(f"{some()} grumbled {some()}")
