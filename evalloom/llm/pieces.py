@@ -28,7 +28,6 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from hashlib import sha256
 from itertools import chain, islice
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +42,7 @@ MARK = "▁"
 #: Threads of the library in each Python worker, and bytes of text given to them at once.
 THREADS, BATCH_BYTES = 2, 4 << 20
 #: Segments that a worker remembers with their ids.
-CACHE = 300_000
+CACHE = 600_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 
@@ -157,9 +156,6 @@ def default_model() -> str:
     return public_tokenizers.path(MODEL)
 
 
-_FIRST, _SECOND = itemgetter(0), itemgetter(1)
-
-
 class Rebuilt:
     """The tokenizer rebuilt from a model file, and the library that it is verified against."""
 
@@ -176,8 +172,10 @@ class Rebuilt:
         self.normalizer = self.ours.normalizer
         if self.by_segment:  # texts are normalised before they are cut
             self.ours.normalizer = self.ours.pre_tokenizer = None
-        #: By segment its ids and what they decode to; no ids where the libraries differ.
-        self.known: dict[str, tuple[list[int] | None, str]] = {}
+        #: Ids by segment; segments on which the libraries differ; those that decode to something else.
+        self.known: dict[str, list[int]] = {}
+        self.odd: set[str] = set()
+        self.changed: dict[str, str] = {}
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return [self._bare(x) for x in self.ours.decode_batch(ids, skip_special_tokens=False)]
@@ -196,29 +194,34 @@ class Rebuilt:
         return [np.array(x, np.int32) for x in check], same, self.decode(check)
 
     def _cut(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[str]]:
+        if len(self.odd) + len(self.changed) > CACHE:
+            for kept in (self.known, self.odd, self.changed):
+                kept.clear()
         known, normal = self.known, self.normalizer.normalize_str
-        cut = [segments(normal(t)) if t else [] for t in texts]
+        normalised = [normal(t) if t else "" for t in texts]
+        cut = [segments(n) if n else [] for n in normalised]
         held = {x: known.get(x) for x in dict.fromkeys(chain.from_iterable(cut))}
         new = [x for x, v in held.items() if v is None]
+        plain = [x.replace(MARK, " ") for x in new] if any(MARK in x for x in new) else new
         found = [e.ids for e in self.ours.encode_batch_fast([MARK + x for x in new], add_special_tokens=False)]
-        check = self.theirs.encode([x.replace(MARK, " ") for x in new], num_threads=1)
         decoded = self.ours.decode_batch(found, skip_special_tokens=False)
-        for x, ids, other, text in zip(new, found, check, decoded, strict=True):
-            # By itself, an empty text has no marker; within another one it has.
-            held[x] = (ids if ids == other or not x else None, text)
+        # By itself, an empty text has no marker; within another one it has.
+        differ = {x for x, ids, other in zip(new, found, self.theirs.encode(plain, num_threads=1), strict=True) if ids != other and x}
+        self.odd |= differ
+        self.changed.update((x, d) for x, d, p in zip(new, decoded, plain, strict=True) if d != " " + p)
+        held.update(zip(new, found, strict=True))
         # The segments that come first are remembered: most later ones are rare.
         known.update((x, held[x]) for x in islice(new, max(0, CACHE - len(known))))
-        odd = {x for x, v in held.items() if v[0] is None}
-        look = held.__getitem__
-        out: tuple[list, list, list] = ([], [], [])
-        for t, c in zip(texts, cut, strict=True):
-            agreed = not odd or odd.isdisjoint(c)
-            if agreed:
-                parts = list(map(look, c))
-                ids, text = np.fromiter(chain.from_iterable(map(_FIRST, parts)), np.int32), self._bare("".join(map(_SECOND, parts)))
-            else:
-                own = self.theirs.encode(t)
-                ids, text = np.array(own, np.int32), self.decode([own])[0]
+        look, out = held.__getitem__, ([], [], [])
+        for t, n, c in zip(texts, normalised, cut, strict=True):
+            agreed = not self.odd or self.odd.isdisjoint(c)
+            ids = np.fromiter(chain.from_iterable(map(look, c)), np.int32) if agreed else np.array(self.theirs.encode(t), np.int32)
+            if not agreed:
+                text = self.decode([ids.tolist()])[0]
+            elif self.changed and not self.changed.keys().isdisjoint(c):
+                text = self._bare("".join([self.changed.get(x, " " + x.replace(MARK, " ")) for x in c]))
+            else:  # every segment was decoded to itself
+                text = n[1:].replace(MARK, " ")
             for column, v in zip(out, (ids, agreed, text), strict=True):
                 column.append(v)
         return out
