@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -107,10 +106,31 @@ def classification_score(pred: Column, gold: Column, classes: Column) -> Column:
     return F.when(F.array_contains(named, gold), ONE / F.size(named)).otherwise(ZERO)
 
 
+def common_length(a: Sequence[str], b: Sequence[str]) -> int:
+    """Length of the longest common subsequence. A row of its table is one integer: bit j is clear where
+    the length grows at the j-th item of b."""
+    places: dict[str, int] = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    row = every = (1 << len(b)) - 1
+    for x in a:
+        if at := row & places.get(x, 0):
+            row = ((row + at) | (row - at)) & every
+    return len(b) - row.bit_count()
+
+
+def indel_ratio(a: str, b: str) -> float:
+    """1 less the insertions and deletions that lead from a to b, over both lengths, in whole hundredths;
+    1 for equal strings, else 0 for an empty one."""
+    if a == b:
+        return 1.0
+    return round(100 * (2 * common_length(a, b) / (len(a) + len(b)))) / 100 if a and b else 0.0
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(pred: pd.Series, gold: pd.Series) -> pd.Series:
-    """Similarity of two strings by matching blocks, rounded to hundredths."""
-    return pd.Series([1.0 if not a and not b else round(100 * SequenceMatcher(None, a or "", b or "").ratio()) / 100 for a, b in zip(pred, gold, strict=True)])
+    """``indel_ratio`` of two strings; null is empty."""
+    return pd.Series([indel_ratio(a or "", b or "") for a, b in zip(pred, gold, strict=True)])
 
 
 def code_similarity(pred: Column, gold: Column) -> Column:
@@ -118,19 +138,10 @@ def code_similarity(pred: Column, gold: Column) -> Column:
 
 
 def rouge_l_tokens(pred: list[str], gold: list[str]) -> float:
-    """F measure of the longest common subsequence of two token lists, a row of whose table is one
-    integer: bit j is clear where the length grows at the j-th gold token."""
+    """F measure of the longest common subsequence of two token lists."""
     if not pred or not gold:
         return 0.0
-    places: dict[str, int] = {}
-    for j, g in enumerate(gold):
-        places[g] = places.get(g, 0) | 1 << j
-    every = (1 << len(gold)) - 1
-    row = every
-    for p in pred:
-        if at := row & places.get(p, 0):
-            row = ((row + at) | (row - at)) & every
-    same = len(gold) - row.bit_count()
+    same = common_length(pred, gold)
     p, r = same / len(pred), same / len(gold)
     return 2 * p * r / (p + r + 1e-8)
 
@@ -332,7 +343,7 @@ def best_sequence(pred: pd.Series, answers: pd.Series, kind: pd.Series) -> pd.Se
 
     def one(p: str, a: str, k: str) -> float:
         if k == "code_sim":
-            return round(100 * SequenceMatcher(None, p, a).ratio()) / 100 if p or a else 1.0
+            return indel_ratio(p, a)
         return rouge_l_tokens(split[k](p), split[k](a))
 
     return pd.Series([0.0 if p is None else max((one(p, a or "", k) for a in (refs if refs is not None else [])), default=0.0) for p, refs, k in zip(pred, answers, kind, strict=True)])

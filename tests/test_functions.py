@@ -103,3 +103,21 @@ def test_sequences(spark):
     assert metrics.rouge_l_tokens([], ["a"]) == 0
     assert value(spark, metrics.long_score(L("gov_report"), L("a b c"), array("a c", "zz"), array())) == pytest.approx(0.8, abs=1e-6)
     assert value(spark, metrics.long_score(L("nothing"), L("a"), array("a"), array())) == 0
+
+
+def test_common_subsequences_and_what_follows_from_them():
+    import random
+
+    rng = random.Random(3)
+
+    def table(a, b):
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+        return rows[-1][-1]
+
+    for _ in range(100):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randrange(90))) for _ in range(2))
+        assert metrics.common_length(a, b) == table(a, b)
+    assert [metrics.indel_ratio(a, b) for a, b in (("", ""), ("a", ""), ("ab", "ab"), ("kitten", "sitting"), ("return x", "return y"))] == [1.0, 0.0, 1.0, 0.62, 0.88]
