@@ -38,7 +38,7 @@ def _(s, d):
 
 
 def _recall(kind: str, clip: str = "") -> str:
-    weight = {"qk": "1", "qkv": "list_sum(list_transform(k.value, lambda x: abs(x)))"}[kind]
+    weight = {"qk": "1", "qkv": "list_sum(list_transform(k.value, lambda x: abs(x)))", "qkv2": "sqrt(list_dot_product(k.value, k.value))"}[kind]
     return f"""WITH {KEYS}, q AS (SELECT layer, head, pos AS qpos, key AS query FROM kv WHERE pos >= k_len - 4),
 p AS (SELECT k.layer, k.head, q.qpos, k.pos, {dot('q.query', 'k.key')} * {weight} AS l FROM q JOIN kv k ON q.layer = k.layer AND q.head = k.head WHERE k.pos >= 4 AND k.pos < k.k_len - 8),
 t AS (SELECT layer, pos FROM (SELECT *, row_number() OVER (PARTITION BY layer, head, qpos ORDER BY round(l, 9) DESC, pos) AS r FROM p) WHERE r <= 2),
@@ -64,6 +64,12 @@ def _(s, d):
     return K.recalled_positions(kv, q, 4, 8, 2, 3, clip=5, kind="qkv")
 
 
+@query("recall_positions_by_length", _recall("qkv2"))
+def _(s, d):
+    kv, q = _last(s, d)
+    return K.recalled_positions(kv, q, 4, 8, 2, 3, kind="qkv2")
+
+
 @query("recall_compacted", f"WITH {KEYS}, r AS (SELECT layer, head, pos, key, row_number() OVER (PARTITION BY layer, head ORDER BY pos) - 1 + 100 - count(*) OVER (PARTITION BY layer, head) AS new_pos FROM kv WHERE pos % 3 = 0) SELECT layer, head, pos, new_pos, round(list_sum(list_transform({_rot('key', '(new_pos - pos)')}, lambda x, i: x * i)), 6) AS total FROM r")
 def _(s, d):
     out = K.compacted(keys(s, d).where("pos % 3 = 0"), 100, 10000.0, D)

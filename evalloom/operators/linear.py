@@ -20,6 +20,7 @@ from pyspark.sql.window import Window as W
 from . import attention as A
 from . import vectors as V
 from .relations import HEAD
+from .retention import retain
 
 C = F.col
 #: Most matrix cells sent to executors (8 bytes each).
@@ -277,6 +278,15 @@ def gate(kv: DataFrame, parameters: dict[tuple[int, int], dict[str, np.ndarray]]
     return kv.withColumn("score", score(*(C(h) for h in HEAD), C(column)))
 
 
+def gate_kept(kv: DataFrame, parameters: dict[tuple[int, int], dict[str, np.ndarray]], ratio: float, column: str = "hidden", sinks: int = 4, share: float = 0.02, window: int = 4096, long: int = 32_000) -> DataFrame:
+    """What the gate's scores leave. Sinks and the recent window score 1, the most a gate gives: the whole part
+    of ``share`` of the length, or ``window`` positions from ``long`` on."""
+    recent = F.when(C("k_len") < long, F.floor(C("k_len") * F.lit(share))).otherwise(window)
+    scored = gate(kv, parameters, column)
+    always = (C("pos") < sinks) | (C("pos") >= C("k_len") - recent)
+    return retain(scored.withColumn("score", F.when(always, 1.0).otherwise(C("score"))), ratio)
+
+
 def blend_tails(rows: DataFrame, grid: list[float], ratio: float) -> DataFrame:
     """(alpha, ridge_tail, query_tail, risk) for each alpha: the share of ridge mass and of query mass
     that a selection by alpha * p_ridge + (1 - alpha) * p_query loses, averaged over heads; risk is

@@ -88,12 +88,15 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
-def cur(kv: DataFrame, window: int = 16, sinks: int = 4, kind: str = "kv_product") -> DataFrame:
+def cur(kv: DataFrame, window: int | None = 16, sinks: int = 4, kind: str = "kv_product", projection: Sequence[Sequence[float]] | None = None) -> DataFrame:
     """Squared norms normalised inside blocks of positions, and again over the head. Shares of a sum of 0
-    are 0, so vectors of zeros go first."""
-    block = W.partitionBy(*HEAD, F.floor(C("pos") / window))
-    out = kv.withColumns({"_k": V.dot(C("key"), C("key")), "_v": V.dot(C("value"), C("value"))})
-    out = out.withColumns({c: _share(C(c), F.sum(c).over(block)) for c in ("_k", "_v")})
+    are 0, so vectors of zeros go first. Without ``window`` norms are not normalised by blocks; with
+    ``projection`` (rows of a small matrix, see ``vectors.gaussian``) they are those of the projected vectors."""
+    squared = lambda c: F.aggregate(F.array(*(F.pow(V.dot(C(c), F.array(*map(F.lit, row))), F.lit(2.0)) for row in projection)), F.lit(0.0), lambda s, x: s + x) if projection else V.dot(C(c), C(c))
+    out = kv.withColumns({"_k": squared("key"), "_v": squared("value")})
+    if window:
+        block = W.partitionBy(*HEAD, F.floor(C("pos") / window))
+        out = out.withColumns({c: _share(C(c), F.sum(c).over(block)) for c in ("_k", "_v")})
     s = {"key": C("_k"), "value": C("_v"), "kv_avg": (C("_k") + C("_v")) / 2, "kv_product": C("_k") * C("_v")}[kind]
     out = out.withColumn("_s", s)
     return out.withColumn("score", F.when(C("pos") < sinks, 1.0).otherwise(_share(C("_s"), F.sum("_s").over(W.partitionBy(*HEAD))))).drop("_k", "_v", "_s")

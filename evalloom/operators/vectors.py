@@ -57,3 +57,10 @@ def quantize(a: Column) -> Column:
 
 def dequantize(q: Column) -> Column:
     return F.transform(q.getField("q"), lambda x: x * q.getField("scale"))
+
+
+def gaussian(rows: int, size: int, seed: int = 42) -> list[list[float]]:
+    """Rows of a random projection that keeps lengths on average."""
+    import numpy as np
+
+    return (np.random.default_rng(seed).standard_normal((rows, size)) / rows**0.5).tolist()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.attention import rotated
 from ..operators.relations import with_length
 from ..operators.retention import retain
 from ..registry import attention_methods, compressors, positional_methods
@@ -50,6 +51,15 @@ def positions(method: str | None, base: float, dim: int, factor: float = 1.0, **
     return positional_methods.get(method or "linear_pi")(base, dim, factor, **more)
 
 
+def positioned(relation: DataFrame, column: str, position: str, method: str | None, base: float, dim: int, factor: float = 1.0, **more) -> DataFrame:
+    """A relation with a vector column rotated to its positions as a positional method has it: positions are
+    divided, frequencies changed and vectors scaled by what ``positions`` gives. Queries and keys are both to be
+    sent through it; each is multiplied by the attention scale, as scaled cosines and sines do."""
+    frequencies, divisor, scale = positions(method, base, dim, factor, **more)
+    turned = rotated(F.col(column), F.col(position).cast("double") / divisor, frequencies)
+    return relation.withColumn(column, F.transform(turned, lambda x: x * F.lit(scale)) if scale != 1 else turned)
+
+
 def decoding(scorer: Callable[[DataFrame], DataFrame], target: int = 2048) -> Callable[[DataFrame], DataFrame]:
     """A compressor for decoding: whatever the cache has grown to, the ``target`` best positions of a head
     stay. A stream calls it after each interval (``streaming.retention.bounded_cache``)."""

@@ -43,7 +43,7 @@ for _name, _scorer, _aliases in (
     ("finch", R.finch_kept, ()),
     ("critical_adakv", R.critical_adaptive_mask, ()),
     ("leverage", L.leverage, ()),
-    ("fastkvzip", L.gate, ()),
+    ("fastkvzip", L.gate_kept, ()),
     ("non_causal_attention", L.non_causal, ()),
     ("compactor", L.compactor, ()),
     ("ridge", L.ridge, ()),

@@ -163,3 +163,45 @@ def test_blocks_of_a_scorer_that_sees_its_neighbours(spark, random_keys):
         kept = R.retain(snap(seen), 0.5, F.lit(6)).drop("score", "k_len")
     assert {(r.head, r.pos) for r in R.in_blocks(kv, snap, 0.5, 4).collect()} == {(r.head, r.pos) for r in kept.collect()}
     assert R.in_blocks(kv, R.knorm, 0.5, 4).count() == 12
+
+
+def test_projected_norms(spark, random_keys):
+    from evalloom.operators import vectors as V
+
+    kv = relation(spark, random_keys)
+    g = V.gaussian(3, SIZE, 7)
+    k2 = ((random_keys @ np.array(g).T) ** 2).sum(axis=2)
+    want = k2 * k2 / (k2 * k2).sum(axis=1, keepdims=True)
+    assert np.allclose(scores(R.cur(kv, None, 0, projection=g)), want)
+
+
+def test_positions_of_a_relation(spark, random_keys):
+    from evalloom.plans import compose
+
+    kv = relation(spark, random_keys)
+    found = {(r["head"], r.pos): r.key for r in compose.positioned(kv, "key", "pos", "linear_pi", 100.0, SIZE, 2.0).collect()}
+    for (h, p), key in found.items():
+        a = p / 2 * 100.0 ** (-2 * np.arange(2) / SIZE)
+        x = random_keys[h, p]
+        assert np.allclose(key, [*(x[:2] * np.cos(a) - x[2:] * np.sin(a)), *(x[2:] * np.cos(a) + x[:2] * np.sin(a))])
+    scale = compose.positions("yarn", 100.0, SIZE, 4.0)[2]
+    first = compose.positioned(kv, "key", "pos", "yarn", 100.0, SIZE, 4.0).where("pos = 0 and head = 1").first().key
+    assert np.allclose(first, random_keys[1, 0] * scale)
+
+
+def test_gates_keep_sinks_and_recent_positions(spark, random_keys):
+    kv = relation(spark, random_keys).withColumn("hidden", F.col("key"))
+    rng = np.random.default_rng(2)
+    p = {(0, h): {"wq": rng.normal(size=(2, 3, SIZE)), "bq": np.zeros((2, 3)), "wk": rng.normal(size=(3, SIZE)), "nq": np.ones(3), "nk": np.ones(3), "base": rng.normal(size=(2, 3)), "b": np.zeros(2)} for h in range(2)}
+    for r in L.gate_kept(kv, p, 0.5, sinks=2, share=0.25).groupBy("head").agg(F.sort_array(F.collect_list("pos")).alias("at")).collect():
+        assert len(r.at) == 6 and {0, 1, 9, 10, 11} <= set(r.at)
+    assert {x.pos for x in L.gate_kept(kv, p, 0.75, sinks=0, window=3, long=10).collect()} == {9, 10, 11}
+
+
+def test_mlp_surrogate(spark, random_keys):
+    kv = relation(spark, random_keys)
+    rng = np.random.default_rng(6)
+    first, second = rng.normal(size=(5, SIZE)), rng.normal(size=5)
+    weights = spark.createDataFrame([(0, first.tolist(), second.tolist())], "layer int, first array<array<double>>, second array<double>")
+    gelu = np.vectorize(lambda h: 0.5 * h * (1 + math.erf(h / math.sqrt(2))))
+    assert np.allclose(scores(L.surrogate(kv, weights)), gelu(random_keys @ first.T) @ second)
