@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -42,7 +43,7 @@ MARK = "▁"
 #: Threads of the library in each Python worker, and bytes of text given to them at once.
 THREADS, BATCH_BYTES = 2, 4 << 20
 #: Segments that a worker remembers with their ids.
-CACHE = 600_000
+CACHE = 250_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 
@@ -172,8 +173,8 @@ class Rebuilt:
         self.normalizer = self.ours.normalizer
         if self.by_segment:  # texts are normalised before they are cut
             self.ours.normalizer = self.ours.pre_tokenizer = None
-        #: Ids by segment; segments on which the libraries differ; those that decode to something else.
-        self.known: dict[str, list[int]] = {}
+        #: Ids by segment, as bytes of 32-bit integers; segments on which the libraries differ; those that decode to something else.
+        self.known: dict[str, bytes] = {}
         self.odd: set[str] = set()
         self.changed: dict[str, str] = {}
 
@@ -209,13 +210,13 @@ class Rebuilt:
         differ = {x for x, ids, other in zip(new, found, self.theirs.encode(plain, num_threads=1), strict=True) if ids != other and x}
         self.odd |= differ
         self.changed.update((x, d) for x, d, p in zip(new, decoded, plain, strict=True) if d != " " + p)
-        held.update(zip(new, found, strict=True))
+        held.update((x, array("i", ids).tobytes()) for x, ids in zip(new, found, strict=True))
         # The segments that come first are remembered: most later ones are rare.
         known.update((x, held[x]) for x in islice(new, max(0, CACHE - len(known))))
         look, out = held.__getitem__, ([], [], [])
         for t, n, c in zip(texts, normalised, cut, strict=True):
             agreed = not self.odd or self.odd.isdisjoint(c)
-            ids = np.fromiter(chain.from_iterable(map(look, c)), np.int32) if agreed else np.array(self.theirs.encode(t), np.int32)
+            ids = np.frombuffer(b"".join(map(look, c)), np.int32) if agreed else np.array(self.theirs.encode(t), np.int32)
             if not agreed:
                 text = self.decode([ids.tolist()])[0]
             elif self.changed and not self.changed.keys().isdisjoint(c):
