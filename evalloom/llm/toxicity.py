@@ -94,6 +94,9 @@ class Lexicon:
         self.words, self.stems = dict(words), dict(stems)
         self.lengths = sorted({len(s) for s in self.stems})
         self.root: dict = {}
+        #: Parts of the words, by permitted errors and length: cut in one part more than errors, a word
+        #: within these leaves one of its parts whole.
+        self.parts: dict[int, dict[int, set[str]]] = {1: {}, 2: {}}
         for word in self.words if sure is None else sure:
             number = next((x for x in (self.words.get(word), *(self.stems.get(word[:n]) for n in reversed(self.lengths))) if x is not None), None)
             if len(word) >= 5 and number is not None:
@@ -101,6 +104,10 @@ class Lexicon:
                 for c in word:
                     node = node.setdefault(c, {})
                 node[""] = number
+                for errors in (1, 2) if len(word) >= 7 else (1,):  # a word of under 7 letters is not within 2 of one of 9
+                    cuts = [k * len(word) // (errors + 1) for k in range(errors + 2)]
+                    for a, b in zip(cuts, cuts[1:], strict=False):
+                        self.parts[errors].setdefault(b - a, set()).add(word[a:b])
         #: Tokens that other documents use, and that are no misspellings therefore.
         self.plain: frozenset[str] = frozenset()
         self.memory: dict[str, tuple] = {}
@@ -108,6 +115,8 @@ class Lexicon:
     def near(self, token: str) -> list[tuple[int, int]]:
         """(term, distance) of the words within one error of token, two from nine letters on."""
         errors = 2 if len(token) >= 9 else 1
+        if not any(token[i : i + n] in some for n, some in self.parts[errors].items() for i in range(len(token) - n + 1)):
+            return []
         automaton, found = Automaton(token, errors), []
         todo = [(self.root, automaton.start)]
         while todo:
