@@ -108,7 +108,7 @@ def test_shares_of_nothing_are_nothing(spark):
 
 
 def plain_walk(keys, values, draw, gamma, block, rounds):
-    """The walk of one head as written in the paper's code: order and weights of what stays."""
+    """The walk of one head by its definition, row after row: order and weights of what stays."""
     order, weight, n = np.arange(len(keys)), np.ones(len(keys)), len(keys)
     for t in range(rounds):
         signs = np.zeros(n)
@@ -135,7 +135,7 @@ def plain_walk(keys, values, draw, gamma, block, rounds):
 
 
 @pytest.mark.parametrize("ratio,rounds,gamma", [(0.5, 1, 4.0), (0.75, 2, 0.05)])
-def test_balanced_halving_is_the_published_walk(spark, ratio, rounds, gamma):
+def test_balanced_halving_is_the_walk_by_definition(spark, ratio, rounds, gamma):
     rng = np.random.default_rng(3)
     keys, values = rng.normal(size=(2, 45, SIZE)), rng.normal(size=(2, 45, SIZE))
     kv = relation(spark, keys, values)
