@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, pieces, pii, quality_rules, repeats, toxicity, url_filters, warc
+from . import chat, decontaminate, divergence, pieces, pii, quality_rules, repeats, toxicity, url_filters, warc
 from .common import documents
 from .jaccard_join import similar_documents
 
@@ -58,6 +58,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 ALL = (
     op1_toxicity,
     op2_chat_formatting,
@@ -69,6 +73,7 @@ ALL = (
     op8_benchmark_decontamination,
     op9_url_filters,
     op10_ngram_jaccard_join,
+    op11_source_divergence,
 )
 
 
@@ -77,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "op9_url_filters": url_filters.oracle()}
+    return {"op4_warc": warc.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "op9_url_filters": url_filters.oracle(), "op11_source_divergence": divergence.ORACLE}
