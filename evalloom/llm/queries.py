@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, divergence, pieces, pii, quality_rules, repeats, toxicity, url_filters, warc
+from . import chat, decontaminate, divergence, pieces, pii, quality_rules, repeats, runs, toxicity, url_filters, warc
 from .common import documents
 from .jaccard_join import similar_documents
 
@@ -62,6 +62,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.summarize(runs.find_runs(runs.with_planted_runs(documents(spark, sf_dir))))
+
+
 ALL = (
     op1_toxicity,
     op2_chat_formatting,
@@ -74,6 +78,7 @@ ALL = (
     op9_url_filters,
     op10_ngram_jaccard_join,
     op11_source_divergence,
+    op12_periodic_runs,
 )
 
 
@@ -82,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "op9_url_filters": url_filters.oracle(), "op11_source_divergence": divergence.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "op9_url_filters": url_filters.oracle(), "op11_source_divergence": divergence.ORACLE, "op12_periodic_runs": runs.ORACLE}
