@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, divergence, pieces, pii, quality_rules, repeats, runs, toxicity, url_filters, warc
+from . import chat, decontaminate, divergence, passages, pieces, pii, quality_rules, repeats, runs, toxicity, url_filters, warc
 from .common import documents
 from .jaccard_join import similar_documents
 
@@ -66,6 +66,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.summarize(runs.find_runs(runs.with_planted_runs(documents(spark, sf_dir))))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return passages.score(docs, passages.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 ALL = (
     op1_toxicity,
     op2_chat_formatting,
@@ -79,6 +84,7 @@ ALL = (
     op10_ngram_jaccard_join,
     op11_source_divergence,
     op12_periodic_runs,
+    op13_quality_classifier,
 )
 
 
