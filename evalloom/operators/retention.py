@@ -344,7 +344,9 @@ def lowest(df: DataFrame, ratio: float, score: str = "score") -> DataFrame:
             at = (want - below) / (within - below)
             near = inner.agg(F.percentile_approx("_s", [max(at - 1e-3, 0.0), min(at + 1e-3, 1.0)], 10_000)).first()[0]
             if near == [low, high]:
-                break
+                # Quantiles cannot part these two scores: the lower one is taken whole, or is the one that is cut.
+                equal, after = inner.agg(F.count_if(C("_s") == low), F.min(F.when(C("_s") > low, C("_s")))).first()
+                near = [low, low] if below + equal >= want else [after, high]
             low, high = near
     inner = df.where((C("_s") >= low) & (C("_s") <= high))
     if low == high:
@@ -398,21 +400,9 @@ def pruned_channels(kv: DataFrame, queries: DataFrame, ratio: float, size: int)
     return kv.join(dead, [*HEAD]).withColumn("key", F.transform("key", lambda x, i: F.when(F.array_contains("_dead", i), 0.0).otherwise(x))).drop("_dead")
 
 
-def pyramid_budget(layer: int, layers: int, length: int, ratio: float, window: int, beta: float = 20.0) -> int:
-    """Budget of a layer, falling linearly from the first to the last."""
-    mean = length * (1 - ratio)
-    low = mean / beta
-    high = 2 * mean - low
-    if high >= length - window:
-        high = length - window
-        low = 2 * mean - high
-    if not length >= high >= low >= window or layers < 2:
-        return round(mean)
-    return round(high - layer * (high - low) / (layers - 1))
-
-
 def pyramid_budgets(layers: int, ratio: float, window: int, beta: float = 20.0) -> Column:
-    """``pyramid_budget`` of each row's layer and length."""
+    """Budgets that fall linearly from the first layer to the last about the mean of a row's length, by its layer; the
+    mean where such a line would leave the bounds."""
     mean = C("k_len") * F.lit(1 - ratio)
     rest = C("k_len") - window
     wide = 2 * mean - mean / beta >= rest

@@ -98,8 +98,8 @@ class Counted:
 
 @retrievers.register("one_pass")
 class OnePass:
-    """Chunks of a context are embedded when it is set up; a question takes the ``top`` nearest in order of
-    likeness, fills the prompt with as many as ``room`` code points hold, and refines the answer
+    """Chunks of a context are embedded when it is set up; a question takes the ``top`` nearest, the best
+    last, fills the prompt with as many as ``room`` code points hold, and refines the answer
     with the rest. ``embed`` turns texts into unit vectors, ``generate`` a prompt into an answer; the
     stand-ins count words by hash and repeat the first passage.
     """
@@ -119,7 +119,7 @@ class OnePass:
         question = row["question"] or ""
         near = self.vectors @ self.embed([self.QUESTION + question])[0] if self.passages else np.zeros(0)
         chosen = [self.passages[i] for i in np.argsort(-np.round(near, 9), kind="stable")[: self.top]]
-        packed, answer = self._packed(chosen), ""
+        packed, answer = self._packed(chosen[::-1]), ""
         for k, context in enumerate(packed or [""]):
             prompt = G.REFINE_PROMPT.format(question=question, answer=answer, context=context) if k else G.ANSWER_PROMPT.format(question=question, context=context)
             answer = self.generate(prompt)

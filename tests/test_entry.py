@@ -1,5 +1,6 @@
 """The entry module works with and without the removable parts of the repository."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -12,7 +13,9 @@ NAMES = "import __spark_entry__ as e; print(*sorted(e.queries())); print(*sorted
 
 
 def listed(folder, code=NAMES):
-    return subprocess.run([sys.executable, "-B", "-c", code], cwd=folder, capture_output=True, text=True)
+    """What a Python process of its own says, in which only this folder's modules are on the path."""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    return subprocess.run([sys.executable, "-B", "-c", code], cwd=folder, capture_output=True, text=True, env=env)
 
 
 def copy(tmp_path):

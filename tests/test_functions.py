@@ -57,9 +57,17 @@ def test_answers_out_of_text(spark, said, want):
     assert value(spark, extract.parse_answers(F.lit(said).cast("string"))) == want
 
 
-@pytest.mark.parametrize("said,want", [("x\n['a', 2]\n['b']", ["a", "2"]), ("[oops]\n['b']", []), ("none", []), ("['it's']", ["it's"]), (None, [])])
-def test_bracketed_list(said, want):
-    assert extract.bracketed_list(said) == want
+LISTS = [
+    ("x\n['a', 2]\n['b']", ["a", "2"]), ("[oops]\n['b']", []), ("none", []), ("['it's']", ["it's"]), (None, []), ("", []), ("] and [", []),
+    ("**Final**: `['a', \"b's\", 0, -3,]` so", ["a", "b's", "0", "-3"]), ("[]", []), ("a [1, [2], 'x'] b", ["1", "[2]", "x"]), ("['a', b]", []),
+    ("['x'] or ['y']", []), ("['a'b'c']", []), (r"['a\'b', 'c\\']", ["a'b", "c\\"]), ("['a' 'b']", ["ab"]), ("[007]", []), ("[1.50, True]", ["1.5", "True"]), ("[ 'x' , ]", ["x"]), ("[,]", []),
+]
+
+
+@pytest.mark.parametrize("said,want", LISTS)
+def test_bracketed_list(spark, said, want):
+    assert value(spark, extract.extract_list(F.lit(said).cast("string"))) == want
+
 
 
 def test_first_lines(spark):

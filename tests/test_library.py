@@ -297,7 +297,12 @@ def test_one_pass_retrieval_refines_with_what_does_not_fit():
     one = OnePass(generate=lambda p: prompts.append(p) or f"a{len(prompts)}", size=6, overlap=2, top=3, room=40)
     one.setup("Alpha beta gamma. Delta epsilon zeta eta. Theta iota. Kappa lambda mu nu xi. Omicron pi.")
     assert one.predict({"question": "kappa lambda"}) == f"a{len(prompts)}"
-    assert "Kappa lambda" in prompts[0] and "Existing answer: a1" in prompts[1]
+    assert "Kappa lambda" not in prompts[0] and "Kappa lambda" in prompts[-1] and "Existing answer: a1" in prompts[1]
+    prompts.clear()
+    one.room = 1000
+    one.predict({"question": "kappa lambda"})
+    passages = prompts[0].split("---------------------\n")[1].strip().split("\n\n")
+    assert len(prompts) == 1 and len(passages) == 3 and "Kappa lambda" in passages[-1]
     one.teardown()
     one.setup("")
     assert one.predict({"question": "x"}).startswith("a")
@@ -359,8 +364,17 @@ def test_a_sweep_resumes(spark, tmp_path):
 @pytest.mark.parametrize("band", [10**6, 3])
 def test_lowest_with_ties(spark, band, monkeypatch):
     monkeypatch.setattr(R, "BAND", band)
-    for scores in ([1.0] * 40, [float(k % 3) for k in range(40)], [float(k * 7 % 40) for k in range(40)]):
+    for scores in ([1.0] * 40, [float(k % 2) for k in range(40)], [float(k % 3) for k in range(40)], [float(k * 7 % 40) for k in range(40)]):
         df = spark.createDataFrame([(0, k % 4, k // 4, s) for k, s in enumerate(scores)], "layer int, head int, pos int, score double")
-        for ratio in (0.1, 0.45, 0.8):
+        for ratio in (0.1, 0.45, 0.4999, 0.8):
             want = sorted((s, 0, k % 4, k // 4) for k, s in enumerate(scores))[: int(40 * ratio)]
             assert sorted((r.score, r.layer, r["head"], r.pos) for r in R.lowest(df, ratio).collect()) == want
+
+
+def test_tied_scores_are_never_ranked_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(R, "BAND", 50)
+    df = spark.range(4000).selectExpr("0 AS layer", "CAST(id % 8 AS INT) AS head", "CAST(id div 8 AS INT) AS pos", "CAST(id % 2 AS DOUBLE) AS score")
+    out = R.lowest(df, 0.4999)
+    assert out.count() == 1999 and out.agg(F.max("score")).first()[0] == 0.0
+    # Only windows within a head are left in the plan.
+    assert "windowspecdefinition(_s" not in out._jdf.queryExecution().optimizedPlan().toString()
