@@ -13,7 +13,7 @@ from ..operators import retrieval as G
 
 from ..operators import vectors as V
 from .base import KEYS, dot, keys, query, read
-from .retention import D, _rot
+from .retention import D, _all, _rot
 
 C = F.col
 
@@ -23,18 +23,37 @@ def _total(c):
 
 
 # Chunk size 12, local window 4: chunks of 8 positions.
-_DCA = f"""WITH {KEYS}, k AS (SELECT *, {_rot('key', '(pos % 8)')} AS rk FROM kv),
-q AS (SELECT layer, head, pos AS qpos, {_rot('key', '(pos % 8)')} AS q0, {_rot('key', 'least(pos % 8 + 8, 12)')} AS q1, {_rot('key', '12')} AS q2 FROM kv WHERE pos >= k_len - 12),
-l AS (SELECT q.layer, q.head, q.qpos, k.value, list_dot_product(CASE q.qpos // 8 - k.pos // 8 WHEN 0 THEN q0 WHEN 1 THEN q1 ELSE q2 END, rk) / 8 AS l FROM q JOIN k ON q.layer = k.layer AND q.head = k.head AND k.pos <= q.qpos),
+def _dual(queries: str, back: str) -> str:
+    return f"""WITH {KEYS}, k AS (SELECT *, {_rot('key', '(pos % 8)')} AS rk FROM kv),
+q AS (SELECT layer, head, pos AS qpos, {_rot('key', '(pos % 8)')} AS q0, {_rot('key', 'least(pos % 8 + 8, 12)')} AS q1, {_rot('key', '12')} AS q2 FROM kv {queries}),
+l AS (SELECT q.layer, q.head, q.qpos, k.value, list_dot_product(CASE {back} - k.pos // 8 WHEN 0 THEN q0 WHEN 1 THEN q1 ELSE q2 END, rk) / 8 AS l FROM q JOIN k ON q.layer = k.layer AND q.head = k.head AND k.pos <= q.qpos),
 e AS (SELECT *, max(l) OVER (PARTITION BY layer, head, qpos) AS m FROM l)
 SELECT layer, head, qpos, round(ln(sum(exp(l - m))) + max(m), 6) AS lse, round(sum(exp(l - m) * list_sum(list_transform(value, lambda x, i: x * i))) / sum(exp(l - m)), 6) AS out FROM e GROUP BY layer, head, qpos"""
 
 
-@query("attention_dual_chunk", _DCA)
+def _attended(out):
+    return out.select("layer", "head", "qpos", F.round("lse", 6).alias("lse"), _total("out").alias("out"))
+
+
+@query("attention_dual_chunk", _dual("", "q.qpos // 8"))
+def _(s, d):
+    kv, q = _all(s, d)
+    return _attended(K.dual_chunk(q, kv, D, 12, 4))
+
+
+# Decoding steps: the last position of each head, and its last twelve as one block, which crosses chunks.
+
+
+@query("attention_dual_chunk_step", _dual("WHERE pos = k_len - 1", "q.qpos // 8"))
 def _(s, d):
     kv = keys(s, d)
-    out = K.dual_chunk(relations.last_queries(kv, 12), kv, D, 12, 4)
-    return out.select("layer", "head", "qpos", F.round("lse", 6).alias("lse"), _total("out").alias("out"))
+    return _attended(K.dual_chunk_decode(relations.last_queries(kv, 1), kv, D, 12, 4))
+
+
+@query("attention_dual_chunk_block", _dual("WHERE pos >= k_len - 12", "(k.k_len - 1) // 8"))
+def _(s, d):
+    kv = keys(s, d)
+    return _attended(K.dual_chunk_decode(relations.last_queries(kv, 12), kv, D, 12, 4))
 
 
 def _recall(kind: str, clip: str = "") -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import attention as A
 from ..operators import relations
 from ..operators import retention as R
+from ..operators import tiles
 from ..operators import vectors as V
 from .base import KEYS, SCALE, dot, kept, keys, norm, query
 
@@ -25,15 +26,21 @@ def _q(s, d, n):
     return kv, relations.last_queries(kv, n)
 
 
+def _all(s, d):
+    """Keys, and every one of them as a query."""
+    kv = keys(s, d)
+    return kv, kv.select("layer", "head", C("pos").alias("qpos"), C("key").alias("query"))
+
+
 def _w(*ctes):
     return "WITH " + ", ".join([KEYS, *ctes]) + " "
 
 
 KNORM = f"s AS (SELECT *, -{norm('key')} AS score FROM kv)"
-#: Softmax weights of the last n queries over what they see.
-def weights(n: int, name: str = "w", causal: bool = True) -> str:
+#: Softmax weights of the last n queries, or of all, over what they see.
+def weights(n: int | None, name: str = "w", causal: bool = True) -> str:
     see = "AND k.pos <= q.qpos" if causal else ""
-    return f"""q AS (SELECT layer, head, pos AS qpos, key AS query FROM kv WHERE pos >= k_len - {n}),
+    return f"""q AS (SELECT layer, head, pos AS qpos, key AS query FROM kv{"" if n is None else f" WHERE pos >= k_len - {n}"}),
     lg AS (SELECT k.layer, k.head, q.qpos, k.pos, k.k_len, k.value, {dot('q.query', 'k.key')} * {SC} AS l FROM q JOIN kv k ON q.layer = k.layer AND q.head = k.head {see}),
     ex AS (SELECT *, exp(l - max(l) OVER (PARTITION BY layer, head, qpos)) AS e FROM lg),
     {name} AS (SELECT *, e / sum(e) OVER (PARTITION BY layer, head, qpos) AS w FROM ex)"""
@@ -288,42 +295,41 @@ def _att(df):
 _ATT = "SELECT layer, head, qpos, round(ln(sum(e0)) + max(mx), 6) AS lse, round(sum(w * vs), 6) AS out FROM (SELECT *, exp(l - max(l) OVER p) AS e0, max(l) OVER p AS mx, list_sum(list_transform(value, lambda x, i: x * i)) AS vs FROM w WINDOW p AS (PARTITION BY layer, head, qpos)) GROUP BY layer, head, qpos"
 
 
-@query("attention_causal", _w(weights(16)) + _ATT)
+@query("attention_causal", _w(weights(None)) + _ATT)
 def _(s, d):
-    kv, q = _q(s, d, 16)
+    kv, q = _all(s, d)
     return _att(A.attention(q, kv, D))
 
 
-@query("attention_merged", _w(weights(16)) + _ATT)
+@query("attention_merged", _w(weights(None)) + _ATT)
 def _(s, d):
-    kv, q = _q(s, d, 16)
-    rows = A.logits(q, kv, SCALE).withColumn("part", C("pos") % 3)
-    return _att(A.merge_partials(A.attend(rows, D, (*A.ROW, "part")), D))
+    kv, q = _all(s, d)
+    parts = [A.attention(q, kv.where(C("pos") % 3 == k), D) for k in range(3)]
+    return _att(A.merge_partials(parts[0].unionByName(parts[1]).unionByName(parts[2]), D))
 
 
-@query("attention_grouped_heads", _w("q AS (SELECT layer, head AS q_head, head // 2 AS head, pos AS qpos, key AS query FROM kv WHERE pos >= k_len - 2)") + f"SELECT q.q_head, q.head, q.qpos, round(max({dot('q.query', 'k.key')}), 6) AS best FROM q JOIN kv k ON q.layer = k.layer AND q.head = k.head GROUP BY ALL")
+@query("attention_grouped_heads", _w("q AS (SELECT layer, head AS q_head, head // 2 AS head, pos AS qpos, key AS query FROM kv)") + f"SELECT q.q_head, q.head, q.qpos, round(max({dot('q.query', 'k.key')}), 6) AS best FROM q JOIN kv k ON q.layer = k.layer AND q.head = k.head GROUP BY ALL")
 def _(s, d):
-    kv, q = _q(s, d, 2)
-    rows = A.logits(A.spread_heads(q, 2), kv, 1.0, None)
-    return rows.groupBy("q_head", "head", "qpos").agg(F.round(F.max("logit"), 6).alias("best"))
+    kv, q = _all(s, d)
+    return tiles.top_keys(A.spread_heads(q, 2), kv, D, 1, 1.0, None).select("q_head", "head", "qpos", F.round("logit", 6).alias("best"))
 
 
-@query("attention_top_keys", _w(weights(8)) + "SELECT layer, head, qpos, pos, rk AS rank FROM (SELECT *, row_number() OVER (PARTITION BY layer, head, qpos ORDER BY round(l, 9) DESC, pos) AS rk FROM w) WHERE rk <= 4")
+@query("attention_top_keys", _w(weights(None)) + "SELECT layer, head, qpos, pos, rk AS rank FROM (SELECT *, row_number() OVER (PARTITION BY layer, head, qpos ORDER BY round(l, 9) DESC, pos) AS rk FROM w) WHERE rk <= 4")
 def _(s, d):
-    kv, q = _q(s, d, 8)
-    return A.top_keys(A.logits(q, kv, SCALE), 4).select("layer", "head", "qpos", "pos", "rank")
+    kv, q = _all(s, d)
+    return tiles.top_keys(q, kv, D, 4, SCALE).select("layer", "head", "qpos", "pos", "rank")
 
 
-@query("attention_best_key", _w(weights(8)) + "SELECT layer, head, qpos, pos FROM w QUALIFY row_number() OVER (PARTITION BY layer, head, qpos ORDER BY round(l, 9) DESC, pos DESC) = 1")
+@query("attention_best_key", _w(weights(None)) + "SELECT layer, head, qpos, pos FROM w QUALIFY row_number() OVER (PARTITION BY layer, head, qpos ORDER BY round(l, 9) DESC, pos DESC) = 1")
 def _(s, d):
-    kv, q = _q(s, d, 8)
-    return A.best_key(A.logits(q, kv, SCALE))
+    kv, q = _all(s, d)
+    return tiles.top_keys(q, kv, D, 1, SCALE, latest=True).select("layer", "head", "qpos", "pos")
 
 
-@query("attention_top_blocks", _w(weights(8)) + ", b AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY layer, head, qpos, pos // 8 ORDER BY round(l, 9) DESC, pos) = 1) SELECT layer, head, qpos, pos FROM b QUALIFY row_number() OVER (PARTITION BY layer, head, qpos ORDER BY round(l, 9) DESC, pos) <= 4")
+@query("attention_top_blocks", _w(weights(None)) + ", b AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY layer, head, qpos, pos // 8 ORDER BY round(l, 9) DESC, pos) = 1) SELECT layer, head, qpos, pos FROM b QUALIFY row_number() OVER (PARTITION BY layer, head, qpos ORDER BY round(l, 9) DESC, pos) <= 4")
 def _(s, d):
-    kv, q = _q(s, d, 8)
-    return A.top_blocks(A.logits(q, kv, SCALE), 4, 8).select("layer", "head", "qpos", "pos")
+    kv, q = _all(s, d)
+    return tiles.top_keys(q, kv, D, 4, SCALE, block=8).select("layer", "head", "qpos", "pos")
 
 
 @query("rotary_apply", _w(f"t AS (SELECT layer, head, pos, {_rot('key', 'pos')} AS k FROM kv)") + f"SELECT layer, head, pos, {_SUM.format('k')} AS total FROM t")

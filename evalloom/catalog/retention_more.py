@@ -9,7 +9,7 @@ from ..operators import relations
 from ..operators import retention as R
 from ..operators import vectors as V
 from .base import KEYS, SCALE, dot, kept, keys, norm, query
-from .retention import _FR, D, KNORM, _out, _q, _rot, _w, weights
+from .retention import _FR, D, KNORM, _out, _all, _q, _rot, _w, weights
 
 C = F.col
 
@@ -60,8 +60,8 @@ def _(s, d):
     return R.layer_counts_mask(R.reread(kv, relations.last_queries(kv, 10_000), SCALE, 10), 0.4).select("layer", "head", "pos")
 
 
-@query("attention_masked", _w(weights(4), "x AS (SELECT *, list_sum(list_transform(value, lambda x, i: x * i)) AS vs FROM lg WHERE pos % 3 <> 1), y AS (SELECT *, max(l) OVER (PARTITION BY layer, head, qpos) AS m FROM x)") + "SELECT layer, head, qpos, round(ln(sum(exp(l - m))) + max(m), 6) AS lse, round(sum(exp(l - m) * vs) / sum(exp(l - m)), 6) AS out FROM y GROUP BY layer, head, qpos")
+@query("attention_masked", _w(weights(None), "x AS (SELECT *, list_sum(list_transform(value, lambda x, i: x * i)) AS vs FROM lg WHERE pos % 3 <> 1), y AS (SELECT *, max(l) OVER (PARTITION BY layer, head, qpos) AS m FROM x)") + "SELECT layer, head, qpos, round(ln(sum(exp(l - m))) + max(m), 6) AS lse, round(sum(exp(l - m) * vs) / sum(exp(l - m)), 6) AS out FROM y GROUP BY layer, head, qpos")
 def _(s, d):
-    kv, q = _q(s, d, 4)
+    kv, q = _all(s, d)
     out = A.attention(q, R.unmasked(kv, kv.where("pos % 3 = 1").select("layer", "head", "pos")), D)
     return out.select("layer", "head", "qpos", F.round("lse", 6).alias("lse"), F.round(V.total(F.transform("out", lambda x, i: x * (i + 1))), 6).alias("out"))

@@ -1,4 +1,7 @@
-"""Attention as joins and aggregates. Queries are (layer, head, qpos, query)."""
+"""Attention as joins and aggregates. Queries are (layer, head, qpos, query).
+
+``attention`` works on tiles; ``logits`` and what follows it hold a row per pair, for windows of few queries.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import tiles
 from . import vectors as V
 from .relations import HEAD
 
@@ -49,7 +53,8 @@ def merge_partials(parts: DataFrame, size: int, by: tuple[str, ...] = ROW) -> Da
 
 
 def attention(queries: DataFrame, kv: DataFrame, size: int, scale: float | None = None, offset: int | None = 0) -> DataFrame:
-    return attend(logits(queries, kv, scale or 1 / math.sqrt(size), offset), size)
+    """Output and log-sum-exp of each query over the keys it may see, by tiles of both."""
+    return tiles.attention(queries, kv, size, scale, offset)
 
 
 def top_keys(rows: DataFrame, k: int) -> DataFrame:

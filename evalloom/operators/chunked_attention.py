@@ -4,24 +4,22 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import attention as A
+from . import tiles
 from . import vectors as V
 from .relations import HEAD
 
 C = F.col
 
 
-def dual_chunk(queries: DataFrame, kv: DataFrame, size: int, chunk_size: int, local: int, base: float = 10000.0) -> DataFrame:
-    """Attention whose positions never exceed the chunk size.
-
-    A query sees its own chunk causally, the chunk before and all older chunks as a whole, each under
-    its own rotation of the query; keys are rotated to their position inside the chunk. One join
-    covers the three ranges, since they are disjoint and give one softmax.
-    """
+def _dual_rotated(queries: DataFrame, kv: DataFrame, size: int, chunk_size: int, local: int, base: float) -> tuple[DataFrame, DataFrame, int]:
+    """Queries with their vectors for the own chunk, the one before and all older ones (q0, q1, q2), keys at their
+    position inside the chunk, and the length of a chunk."""
     length = chunk_size - local
     fr = A.inverse_frequencies(base, size)
     inside = C("qpos") % length
@@ -30,12 +28,31 @@ def dual_chunk(queries: DataFrame, kv: DataFrame, size: int, chunk_size: int, lo
         "q1": A.rotated(C("query"), F.least(inside + length, F.lit(chunk_size)).cast("double"), fr),
         "q2": A.rotated(C("query"), F.lit(float(min(2 * length - 1, chunk_size))), fr),
     }).drop("query")
-    k = kv.withColumn("key", A.rotated(C("key"), (C("pos") % length).cast("double"), fr))
-    back = F.floor(C("qpos") / length) - F.floor(C("pos") / length)
-    rows = q.join(k, [*HEAD]).where(C("pos") <= C("qpos"))
-    query = F.when(back == 0, C("q0")).when(back == 1, C("q1")).otherwise(C("q2"))
-    rows = rows.withColumn("logit", V.dot(query, C("key")) / math.sqrt(size)).drop("q0", "q1", "q2")
-    return A.attend(rows, size)
+    return q, kv.withColumn("key", A.rotated(C("key"), (C("pos") % length).cast("double"), fr)), length
+
+
+def dual_chunk(queries: DataFrame, kv: DataFrame, size: int, chunk_size: int, local: int, base: float = 10000.0) -> DataFrame:
+    """Attention whose positions never exceed the chunk size.
+
+    A query sees its own chunk causally, the chunk before and all older chunks as a whole, each under
+    its own rotation of the query; keys are rotated to their position inside the chunk. One pass over tiles
+    covers the three ranges, since they are disjoint and give one softmax.
+    """
+    q, k, length = _dual_rotated(queries, kv, size, chunk_size, local, base)
+    q = q.withColumn("query", tiles.beside(C("q0"), C("q1"), C("q2"))).drop("q0", "q1", "q2")
+    return tiles.attention(q, k, size, choice=lambda qpos, pos: np.clip(qpos // length - pos // length, 0, 2))
+
+
+def dual_chunk_decode(queries: DataFrame, kv: DataFrame, size: int, chunk_size: int, local: int, base: float = 10000.0) -> DataFrame:
+    """Attention of the last queries of a head, one or several, over a cache that ends with them.
+
+    The three ranges go by the chunk in which the cache (of ``k_len`` positions) ends, for every query of the block, and
+    their partial results are merged by the log-sum-exp. A query sees no later position.
+    """
+    q, k, length = _dual_rotated(queries, kv, size, chunk_size, local, base)
+    back = F.least(F.floor((C("k_len") - 1) / length) - F.floor(C("pos") / length), F.lit(2))
+    parts = [tiles.attention(q.withColumn("query", C(f"q{b}")).drop("q0", "q1", "q2"), k.where(back == b), size) for b in range(3)]
+    return A.merge_partials(parts[0].unionByName(parts[1]).unionByName(parts[2]), size)
 
 
 def attention_scale(length: int, pretrained: int, c: float = 0.1) -> float:
