@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
-from . import vectors as V
+from . import vector_index
+from .vectors import normalized
 
 C = F.col
 CHUNK, OVERLAP, TOP = 512, 128, 12
@@ -51,15 +52,19 @@ def hashed_embedding(words: Column, size: int) -> Column:
     """Normalised counts of words by hash: a stand-in for a model's embedding."""
     places = F.transform(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(size)).cast("int"))
     counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
-    return V.normalized(counts)
+    return normalized(counts)
 
 
 def nearest(questions: DataFrame, passages: DataFrame, by: list[str], question: str, k: int = TOP) -> DataFrame:
     """The k passages most like each question among those with the same ``by``; columns
-    ``q_vector`` and ``p_vector`` hold the vectors. rank 1 is the best, ties go to the smaller id."""
-    pairs = questions.join(passages, by).withColumn("similarity", V.dot(C("q_vector"), C("p_vector"))).drop("q_vector", "p_vector")
-    place = F.row_number().over(W.partitionBy(*by, question).orderBy(F.round("similarity", 9).desc(), "chunk_id"))
-    return pairs.withColumn("rank", place).where(C("rank") <= k)
+    ``q_vector`` and ``p_vector`` hold the vectors, ids are whole numbers. rank 1 is the best, ties go to the smaller id.
+    What else the two sides have is joined to the k hits, not to the pairs."""
+    hits = vector_index.nearest(questions, passages, by, k, (question, "chunk_id"), ("q_vector", "p_vector"))
+    hits = hits.withColumnsRenamed({"question": question, "id": "chunk_id"})
+    for side, key in ((questions.drop("q_vector"), question), (passages.drop("p_vector"), "chunk_id")):
+        if set(side.columns) - {*by, key}:
+            hits = hits.join(side, [*by, key])
+    return hits
 
 
 def packed(hits: DataFrame, by: list[str]) -> DataFrame:
