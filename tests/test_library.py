@@ -378,3 +378,29 @@ def test_tied_scores_are_never_ranked_in_one_task(spark, monkeypatch):
     assert out.count() == 1999 and out.agg(F.max("score")).first()[0] == 0.0
     # Only windows within a head are left in the plan.
     assert "windowspecdefinition(_s" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_streams_by_element_agree_with_plain_versions(spark, tmp_path):
+    rows = spark.range(300).selectExpr("cast(if(id % 7 = 0, null, id % 2) as int) AS layer", "concat('h', id % 3) AS head", "id AS pos", "if(id % 11 = 0, null, cast(id * 37 % 23 as double)) AS score")
+    S.sliced(rows, str(tmp_path / "in"), "pos", 5)
+    stream = lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/slice=*"))
+    heads = {}
+    for r in rows.orderBy("pos").collect():
+        heads.setdefault((r.layer, r["head"]), []).append((r.pos, float("-inf") if r.score is None else r.score))
+    best = lambda cells, n: sorted(sorted(cells, key=lambda x: (-x[1], x[0]))[:n])
+    numbered, phases, late = set(), set(), set()
+    for key, cells in heads.items():
+        numbered |= {(*key, k, p) for k, (p, _) in enumerate(cells)}
+        late |= {(*key, p) for p, v in cells[:-12] if 0 <= v < 9}
+        prompt, rest = [c for c in cells if c[0] < 90], [c for c in cells if c[0] >= 90]
+        kept, step = best(prompt, int(len(prompt) * 0.5)), 0
+        phases |= {(*key, 0, p) for p, _ in kept}
+        for k in range(0, len(rest) // 8 * 8, 8):
+            kept, step = best(kept + rest[k : k + 8], 6), step + 1
+            phases |= {(*key, step, p) for p, _ in kept}
+    assert {tuple(r) for r in S.run_to_table(S.ingested(stream()), "a").collect()} == numbered
+    assert {tuple(r) for r in S.run_to_table(S.phased_cache(stream(), 90, 0.5, 6, 8), "b").collect()} == phases
+    assert {tuple(r)[:3] for r in S.run_to_table(S.delayed_eviction(stream(), 12, 9.0), "c").collect()} == late
+    assert spark.conf.get(S.STORE[0]) != S.STORE[1]
+    S.sliced(rows.limit(0), str(tmp_path / "none"), "pos", 3)
+    assert not (tmp_path / "none").exists()
