@@ -8,10 +8,12 @@ layer or head form a head of their own; a null score counts as lower than any ot
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -45,7 +47,7 @@ class _Head(StatefulProcessor):
         new = pd.concat(list(rows)).sort_values("pos", kind="stable")
         out = self.take(numbers, new)
         self.numbers.update(tuple(int(x) for x in numbers))
-        yield pd.DataFrame([(*key, *r) for r in out], columns=["layer", "head", *self.columns])
+        yield pd.DataFrame([(*key, *r) for r in out], columns=["_head", *self.columns])
 
     def put(self, slot: int, pos: int, score: float) -> None:
         self.cells.updateValue((int(slot),), (int(pos), float(score)))
@@ -147,8 +149,13 @@ class _Chunked(_Head):
 
 
 def _stateful(rows: DataFrame, processor: _Head, schema: str) -> DataFrame:
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("layer", "head")}
-    return rows.groupBy("layer", "head").transformWithStateInPandas(processor, f"layer {kinds['layer']}, head {kinds['head']}, {schema}", "Append", "None")
+    # Keys are texts, since a null in a grouping column would share the state of another head; the processor goes to
+    # workers by value, since Spark's own worker for streams has not the driver's module path.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("layer", "head"))
+    keyed = rows.withColumn("_head", F.to_json(F.struct("layer", "head"))).drop("layer", "head")
+    out = keyed.groupBy("_head").transformWithStateInPandas(processor, f"_head string, {schema}", "Append", "None")
+    return out.withColumn("_head", F.from_json("_head", kinds)).select("_head.*", *out.columns[1:])
 
 
 def ingested(rows: DataFrame) -> DataFrame:
