@@ -37,36 +37,26 @@ from .hashing import U64, combine, splitmix, word_hashes
 
 #: Masks over word positions: fixed values, 1 for a position that counts.
 MASKS = ("11101011", "1101100011", "110010010111", "1010011001011")
+#: The same for items of LEAST_WORDS words and more, but fewer than the longest mask has.
+SHORT = ("1111", "11101")
 MISMATCH, LEAST_SCORE, LEAST_COVER, LEAST_WORDS = 2, 11, 0.5, 8
 BROADCAST_WORDS = 4_000_000
-_OFFSETS = tuple(tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS)
 SPAN = max(len(m) for m in MASKS)
 
 
-def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def seeds(words: np.ndarray, masks: tuple[str, ...] = MASKS) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, positions) of all masks at all positions."""
     hashes, at = [], []
-    for k, offsets in enumerate(_OFFSETS):
-        h = combine(words, offsets) ^ U64(splitmix(500 + k))
+    for m in masks:
+        offsets = tuple(i for i, c in enumerate(m) if c == "1")
+        h = combine(words, offsets) ^ U64(splitmix(500 + int(m, 2)))
         hashes.append(h)
         at.append(np.arange(len(h)))
     return np.concatenate(hashes), np.concatenate(at)
 
 
-def short_masks(n: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(first position, offsets from it) of the masks of an item of n words, LEAST_WORDS <= n < SPAN."""
-    step = n - LEAST_WORDS + 1
-    return [(r, tuple(range(0, n - r, step))) for r in range(step)]
-
-
-def short_forms(lengths: Iterable[int]) -> list[tuple[tuple[int, ...], np.uint64]]:
-    """The different offsets of the masks of items of these lengths, with a salt for each."""
-    forms = sorted({offsets for n in lengths for _, offsets in short_masks(n)})
-    return [(offsets, _short_salt(offsets)) for offsets in forms]
-
-
-def _short_salt(offsets: tuple[int, ...]) -> np.uint64:
-    return U64(splitmix(600 + 64 * len(offsets) + offsets[-1]))
+def _short(n: int) -> bool:
+    return LEAST_WORDS <= n < SPAN
 
 
 def _whole(words: np.ndarray) -> int:
@@ -88,13 +78,13 @@ class Items:
                 h, p = seeds(w)
                 hashes.append(h)
                 at.append(p + self.start[i])
-            elif len(w) >= LEAST_WORDS:
-                for first, offsets in short_masks(len(w)):
-                    hashes.append(combine(w[first:], offsets)[:1] ^ _short_salt(offsets))
-                    at.append(np.array([self.start[i] + first]))
+            elif _short(len(w)):
+                h, p = seeds(w, SHORT)
+                hashes.append(h)
+                at.append(p + self.start[i])
             elif len(w):
                 self.whole.setdefault(_whole(w), []).append(i)
-        self.short = short_forms({len(w) for w in words if LEAST_WORDS <= len(w) < SPAN})
+        self.masks = MASKS + (SHORT if any(_short(len(w)) for w in words) else ())
         h, p = np.concatenate(hashes), np.concatenate(at)
         order = np.argsort(h, kind="stable")
         self.hashes, self.at = h[order], p[order]
@@ -104,10 +94,7 @@ class Items:
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in the document, position among the items' words) of equal seeds."""
-        h, p = seeds(words) if len(words) >= min(len(m) for m in MASKS) else (np.zeros(0, U64), np.zeros(0, np.int64))
-        for offsets, salt in self.short:
-            s = combine(words, offsets) ^ salt
-            h, p = np.concatenate([h, s]), np.concatenate([p, np.arange(len(s))])
+        h, p = seeds(words, self.masks)
         keep = self.seen[(h >> U64(48)).astype(np.int64)]
         h, p = h[keep], p[keep]
         first, last = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
@@ -190,14 +177,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_W
     return text.transform(map_arrow, run, schema)
 
 
-def _doc_seeds(lengths: list[int]):
+def _doc_seeds(masks: tuple[str, ...]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forms = short_forms(n for n in lengths if n >= LEAST_WORDS)
         for b in batches:
             keys = b.column(0).to_numpy()
             for k, raw in enumerate(byte_views(b.column(1))):
                 w = word_hashes(raw)
-                h = [seeds(w)[0], *(combine(w, offsets) ^ salt for offsets, salt in forms)]
+                h = [seeds(w, masks)[0]]
                 if 0 < len(w) < LEAST_WORDS:
                     h.append(np.array([_whole(w)], U64))
                 h = np.unique(np.concatenate(h))
@@ -216,11 +202,11 @@ def _item_seeds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _by_shuffle(text: DataFrame, words: DataFrame, schema: str) -> DataFrame:
     """The same rows for a benchmark of any size: hits by a join on seed hashes, each verified with
-    the texts that the two sides bring. A document sends four seeds a word, and more only for the
-    lengths (under ``SPAN``) that short items have; adaptive execution splits the seeds of common words."""
-    lengths = [r.n for r in words.select(F.size("words").alias("n")).where(f"n < {SPAN}").distinct().collect()]
+    the texts that the two sides bring. A document sends four seeds a word, and two more only where there are
+    short items; adaptive execution splits the seeds of common words."""
+    short = not words.where(F.size("words").between(LEAST_WORDS, SPAN - 1)).isEmpty()
     text = text.withColumn("key", F.xxhash64("doc_id", "text"))
-    hits = text.select("key", "text").transform(map_arrow, _doc_seeds(lengths), "h long, key long").join(words.transform(map_arrow, _item_seeds, "h long, item_id long"), "h").selectExpr("key", "item_id AS hit").distinct()
+    hits = text.select("key", "text").transform(map_arrow, _doc_seeds(MASKS + (SHORT if short else ())), "h long, key long").join(words.transform(map_arrow, _item_seeds, "h long, item_id long"), "h").selectExpr("key", "item_id AS hit").distinct()
     pairs = hits.join(words, F.expr("hit <=> item_id")).select("key", "item_id", "words").join(text, "key")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

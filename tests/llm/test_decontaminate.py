@@ -90,6 +90,26 @@ def test_every_replacement_of_a_short_item_is_found():
             text = " ".join(["a", *replaced(rng, item, n - d.LEAST_WORDS), "b"])
             got = list(table.overlaps(d.word_hashes(np.frombuffer(text.encode(), np.uint8))))
             assert bool(got) == brute(text.split(), item), (n, text)
+        for at in range(1, n):
+            text = " ".join(["a", *replaced(rng, item[:at], rng.randrange(2) if at > 4 else 0), "inserted", *item[at:]])
+            got = list(table.overlaps(d.word_hashes(np.frombuffer(text.encode(), np.uint8))))
+            assert bool(got) == brute(text.split(), item), (n, text)
+
+
+def test_common_words_of_short_items_make_no_candidates(spark):
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(10**5)}" for _ in range(n)]
+    items = [["the" if k in (0, 5, 10) else w for k, w in enumerate(words(12))] for _ in range(50)]
+    texts = [["the" if k % 5 == 0 else w for k, w in enumerate(words(60))] for _ in range(200)]
+    texts[7][20:32] = replaced(rng, items[3], 2)
+    hashes = lambda x: d.word_hashes(np.frombuffer(" ".join(x).encode(), np.uint8))
+    table = d.Items(np.arange(50), [hashes(x) for x in items])
+    candidates = [(k, i) for k, t in enumerate(texts) for i in {int(np.searchsorted(table.start + table.size, a, "right")) for a in table.hits(hashes(t))[1]}]
+    assert len(candidates) <= 5
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    for bound in (d.BROADCAST_WORDS, 0):
+        found = {(r.doc_id, r.item_id) for r in d.contaminated(documents(spark, [" ".join(t) for t in texts]), bench, bound).collect()}
+        assert found == {(k, i) for k, t in enumerate(texts) for i, x in enumerate(items) if brute(t, x)}
 
 
 def test_long_text_ties_and_clashing_columns(spark):
