@@ -19,7 +19,8 @@ with one anchor form a *region*.
    to the right and to the left of the anchor are suffix-sorted by hash comparison (``suffix_sort``), which
    verifies its extensions on the bytes; windows are equal where they agree in the left order and in the
    right order at the depths they need. What holds for a member holds for its class.
-4. An anchor with more than ``CROWD`` classes would make too large a group. One region of each class
+4. An anchor with more than ``CROWD`` classes would make too large a group. One region of each class (of words that a
+   single row holds more than once, each region)
    is dealt again with longer anchors, and at last with anchors as long as a window, where a group is
    one class: so no group is large and none is left out.
 
@@ -276,11 +277,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         classes = found.groupBy("h", "rd").agg(F.count("*").alias("n"), F.min(member).alias("one"), F.max(member).alias("last"), F.max("more").alias("more"))
         # Words count where another row holds them: of another id or text, or a repeated row.
         apart = "(h & 1 = 0 or one.k <> last.k or one.tid <> last.tid)"
-        classes = table(classes.selectExpr("h", "rd", "one", f"more or (n > 1 and {apart}) AS several"), "classes")
+        classes = table(classes.selectExpr("h", "rd", "n", "one", f"more or (n > 1 and {apart}) AS several"), "classes")
         counts = table(classes.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "counts")
         crowded = level + 1 < levels and not counts.where(f"m > {crowd}").isEmpty()
         item = F.expr(f"struct(h, rd, several, one.lo AS lo, one.at AS at, one.size AS size, m > {crowd if level + 1 < levels else 1 << 62} AS large)")
-        lists = classes.join(counts, "h").select("one.k", "one.tid", item.alias("item")).groupBy("k", "tid").agg(F.collect_list("item").alias("items"))
+        items = classes.join(counts, "h").select("one.k", "one.tid", item.alias("item"))
+        if crowded:
+            # Words that one row alone holds, more than once: no other row's finding covers these members, so each is dealt again.
+            alike = classes.where("n > 1 and not several").join(counts.where(f"m > {crowd}"), "h").select("h", "rd", F.col("one.lo").alias("first"))
+            again = F.expr("struct(h, rd, false AS several, lo, at, size, true AS large)")
+            items = items.unionByName(found.join(alike, ["h", "rd"]).where("lo <> first").select("k", "tid", again.alias("item")))
+        lists = items.groupBy("k", "tid").agg(F.collect_list("item").alias("items"))
         held = source.select("k", "tid", "text").join(lists.hint("shuffle_hash"), ["k", "tid"]).select("k", "tid", "text", "items")
         held = table(held, "held") if crowded else held
         members = held.transform(map_arrow, _members(both), _MEMBERS)

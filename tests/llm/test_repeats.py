@@ -59,6 +59,22 @@ def test_matches_brute_force(spark, crowd):
         assert [found[i].n_shared_words for i in range(len(t))] == brute_words(t, 5)
 
 
+@pytest.mark.parametrize("crowd", [2000, 1])
+def test_passages_twice_in_one_document_and_partly_in_another(spark, crowd):
+    for seed in range(3):
+        rng = random.Random(seed)
+        word = lambda: rng.choice("abcdefghij") * rng.randrange(1, 4)
+        t = []
+        for _ in range(8):
+            passage = [word() for _ in range(rng.randrange(7, 14))]
+            twice = [word(), *passage, word(), word(), *passage, word()]
+            cut = rng.randrange(3)
+            t += [" ".join(twice), " ".join([word(), *passage[cut : cut + 5], word()]), " ".join(word() for _ in range(9))]
+        found = rows(remove_repeats(documents(spark, t), window=12, anchor=6, crowd=crowd, words=5, words_anchor=2))
+        assert [found[i].n_shared_words for i in range(len(t))] == brute_words(t, 5)
+        assert [tuple(found[i][1:5]) for i in range(len(t))] == brute(t, 12)
+
+
 def test_production_windows(spark):
     rng = random.Random(5)
     words = lambda n: " ".join(f"{rng.randrange(10**6)}" for _ in range(n))
