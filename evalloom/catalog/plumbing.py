@@ -121,7 +121,7 @@ _F = f"{PREDICTIONS}, t AS (SELECT *, {sql_answer_tokens('prediction')} AS pa, {
 
 
 def scored(s, d):
-    t = lambda c: text.tokens(text.normalize_answer(C(c)))
+    t = lambda c: text.answer_tokens(C(c))
     out = predictions(s, d).withColumns({"p": t("prediction"), "g": t("gold")})
     return out.select("ord", "task", "source", "length", "prediction", metrics.f1(C("p"), C("g")).alias("score"))
 

@@ -112,13 +112,13 @@ _T = f"{PREDICTIONS}, t AS (SELECT *, {sql_tokens('prediction')} AS p, {sql_toke
 
 @query("metric_overlap", f"WITH {_T} SELECT ord, ({sql_overlap('p', 'g')})::INT AS same FROM t")
 def _(s, d):
-    t = lambda c: text.tokens(text.normalize_text(C(c)))
+    t = lambda c: text.text_tokens(C(c))
     return predictions(s, d).select("ord", t("prediction").alias("p"), t("gold").alias("g")).select("ord", metrics.overlap(C("p"), C("g")).alias("same"))
 
 
 @query("metric_token_f1", f"WITH {_T} SELECT ord, round({sql_f1('p', 'g')}, 9) AS f1 FROM t")
 def _(s, d):
-    t = lambda c: text.tokens(text.normalize_text(C(c)))
+    t = lambda c: text.text_tokens(C(c))
     return predictions(s, d).select("ord", t("prediction").alias("p"), t("gold").alias("g")).select("ord", _r(metrics.f1(C("p"), C("g"))).alias("f1"))
 
 
@@ -210,20 +210,20 @@ def _(s, d):
 @query("metric_lists", f"""WITH {_T} SELECT ord, round(CASE WHEN len(g) > 0 THEN len(list_intersect(list_distinct(p), list_distinct(g)))::DOUBLE / len(g) ELSE 0 END, 9) AS coverage,
   (len(list_filter(p, lambda x: NOT list_contains(g, x))) = 0 AND len(list_filter(g, lambda x: NOT list_contains(p, x))) = 0)::INT::DOUBLE AS same FROM t""")
 def _(s, d):
-    t = lambda c: text.tokens(text.normalize_text(C(c)))
+    t = lambda c: text.text_tokens(C(c))
     return predictions(s, d).select("ord", t("prediction").alias("p"), t("gold").alias("g")).select("ord", _r(metrics.coverage(C("g"), C("p"))).alias("coverage"), metrics.set_match(C("g"), C("p")).alias("same"))
 
 
 @query("metric_matching")
 def _(s, d):
-    t = lambda c: F.slice(text.tokens(text.normalize_text(C(c))), 1, 5)
+    t = lambda c: F.slice(text.text_tokens(C(c)), 1, 5)
     return predictions(s, d).select("ord", metrics.multi_subspan(t("gold"), t("prediction")).alias("matched"))
 
 
 @query("score_qa_f1", f"""WITH {_T}, f AS (SELECT task, {sql_f1('pa', 'ga')} AS f1 FROM t), k AS (SELECT task, avg(f1) * 100 AS score, count(*) AS n FROM f GROUP BY task)
 SELECT task, round(score, 6) AS score, n FROM k UNION ALL SELECT 'overall', round(avg(score), 6), sum(n)::BIGINT FROM k""")
 def _(s, d):
-    t = lambda c: text.tokens(text.normalize_answer(C(c)))
+    t = lambda c: text.answer_tokens(C(c))
     rows = predictions(s, d).select("task", t("prediction").alias("p"), t("gold").alias("g")).select("task", metrics.f1(C("p"), C("g")).alias("f1"))
     tasks = rows.groupBy("task").agg((F.avg("f1") * 100).alias("score"), F.count("*").alias("n"))
     return tasks.select("task", F.round("score", 6).alias("score"), "n").union(tasks.agg(F.lit("overall"), F.round(F.avg("score"), 6), F.sum("n")))

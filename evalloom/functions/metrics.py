@@ -28,21 +28,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def occurrences(c: Column) -> Column:
-    """Each item with the number of equal ones before it, so that equal items differ."""
-
-    def numbered(s: Column) -> Column:
-        n = F.size(s)
-        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        runs = lambda b: F.transform(b, lambda at, k: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(b, k + 1), n) - at - 1), lambda j: F.concat(j.cast("string"), F.lit(" "), F.get(s, at))))
-        return F.when(n > 0, F.flatten(let(starts, runs))).otherwise(F.array().cast("array<string>"))
-
-    return let(F.sort_array(c), numbered)
+def _numbered(s: Column) -> Column:
+    """Hashes of each item of a sorted array with the number of equal ones before it, so that equal items differ."""
+    n = F.size(s)
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda b: F.transform(b, lambda at, k: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(b, k + 1), n) - at - 1), lambda j: F.xxhash64(F.get(s, at), j)))
+    return F.when(n > 0, F.flatten(let(starts, runs))).otherwise(F.array().cast("array<bigint>"))
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays, by one sort of each."""
-    return F.size(F.array_intersect(occurrences(a), occurrences(b)))
+    """Size of the multiset intersection of two arrays, by 64-bit hashes of the items in order.
+
+    Distinct items of both count once by a set intersection; only what stands again is numbered.
+    """
+    hashes = lambda c: F.sort_array(F.transform(c, lambda x: F.xxhash64(x)))
+    again = lambda s: F.filter(s, lambda h, i: (i > 0) & (F.get(s, i - 1) == h))
+    more = lambda x, y: let(again(x), lambda p: let(again(y), lambda q: F.size(F.array_intersect(_numbered(p), _numbered(q)))))
+    return let(hashes(a), lambda x: let(hashes(b), lambda y: F.size(F.array_intersect(x, y)) + more(x, y)))
 
 
 def f1(pred: Column, gold: Column) -> Column:
@@ -68,15 +70,15 @@ def substring_match_any(pred: Column, answers: Column) -> Column:
 
 
 def token_f1_any(pred: Column, answers: Column) -> Column:
-    return let(text.tokens(text.normalize_text(pred)), lambda p: best(answers, lambda a: f1(p, text.tokens(text.normalize_text(a)))))
+    return let(text.text_tokens(pred), lambda p: best(answers, lambda a: f1(p, text.text_tokens(a))))
 
 
 def qa_f1(pred: Column, gold: Column) -> Column:
-    return f1(text.tokens(text.normalize_answer(pred)), text.tokens(text.normalize_answer(gold)))
+    return f1(text.answer_tokens(pred), text.answer_tokens(gold))
 
 
 def qa_f1_any(pred: Column, answers: Column) -> Column:
-    return let(text.tokens(text.normalize_answer(pred)), lambda p: best(answers, lambda a: f1(p, text.tokens(text.normalize_answer(a)))))
+    return let(text.answer_tokens(pred), lambda p: best(answers, lambda a: f1(p, text.answer_tokens(a))))
 
 
 def characters(c: Column) -> Column:

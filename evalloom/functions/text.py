@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PUNCTUATION = string.punctuation
+ARTICLES = r"(?U)\b(a|an|the)\b"
 #: Punctuation of Chinese text: fixed value.
 CHINESE_PUNCTUATION = (
     "！？｡。＂＃＄％＆＇（）＊＋，－／：；＜＝＞＠［＼］＾＿｀｛｜｝～｟｠｢｣､、〃》「」『』"
@@ -39,7 +40,21 @@ def normalize_text(c: Column) -> Column:
 
 def normalize_answer(c: Column) -> Column:
     """As normalize_text, and without articles."""
-    return collapse(F.regexp_replace(drop(F.lower(c), PUNCTUATION), r"(?U)\b(a|an|the)\b", " "))
+    return collapse(F.regexp_replace(drop(F.lower(c), PUNCTUATION), ARTICLES, " "))
+
+
+def _parts(c: Column) -> Column:
+    return F.filter(F.split(c, r"(?U)\s+"), lambda x: x != "")
+
+
+def text_tokens(c: Column) -> Column:
+    """The tokens of ``normalize_text``, by one pass for white space."""
+    return _parts(drop(F.lower(c), PUNCTUATION))
+
+
+def answer_tokens(c: Column) -> Column:
+    """The tokens of ``normalize_answer``, by one pass for white space."""
+    return _parts(F.regexp_replace(drop(F.lower(c), PUNCTUATION), ARTICLES, " "))
 
 
 @F.pandas_udf(T.StringType())
