@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import extract, metrics, text
+from ..functions import extract, metrics, segment, text
 from .base import PREDICTIONS, predictions, query, quoted, read, sql_answer_tokens, sql_f1, sql_normal, sql_overlap, sql_tokens
 
 C = F.col
@@ -237,3 +237,13 @@ def _(s, d):
     rows = predictions(s, d).withColumn("name", F.get(names, (C("ord") % 4).cast("int")))
     score = metrics.long_score(C("name"), C("prediction"), F.array("gold"), F.array(C("gold"), F.lit("zzz")))
     return rows.select("name", score.alias("score")).groupBy("name").agg(F.round(F.avg("score") * 100, 6).alias("score"), F.count("*").alias("n"))
+
+
+@query("metric_segmented")
+def _(s, d):
+    """F1 of texts without spaces, cut into words by a dictionary of what stands in all documents."""
+    words = predictions(s, d).select(F.explode(text.text_tokens(C("gold"))).alias("word"))
+    cut = segment.segmenter(s, segment.learned(words))
+    joined = predictions(s, d).select("ord", text.normalize_chinese(C("prediction")).alias("p"), F.array(text.normalize_chinese(C("gold"))).alias("a"))
+    rows = segment.with_words(joined, "p", "a", cut)
+    return rows.select("ord", F.size("prediction_words").alias("words"), F.round(metrics.qa_f1_words(C("prediction_words"), C("answer_words")), 6).alias("f1"))

@@ -90,6 +90,12 @@ def qa_f1_chinese(pred: Column, gold: Column, segment: Callable[[Column], Column
     return f1(segment(pred), segment(gold))
 
 
+def qa_f1_words(pred: Column, answers: Column) -> Column:
+    """The best token F1 over the answers, each an array of words (``segment.with_words``), normalised word by word."""
+    plain = lambda words: F.filter(F.transform(words, text.normalize_chinese), lambda x: x != "")
+    return let(plain(pred), lambda p: best(answers, lambda a: f1(p, plain(a))))
+
+
 def _share_equal(numbers: Column, key: Column) -> Column:
     right = F.size(F.filter(numbers, lambda x: x == key)).cast("double")
     return F.when(F.size(numbers) > 0, right / F.size(numbers)).otherwise(ZERO)
@@ -317,13 +323,14 @@ def task_metric(task: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), text.base_task(task))
 
 
-def long_score(task: Column, pred: Column, answers: Column, classes: Column) -> Column:
+def long_score(task: Column, pred: Column, answers: Column, classes: Column, words: tuple[Column, Column] | None = None) -> Column:
     """Score of a row under its task's metric, the best over the answers. Sequence metrics run in
-    Arrow batches on the first answer that gives the best score; they take the answers one by one."""
+    Arrow batches on the first answer that gives the best score; they take the answers one by one.
+    ``words``, the words of the prediction and of each answer, stand for characters in Chinese tasks."""
     p, name = prepared_prediction(task, pred), task_metric(task)
     score = {
         "qa_f1": qa_f1_any(p, answers),
-        "qa_f1_zh": best(answers, lambda a: qa_f1_chinese(p, a)),
+        "qa_f1_zh": best(answers, lambda a: qa_f1_chinese(p, a)) if words is None else qa_f1_words(*words),
         "classification": best(answers, lambda a: classification_score(p, a, classes)),
         "retrieval": best(answers, lambda a: retrieval_score(p, a)),
         "retrieval_zh": best(answers, lambda a: retrieval_score(p, a, "段落([0-9]+)")),
@@ -332,6 +339,9 @@ def long_score(task: Column, pred: Column, answers: Column, classes: Column) ->
     # Spark hands every row to Python whatever the branch, so rows of other metrics go there as nulls.
     sequence = best_sequence(F.when(name == "code_sim", text.first_code_line(p)).when(name.isin("rouge", "rouge_zh"), p), answers, name)
     score |= {k: sequence for k in ("rouge", "rouge_zh", "code_sim")}
+    if words is not None:
+        spaced = F.transform(words[1], lambda a: F.array_join(a, " "))
+        score["rouge_zh"] = best_sequence(F.when(name == "rouge_zh", F.array_join(words[0], " ")), spaced, F.lit("rouge"))
     out = ZERO
     for k, v in score.items():
         out = F.when(name == k, v).otherwise(out)
