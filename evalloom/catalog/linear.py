@@ -15,7 +15,7 @@ C = F.col
 
 def _all(s, d):
     kv = keys(s, d)
-    return kv, relations.last_queries(kv, 10_000)
+    return kv, relations.every_query(kv)
 
 
 @query("kv_leverage")

@@ -29,7 +29,7 @@ def _q(s, d, n):
 def _all(s, d):
     """Keys, and every one of them as a query."""
     kv = keys(s, d)
-    return kv, kv.select("layer", "head", C("pos").alias("qpos"), C("key").alias("query"))
+    return kv, relations.every_query(kv)
 
 
 def _w(*ctes):
@@ -125,15 +125,15 @@ def _(s, d):
 _MASS = "am AS (SELECT layer, head, pos, sum(w) AS a FROM w GROUP BY ALL), aj AS (SELECT kv.*, coalesce(a, 0) AS a FROM kv LEFT JOIN am USING (layer, head, pos))"
 
 
-@query("kv_h2o", _w(weights(10000), _MASS, "s AS (SELECT *, CASE WHEN pos >= k_len - 4 THEN max(a) OVER (PARTITION BY layer) ELSE a END AS score FROM aj)") + kept("s", 0.5))
+@query("kv_h2o", _w(weights(None), _MASS, "s AS (SELECT *, CASE WHEN pos >= k_len - 4 THEN max(a) OVER (PARTITION BY layer) ELSE a END AS score FROM aj)") + kept("s", 0.5))
 def _(s, d):
-    kv, q = _q(s, d, 10000)
+    kv, q = _all(s, d)
     return _out(R.retain(R.h2o(kv, q, SCALE, 4), 0.5))
 
 
-@query("kv_observed_attention", _w(weights(10000), _MASS, "s AS (SELECT *, a / (k_len - pos) AS score FROM aj)") + kept("s", 0.5))
+@query("kv_observed_attention", _w(weights(None), _MASS, "s AS (SELECT *, a / (k_len - pos) AS score FROM aj)") + kept("s", 0.5))
 def _(s, d):
-    kv, q = _q(s, d, 10000)
+    kv, q = _all(s, d)
     return _out(R.retain(R.observed(kv, q, SCALE), 0.5))
 
 

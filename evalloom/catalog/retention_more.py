@@ -57,7 +57,7 @@ s AS (SELECT kv.*, CASE WHEN pos < 1 THEN 1e30 ELSE b END AS score FROM kv JOIN
 @query("kv_reread_mask", _w(_REREAD) + "SELECT layer, head, pos FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9), layer, head, pos) AS low FROM s) WHERE low <= floor((SELECT count(*) FROM kv) * 0.4::DOUBLE)")
 def _(s, d):
     kv = keys(s, d)
-    return R.layer_counts_mask(R.reread(kv, relations.last_queries(kv, 10_000), SCALE, 10), 0.4).select("layer", "head", "pos")
+    return R.layer_counts_mask(R.reread(kv, relations.every_query(kv), SCALE, 10), 0.4).select("layer", "head", "pos")
 
 
 @query("attention_masked", _w(weights(None), "x AS (SELECT *, list_sum(list_transform(value, lambda x, i: x * i)) AS vs FROM lg WHERE pos % 3 <> 1), y AS (SELECT *, max(l) OVER (PARTITION BY layer, head, qpos) AS m FROM x)") + "SELECT layer, head, qpos, round(ln(sum(exp(l - m))) + max(m), 6) AS lse, round(sum(exp(l - m) * vs) / sum(exp(l - m)), 6) AS out FROM y GROUP BY layer, head, qpos")

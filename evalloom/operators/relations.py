@@ -25,3 +25,8 @@ def keys_from_vectors(vectors: DataFrame) -> DataFrame:
 def last_queries(kv: DataFrame, n: int) -> DataFrame:
     """(layer, head, qpos, query) out of the last n positions of each head."""
     return kv.where(F.col("pos") >= F.col("k_len") - n).select(*HEAD, F.col("pos").alias("qpos"), F.col("key").alias("query"))
+
+
+def every_query(kv: DataFrame) -> DataFrame:
+    """(layer, head, qpos, query) out of all positions of each head."""
+    return kv.select(*HEAD, F.col("pos").alias("qpos"), F.col("key").alias("query"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
+import sys
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from importlib.metadata import entry_points
+from pathlib import Path
 from typing import Any
 
 
@@ -66,6 +71,40 @@ answerers = Registry("answerer")
 retrievers = Registry("retriever")
 
 
+#: The group of entry points by which an installed package names modules that register plug-ins.
+GROUP = "evalloom.plugins"
+
+
+def discover(package: str | None = None, folder: str | Path | None = None) -> dict[str, Exception]:
+    """Imports modules, which register what they hold: all below a package, all of a folder, and those that installed
+    packages name as entry points of ``GROUP``.
+
+    A module that cannot be imported keeps no other from being found; the result is what went wrong, by module. Names
+    that start with an underscore are left out. What is imported already is not imported again.
+    """
+    names, failed = [], {}
+    if folder is not None:
+        folder = Path(folder).resolve()
+        if str(folder) not in sys.path:
+            sys.path.append(str(folder))
+        names += [m.name for m in pkgutil.iter_modules([str(folder)])]
+    if package is not None:
+        try:
+            root = importlib.import_module(package)
+            names += [m.name for m in pkgutil.walk_packages(getattr(root, "__path__", []), f"{package}.", onerror=lambda _: None)]
+        except Exception as e:  # noqa: BLE001 - reported by module
+            failed[package] = e
+    names += [e.module for e in entry_points(group=GROUP)]
+    for name in dict.fromkeys(names):
+        if any(part.startswith("_") for part in name.split(".")):
+            continue
+        try:
+            importlib.import_module(name)
+        except Exception as e:  # noqa: BLE001 - a plug-in may raise anything; it is reported by module
+            failed[name] = e
+    return failed
+
+
 def subset_list(text: str | None, default: Iterable[str] = ()) -> list[str]:
     """Names of a comma-separated list, the default if it has none."""
     return [s for p in (text or "").split(",") if (s := p.strip())] or list(default)
