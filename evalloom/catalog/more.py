@@ -12,6 +12,7 @@ from ..operators import relations
 from ..operators import report as P
 from ..operators import retrieval as G
 from ..operators import vector_index
+from ..sources import manifest
 
 from ..operators import vectors as V
 from .base import KEYS, dot, keys, query, read
@@ -216,6 +217,26 @@ def _(s, d):
     return out.withColumn("delta", F.round("delta", 6))
 
 
+# A sweep whose cells are the languages: their metrics files hold a score for each source, and two cells have none to read.
+
+_MANIFEST = """SELECT lang AS cell_id, lang AS label, 0.5::DOUBLE AS ratio, 'read' AS state, source AS task, avg(n_chars)::DOUBLE AS score FROM documents GROUP BY lang, source
+UNION ALL SELECT 'gone', 'gone', 0.5::DOUBLE, 'missing', NULL, NULL UNION ALL SELECT 'torn', 'torn', 0.5::DOUBLE, 'unreadable', NULL, NULL"""
+
+
+@query("sweep_manifest", f"SELECT cell_id, label, ratio, state, task, round(score, 6) AS score FROM ({_MANIFEST})")
+def _(s, d):
+    root = scratch(s, "sweep")
+    groups = read(s, d, "documents").groupBy("lang", "source").agg(F.avg("n_chars").alias("score"))
+    scores = groups.groupBy(C("lang").alias("cell_id")).agg(F.map_from_entries(F.collect_list(F.struct("source", "score"))).alias("task_scores"))
+    scores.repartition("cell_id").write.partitionBy("cell_id").json(f"{root}/out")
+    s.createDataFrame([("{ torn", "torn")], "value string, cell_id string").write.mode("append").partitionBy("cell_id").text(f"{root}/out")
+    names = scores.select("cell_id").union(s.createDataFrame([("gone",), ("torn",)], "cell_id string"))
+    cells = names.select("cell_id", C("cell_id").alias("label"), F.lit(0.1).alias("ratio"), F.concat(F.lit(f"{root}/out/cell_id="), "cell_id", F.lit("/metrics.json")).alias("metrics"))
+    for part in (cells, cells.withColumn("ratio", F.lit(0.5))):  # recorded again, each cell takes its own place
+        manifest.record(part, root)
+    return manifest.results(manifest.recorded(s, root), f"{root}/out", "part-*").withColumn("score", F.round("score", 6))
+
+
 # Sets and table scans
 
 

@@ -15,7 +15,7 @@ from ..functions import extract, metrics
 from ..operators import plumbing as P
 from ..operators import rollup as R
 from ..registry import Benchmark, answerers, benchmarks, subset_list
-from ..sources import sinks, tables
+from ..sources import manifest, sinks, tables
 
 C = F.col
 
@@ -249,17 +249,23 @@ def run(spark: SparkSession, config: RunConfig, path: str, answerer: str | Calla
 
 
 def sweep(spark: SparkSession, base: RunConfig, cells: list[dict], path: str, out: str, answerer: str | Callable = "echo", subsets: list[str] | None = None, resume: bool = True) -> DataFrame:
-    """Runs the cells of a grid one after the other, each over the whole table, and gives the manifest (cell_id,
-    score, seconds, resumed). With ``resume`` a cell whose folder has a metrics file is not run again. A
-    grid is small; what is large are the rows that each cell scores."""
+    """Runs the cells of a grid one after the other, each over the whole table, and gives (cell_id, score, seconds,
+    resumed). Each cell is recorded in the manifest below ``out`` when it ends, and the whole document is rebuilt. With
+    ``resume`` a recorded cell whose metrics file can be read is not run again. A grid is small; what is large are the
+    rows that each cell scores."""
+    at = f"file://{Path(out).resolve()}/manifest"
+    before = manifest.recorded(spark, at)
+    known = {r.cell_id: r for r in manifest.finished(before, f"file://{Path(out).resolve()}").collect()} if resume and not before.isEmpty() else {}
     done = []
     for cell in cells:
-        config = cell_config(base, cell, subsets or [], out)
-        found = sorted(Path(config.output_dir).glob("**/metrics.json"))
-        if resume and found:
-            document, seconds = json.loads(found[-1].read_text(encoding="utf-8")), None
-        else:
-            result = run(spark, config, path, answerer)
-            document, seconds = result["metrics"], result["seconds"]
-        done.append((cell["cell_id"], document.get("overall", {}).get("score"), seconds, bool(resume and found)))
+        name = cell["cell_id"]
+        if name in known:
+            done.append((name, known[name].score, None, True))
+            continue
+        result = run(spark, cell_config(base, cell, subsets or [], out), path, answerer)
+        score = result["metrics"].get("overall", {}).get("score")
+        row = (name, cell.get("label") or name.split("__r")[0], cell.get("ratio"), f"{Path(result['folder']).resolve()}/metrics.json", score, result["seconds"])
+        manifest.record(spark.createDataFrame([row], "cell_id string, label string, ratio double, metrics string, score double, seconds double"), at)
+        manifest.rebuild(spark, at)
+        done.append((name, score, result["seconds"], False))
     return spark.createDataFrame(done, "cell_id string, score double, seconds double, resumed boolean")

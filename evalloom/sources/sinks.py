@@ -34,11 +34,6 @@ def metrics_json(metrics: DataFrame, path: str | Path) -> None:
     Path(path).write_text(json.dumps(metrics_document(metrics), indent=2), encoding="utf-8")
 
 
-def manifest(cells: DataFrame, path: str) -> None:
-    """Finished cells, one folder per cell, so that parallel writers do not meet."""
-    cells.write.mode("append").partitionBy("cell_id").json(path)
-
-
 def pivot_xlsx(report: DataFrame, tasks: list[str], path: str | Path) -> None:
     """A block of rows per ratio, a row per label, a column per task and Avg. A report is small."""
     from openpyxl import Workbook

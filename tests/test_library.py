@@ -2,6 +2,7 @@
 
 import json
 import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -359,6 +360,14 @@ def test_a_sweep_resumes(spark, tmp_path):
     again = evaluation.sweep(spark, RunConfig(), cells, str(tmp_path / "rows"), str(tmp_path / "out"), answer)
     assert [r.resumed for r in first.collect()] == [False] and {r.cell_id: r.resumed for r in again.collect()} == {"Knorm__r0.6": True, "Knorm__r0.9": False}
     assert len(calls) == 2
+    document = json.loads((tmp_path / "out/manifest/manifest.json").read_text())
+    assert [(c["cell_id"], c["ratio"], c["label"]) for c in document["cells"]] == [("Knorm__r0.6", 0.6, "Knorm"), ("Knorm__r0.9", 0.9, "Knorm")]
+    assert sorted(p.name for p in (tmp_path / "out/manifest").iterdir() if not p.name.endswith(".crc")) == ["cells", "manifest.json"]
+    # A cell whose file is torn is run again, and its row replaced.
+    Path(document["cells"][0]["metrics"]).write_text("{ torn")
+    third = evaluation.sweep(spark, RunConfig(), cells, str(tmp_path / "rows"), str(tmp_path / "out"), answer)
+    assert {r.cell_id: r.resumed for r in third.collect()} == {"Knorm__r0.6": False, "Knorm__r0.9": True}
+    assert len(json.loads((tmp_path / "out/manifest/manifest.json").read_text())["cells"]) == 2 and len(calls) == 3
 
 
 @pytest.mark.parametrize("band", [10**6, 3])
