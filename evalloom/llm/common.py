@@ -10,11 +10,14 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Most bytes of one Arrow batch between the JVM and Python.
 BATCH_BYTES = 4 << 20
+#: Bits of a sieve for each key, and the powers of two that they lie between.
+SIEVE_BITS, LEAST_SIEVE, MOST_SIEVE = 16, 15, 27
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -81,6 +84,27 @@ def map_arrow(df: DataFrame, f: Callable[[Iterable[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+def sieved(rows: DataFrame, hashed: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose hash is surely not in the only column of keys, and the others, so that an exact join has to
+    shuffle the second part alone. keys is a table, hashes are 64 bits; a null hash is in no table.
+
+    A bit for each residue of the keys goes to the executors, 16 MB at most; beyond 2^MOST_SIEVE / SIEVE_BITS keys
+    the second part grows instead.
+    """
+    power = min(max((SIEVE_BITS * keys.count()).bit_length(), LEAST_SIEVE), MOST_SIEVE)
+    bit = lambda c: F.pmod(c, F.lit(1 << power))
+    at, tag = bit(F.col(keys.columns[0])), "_sieve"
+    while any(c.lower().startswith(tag) for c in rows.columns):
+        tag += "_"
+    held = keys.where(at.isNotNull()).groupBy(F.floor(at / 32768).cast("long").alias(f"{tag}bucket")).agg(F.bitmap_construct_agg(at % 32768).alias(f"{tag}held"))
+    marked = rows.withColumn(f"{tag}bit", bit(hashed)).withColumn(f"{tag}bucket", F.floor(F.col(f"{tag}bit") / 32768).cast("long"))
+    marked = marked.join(F.broadcast(held), f"{tag}bucket", "left")
+    byte = F.conv(F.hex(F.substring(f"{tag}held", F.floor(F.col(f"{tag}bit") % 32768 / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = F.coalesce(F.getbit(byte, (F.col(f"{tag}bit") % 8).cast("int")) == 1, F.lit(False))
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    return marked.where(~there).select(*own), marked.where(there).select(*own)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_views, free, map_arrow, signed, table
+from .common import byte_views, free, map_arrow, sieved, signed, table
 from .components import connected_components
 from .hashing import U64, mix, shingles, splitmix
 
@@ -360,12 +360,13 @@ def link_classes(docs: DataFrame, size: int = 3, percent: int = 90, block: int =
     nodes = nodes.join(totals, "grp").selectExpr("row.k AS k", "row.tid AS tid", "sid", "sid2", "grp", "blocks", "cast(pmod(xxhash64(sid, 17L), blocks) as int) AS mine")
     # A block meets every block once: pair (i, j) with i < j by sides 0 and 1, (i, i) by side 0 alone.
     nodes = nodes.selectExpr("*", "explode(sequence(0, blocks - 1)) AS other")
-    nodes = nodes.selectExpr("k", "tid", "sid", "sid2", "xxhash64(grp, least(mine, other), greatest(mine, other)) AS task", "cast(mine > other as int) AS side")
-    sent = nodes.join(text.select(key.alias("k"), "tid", "text"), ["k", "tid"]).repartition("task").sortWithinPartitions("task", "side", "sid", "sid2")
+    nodes = table(nodes.selectExpr("k", "tid", "sid", "sid2", "xxhash64(grp, least(mine, other), greatest(mine, other)) AS task", "cast(mine > other as int) AS side"), "nodes")
+    grouped = sieved(text.select(key.alias("k"), "tid", "text"), F.col("tid"), nodes.select("tid"))[1]
+    sent = nodes.join(grouped, ["k", "tid"]).repartition("task").sortWithinPartitions("task", "side", "sid", "sid2")
     found = sent.select("task", "side", "sid", "sid2", "text").transform(map_arrow, _within(size, percent), "a long, a2 long, b long, b2 long")
     links = table(found.selectExpr("named_struct('sid', a, 'sid2', a2) AS a", "named_struct('sid', b, 'sid2', b2) AS b"), "links")
     classes = table(connected_components(links).selectExpr("node.sid AS sid", "node.sid2 AS sid2", "component"), "classes")
-    free(groups, links)
+    free(groups, links, nodes)
     name = F.expr("if(n_shingles > 0, coalesce(component, named_struct('sid', sid, 'sid2', sid2)), null)")
     return sets.join(classes, ["sid", "sid2"], "left").select("doc_id", "tid", "n_shingles", name.alias("class"))
 
