@@ -31,6 +31,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from pyspark.sql.window import Window as W
 
 from ..checkpoints import cut
+from .tiles import bounded
 
 C = F.col
 #: Vectors that centroids are fitted on, most lists, rounds of fitting.
@@ -116,7 +117,7 @@ def packed(rows: DataFrame, by: list[str], n: int) -> DataFrame:
         if ids and sum(map(len, ids)):
             yield out(sum(map(len, ids)))
 
-    return dealt.mapInArrow(pack, schema)
+    return bounded(dealt, pack, schema)
 
 
 def build(rows: DataFrame, path: str, ident: str, vector: str, lists: int | None = None) -> Index:
@@ -143,7 +144,7 @@ def build(rows: DataFrame, path: str, ident: str, vector: str, lists: int | None
 
     packed(rows.mapInArrow(assign, "list int, id long, vector array<double>"), ["list"], n).write.mode("overwrite").partitionBy("list").parquet(f"{path}/blocks")
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    of_list = blocks.select("list", "ids", "vectors").mapInArrow(reach, "list int, n long, far double").groupBy("list").agg(F.sum("n").alias("n"), F.max("far").alias("radius"))
+    of_list = bounded(blocks.select("list", "ids", "vectors"), reach, "list int, n long, far double").groupBy("list").agg(F.sum("n").alias("n"), F.max("far").alias("radius"))
     place = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centroids)], "list int, centroid array<double>")
     of_list.join(F.broadcast(place), "list").write.mode("overwrite").parquet(f"{path}/lists")
     return opened(spark, path)
@@ -188,7 +189,7 @@ def _best(pairs: DataFrame, by: list[str], k: int) -> DataFrame:
                 columns = [*(pa.array([b.column(c)[r].as_py()] * n, b.column(c).type) for c in by), pa.array(np.repeat(asked, order.shape[1])), pa.array(ids[order].reshape(-1)), pa.array(np.take_along_axis(near, order, axis=1).reshape(-1))]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return pairs.select(*by, "q_ids", "q_vectors", "ids", "vectors").mapInArrow(run, schema)
+    return bounded(pairs.select(*by, "q_ids", "q_vectors", "ids", "vectors"), run, schema)
 
 
 def _ranked(hits: DataFrame, by: list[str], k: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evalloom.operators import attention as A
 from evalloom.operators import chunked_attention as K
-from evalloom.operators import tiles
+from evalloom.operators import retention, tiles
 
 SIZE = 8
 
@@ -91,3 +91,16 @@ def test_decoding_steps_agree_with_the_prompt_pass(spark):
     for r in K.dual_chunk_decode(last, kv, SIZE, 12, 4).collect():
         same = whole[r.layer, r.head, r.qpos]
         assert np.allclose(r.out, same.out) and r.lse == pytest.approx(same.lse)
+
+
+def test_received_attention_makes_no_row_per_pair(spark):
+    rng = np.random.default_rng(3)
+    x = {h: rng.normal(size=(n, 4)) for h, n in ((0, 11), (1, 7))}
+    kv = spark.createDataFrame([(0, h, p, v.tolist(), v.tolist()) for h, m in x.items() for p, v in enumerate(m)], "layer int, head int, pos long, key array<double>, value array<double>")
+    found = {(r["head"], r["pos"]): r.mass for r in tiles.received(kv.selectExpr("layer", "head", "pos AS qpos", "key AS query"), kv, 4, 0.5, tile=3).collect()}
+    for h, m in x.items():
+        w = np.tril(np.exp(m @ m.T * 0.5))
+        w /= w.sum(axis=1, keepdims=True)
+        assert all(abs(found[h, p] - w[:, p].sum()) < 1e-12 for p in range(len(m)))
+    plan = retention.attention_mass(kv, kv.selectExpr("layer", "head", "pos AS qpos", "key AS query"), 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "exp(" not in plan.lower()
