@@ -37,7 +37,7 @@ def _(s, d):
     return g.select("event_type", C("w.start").alias("start"), "n", "total")
 
 
-# Bounded streams of the events, in four files, one in a micro-batch. Positions are those that the stream counts itself.
+# Bounded streams of the events, in four slices, as many micro-batches or more of bounded size. Positions are those that the stream counts itself.
 
 SLICES = 4
 
@@ -45,8 +45,8 @@ SLICES = 4
 def _stream(s, d):
     e = read(s, d, "events").select((C("user_id") % 5).cast("int").alias("layer"), C("event_type").alias("head"), C("event_id").alias("pos"), C("value").alias("score"))
     path = scratch(s, "events")
-    S.sliced(e, path, "pos", SLICES)
-    return s.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/slice=*")
+    files = S.sliced(e, path, "pos", SLICES)
+    return S.chunks(s, f"{path}/slice=*", e.schema, files)
 
 
 _EVENTS = "r AS (SELECT user_id % 5 AS layer, event_type AS head, event_id, row_number() OVER (PARTITION BY user_id % 5, event_type ORDER BY event_id) - 1 AS pos, value AS score, count(*) OVER (PARTITION BY user_id % 5, event_type) AS n FROM events)"

@@ -4,6 +4,7 @@ import json
 import os
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -413,3 +414,30 @@ def test_streams_by_element_agree_with_plain_versions(spark, tmp_path):
     assert spark.conf.get(S.STORE[0]) != S.STORE[1]
     S.sliced(rows.limit(0), str(tmp_path / "none"), "pos", 3)
     assert not (tmp_path / "none").exists()
+
+
+def test_micro_batches_and_state_calls_do_not_grow_with_the_files(spark, tmp_path, monkeypatch):
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = S.sliced(spark.range(400).withColumnRenamed("id", "pos"), str(tmp_path / "many"), "pos", 4)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    written = len(list((tmp_path / "many").glob("slice=*/*.parquet")))
+    assert written > 4 and -(-written // files) <= 4
+    monkeypatch.setattr(S, "PER_BATCH", 50)
+    assert -(-8 // S.sliced(spark.range(400).withColumnRenamed("id", "pos").coalesce(1), str(tmp_path / "more"), "pos", 8)) == 8
+
+    class Cells(dict):
+        calls = 0
+
+        def iterator(self):
+            return iter(())
+
+        def updateValue(self, key, value):  # noqa: N802 - a name of Spark's interface
+            self.calls, self[key] = self.calls + 1, value
+
+    one = S._Bounded(10, 16)
+    one.cells = Cells()
+    out = one.take([0, 0, 0], pd.DataFrame({"pos": range(1600), "score": [float(k * 37 % 1009) for k in range(1600)]}))
+    assert len(out) == 1000 and one.cells.calls == 10
