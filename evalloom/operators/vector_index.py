@@ -40,6 +40,8 @@ BLOCK, SALTS = 512, 64
 #: Rows from which on packing is dealt by one more salt: every row goes to a block either way.
 DEALT = 500_000
 BLOCKS = "ids array<long>, vectors array<double>, list int"
+#: Rows from which on a search without an index is dealt by one more part.
+PART = 10_000
 #: Queries that a number of probes is chosen by.
 TRIED = 200
 
@@ -257,4 +259,9 @@ def nearest(queries: DataFrame, rows: DataFrame, by: list[str], k: int, ident: t
     """(by, question, id, similarity, rank): the k best of the rows with equal columns ``by``, without an index."""
     asked, rows = _rows(queries, ident[0], vector[0], *by), _rows(rows, ident[1], vector[1], *by)
     q = packed(asked, by, asked.count()).withColumnsRenamed({"ids": "q_ids", "vectors": "q_vectors"})
-    return _ranked(_best(q.join(packed(rows, by, rows.count()), by), by, k), by, k)
+    n = rows.count()
+    # Rows that share columns, all of them maybe, are dealt to parts, each of which meets every block of queries.
+    parts = min(SALTS, 1 + n // PART)
+    q = q.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = packed(rows, by, n).withColumn("_part", F.pmod(F.hash("ids"), F.lit(parts)))
+    return _ranked(_best(q.join(dealt, [*by, "_part"]), by, k), by, k)

@@ -76,3 +76,14 @@ def test_empty_tables_and_fewer_rows_than_ranks(spark, tmp_path):
     index = X.build(rows, str(tmp_path / "few"), "vec_id", "embedding")
     assert answers(X.search_exactly(index, rows, "vec_id", "embedding", 9)) == scanned(data, data, 9)
     assert X.search(index, rows.limit(0), "vec_id", "embedding", 3, 1).count() == 0
+
+
+def test_rows_of_one_key_are_dealt_to_parts(spark, monkeypatch):
+    from evalloom.operators import vector_index as index
+
+    rows = spark.range(1200).selectExpr("id", "0 AS all", "array(cast(id * 37 % 101 as double), cast(id % 13 as double)) AS v")
+    asked = rows.where("id % 100 = 0")
+    find = lambda: sorted(map(tuple, index.nearest(asked, rows, ["all"], 5, ("id", "id"), ("v", "v")).collect()))
+    whole = find()
+    monkeypatch.setattr(index, "PART", 100)
+    assert find() == whole and len(whole) == 60
