@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from . import extract, text
 
 ONE, ZERO = 1.0, 0.0
+#: Bits of one row of a common subsequence's table.
+WIDTH = 4096
 
 
 def flag(c: Column) -> Column:
@@ -114,17 +116,24 @@ def classification_score(pred: Column, gold: Column, classes: Column) -> Column:
     return F.when(F.array_contains(named, gold), ONE / F.size(named)).otherwise(ZERO)
 
 
-def common_length(a: Sequence[str], b: Sequence[str]) -> int:
-    """Length of the longest common subsequence. A row of its table is one integer: bit j is clear where
-    the length grows at the j-th item of b."""
-    places: dict[str, int] = {}
-    for j, x in enumerate(b):
-        places[x] = places.get(x, 0) | 1 << j
-    row = every = (1 << len(b)) - 1
-    for x in a:
-        if at := row & places.get(x, 0):
-            row = ((row + at) | (row - at)) & every
-    return len(b) - row.bit_count()
+def common_length(a: Sequence[str], b: Sequence[str], width: int = WIDTH) -> int:
+    """Length of the longest common subsequence. A row of its table is one integer for each ``width`` items of b: a bit is
+    clear where the length grows at its item. A block is gone through for all of a before the next one, which takes
+    over a carry for each item of a, so that memory does not grow with the product of both."""
+    carries, same = bytearray(len(a)), 0
+    for start in range(0, len(b), width):
+        block, places = b[start : start + width], {}
+        for j, x in enumerate(block):
+            places[x] = places.get(x, 0) | 1 << j
+        row = every = (1 << len(block)) - 1
+        for i, x in enumerate(a):
+            at = row & places.get(x, 0)
+            if at or carries[i]:
+                grown = row + at + carries[i]
+                carries[i] = grown >> len(block)
+                row = (grown | (row - at)) & every
+        same += len(block) - row.bit_count()
+    return same
 
 
 def indel_ratio(a: str, b: str) -> float:

@@ -129,3 +129,12 @@ def test_common_subsequences_and_what_follows_from_them():
         a, b = ("".join(rng.choice("abcd") for _ in range(rng.randrange(90))) for _ in range(2))
         assert metrics.common_length(a, b) == table(a, b)
     assert [metrics.indel_ratio(a, b) for a, b in (("", ""), ("a", ""), ("ab", "ab"), ("kitten", "sitting"), ("return x", "return y"))] == [1.0, 0.0, 1.0, 0.62, 0.88]
+
+
+def test_a_common_length_is_counted_by_blocks_of_bounded_width():
+    import random
+
+    draw = random.Random(5)
+    for n, m in ((0, 5), (5, 0), (40, 61), (200, 130), (33, 64)):
+        a, b = draw.choices("abcd", k=n), draw.choices("abcd", k=m)
+        assert len({metrics.common_length(a, b, w) for w in (1, 3, 7, 64, 4096)}) == 1
