@@ -1,7 +1,7 @@
 """Words of text without spaces: the most probable path through all words of a dictionary.
 
 A dictionary holds words and how often they were seen (``learned`` counts them in a table). A text is cut into runs of
-ASCII letters and digits, which are words, and other stretches. For each place of such a stretch, a trie gives every word of
+ASCII letters and digits, which are words, and other stretches. For each place of such a stretch, look-ups by length give every word of
 the dictionary that begins there; with a single character in any case, these are the edges of a graph, and dynamic
 programming from the end finds the path of the greatest product of frequencies. A character that is no word counts as
 seen once. Of equal paths the one with the longer first word is taken.
@@ -23,8 +23,6 @@ from pyspark.sql import types as T
 
 MOST_WORDS = 200_000
 _RUN = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]+")
-#: Where a trie keeps a word's logarithm; no text holds it as a character of its own.
-_END = ""
 
 
 def learned(words: DataFrame, most: int = MOST_WORDS) -> dict[str, int]:
@@ -35,24 +33,24 @@ def learned(words: DataFrame, most: int = MOST_WORDS) -> dict[str, int]:
 
 
 class Segmenter:
-    """A dictionary as a trie of nested mappings, with the logarithms of frequencies at the ends of words."""
+    """The logarithms of a dictionary's frequencies, and the lengths of the words that begin with each pair of characters."""
 
     def __init__(self, counts: dict[str, int]) -> None:
         self.single = -math.log(max(1, sum(counts.values())))
-        self.trie: dict = {}
-        for word, n in counts.items():
-            node = self.trie
-            for c in word:
-                node = node.setdefault(c, {})
-            node[_END] = math.log(n) + self.single
+        self.weights = {word: math.log(n) + self.single for word, n in counts.items() if word}
+        lengths: dict[str, set[int]] = {}
+        for word in self.weights:
+            lengths.setdefault(word[:2], set()).add(len(word))
+        self.lengths = {start: sorted(some) for start, some in lengths.items()}
 
     def edges(self, text: str, at: int) -> Iterator[tuple[int, float]]:
         """(end, logarithm of the frequency) of the words that begin at a place."""
-        node, end = self.trie, at
-        while end < len(text) and text[end] in node:
-            node, end = node[text[end]], end + 1
-            if _END in node:
-                yield end, node[_END]
+        starts = (text[at], text[at : at + 2]) if at + 1 < len(text) else (text[at],)
+        for start in starts:
+            for n in self.lengths.get(start, ()):
+                word = text[at : at + n]
+                if len(word) == n and word in self.weights:
+                    yield at + n, self.weights[word]
 
     def path(self, text: str) -> list[str]:
         """The words of a stretch."""
@@ -75,20 +73,29 @@ class Segmenter:
         return [w for run in _RUN.findall(text) for w in ([run] if run[0].isascii() and run[0].isalnum() else self.path(run))]
 
 
+_last: list = [None, None]
+
+
+def _made(counts: dict[str, int]) -> Segmenter:
+    if _last[0] is not counts:
+        _last[:] = counts, Segmenter(counts)
+    return _last[1]
+
+
 def segmenter(spark: SparkSession, counts: dict[str, int]) -> Callable[[Column], Column]:
-    """A function of text columns to arrays of words; its ``many`` does the same to each text of an array column. Workers
-    build the trie once for each task."""
+    """A function of text columns to arrays of words; its ``many`` does the same to each text of an array column. A worker
+    builds one segmenter for both and all its tasks."""
     sent = spark.sparkContext.broadcast(counts)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def words(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = Segmenter(sent.value)
+        one = _made(sent.value)
         for s in texts:
             yield s.map(one.words)
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
     def many(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = Segmenter(sent.value)
+        one = _made(sent.value)
         for s in texts:
             yield s.map(lambda some: None if some is None else [one.words(t) for t in some])
 

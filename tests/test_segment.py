@@ -61,3 +61,10 @@ def test_scores_by_words(spark):
     rows = spark.createDataFrame([("dureader", "北京大学", ["北京学生"]), ("multifieldqa_zh", "北京大学", ["大学"]), ("qasper", "x y", ["x"])], "task string, prediction string, answers array<string>")
     rows = segment.with_words(rows, "prediction", "answers", cut)
     assert [round(r[0], 6) for r in rows.select(score).collect()] == [0.5, 0.666667, 0.666667]
+
+
+def test_a_worker_holds_one_segmenter_without_a_trie():
+    counts = {"一": 1, "一二": 2, "一二三四": 1, "二三": 4}
+    one = segment._made(counts)
+    assert segment._made(counts) is one and not hasattr(one, "trie")
+    assert [e for e, _ in one.edges("一二三四", 0)] == [1, 2, 4] and [e for e, _ in one.edges("一二三", 1)] == [3]
