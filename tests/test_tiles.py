@@ -104,3 +104,23 @@ def test_received_attention_makes_no_row_per_pair(spark):
         assert all(abs(found[h, p] - w[:, p].sum()) < 1e-12 for p in range(len(m)))
     plan = retention.attention_mass(kv, kv.selectExpr("layer", "head", "pos AS qpos", "key AS query"), 0.5)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "exp(" not in plan.lower()
+
+
+def test_last_queries_of_a_block_make_no_row_per_pair(spark):
+    """Survivors of earlier blocks leave gaps, so many positions lie behind the number of positions less the window."""
+    rng = np.random.default_rng(6)
+    at = {0: [0, 3, 4, 7, 8, 9, 11, 14], 1: [1, 2, 5, 6, 12]}
+    x = {h: rng.normal(size=(len(p), 4)) for h, p in at.items()}
+    kv = spark.createDataFrame([(0, h, p, v.tolist(), v.tolist(), len(at[h])) for h in at for p, v in zip(at[h], x[h], strict=True)], "layer int, head int, pos long, key array<double>, value array<double>, k_len long")
+    scored = retention.snapkv(kv, kv.where("pos >= k_len - 2").selectExpr("layer", "head", "pos AS qpos", "key AS query"), 2, 0.5, 3)
+    assert scored.columns == [*kv.columns, "score"]
+    want = {}
+    for h, p in at.items():
+        p, early = np.array(p), np.array(p) < len(p) - 2
+        e = np.exp(x[h] @ x[h].T * 0.5) * (p[None, :] <= p[:, None])
+        mass = (e / e.sum(axis=1, keepdims=True))[~early].sum(axis=0)[early] / 2
+        want |= {(h, int(q)): s for q, s in zip(p[early], np.convolve(mass, np.ones(3))[1:-1] / 3, strict=True)}
+    top = max(want.values())
+    assert all(abs(r.score - want.get((r["head"], r.pos), top)) < 1e-12 for r in scored.collect())
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "exp(" not in plan.lower()
