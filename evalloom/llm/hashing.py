@@ -83,9 +83,9 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(raw: np.ndarray, folded: bool = True) -> np.ndarray:
-    """A 64-bit hash per word, lower-casing A-Z if folded."""
-    starts, ends = word_bounds(raw)
+def word_hashes(raw: np.ndarray, folded: bool = True, bounds: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """A 64-bit hash per word, lower-casing A-Z if folded; ``bounds`` are those of ``word_bounds``, if known."""
+    starts, ends = word_bounds(raw) if bounds is None else bounds
     if not len(starts):
         return np.zeros(0, dtype=U64)
     prefix = prefix_hashes(raw, FOLDED_VALUES if folded else BYTE_VALUES)

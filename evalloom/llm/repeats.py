@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_views, free, map_arrow, signed, table
-from .hashing import BYTE_VALUES, U64, mix, prefix_sums, span_hashes, word_hashes
+from .hashing import BYTE_VALUES, U64, mix, powers, prefix_sums, word_bounds, word_hashes
 from .suffix_sort import Suffixes
 
 WINDOW, ANCHOR, CROWD, PIECE = 400, 200, 2000, 1 << 20
@@ -50,6 +50,8 @@ WINDOW, ANCHOR, CROWD, PIECE = 400, 200, 2000, 1 << 20
 PASSAGE, PASSAGE_ANCHOR = 51, 20
 #: Regions sorted together; bounds the memory of a task.
 BATCH = 4000
+#: Units of short texts that are hashed together.
+TOGETHER = 1 << 16
 _PLACE = U64((1 << 21) - 1)
 
 
@@ -71,30 +73,70 @@ def kinds(window: int, anchor: int, words: int, words_anchor: int) -> tuple[Kind
     return tuple(Kind(size, w, (a, (a + w + 1) // 2, w)) for size, w, a in ((1, window, anchor), (4, words, words_anchor)))
 
 
-def _sequence(raw: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each unit, the bytes that stand for the units)."""
+def _sequences(raws: list[np.ndarray], kind: Kind) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hash of each unit, the bytes that stand for the units) of each text, all texts hashed at once."""
     if kind.own:
-        return BYTE_VALUES[raw], raw
-    values = word_hashes(raw, folded=False)
-    return values, (values >> U64(32)).astype("<u4").view(np.uint8)
-
-
-def regions(values: np.ndarray, window: int, anchor: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first window, last window, anchor position, anchor hash) of the regions, piece by piece, in units."""
-    for begin in range(0, max(0, len(values) - window + 1), piece):
-        part = values[begin : begin + piece + window - 1]
-        at = np.arange(len(part) - anchor + 1)
-        hashes = mix(span_hashes(prefix_sums(part), at, at + anchor))
-        least = (hashes & ~_PLACE) | at.astype(U64)
-        span, width = window - anchor + 1, 1
-        while 2 * width <= span:
-            least, width = np.minimum(least[: len(least) - width], least[width:]), 2 * width
-        if width < span:
-            least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-        chosen = (least & _PLACE).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
-        last = np.r_[first[1:], len(chosen)] - 1
-        yield first + begin, last + begin, chosen[first] + begin, hashes[chosen[first]]
+        data, ends = np.concatenate(raws), np.cumsum([len(r) for r in raws])
+        values = BYTE_VALUES[data]
+    else:
+        joined = np.frombuffer(b" ".join(raws), np.uint8)
+        bounds = word_bounds(joined)
+        values = word_hashes(joined, False, bounds)
+        data = (values >> U64(32)).astype("<u4").view(np.uint8)
+        ends = np.searchsorted(bounds[0], np.cumsum([len(r) + 1 for r in raws]))
+    ends, each = ends.tolist(), kind.size
+    return [(values[a:e], data[a * each : e * each]) for a, e in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _together(sizes: list[int]) -> Iterator[list[int]]:
+    """The numbers of consecutive texts or stretches, so many at a time that they have at most ``TOGETHER`` units, or one."""
+    mine, total = [], 0
+    for k, n in enumerate(sizes):
+        if mine and total + n > TOGETHER:
+            yield mine
+            mine, total = [], 0
+        mine.append(k)
+        total += n
+    if mine:
+        yield mine
+
+
+def _chosen(part: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the position of each window's anchor, the hash of each position's stretch)."""
+    prefix = prefix_sums(part)
+    n = len(part) - anchor + 1
+    hashes = mix((prefix[anchor:] - prefix[:n]) * powers(n)[1])
+    least = (hashes & ~_PLACE) | np.arange(n).astype(U64)
+    span, width = window - anchor + 1, 1
+    while 2 * width <= span:
+        least, width = np.minimum(least[: len(least) - width], least[width:]), 2 * width
+    if width < span:
+        least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
+    return (least & _PLACE).astype(np.int64), hashes
+
+
+def regions(parts: list[np.ndarray], window: int, anchor: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of the sequence, first window, last window, anchor position, anchor hash) of the regions of sequences of units.
+
+    Short sequences are taken together, one after another in one array; windows that cross a border are left out. Longer ones come piece by piece.
+    """
+    pieces = [(k, begin, p[begin : begin + piece + window - 1]) for k, p in enumerate(parts) for begin in range(0, max(0, len(p) - window + 1), piece)]
+    for some in _together([len(p) for _, _, p in pieces]):
+        mine = [pieces[k] for k in some]
+        sizes = np.array([len(p) for _, _, p in mine])
+        begin = np.cumsum(sizes) - sizes
+        end = begin + sizes - window + 1
+        chosen, hashes = _chosen(np.concatenate([p for _, _, p in mine]), window, anchor)
+        opens = np.r_[True, chosen[1:] != chosen[:-1]]
+        opens[begin] = True
+        first = np.flatnonzero(opens)
+        stop = np.r_[first[1:], len(chosen)]
+        owner = np.searchsorted(begin, first, "right") - 1
+        inside = first < end[owner]
+        first, stop, owner = first[inside], stop[inside], owner[inside]
+        stop, at = np.minimum(stop, end[owner]), chosen[first]
+        move = np.array([b for _, b, _ in mine])[owner] - begin[owner]
+        yield np.array([k for k, _, _ in mine])[owner], first + move, stop - 1 + move, at + move, hashes[at]
 
 
 def _anchors(both: tuple[Kind, ...], level: int, piece: int, whole: bool = True):
@@ -107,23 +149,33 @@ def _anchors(both: tuple[Kind, ...], level: int, piece: int, whole: bool = True)
             for start in range(0, len(b), 500):
                 rows, cols = b.slice(start, 500), [[] for _ in range(8 if whole else 1)]
                 ids, tids = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-                given = rows.column(3).to_pylist()
-                for k, raw in enumerate(byte_views(rows.column(2))):
-                    for number, kind in enumerate(both):
-                        mine = sorted({(x["lo"], x["size"], x["several"]) for x in given[k] if x["large"] and x["h"] & 1 == number}) if level else [(0, None, given[k])]
-                        values, data = _sequence(raw, kind) if mine else (raw, raw)
-                        view, each = memoryview(data), kind.size
-                        for lo, size, more in mine:
-                            for first, last, at, hashes in regions(values[lo : None if size is None else lo + size], kind.window, kind.anchors[level], piece):
-                                named = signed((hashes & ~U64(1)) | U64(number))
-                                if not whole:
-                                    cols[0].append(named)
-                                    continue
-                                n = len(first)
-                                first, last, at = first + lo, last + lo + kind.window, at + lo
-                                digests = b"".join([blake2b(view[s * each : e * each], digest_size=8).digest() for s, e in zip(first.tolist(), last.tolist(), strict=True)])
-                                for out, v in zip(cols, (named, np.frombuffer(digests, np.int64), np.full(n, ids[k]), np.full(n, tids[k]), first, at - first, last - first, np.full(n, more)), strict=True):
-                                    out.append(v)
+                given, raws = rows.column(3).to_pylist(), list(byte_views(rows.column(2)))
+                for number, kind in enumerate(both):
+                    each = kind.size
+                    if level:
+                        asked = [sorted({(x["lo"], x["size"], x["several"]) for x in g if x["large"] and x["h"] & 1 == number}) for g in given]
+                    else:
+                        asked = [[(0, None, g)] for g in given]
+                    wanted = [k for k, a in enumerate(asked) if a]
+                    for some in _together([len(raws[k]) for k in wanted]):
+                        texts = [wanted[i] for i in some]
+                        parts = []
+                        for k, (values, data) in zip(texts, _sequences([raws[k] for k in texts], kind), strict=True):
+                            parts += [(k, lo, more, values[lo : None if size is None else lo + size], data[lo * each : None if size is None else (lo + size) * each]) for lo, size, more in asked[k]]
+                        found = regions([p[3] for p in parts], kind.window, kind.anchors[level], piece)
+                        if not whole:
+                            cols[0] += [signed((hashes & ~U64(1)) | U64(number)) for *_, hashes in found]
+                            continue
+                        row, moved, more = (np.array([p[i] for p in parts], np.int64) for i in range(3))
+                        sizes = np.array([len(p[4]) for p in parts])
+                        view, base = memoryview(b"".join(p[4] for p in parts)), np.cumsum(sizes) - sizes
+                        for of, first, last, at, hashes in found:
+                            last = last + kind.window
+                            spans = zip((base[of] + first * each).tolist(), (base[of] + last * each).tolist(), strict=True)
+                            digests = b"".join([blake2b(view[s:e], digest_size=8).digest() for s, e in spans])
+                            new = (signed((hashes & ~U64(1)) | U64(number)), np.frombuffer(digests, np.int64), ids[row[of]], tids[row[of]], first + moved[of], at - first, last - first, more[of])
+                            for out, v in zip(cols, new, strict=True):
+                                out.append(v)
                 if cols[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names=["h", "rd", "k", "tid", "lo", "at", "size", "more"][: len(cols)])
 
@@ -144,7 +196,7 @@ def _members(both: tuple[Kind, ...]):
                 for k, raw in enumerate(byte_views(part.column(2))):
                     for number, kind in enumerate(both):
                         mine = [x for x in lists[k] if not x["large"] and x["h"] & 1 == number]
-                        data, each = _sequence(raw, kind)[1] if mine else raw, kind.size
+                        data, each = _sequences([raw], kind)[0][1] if mine else raw, kind.size
                         rows += [(x["h"], x["rd"], ids[k], tids[k], x["at"], x["several"], data[x["lo"] * each : (x["lo"] + x["size"]) * each].tobytes()) for x in mine]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["h", "rd", "k", "tid", "at", "several", "bytes"])
@@ -229,24 +281,29 @@ def _groups(both: tuple[Kind, ...]):
 
 
 def _finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
     for b in batches:
-        ids, tids, spans = (b.column(i).to_pylist() for i in (0, 1, 3))
-        out: list[tuple] = []
+        if not len(b):
+            continue
+        # Spans of each text and kind on a stretch of one line of their own, merged all at once.
+        lists = b.column(3)
+        kind, lo, hi = (lists.flatten().field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("kind", "lo", "hi"))
+        line = 2 * np.repeat(np.arange(len(b)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) + kind
+        stretch = int(hi.max(initial=0)) + 2
+        lo, hi = merged(lo + line * stretch, hi + line * stretch)
+        ends = np.searchsorted(lo, np.arange(2 * len(b) + 1) * stretch)
+        size, runs = np.r_[0, np.cumsum(hi - lo)][ends], ends.tolist()
+        place = lo // stretch * stretch
+        lo, hi, digests = (lo - place).tolist(), (hi - place).tolist(), []
         for k, raw in enumerate(byte_views(b.column(2))):
-            runs = []
-            for kind in (0, 1):
-                pairs = np.array([(x["lo"], x["hi"]) for x in spans[k] if x["kind"] == kind], np.int64).reshape(-1, 2)
-                runs.append(merged(pairs[:, 0], pairs[:, 1]))
-            (lo, hi), (word, end) = runs
             kept, at, text = sha256(), 0, memoryview(raw)
-            for s, e in zip(lo.tolist(), hi.tolist(), strict=True):
-                kept.update(text[at:s])
-                at = e
+            for r in range(runs[2 * k], runs[2 * k + 1]):
+                kept.update(text[at : lo[r]])
+                at = hi[r]
             kept.update(text[at:])
-            out.append((ids[k], tids[k], int((hi - lo).sum()), len(lo), kept.hexdigest(), int((end - word).sum())))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["k", "tid", "n_removed", "n_spans", "kept_sha256", "n_shared_words"])
+            digests.append(kept.hexdigest())
+        covered = np.diff(size)
+        columns = [b.column(0), b.column(1), pa.array(covered[::2]), pa.array(np.diff(ends)[::2]), pa.array(digests, pa.string()), pa.array(covered[1::2])]
+        yield pa.RecordBatch.from_arrays(columns, names=["k", "tid", "n_removed", "n_spans", "kept_sha256", "n_shared_words"])
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, crowd: int = CROWD, words: int = PASSAGE, words_anchor: int = PASSAGE_ANCHOR, piece: int = PIECE) -> DataFrame:

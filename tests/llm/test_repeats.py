@@ -4,8 +4,10 @@ from collections import Counter, defaultdict
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from evalloom.llm import repeats
 from evalloom.llm.repeats import remove_repeats
 from evalloom.llm.suffix_sort import Suffixes, suffix_array
 
@@ -130,3 +132,16 @@ def test_collisions_are_noticed():
     order, common = s.sort()
     assert order.tolist() == [0, 1, 2]
     assert common.tolist() == [-1, 2, 2]
+
+
+def test_short_texts_are_hashed_together(monkeypatch):
+    rng = random.Random(11)
+    t = [*("".join(rng.choice("abé \n") for _ in range(rng.randrange(200))) for _ in range(300)), "", None, "abé " * 30]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(t))), pa.array(range(len(t))), pa.array(t), pa.array([False] * len(t))], names=["k", "tid", "text", "more"])
+    calls, plain = [], repeats.prefix_sums
+    monkeypatch.setattr(repeats, "prefix_sums", lambda values: calls.append(1) or plain(values))
+    run = repeats._anchors(repeats.kinds(12, 6, 5, 2), 0, 40)
+    found = lambda batches: sorted(r for b in run(batches) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    together = found([batch])
+    assert len(together) > 2000 and len(calls) < 10
+    assert together == found([batch.slice(k, 1) for k in range(len(t))])
