@@ -1,8 +1,10 @@
 """Tiled products against attention and top keys by their definitions."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from evalloom.operators import attention as A
 from evalloom.operators import chunked_attention as K
@@ -124,3 +126,14 @@ def test_last_queries_of_a_block_make_no_row_per_pair(spark):
     assert all(abs(r.score - want.get((r["head"], r.pos), top)) < 1e-12 for r in scored.collect())
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "exp(" not in plan.lower()
+
+
+def test_batches_of_dual_chunk_attention_are_bounded_by_bytes(spark):
+    _, kv, *_ = drawn(spark, gaps=False)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 30)
+    K.dual_chunk(kv.selectExpr("layer", "head", "pos AS qpos", "key AS query"), kv, SIZE, 12, 4)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == tiles.BATCH_BYTES
+    tile = 8 * 3 * 64 * tiles.SIZE
+    rows = spark.range(0, 60, 1, 1).select(F.array_repeat(F.col("id").cast("double"), tile // 8).alias("query"))
+    sizes = [r.n for r in tiles.bounded(rows, lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), StructType([StructField("n", LongType())])).collect()]
+    assert sum(sizes) >= 60 * tile and max(sizes) <= tiles.BATCH_BYTES + 2 * tile
