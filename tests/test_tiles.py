@@ -137,3 +137,27 @@ def test_batches_of_dual_chunk_attention_are_bounded_by_bytes(spark):
     rows = spark.range(0, 60, 1, 1).select(F.array_repeat(F.col("id").cast("double"), tile // 8).alias("query"))
     sizes = [r.n for r in tiles.bounded(rows, lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), StructType([StructField("n", LongType())])).collect()]
     assert sum(sizes) >= 60 * tile and max(sizes) <= tiles.BATCH_BYTES + 2 * tile
+
+
+def test_dual_chunk_attention_gets_a_few_tiles_at_a_time(spark, monkeypatch):
+    """One head of 20 tiles makes 210 pairs of tiles, 17 MB, in two bands."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    n, row, running = 20 * tiles.SIZE, 8 * tiles.SIZE * (5 * SIZE + 2), tiles._running
+    most = tiles.BATCH_BYTES + 2 * row
+
+    def watched(*how):
+        run = running(*how)
+
+        def narrow(batches):
+            for b in batches:
+                if b.nbytes > most:
+                    raise ValueError(f"a batch of {b.nbytes} bytes")
+                yield b
+
+        return lambda batches: run(narrow(batches))
+
+    monkeypatch.setattr(tiles, "_running", watched)
+    vector = F.transform(F.sequence(F.lit(1), F.lit(SIZE)), lambda i: F.sin(F.col("id") * i))
+    kv = spark.range(n).select(F.lit(0).alias("layer"), F.lit(0).alias("head"), F.col("id").alias("pos"), vector.alias("key"), vector.alias("value"))
+    out = K.dual_chunk(kv.selectExpr("layer", "head", "pos AS qpos", "key AS query"), kv, SIZE, 12, 4)
+    assert sorted(r.qpos for r in out.select("qpos").collect()) == list(range(n))
